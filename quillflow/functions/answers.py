@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quillflow.functions.columns import let
 from quillflow.functions.paths import _variant_steps, variant_path
 
 # Where JSON is looked for in a text, in this order after the text itself.
@@ -45,6 +46,28 @@ def repair_text(text: Column) -> Column:
     return F.when(from_object != "", from_object).otherwise(from_array)
 
 
+# Candidate texts by strategy, in order.
+_CANDIDATES = {
+    "whole": lambda text: text,
+    "fenced": lambda text: strip(F.regexp_extract(text, FENCED_BLOCK, 1)),
+    "object": lambda text: F.regexp_extract(text, FIRST_OBJECT, 0),
+    "array": lambda text: F.regexp_extract(text, FIRST_ARRAY, 0),
+    "repaired": repair_text,
+}
+
+
+def _first_json(text: Column, at: int = 0) -> Column:
+    """Struct of strategy and value of the first candidate that parses; later ones are not tried."""
+    kind = "struct<strategy:string,value:variant>"
+    if at == len(STRATEGIES):
+        return F.lit(None).cast(kind)
+    name = STRATEGIES[at]
+    value = let(_CANDIDATES[name](text), exact_json)
+    return let(value, lambda v: F.when(
+        v.isNotNull(), F.struct(F.lit(name).alias("strategy"), v.alias("value")))
+        .otherwise(_first_json(text, at + 1)))
+
+
 def parse_answers(
     df: DataFrame, content: str, schema: dict[str, Any] | None = None, strict: bool = False
 ) -> DataFrame:
@@ -55,45 +78,30 @@ def parse_answers(
     drop the answer only when strict.
     """
     kept = df.columns
-    text = F.col("_text")
-    out = df.withColumn("_text", strip(F.coalesce(F.col(content), F.lit(""))))
-    candidates = {
-        "whole": text,
-        "fenced": strip(F.regexp_extract(text, FENCED_BLOCK, 1)),
-        "object": F.regexp_extract(text, FIRST_OBJECT, 0),
-        "array": F.regexp_extract(text, FIRST_ARRAY, 0),
-        "repaired": repair_text(text),
-    }
-    found = None
-    for name, candidate in candidates.items():
-        # Each strategy runs only where the ones before found nothing.
-        open_ = F.lit(True) if found is None else F.col(found).isNull()
-        here = out.withColumn("_candidate", F.when(open_, candidate))
-        here = here.withColumn("_value", F.when(open_, exact_json(F.col("_candidate"))))
-        value, label = F.col("_value"), F.when(F.col("_value").isNotNull(), name)
-        if found is not None:
-            value = F.coalesce(F.col("_found"), value)
-            label = F.coalesce(F.col("_strategy"), label)
-        out = here.select(*kept, "_text", value.alias("_found"), label.alias("_strategy"))
-        found = "_found"
-    hit = F.col("_found").isNotNull() & ~F.is_variant_null(F.col("_found"))
-    blank = text == ""
+    found = let(strip(F.coalesce(F.col(content), F.lit(""))), lambda text: F.struct(
+        text.alias("text"), _first_json(text).alias("hit")))
+    out = df.select(*kept, found.alias("_found"))
+    text, hit = F.col("_found.text"), F.col("_found.hit")
+    good = hit.isNotNull() & ~F.is_variant_null(hit["value"])
     raw = F.to_variant_object(F.struct(text.alias("content"), F.lit(True).alias("_raw")))
-    fallback = F.lit(None).cast("variant") if strict else F.when(~blank, raw)
-    message = F.when(blank, "Empty response content")
+    fallback = F.lit(None).cast("variant") if strict else F.when(text != "", raw)
+    strategy = F.when(good, hit["strategy"])
+    message = F.when(text == "", "Empty response content")
     if strict:
-        message = message.when(~hit, "Could not extract JSON from response")
+        message = message.when(~good, "Could not extract JSON from response")
+    else:
+        strategy = strategy.when(text != "", "raw")
     out = out.select(
         *kept,
-        F.when(hit, F.col("_found")).otherwise(fallback).alias("parsed"),
-        F.when(hit, F.col("_strategy")).when(~blank & F.lit(not strict), "raw").alias("parse_strategy"),
+        F.when(good, hit["value"]).otherwise(fallback).alias("parsed"),
+        strategy.alias("parse_strategy"),
         message.alias("parse_error"),
     )
     if not schema:
         return out.withColumn("schema_errors", F.array().cast("array<string>"))
     from_json = F.col("parse_strategy").isin(*STRATEGIES)
     out = out.withColumn("schema_errors", F.coalesce(
-        F.when(from_json, schema_errors(F.col("parsed"), schema)), F.array().cast("array<string>")))
+        F.when(from_json, let(F.col("parsed"), lambda v: schema_errors(v, schema))), F.array().cast("array<string>")))
     if strict:
         failed = F.size("schema_errors") > 0
         text = F.concat(F.lit("Schema validation failed: "), F.array_join("schema_errors", "; "))
@@ -187,7 +195,7 @@ def schema_errors(value: Column, schema: dict[str, Any]) -> Column:
 
 def pick_field(parsed: Column, path: str, kind: str = "string", default: Any = None) -> Column:
     """Value at a dot path (list indexes allowed), or the default when absent, null or no object."""
-    found = F.try_variant_get(_variant_steps(parsed, path.split(".")), "$", kind)
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
-    value = F.when(is_object, found)
+    value = let(parsed, lambda p: F.when(
+        F.schema_of_variant(p).startswith("OBJECT"),
+        F.try_variant_get(_variant_steps(p, path.split(".")), "$", kind)))
     return value if default is None else F.coalesce(value, F.lit(default).cast(kind))

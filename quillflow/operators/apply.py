@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quillflow.functions.columns import let
 from quillflow.functions.paths import variant_path
 
 
@@ -72,31 +73,45 @@ def increment(current: Column, amount: Column | int | float = 1) -> Column:
     return F.coalesce(current, F.lit(0)) + amount
 
 
-def set_at_path(
-    root: Column, dtype: T.DataType | None, parts: list[str], value: Column,
-    present: Column | None = None,
+Update = tuple[Column, Column | None]
+
+
+def set_fields(
+    root: Column, dtype: T.DataType | None, path: list[str], updates: dict[str, Update],
 ) -> Column:
-    """The struct with ``value`` at a nested path; missing structs on the way are created.
+    """The struct with fields set below a nested path; missing structs on the way are created.
 
-    Where ``present`` is false the old value stays.
+    An update is a value and a flag; where the flag is false the old value stays. Without a flag
+    the value is always set. All fields are set in one rebuild of the struct.
     """
-    if not parts:
-        if present is None or dtype is None:
-            return value if present is None else F.when(present, value)
-        return F.when(present, value.cast(dtype)).otherwise(root)
-    fields = dtype.fields if isinstance(dtype, T.StructType) else []
-    head, rest = parts[0], parts[1:]
-    done = []
-    for f in fields:
-        old = root.getField(f.name)
-        new = set_at_path(old, f.dataType, rest, value, present) if f.name == head else old
-        done.append(new.alias(f.name))
-    if head not in [f.name for f in fields]:
-        done.append(set_at_path(F.lit(None), None, rest, value, present).alias(head))
-    built = F.struct(*done)
-    if present is None or dtype is None:
+    fields = {f.name: f.dataType for f in dtype.fields} if isinstance(dtype, T.StructType) else {}
+    done = {name: root.getField(name) for name in fields}
+    if path:
+        head = path[0]
+        below = done.get(head, F.lit(None))
+        done[head] = set_fields(below, fields.get(head), path[1:], updates)
+    else:
+        for name, (value, present) in updates.items():
+            if present is None:
+                done[name] = value
+            elif name in fields:
+                done[name] = F.when(present, value.cast(fields[name])).otherwise(done[name])
+            else:
+                done[name] = F.when(present, value)
+    built = F.struct(*[c.alias(n) for n, c in done.items()])
+    flags = [present for _, present in updates.values()]
+    if any(flag is None for flag in flags):
         return built
-    return F.when(root.isNotNull() | present, built)
+    anything = flags[0]
+    for flag in flags[1:]:
+        anything = anything | flag
+    return F.when(anything if dtype is None else root.isNotNull() | anything, built)
+
+
+def set_at_path(root: Column, dtype: T.DataType, path: str, value: Column) -> Column:
+    """The struct ``root`` with ``value`` at a dot path."""
+    *parents, name = path.split(".")
+    return set_fields(root, dtype, parents, {name: (value, None)})
 
 
 @dataclass(frozen=True)
@@ -127,10 +142,14 @@ METADATA = ("work_item_id", "model", "provider", "total_tokens", "cost_usd", "la
 
 def effective_answer(parsed: Column, content: Column) -> Column:
     """The parsed answer, or ``{"content": text}`` when it is absent, raw or empty."""
-    empty = parsed.isNull() | F.is_variant_null(parsed) | F.to_json(parsed).isin("{}", "[]")
-    raw = F.try_variant_get(parsed, "$._raw", "boolean")
     fallback = F.to_variant_object(F.struct(content.alias("content")))
-    return F.when(empty | F.coalesce(raw, F.lit(False)), fallback).otherwise(parsed)
+
+    def choose(p: Column) -> Column:
+        raw = F.coalesce(F.try_variant_get(p, "$._raw", "boolean"), F.lit(False))
+        empty = p.isNull() | F.is_variant_null(p) | F.to_json(p).isin("{}", "[]")
+        return F.when(empty | raw, fallback).otherwise(p)
+
+    return let(parsed, choose)
 
 
 def metadata_struct(processed_at: Column) -> Column:
@@ -154,10 +173,11 @@ def fold_results(results: DataFrame, id_col: str, write: Write) -> DataFrame:
     """
     order = F.struct("completed_at", "work_item_id")
     answer = F.col("answer")
-    plain = ~is_list(answer)
-    aggregates = []
+    usable = F.lit(True) if write.strategy == "append" else ~is_list(answer)
+    aggregates = [F.max(usable).alias("_hit")]
     if write.include_metadata:
-        aggregates.append(F.max_by(metadata_struct(F.col("completed_at")), order).alias("_meta"))
+        aggregates.append(F.max_by(
+            metadata_struct(F.col("completed_at")), F.when(usable, order)).alias("_meta"))
     if write.strategy == "append":
         ordered = F.array_sort(F.collect_list(F.struct(
             F.col("completed_at"), F.col("work_item_id"), F.col("_items"))))
@@ -168,9 +188,9 @@ def fold_results(results: DataFrame, id_col: str, write: Write) -> DataFrame:
         kind = write.types[source]
         value = F.try_variant_get(answer, variant_path([source]), kind)
         found = F.try_variant_get(answer, variant_path([source]), "variant").isNotNull()
-        aggregates.append(F.max_by(F.struct(value.alias("v")), F.when(found & plain, order))
+        aggregates.append(F.max_by(F.struct(value.alias("v")), F.when(found & usable, order))
                           .alias(f"_new_{target}"))
-    return results.where(plain).groupBy(id_col).agg(*aggregates)
+    return results.groupBy(id_col).agg(*aggregates)
 
 
 def _append_items(answer: Column, write: Write) -> Column:
@@ -191,9 +211,7 @@ def apply_results(target: DataFrame, results: DataFrame, id_col: str, write: Wri
     Fields absent from an answer keep their old value, and an answer that is a list changes
     nothing unless it is appended.
     """
-    folded = fold_results(results, id_col, write)
-    marked = folded.withColumn("_hit", F.lit(True))
-    joined = target.join(marked, id_col, "left")
+    joined = target.join(fold_results(results, id_col, write), id_col, "left")
     act = F.coalesce(F.col("_hit"), F.lit(False))
     if write.condition is not None:
         act = act & F.coalesce(write.condition, F.lit(False))
@@ -203,25 +221,19 @@ def apply_results(target: DataFrame, results: DataFrame, id_col: str, write: Wri
     def old(name: str) -> Column:
         return F.col(name) if name in schema.names else F.lit(None)
 
+    base = write.path if write.strategy == "nested" else write.target_field
+    updates = {name: (F.col(f"_new_{name}.v"), act & F.col(f"_new_{name}").isNotNull())
+               for name in write.mapping.values()}
     if write.strategy == "append":
         name = write.array_field
         changed[name] = F.when(act, append_items(old(name), F.col("_items"))).otherwise(old(name))
+    elif base:
+        head, *rest = base.split(".")
+        dtype = schema[head].dataType if head in schema.names else None
+        changed[head] = set_fields(old(head), dtype, rest, updates)
     else:
-        base = write.path if write.strategy == "nested" else write.target_field
-        for target_name in write.mapping.values():
-            new = F.col(f"_new_{target_name}")
-            present = act & new.isNotNull()
-            full = f"{base}.{target_name}" if base else target_name
-            head, *rest = full.split(".")
-            dtype = schema[head].dataType if head in schema.names else None
-            if rest:
-                if head in changed:
-                    current, dtype = changed[head], _type_of(joined, changed[head])
-                else:
-                    current = old(head)
-                changed[head] = set_at_path(current, dtype, rest, new["v"], present)
-            else:
-                changed[head] = F.when(present, new["v"]).otherwise(old(head))
+        for name, (value, present) in updates.items():
+            changed[name] = F.when(present, value).otherwise(old(name))
     if write.include_metadata:
         name = write.metadata_field
         changed[name] = F.when(act, F.col("_meta")).otherwise(old(name))
@@ -232,10 +244,6 @@ def apply_results(target: DataFrame, results: DataFrame, id_col: str, write: Wri
     return out.select(*sorted(out.columns, key=final.__getitem__))
 
 
-def _type_of(frame: DataFrame, column: Column) -> T.DataType:
-    return frame.select(column.alias("c")).schema["c"].dataType
-
-
 def write_report(results: DataFrame, target: DataFrame, id_col: str, write: Write) -> DataFrame:
     """Per result: was it written? False for an unknown document or a list without append."""
     known = target.select(F.col(id_col), F.lit(True).alias("_known"))
