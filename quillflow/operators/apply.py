@@ -73,33 +73,43 @@ def increment(current: Column, amount: Column | int | float = 1) -> Column:
     return F.coalesce(current, F.lit(0)) + amount
 
 
+# A tree of updates below a struct: a name maps to (value, flag) or to a deeper tree.
 Update = tuple[Column, Column | None]
+Tree = dict[str, "Update | Tree"]
 
 
-def set_fields(
-    root: Column, dtype: T.DataType | None, path: list[str], updates: dict[str, Update],
-) -> Column:
-    """The struct with fields set below a nested path; missing structs on the way are created.
+def _flags(tree: Tree) -> list[Column | None]:
+    found: list[Column | None] = []
+    for node in tree.values():
+        found += _flags(node) if isinstance(node, dict) else [node[1]]
+    return found
+
+
+def _updated(old: Column, dtype: T.DataType | None, update: Update) -> Column:
+    value, flag = update
+    if flag is None:
+        return value
+    if dtype is None:
+        return F.when(flag, value)
+    return F.when(flag, value.cast(dtype)).otherwise(old)
 
-    An update is a value and a flag; where the flag is false the old value stays. Without a flag
-    the value is always set. All fields are set in one rebuild of the struct.
+
+def set_fields(root: Column, dtype: T.DataType | None, tree: Tree) -> Column:
+    """The struct with the fields of ``tree`` set; missing structs on the way are created.
+
+    Where an update's flag is false the old value stays; without a flag the value is always set.
+    All fields are set in one rebuild of the struct.
     """
     fields = {f.name: f.dataType for f in dtype.fields} if isinstance(dtype, T.StructType) else {}
     done = {name: root.getField(name) for name in fields}
-    if path:
-        head = path[0]
-        below = done.get(head, F.lit(None))
-        done[head] = set_fields(below, fields.get(head), path[1:], updates)
-    else:
-        for name, (value, present) in updates.items():
-            if present is None:
-                done[name] = value
-            elif name in fields:
-                done[name] = F.when(present, value.cast(fields[name])).otherwise(done[name])
-            else:
-                done[name] = F.when(present, value)
+    for name, node in tree.items():
+        old = done.get(name, F.lit(None))
+        if isinstance(node, dict):
+            done[name] = set_fields(old, fields.get(name), node)
+        else:
+            done[name] = _updated(old, fields.get(name), node)
     built = F.struct(*[c.alias(n) for n, c in done.items()])
-    flags = [present for _, present in updates.values()]
+    flags = _flags(tree)
     if any(flag is None for flag in flags):
         return built
     anything = flags[0]
@@ -108,10 +118,20 @@ def set_fields(
     return F.when(anything if dtype is None else root.isNotNull() | anything, built)
 
 
+def _put(tree: Tree, path: str, update: Update) -> None:
+    *parents, name = path.split(".")
+    for parent in parents:
+        tree = tree.setdefault(parent, {})
+        if not isinstance(tree, dict):
+            raise ValueError(f"{path} is written both as a value and as a struct")
+    tree[name] = update
+
+
 def set_at_path(root: Column, dtype: T.DataType, path: str, value: Column) -> Column:
     """The struct ``root`` with ``value`` at a dot path."""
-    *parents, name = path.split(".")
-    return set_fields(root, dtype, parents, {name: (value, None)})
+    tree: Tree = {}
+    _put(tree, path, (value, None))
+    return set_fields(root, dtype, tree)
 
 
 @dataclass(frozen=True)
@@ -119,7 +139,7 @@ class Write:
     """How answers change the target.
 
     ``types`` names the answer fields and their SQL types. ``fields`` renames answer fields and
-    drops the others. ``condition`` on the target row decides whether it changes at all.
+    drops the others.
     """
 
     types: dict[str, str]
@@ -128,14 +148,19 @@ class Write:
     path: str | None = None
     array_field: str | None = None
     target_field: str | None = None
-    condition: Column | None = None
     include_metadata: bool = True
     metadata_field: str = "_ai_metadata"
 
     @property
     def mapping(self) -> dict[str, str]:
+        """Answer field to target name."""
         return self.fields if self.fields else {name: name for name in self.types}
 
+    def place(self, name: str) -> str:
+        """Dot path in the target of a target name."""
+        base = self.path if self.strategy == "nested" else self.target_field
+        return f"{base}.{name}" if base else name
+
 
 METADATA = ("work_item_id", "model", "provider", "total_tokens", "cost_usd", "latency_ms")
 
@@ -164,33 +189,52 @@ def is_list(answer: Column) -> Column:
     return F.schema_of_variant(answer).startswith("ARRAY")
 
 
-def fold_results(results: DataFrame, id_col: str, write: Write) -> DataFrame:
-    """One row per document: the last write of every field, in completion order.
+def fold_results(
+    results: DataFrame, id_col: str, writes: list[tuple[Column, Write]],
+    order_by: tuple[str, ...] = ("completed_at", "work_item_id"),
+) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
+    """One row per document: the last write of every target path, by ``order_by``.
 
-    ``results`` needs the id, ``answer`` (VARIANT), ``completed_at`` and ``work_item_id``; the
-    aggregate combines before the shuffle. Only an append keeps every answer of a document, as
-    the target array does.
+    A write applies to the result rows its condition selects. ``results`` needs the id,
+    ``answer`` (VARIANT), ``completed_at`` and ``work_item_id``. One aggregate that combines
+    before the shuffle serves all writes; only an append keeps every answer of a document, as the
+    target array does. Also returned: folded column by set path, and by appended path.
     """
-    order = F.struct("completed_at", "work_item_id")
+    order = F.struct(*order_by)
     answer = F.col("answer")
-    usable = F.lit(True) if write.strategy == "append" else ~is_list(answer)
-    aggregates = [F.max(usable).alias("_hit")]
-    if write.include_metadata:
-        aggregates.append(F.max_by(
-            metadata_struct(F.col("completed_at")), F.when(usable, order)).alias("_meta"))
-    if write.strategy == "append":
-        ordered = F.array_sort(F.collect_list(F.struct(
-            F.col("completed_at"), F.col("work_item_id"), F.col("_items"))))
-        items = F.flatten(F.transform(ordered, lambda x: x["_items"]))
-        return results.withColumn("_items", _append_items(answer, write)).groupBy(id_col).agg(
-            items.alias("_items"), *aggregates)
-    for source, target in write.mapping.items():
-        kind = write.types[source]
-        value = F.try_variant_get(answer, variant_path([source]), kind)
-        found = F.try_variant_get(answer, variant_path([source]), "variant").isNotNull()
-        aggregates.append(F.max_by(F.struct(value.alias("v")), F.when(found & usable, order))
-                          .alias(f"_new_{target}"))
-    return results.groupBy(id_col).agg(*aggregates)
+    listed = is_list(answer)
+    cases: dict[str, list[tuple[Column, Column]]] = {}
+    items: dict[str, list[tuple[Column, Column]]] = {}
+    for chosen, write in writes:
+        usable = chosen if write.strategy == "append" else chosen & ~listed
+        if write.include_metadata:
+            value = metadata_struct(F.col("completed_at"))
+            cases.setdefault(write.metadata_field, []).append((usable, value))
+        if write.strategy == "append":
+            items.setdefault(write.array_field, []).append((usable, _append_items(answer, write)))
+            continue
+        for source, target in write.mapping.items():
+            at = variant_path([source])
+            value = F.try_variant_get(answer, at, write.types[source])
+            found = usable & F.try_variant_get(answer, at, "variant").isNotNull()
+            cases.setdefault(write.place(target), []).append((found, value))
+    aggregates, sets, appends = [], {}, {}
+    for number, (path, options) in enumerate(cases.items()):
+        chain = F.when(options[0][0], F.struct(options[0][1].alias("v")))
+        test = options[0][0]
+        for found, value in options[1:]:
+            chain, test = chain.when(found, F.struct(value.alias("v"))), test | found
+        sets[path] = f"_set{number}"
+        aggregates.append(F.max_by(chain, F.when(test, order)).alias(sets[path]))
+    for number, (path, options) in enumerate(items.items()):
+        chain = F.when(*options[0])
+        for found, value in options[1:]:
+            chain = chain.when(found, value)
+        every = F.array_sort(F.collect_list(F.when(chain.isNotNull(), F.struct(
+            *order_by, chain.alias("items")))))
+        appends[path] = f"_append{number}"
+        aggregates.append(F.flatten(F.transform(every, lambda x: x["items"])).alias(appends[path]))
+    return results.groupBy(id_col).agg(*aggregates), sets, appends
 
 
 def _append_items(answer: Column, write: Write) -> Column:
@@ -205,43 +249,43 @@ def _append_items(answer: Column, write: Write) -> Column:
     return F.when(is_list(answer), each).otherwise(F.array(shaped(answer)))
 
 
-def apply_results(target: DataFrame, results: DataFrame, id_col: str, write: Write) -> DataFrame:
+def apply_results(
+    target: DataFrame, results: DataFrame, id_col: str, write: Write,
+    condition: Column | None = None,
+) -> DataFrame:
     """The target with the results applied; documents without a result are unchanged.
 
     Fields absent from an answer keep their old value, and an answer that is a list changes
-    nothing unless it is appended.
+    nothing unless it is appended. ``condition`` on the target row decides whether it changes.
     """
-    joined = target.join(fold_results(results, id_col, write), id_col, "left")
-    act = F.coalesce(F.col("_hit"), F.lit(False))
-    if write.condition is not None:
-        act = act & F.coalesce(write.condition, F.lit(False))
+    return apply_writes(target, results, id_col, [(F.lit(True), write)], condition)
+
+
+def apply_writes(
+    target: DataFrame, results: DataFrame, id_col: str, writes: list[tuple[Column, Write]],
+    condition: Column | None = None,
+    order_by: tuple[str, ...] = ("completed_at", "work_item_id"),
+) -> DataFrame:
+    """Several writes in one pass: one aggregate over the results and one join with the target."""
+    folded, sets, appends = fold_results(results, id_col, writes, order_by)
+    joined = target.join(folded, id_col, "left")
+    act = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+    tree: Tree = {}
+    for path, name in sets.items():
+        _put(tree, path, (F.col(f"{name}.v"), act & F.col(name).isNotNull()))
+    for path, name in appends.items():
+        old = F.col(path) if path in target.columns else F.lit(None)
+        _put(tree, path, (append_items(old, F.col(name)), act & (F.size(name) > 0)))
     schema = target.schema
-    changed: dict[str, Column] = {}
-
-    def old(name: str) -> Column:
-        return F.col(name) if name in schema.names else F.lit(None)
-
-    base = write.path if write.strategy == "nested" else write.target_field
-    updates = {name: (F.col(f"_new_{name}.v"), act & F.col(f"_new_{name}").isNotNull())
-               for name in write.mapping.values()}
-    if write.strategy == "append":
-        name = write.array_field
-        changed[name] = F.when(act, append_items(old(name), F.col("_items"))).otherwise(old(name))
-    elif base:
-        head, *rest = base.split(".")
-        dtype = schema[head].dataType if head in schema.names else None
-        changed[head] = set_fields(old(head), dtype, rest, updates)
-    else:
-        for name, (value, present) in updates.items():
-            changed[name] = F.when(present, value).otherwise(old(name))
-    if write.include_metadata:
-        name = write.metadata_field
-        changed[name] = F.when(act, F.col("_meta")).otherwise(old(name))
-    untouched = [F.col(c) for c in target.columns if c not in changed]
-    final = {c: i for i, c in enumerate([*target.columns, *[n for n in changed
-                                                            if n not in target.columns]])}
-    out = joined.select(*untouched, *[c.alias(n) for n, c in changed.items()])
-    return out.select(*sorted(out.columns, key=final.__getitem__))
+    columns = {name: F.col(f"`{name}`") for name in target.columns}
+    for name, node in tree.items():
+        dtype = schema[name].dataType if name in schema.names else None
+        old = columns.get(name, F.lit(None))
+        if isinstance(node, dict):
+            columns[name] = set_fields(old, dtype, node)
+        else:
+            columns[name] = _updated(old, dtype, node)
+    return joined.select(*[c.alias(n) for n, c in columns.items()])
 
 
 def write_report(results: DataFrame, target: DataFrame, id_col: str, write: Write) -> DataFrame:

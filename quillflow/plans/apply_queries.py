@@ -93,8 +93,8 @@ WITH {_JOINED}
 SELECT doc_id, CASE WHEN lang = 'en' THEN coalesce(new_quality, quality) ELSE quality END AS quality
 FROM joined""")
 def conditional(spark: SparkSession, folder: str) -> DataFrame:
-    write = replace(WRITE, condition=F.col("lang") == "en")
-    out = apply_results(target(spark, folder), results(spark, folder), "doc_id", write)
+    out = apply_results(target(spark, folder), results(spark, folder), "doc_id", WRITE,
+                        condition=F.col("lang") == "en")
     return out.select("doc_id", "quality")
 
 
@@ -145,7 +145,7 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
 @query("apply_append_unique", f"""
 WITH {TARGET}
 SELECT doc_id, array_to_string(list_concat(tags, list_filter(['en', 't1', 'new'],
-  x -> NOT list_contains(tags, x))), ',') AS tags FROM target""")
+  lambda x: NOT list_contains(tags, x))), ',') AS tags FROM target""")
 def unique(spark: SparkSession, folder: str) -> DataFrame:
     items = F.array(F.lit("en"), F.lit("t1"), F.lit("new"), F.lit("new"))
     return target(spark, folder).select(

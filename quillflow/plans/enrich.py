@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillflow.functions.answers import parse_answers, schema_errors
 from quillflow.functions.columns import let
 from quillflow.functions.keys import default_key, route_name
-from quillflow.operators.apply import Write, apply_results, effective_answer
+from quillflow.operators.apply import Write, apply_writes, effective_answer
 from quillflow.operators.complete import Client, complete, render_prompts, template_key
 from quillflow.operators.dedup import dedup_first
 from quillflow.operators.match import match_agents
@@ -90,7 +90,7 @@ def sql_type(schema: dict[str, Any]) -> str:
     return SQL_TYPES.get(schema.get("type", ""), "variant")
 
 
-def write_of(agent: Agent, condition: Column | None = None) -> Write:
+def write_of(agent: Agent) -> Write:
     """The write settings of an agent; answers without JSON fill the field ``content``."""
     properties = (agent.response_schema or {}).get("properties", {})
     types = {name: sql_type(below) for name, below in properties.items()}
@@ -99,7 +99,7 @@ def write_of(agent: Agent, condition: Column | None = None) -> Write:
         types.setdefault(source, "variant")
     return Write(
         types=types, strategy=agent.strategy, fields=agent.fields, path=agent.path,
-        array_field=agent.array_field, target_field=agent.target_field, condition=condition,
+        array_field=agent.array_field, target_field=agent.target_field,
         include_metadata=agent.include_metadata, metadata_field=agent.metadata_field)
 
 
@@ -108,9 +108,9 @@ def apply_agents(
     collection: str,
 ) -> DataFrame:
     """The target collection with the successful results of every agent that writes to it."""
+    writes = [(F.col("agent_id") == a.id, write_of(a)) for a in agents
+              if a.enabled and a.target == (database, collection)]
     good = results.where(F.col("error_type").isNull()).withColumn(id_col, F.col("document_id"))
-    for agent in agents:
-        if agent.enabled and agent.target == (database, collection):
-            own = good.where(F.col("agent_id") == agent.id)
-            target = apply_results(target, own, id_col, write_of(agent))
-    return target
+    # Answers of one batch complete together; the order of their events decides between them.
+    order = ("completed_at", "started_at", "work_item_id")
+    return apply_writes(target, good, id_col, writes, order_by=order) if writes else target

@@ -197,9 +197,9 @@ def _histogram_sql(source: str, label: str, seconds: str, buckets: tuple[float,
 
 
 @query("duration_histogram", f"WITH {EXECUTIONS} " + _histogram_sql(
-    "executions", "agent_id", "(duration_ms / 8000)", h.EXECUTION_BUCKETS))
+    "executions", "agent_id", "(duration_ms / 10000)", h.EXECUTION_BUCKETS))
 def duration_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    out = h.duration_histogram(executions(spark, folder), ["agent_id"], F.col("duration_ms") / 8000)
+    out = h.duration_histogram(executions(spark, folder), ["agent_id"], F.col("duration_ms") / 10000)
     return out.withColumn("duration_sum", F.col("duration_sum").cast("double"))
 
 

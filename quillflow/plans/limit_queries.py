@@ -78,16 +78,16 @@ def sliding(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("bucket_admission", f"""
 WITH RECURSIVE {USAGE}, seq AS (
-  SELECT id, agent_id, epoch_us(ts) AS at,
+  SELECT id, agent_id, epoch_us(ts) AS tick,
     row_number() OVER (PARTITION BY agent_id ORDER BY ts, id) AS n FROM usage),
 walk AS (
-  SELECT agent_id, 0::BIGINT AS n, -1::BIGINT AS id, 0::BIGINT AS at, 3.0::DOUBLE AS tokens,
+  SELECT agent_id, 0::BIGINT AS n, -1::BIGINT AS id, 0::BIGINT AS tick, 3.0::DOUBLE AS tokens,
     3.0::DOUBLE AS before
   FROM (SELECT DISTINCT agent_id FROM seq)
   UNION ALL
-  SELECT agent_id, n, id, at, CASE WHEN before >= 1.0 THEN before - 1.0 ELSE before END, before
-  FROM (SELECT s.agent_id, s.n, s.id, s.at, CASE WHEN w.n = 0 THEN 3.0::DOUBLE ELSE
-      least(3.0::DOUBLE, w.tokens + (s.at - w.at)::DOUBLE / 1000000::DOUBLE * 0.0005::DOUBLE) END AS before
+  SELECT agent_id, n, id, tick, CASE WHEN before >= 1.0 THEN before - 1.0 ELSE before END, before
+  FROM (SELECT s.agent_id, s.n, s.id, s.tick, CASE WHEN w.n = 0 THEN 3.0::DOUBLE ELSE
+      least(3.0::DOUBLE, w.tokens + (s.tick - w.tick)::DOUBLE / 1000000::DOUBLE * 0.0005::DOUBLE) END AS before
     FROM walk w JOIN seq s ON s.agent_id = w.agent_id AND s.n = w.n + 1))
 SELECT id, before >= 1.0 AS admitted FROM walk WHERE n > 0""")
 def bucket(spark: SparkSession, folder: str) -> DataFrame:
