@@ -112,16 +112,14 @@ def parse_answers(
 
 def type_name(value: Column) -> Column:
     """Python type name of a variant, as error texts use it."""
-    name = F.schema_of_variant(value)
-    return (
+    return let(F.schema_of_variant(value), lambda name: (
         F.when(name == "VOID", "NoneType")
         .when(name == "STRING", "str")
         .when(name == "BIGINT", "int")
         .when(name == "BOOLEAN", "bool")
         .when(name.startswith("OBJECT"), "dict")
         .when(name.startswith("ARRAY"), "list")
-        .otherwise("float")
-    )
+        .otherwise("float")))
 
 
 # JSON schema types and the value types they accept.

@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, functions as F, types as T
 
+from quillflow.functions.columns import let
 from quillflow.functions.paths import Ref, resolve
 
 
@@ -86,17 +87,15 @@ def value_kind(value: Any) -> str:
 
 def variant_kind(value: Column) -> Column:
     """Kind name of a variant: float, int, string, bool, object, array, time or null."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | (name == "VOID"), "null")
+    return let(F.schema_of_variant(value), lambda name: (
+        F.when(name.isNull() | (name == "VOID"), "null")
         .when(name == "STRING", "string")
         .when(name == "BIGINT", "int")
         .when(name.startswith("DECIMAL") | name.isin("DOUBLE", "FLOAT"), "float")
         .when(name == "BOOLEAN", "bool")
         .when(name.startswith("OBJECT"), "object")
         .when(name.startswith("ARRAY"), "array")
-        .otherwise("time")
-    )
+        .otherwise("time")))
 
 
 def _comparable(ref: Ref, value: Any) -> Column | None:
@@ -110,9 +109,8 @@ def _comparable(ref: Ref, value: Any) -> Column | None:
         wanted = ("int", "float") if kind in ("int", "float") else (kind,)
         if kind == "int":
             target = "double" if abs(value) < 2**53 else target
-        return F.when(
-            variant_kind(ref.column).isin(*wanted), F.try_variant_get(ref.column, "$", target)
-        )
+        return let(ref.column, lambda v: F.when(
+            variant_kind(v).isin(*wanted), F.try_variant_get(v, "$", target)))
     have = dtype_kind(ref.dtype)
     numbers = ("int", "float")
     if have == kind or (have in numbers and kind in numbers):
@@ -199,8 +197,8 @@ def _matches(ref: Ref, expected: Any, options: str) -> Column:
     if ref.missing:
         return _bool(False)
     if ref.is_variant:
-        kind = variant_kind(ref.column)
-        text = F.when(kind.isin("string", "int"), F.try_variant_get(ref.column, "$", "string"))
+        text = let(ref.column, lambda v: F.when(
+            variant_kind(v).isin("string", "int"), F.try_variant_get(v, "$", "string")))
     elif dtype_kind(ref.dtype) in ("string", "int"):
         text = ref.column.cast("string")
     else:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F, types as T
 
+from quillflow.functions.columns import let
+
 
 @dataclass(frozen=True)
 class Ref:
@@ -38,15 +40,17 @@ def variant_path(parts: list[str]) -> str:
 def variant_field(value: Column, path: str) -> Column:
     """Variant at ``path``; JSON null and absence are both SQL NULL."""
     found = F.try_variant_get(value, path, "variant")
-    return F.when(~F.is_variant_null(found), found)
+    return let(found, lambda v: F.when(~F.is_variant_null(v), v))
 
 
 def _variant_steps(value: Column, parts: list[str]) -> Column:
     # A numeric step is a list index or an object key, whichever the value has.
     choices = [[f'["{p}"]', f"[{int(p)}]"] if p.isdigit() else [f'["{p}"]'] for p in parts]
     variant_path(parts)
-    found = [variant_field(value, "$" + "".join(steps)) for steps in itertools.product(*choices)]
-    return F.coalesce(*found) if len(found) > 1 else found[0]
+    paths = ["$" + "".join(steps) for steps in itertools.product(*choices)]
+    if len(paths) == 1:
+        return variant_field(value, paths[0])
+    return let(value, lambda v: F.coalesce(*[variant_field(v, p) for p in paths]))
 
 
 def resolve(root: Column | None, dtype: T.DataType, path: str, *, indexes: bool = True) -> Ref:

@@ -24,15 +24,16 @@ def item_context(items: DataFrame, agent: Agent, as_of: str | None = None,
     document = Ref(F.col("full_document"), items.schema["full_document"].dataType)
     present = [c for c in EVENT_FIELDS if c in items.columns]
     event = T.StructType([items.schema[c] for c in present])
-    settings = {k: v for k, v in vars(agent).items() if isinstance(v, (str, int, float, bool))}
     context: Context = {
         "document": document,
         "doc": document,
         "event": Ref(F.struct(*present), event),
         "operation": Ref(F.col("operation"), T.StringType()),
-        "agent": constant(settings),
         "agent_id": Ref(F.col("agent_id"), T.StringType()),
     }
+    if any("agent" in t for t in (agent.prompt, agent.system_prompt, agent.idempotency_key) if t):
+        settings = {k: v for k, v in vars(agent).items() if isinstance(v, (str, int, float, bool))}
+        context["agent"] = constant(settings)
     for name in ("document_id", "database", "collection"):
         context[name] = Ref(F.col(name), T.StringType())
     if as_of is not None:

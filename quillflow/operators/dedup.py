@@ -88,11 +88,12 @@ def _slab_exits(width: int, window: int):
                         flush()
                     group, parts = here, []
                 parts.append(times[begin:end])
-            yield pd.DataFrame(out)
-            out = {name: [] for name in out}
+            if out["_key"]:
+                yield pd.DataFrame(out).astype({"_key": object})
+                out = {name: [] for name in out}
         if group is not None:
             flush()
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out).astype({"_key": object})
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import partial
 from typing import Any
@@ -48,12 +49,15 @@ def check_answers(results: DataFrame, agents: list[Agent]) -> DataFrame:
     """Parse the answers once and check each against the schema of its agent."""
     parsed = parse_answers(results, "content").drop("schema_errors")
     errors: Column = F.array().cast("array<string>")
+    from_json = F.col("parse_error").isNull() & (F.col("parse_strategy") != "raw")
+    by_schema: dict[str, list[Agent]] = {}
     for agent in agents:
         if agent.response_schema:
-            own = (F.col("agent_id") == agent.id) & F.col("parse_error").isNull() & (
-                F.col("parse_strategy") != "raw")
-            check = let(F.col("parsed"), partial(schema_errors, schema=agent.response_schema))
-            errors = F.when(own, check).otherwise(errors)
+            by_schema.setdefault(json.dumps(agent.response_schema), []).append(agent)
+    for group in by_schema.values():
+        own = from_json & F.col("agent_id").isin([a.id for a in group])
+        check = let(F.col("parsed"), partial(schema_errors, schema=group[0].response_schema))
+        errors = F.when(own, check).otherwise(errors)
     return parsed.withColumn("schema_errors", errors).withColumn(
         "answer", effective_answer(F.col("parsed"), F.col("content")))
 
