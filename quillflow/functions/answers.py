@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillflow.functions.columns import let
+from quillflow.functions.columns import let, strip
 from quillflow.functions.paths import _variant_steps, variant_path
 
 # Where JSON is looked for in a text, in this order after the text itself.
@@ -20,10 +20,6 @@ FIRST_ARRAY = r"\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
 STRATEGIES = ("whole", "fenced", "object", "array", "repaired")
 
 
-def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
 def exact_json(text: Column) -> Column:
     """The variant iff the text is exactly one JSON value; JSON null stays a variant null.
 

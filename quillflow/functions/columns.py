@@ -14,3 +14,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     uses grows without bound. The variable of a one-element transform is computed once.
     """
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+# Fixed value: the characters that count as white space at the ends of a text.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip(text: Column) -> Column:
+    """The text without white space at both ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))

@@ -13,6 +13,10 @@ PATTERNS = {
     "ip_address": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
 }
 
+# What a text must hold before a default pattern can match: a sign, or any decimal digit.
+_SIGNS = {"email": "@"}
+_DIGIT = r"\p{Nd}"
+
 DETECTION = "array<struct<type:string,start:int,end:int,length:int>>"
 FOUND = "array<struct<type:string,start:int,end:int,value:string>>"
 
@@ -27,12 +31,12 @@ def patterns(
             if k not in (disabled or set()) and (not only or k in only)}
 
 
-def _masked(text: Column, pattern: str, char: str) -> Column:
+def _masked(text: Column, name: str, pattern: str, char: str) -> Column:
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     filled = F.zip_with(pieces, hits, lambda p, h: F.concat(
         p, F.coalesce(F.repeat(F.lit(char), F.length(h)), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(filled, "")).otherwise(text)
+    return F.when(_may_match(text, name, pattern), F.array_join(filled, "")).otherwise(text)
 
 
 def _spans(text: Column, name: str, pattern: str, with_value: bool) -> Column:
@@ -53,29 +57,47 @@ def _spans(text: Column, name: str, pattern: str, with_value: bool) -> Column:
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
     spans = F.aggregate(pairs, begin, add, lambda s: s["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kind))
+    return F.when(_may_match(text, name, pattern), spans).otherwise(F.array().cast(kind))
+
 
+def _may_match(text: Column, name: str, pattern: str) -> Column:
+    found = text.rlike(pattern)
+    if name in _SIGNS and patterns()[name] == pattern:
+        return text.contains(_SIGNS[name]) & found
+    return found
 
-def _mask_step(pattern: str, char: str):
-    return lambda text: _masked(text, pattern, char)
+
+def _mask_step(name: str, pattern: str, char: str):
+    return lambda text: _masked(text, name, pattern, char)
 
 
 def _detect_step(name: str, pattern: str, char: str):
     def step(state: Column) -> Column:
         spans = F.coalesce(_spans(state["text"], name, pattern, False), F.array().cast(DETECTION))
-        return F.struct(_masked(state["text"], pattern, char).alias("text"),
+        return F.struct(_masked(state["text"], name, pattern, char).alias("text"),
                         F.concat(state["detections"], spans).alias("detections"))
 
     return step
 
 
+def _without_digits(chosen: dict[str, str]) -> dict[str, str]:
+    """The patterns that may match a text without digits: all but the numeric default ones."""
+    default = patterns()
+    return {n: p for n, p in chosen.items() if n in _SIGNS or default.get(n) != p}
+
+
 def mask_text(text: Column, chosen: dict[str, str] | None = None, char: str = "*") -> Column:
     """Replace every match by as many mask characters; later patterns see the masked text."""
-    # The one-element array names the text of each step, so no step is computed twice.
-    values = F.array(text)
-    for pattern in (chosen or patterns()).values():
-        values = F.transform(values, _mask_step(pattern, char))
-    return F.get(values, F.lit(0))
+    chosen = chosen or patterns()
+
+    def chain(steps: dict[str, str]) -> Column:
+        # The one-element array names the text of each step, so no step is computed twice.
+        values = F.array(text)
+        for name, pattern in steps.items():
+            values = F.transform(values, _mask_step(name, pattern, char))
+        return F.get(values, F.lit(0)) if steps else text
+
+    return F.when(text.rlike(_DIGIT), chain(chosen)).otherwise(chain(_without_digits(chosen)))
 
 
 def mask_and_detect(text: Column, chosen: dict[str, str] | None = None, char: str = "*") -> Column:
@@ -94,8 +116,14 @@ def detect(text: Column, chosen: dict[str, str] | None = None) -> Column:
     return F.concat(*parts)
 
 
-def count_matches(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+def count_matches(text: Column, name: str, pattern: str) -> Column:
+    """Number of matches of one pattern."""
+    count = F.regexp_count(text, F.lit(pattern))
+    if name in _SIGNS and patterns()[name] == pattern:
+        count = F.when(text.contains(_SIGNS[name]), count)
+    elif patterns().get(name) == pattern:
+        count = F.when(text.rlike(_DIGIT), count)
+    return F.coalesce(count, F.lit(0))
 
 
 def _processed(name: str, path: str, fields: list[str] | None) -> bool:

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, functions as F, types as T
 
+from quillflow.functions.columns import strip
 from quillflow.functions.paths import Ref, resolve
 
 # Strftime directives and their Spark date patterns.
@@ -44,12 +45,22 @@ def json_text(ref: Ref) -> Column:
     return F.substring(wrapped, 6, 2147483647).substr(F.lit(1), F.length(wrapped) - 6)
 
 
+# Up to this many words are cut out by one pattern that reads no further into the text.
+_PATTERN_WORDS = 200
+
+
 def truncate_words(text: Column, count: int, suffix: str = "...") -> Column:
-    words = F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
-    short = F.concat(F.array_join(F.slice(words, 1, count), " "), F.lit(suffix))
-    value = F.when(F.size(words) <= count, text).otherwise(short)
-    blank = F.coalesce(text.rlike(r"(?U)^\s+$"), F.lit(False))
-    return F.when(F.coalesce(text, F.lit("")) == "", "").when(blank, text).otherwise(value)
+    """The first ``count`` words and the suffix; a text with no more words is unchanged."""
+    if 1 <= count <= _PATTERN_WORDS:
+        head = rf"(?U)\A\s*+((?:\S++\s++){{{count - 1}}}\S++)"
+        more = text.rlike(rf"(?U)\A\s*+(?:\S++\s++){{{count}}}\S")
+        words = F.split(F.regexp_extract(text, head, 1), r"(?U)\s+")
+    else:
+        words = F.split(strip(text), r"(?U)\s+")
+        more = (F.size(words) > count) & (strip(text) != "")
+        words = F.slice(words, 1, max(count, 0))
+    short = F.concat(F.array_join(words, " "), F.lit(suffix))
+    return F.when(F.coalesce(text, F.lit("")) == "", "").when(more, short).otherwise(text)
 
 
 def truncate(text: Column, length: int = 255, end: str = "...", leeway: int = 5) -> Column:

@@ -127,19 +127,21 @@ def call_model(calls: DataFrame, make_client: Callable[[], Client], batch: int =
         client = make_client()
         for frame in batches:
             keys = frame.pop("call_key").tolist()
-            requests = frame.astype(object).where(frame.notna(), None).to_dict("records")
+            columns = [[None if v is None or v != v else v for v in frame[c].tolist()]
+                       for c in frame.columns]
+            requests = [dict(zip(frame.columns, values, strict=True))
+                        for values in zip(*columns, strict=True)]
+            answers = []
             for start in range(0, len(keys), batch):
-                answers = one(client, requests[start:start + batch])
-                rows = []
-                for key, answer in zip(keys[start:start + batch], answers, strict=True):
-                    row = {f: answer.get(f) for f in ANSWER_SCHEMA.names} | {"call_key": key}
-                    if row["error_type"] is None:
-                        row["content"] = row["content"] or ""
-                    row["total_tokens"] = row["total_tokens"] or (
-                        (row["prompt_tokens"] or 0) + (row["completion_tokens"] or 0))
-                    row["cost_usd"] = row["cost_usd"] or 0.0
-                    rows.append(row)
-                yield pd.DataFrame(rows, columns=ANSWER_SCHEMA.names, dtype=object)
+                answers += one(client, requests[start:start + batch])
+            out = {name: [a.get(name) for a in answers] for name in ANSWER_SCHEMA.names}
+            out["call_key"] = keys
+            good = [kind is None for kind in out["error_type"]]
+            out["content"] = [(c or "") if ok else c for c, ok in zip(out["content"], good, strict=True)]
+            spent = zip(out["total_tokens"], out["prompt_tokens"], out["completion_tokens"], strict=True)
+            out["total_tokens"] = [t or (p or 0) + (c or 0) for t, p, c in spent]
+            out["cost_usd"] = [c or 0.0 for c in out["cost_usd"]]
+            yield pd.DataFrame(out, dtype=object)
 
     return calls.mapInPandas(run, ANSWER_SCHEMA)
 
@@ -173,7 +175,7 @@ def complete(
 ) -> DataFrame:
     """Answer every request row, sending each distinct request once.
 
-    ``tasks`` bounds how many calls run at a time. ``cache`` (call_key and the answer columns)
+    ``tasks`` bounds how many calls run at a time (default: one per core). ``cache`` (call_key and the answer columns)
     answers known requests without a call. ``save`` stores the answers of this call (a written
     table or a checkpoint) and returns the stored frame, so that a lost executor does not repeat
     paid calls further down the plan.
@@ -185,8 +187,9 @@ def complete(
     )
     if cache is not None:
         wanted = wanted.join(cache.select("call_key"), "call_key", "left_anti")
-    if tasks:
-        wanted = wanted.repartition(tasks, "call_key")
+    # Few bytes can be many slow calls, so partitions are not merged by their size here.
+    wanted = wanted.repartition(
+        tasks or requests.sparkSession.sparkContext.defaultParallelism, "call_key")
     answers = call_model(wanted, make_client, batch)
     if save is not None:
         answers = save(answers)

@@ -6,26 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from quillflow.operators.scan import MICROS, micros, ordered_scan
 
 
 def dedup_first(df: DataFrame, key: str, ts: str, row_id: str) -> DataFrame:
-    """The first row of every key in (ts, id) order.
+    """The first row of every key in (ts, id) order; rows without a key are all kept.
 
-    A combining aggregate: each task sends one row per key, however many copies it holds.
-    Rows without a key are not duplicates of each other and are kept.
+    The filter on the row number limits each key to one row per task before the shuffle, so a
+    key with many copies sends one row per task.
     """
-    rest = [c for c in df.columns if c != key]
-    first = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.min_by(F.struct(*rest), F.struct(ts, row_id)).alias("_row"))
-        .select(key, "_row.*")
-        .select(*df.columns)
-    )
-    return first.unionByName(df.where(F.col(key).isNull()))
+    alone = F.when(F.col(key).isNull(), F.col(row_id))
+    order = Window.partitionBy(key, "_alone").orderBy(ts, row_id)
+    numbered = df.withColumn("_alone", alone).withColumn("_place", F.row_number().over(order))
+    return numbered.where("_place = 1").drop("_place", "_alone")
 
 
 def mark_first(df: DataFrame, key: str, ts: str, row_id: str, name: str) -> DataFrame:

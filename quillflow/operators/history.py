@@ -185,7 +185,7 @@ def detection_counts(rows: DataFrame, text: str, chosen: dict[str, str] | None =
     """Matches of each personal-data type over all rows, in one pass."""
     found = chosen or patterns()
     sums = rows.agg(*[
-        F.sum(count_matches(F.col(text), p)).cast("long").alias(n) for n, p in found.items()])
+        F.sum(count_matches(F.col(text), n, p)).cast("long").alias(n) for n, p in found.items()])
     return sums.unpivot([], list(found), "type", "detections")
 
 

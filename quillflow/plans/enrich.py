@@ -17,6 +17,7 @@ from quillflow.operators.complete import Client, complete, render_prompts, templ
 from quillflow.operators.dedup import dedup_first
 from quillflow.operators.match import match_agents
 from quillflow.sources.catalog import Agent
+from quillflow.sources.tables import Stage
 
 
 def work_items(
@@ -65,12 +66,20 @@ def check_answers(results: DataFrame, agents: list[Agent]) -> DataFrame:
 def enrich(
     items: DataFrame, agents: list[Agent], make_client: Callable[[], Client], *,
     finished_at: Column | None = None, cache: DataFrame | None = None, tasks: int | None = None,
-    save: Callable[[DataFrame], DataFrame] | None = None, extra: dict[str, Any] | None = None,
+    stage: Stage | None = None, extra: dict[str, Any] | None = None,
 ) -> DataFrame:
-    """Result rows of work items: answer, checks, usage, and the error of a failed item."""
+    """Result rows of work items: answer, checks, usage, and the error of a failed item.
+
+    The documents are needed for the prompts only and are dropped after them. ``stage`` stores
+    the requests, which are read twice, and the answers, which must not be asked for again.
+    """
     active = [a for a in agents if a.enabled]
-    rendered = render_prompts(items, active, extra=extra)
-    answered = complete(rendered, make_client, tasks=tasks, cache=cache, save=save)
+    requests = render_prompts(items, active, extra=extra).drop(
+        "full_document", "update_description", "resume_token")
+    if stage is not None:
+        requests = stage(requests, "requests")
+    save = None if stage is None else partial(stage, name="answers")
+    answered = complete(requests, make_client, tasks=tasks, cache=cache, save=save)
     failed = F.col("render_error").isNotNull()
     answered = (
         answered

@@ -14,8 +14,8 @@ from quillflow.operators.history import dispatch_stats, list_tagged
 from quillflow.operators.match import match_agents, project_fields, resolve_agents
 from quillflow.plans.registry import query
 from quillflow.plans.views import (
-    AGENTS, CHANGES, EXECUTIONS, MOMENT_SQL, REQUESTS, USAGE, changes, executions, moment, requests,
-    table, usage)
+    AGENTS, CHANGES, EXECUTIONS, MOMENT_SQL, REQUESTS, USAGE, changes, changes_of, executions,
+    moment, requests, spread, table, usage)
 from quillflow.sources.catalog import Agent
 from quillflow.sources.feed import (
     envelope_schema, parse_changes, restore_events, serialize_events, split_unreadable)
@@ -197,16 +197,16 @@ def null_semantics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("filter_variant", f"""
 WITH {CHANGES}
-SELECT event_id FROM changes WHERE has_doc AND value >= 25.5 AND kind IN ('click', 'view')
-  AND k + 1 < 70 AND coalesce(note <> 'y', true)""")
+SELECT event_id, value >= 25.5 AND kind IN ('click', 'view') AND k + 1 < 70
+  AND coalesce(note <> 'y', true) AS passes FROM changes WHERE has_doc""")
 def variant_filter(spark: SparkSession, folder: str) -> DataFrame:
-    feed = changes(spark, folder).where(F.col("full_document").isNotNull())
+    feed = changes_of(spread(spark, folder, "events")).where(F.col("full_document").isNotNull())
     loose = feed.withColumn("full_document", F.parse_json(F.to_json("full_document")))
     condition = {"value": {"$gte": 25.5, "$type": "double"}, "kind": {"$in": ["click", "view"]},
                  "meta.pair.1": {"$lt": 70, "$type": "int"}, "note": {"$ne": "y"},
                  "meta.pair.9": {"$exists": False}}
-    return loose.where(compile_filter(
-        condition, T.VariantType(), F.col("full_document"))).select("event_id")
+    passes = compile_filter(condition, T.VariantType(), F.col("full_document"))
+    return loose.select("event_id", passes.alias("passes"))
 
 
 @query("project_fields", f"""

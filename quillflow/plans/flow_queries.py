@@ -10,9 +10,9 @@ from quillflow.plans.answer_queries import demo_client
 from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items
 from quillflow.plans.registry import query
 from quillflow.plans.views import (
-    AGENTS, CHANGES, MOMENT_SQL, USAGE, changes, changes_of, moment, table, usage_of)
+    AGENTS, CHANGES, MOMENT_SQL, USAGE, changes, changes_of, moment, spread, table, usage_of)
 from quillflow.session import configure, shared_folder
-from quillflow.sources.tables import create_target, execution_rows, is_folder
+from quillflow.sources.tables import create_target, execution_rows, is_folder, stage_in
 from quillflow.streaming.enrich import EnrichSink, start_enrich
 from quillflow.streaming.windows import (
     STATE_CONF, BucketAdmission, SlidingAdmission, WindowDedup, dedup_within, label_stream,
@@ -44,14 +44,18 @@ items AS (SELECT * FROM matched QUALIFY agent_id = 'all_watch' OR row_number() O
 done AS (SELECT *, length(prompt) % 50 <> 49 AS ok FROM items)"""
 
 
+def _enriched(spark: SparkSession, folder: str) -> DataFrame:
+    feed = changes_of(spread(spark, folder, "events"))
+    items = dispatch(work_items(feed, FLOW_AGENTS))
+    return enrich(items, FLOW_AGENTS, demo_client, stage=stage_in(shared_folder(spark, "enrich")))
+
+
 @query("enrich_batch", f"""
 WITH {_ITEMS}
 SELECT event_id, agent_id, prompt, ok, CASE WHEN ok THEN length(prompt) END AS length
 FROM done""")
 def enrich_batch(spark: SparkSession, folder: str) -> DataFrame:
-    items = dispatch(work_items(changes(spark, folder), FLOW_AGENTS))
-    out = enrich(items, FLOW_AGENTS, demo_client, tasks=8)
-    return out.select(
+    return _enriched(spark, folder).select(
         "event_id", "agent_id", "prompt", F.col("error_type").isNull().alias("ok"),
         F.when(F.col("error_type").isNull(), F.try_variant_get("answer", "$.length", "long"))
         .alias("length"))
@@ -59,8 +63,7 @@ def enrich_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Match, render, call, parse, check and count executions by agent and status."""
-    items = dispatch(work_items(changes(spark, folder), FLOW_AGENTS))
-    results = enrich(items, FLOW_AGENTS, demo_client, tasks=8)
+    results = _enriched(spark, folder)
     history = execution_rows(results.withColumn("written", F.lit(True)))
     return history.groupBy("agent_id", "status").agg(
         F.count("*").alias("executions"),
@@ -102,8 +105,7 @@ def _lengths(rows: DataFrame) -> DataFrame:
 
 @query("enrich_apply", f"WITH {_USERS}")
 def enrich_apply(spark: SparkSession, folder: str) -> DataFrame:
-    items = dispatch(work_items(changes(spark, folder), FLOW_AGENTS))
-    results = enrich(items, FLOW_AGENTS, demo_client, tasks=8)
+    results = _enriched(spark, folder)
     return _lengths(apply_agents(users(spark, folder), results, FLOW_AGENTS, "user", "app", "users"))
 
 

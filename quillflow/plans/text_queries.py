@@ -11,9 +11,9 @@ from quillflow.functions.pii import (
 from quillflow.functions.templates import compile_template, trim_blank_lines
 from quillflow.operators.complete import chat_messages, render_prompts
 from quillflow.operators.history import detection_counts
-from quillflow.plans.registry import query
-from quillflow.plans.views import AGENTS, CHANGES, changes, requests, table, REQUESTS
 from quillflow.operators.match import match_agents
+from quillflow.plans.registry import query
+from quillflow.plans.views import AGENTS, CHANGES, REQUESTS, changes, requests, spread
 
 TEMPLATE = """
 
@@ -38,7 +38,7 @@ SELECT doc_id, '[' || lang || '] ' || source || ' / none' || chr(10) ||
   'Chars: ' || n_chars AS prompt
 FROM documents""")
 def template(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.struct(
+    docs = spread(spark, folder, "documents").select("doc_id", F.struct(
         "lang", "source", "text", "n_chars", (F.col("n_chars") > 400).alias("long")).alias("doc"))
     rendered = compile_template(
         TEMPLATE, {"doc": Ref(F.col("doc"), docs.schema["doc"].dataType)})
@@ -88,7 +88,7 @@ SELECT doc_id, to_json({'lang': lang, 'n': n_chars}) AS as_json, to_json(source)
   '{ {x} }' AS safe
 FROM documents""")
 def filters(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").withColumn("pair", F.struct("lang", F.col("n_chars").alias("n")))
+    docs = spread(spark, folder, "documents").withColumn("pair", F.struct("lang", F.col("n_chars").alias("n")))
     string = T.StringType()
     pair = Ref(F.col("pair"), docs.schema["pair"].dataType)
     phrase = F.concat_ws(" ", "source", "lang", F.lit("words here"))
@@ -114,7 +114,7 @@ def filters(spark: SparkSession, folder: str) -> DataFrame:
 SELECT doc_id, text AS trimmed FROM documents WHERE length(trim(text, E' \t\n\r')) > 0
   AND text = trim(text, E' \t\n\r')""")
 def blank_lines(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").where(
+    docs = spread(spark, folder, "documents").where(
         "length(trim(BOTH ' \t\n\r' FROM text)) > 0 AND text = trim(BOTH ' \t\n\r' FROM text)")
     padded = F.concat(F.lit("\n  \n\t\n"), F.col("text"), F.lit("\n \n"))
     return docs.select("doc_id", trim_blank_lines(padded).alias("trimmed"))
@@ -152,26 +152,26 @@ def _count_sql(name: str, text: str = "text") -> str:
     f"SELECT '{n}' AS type, CAST(sum({_count_sql(n)}) AS BIGINT) AS detections FROM documents"
     for n in _SQL_PATTERNS))
 def pii_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return detection_counts(table(spark, folder, "documents"), "text")
+    return detection_counts(spread(spark, folder, "documents"), "text")
 
 
 @query("pii_by_document", "SELECT * FROM (SELECT doc_id, CAST(" + " + ".join(
     _count_sql(n) for n in _SQL_PATTERNS) + " AS BIGINT) AS detections FROM documents) WHERE detections > 0")
 def pii_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.explode(detect(F.col("text"))))
+    docs = spread(spark, folder, "documents").select("doc_id", F.explode(detect(F.col("text"))))
     return docs.groupBy("doc_id").agg(F.count("*").alias("detections"))
 
 
 @query("pii_mask")
 def pii_mask(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = spread(spark, folder, "documents")
     masked = docs.select("doc_id", "text", mask_text(F.col("text")).alias("masked"))
     return masked.where(F.col("masked") != F.col("text")).select("doc_id", "masked")
 
 
 @query("pii_spans")
 def pii_spans(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select(
+    docs = spread(spark, folder, "documents").select(
         "doc_id", F.explode(mask_and_detect(F.col("text"))["detections"]).alias("d"))
     return docs.select("doc_id", "d.type", "d.start", "d.end", "d.length")
 
@@ -179,7 +179,7 @@ def pii_spans(spark: SparkSession, folder: str) -> DataFrame:
 @query("pii_nested")
 def pii_nested(spark: SparkSession, folder: str) -> DataFrame:
     """Masks and detections inside a nested document, limited to the fields ``body`` and ``notes``."""
-    docs = table(spark, folder, "documents").select("doc_id", F.struct(
+    docs = spread(spark, folder, "documents").select("doc_id", F.struct(
         F.struct(F.col("text").alias("body"), "lang").alias("main"),
         F.split("text", "\n").alias("notes"), F.col("source").alias("owner")).alias("doc"))
     dtype = docs.schema["doc"].dataType

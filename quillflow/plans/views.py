@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quillflow.session import configure
+from quillflow.session import configure, spread_small
 from quillflow.sources.catalog import Agent
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table for work that is heavy per row: spread over all cores when it is small."""
+    return spread_small(table(spark, folder, name))
+
+
 def moment(ts: str | Column) -> Column:
     """Time as text with microseconds, the same in both engines."""
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -169,7 +174,7 @@ EXECUTIONS = f"""executions AS (
 
 def answers(spark: SparkSession, folder: str) -> DataFrame:
     """Model answers about documents, in six shapes."""
-    labels = table(spark, folder, "labels")
+    labels = spread(spark, folder, "labels")
     plain = F.format_string('{"quality": %d, "mood": {"toxic": %d}, "tags": ["t%d", "t%d"]}',
                             "quality", "toxic", F.col("doc_id") % 7, F.col("doc_id") % 5)
     shapes = [

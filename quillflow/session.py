@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results; everything else is left to the cluster.
 RESULT_CONF = {
@@ -28,6 +28,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("quillflow")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -40,6 +41,21 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
     return configure(spark)
 
 
+# Inputs below this size per core are spread over all cores before work that is heavy per row.
+SPREAD_BYTES_PER_CORE = 8 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores; a large one already has enough file splits.
+
+    A small file often has one row group, which one task reads. Spark's own size estimate of the
+    plan decides, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES_PER_CORE * cores else df
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 

@@ -6,6 +6,8 @@ same batch replaces what it wrote before.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Kinds of audit records.
@@ -32,6 +34,25 @@ def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.option("basePath", path).schema(schema).parquet(path)
 
 
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+def stage_in(folder: str) -> Stage:
+    """Store an intermediate result as files and go on from them.
+
+    Later steps read the files instead of repeating the work before them (paid model calls
+    among it) when a frame is used twice or an executor is lost. A stage that is already
+    complete is not written again.
+    """
+    def stage(rows: DataFrame, name: str) -> DataFrame:
+        spark, path = rows.sparkSession, f"{folder}/{name}"
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            rows.write.mode("overwrite").parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    return stage
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillflow.operators.apply import fresh_only
-from quillflow.operators.complete import ANSWER_SCHEMA, Client
+from quillflow.operators.complete import Client
 from quillflow.operators.failure import dead_letters, plan_retries, retry_items
 from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items
 from quillflow.sources.catalog import Agent
 from quillflow.sources.tables import (
-    KEY_SCHEMA, execution_rows, key_rows, path_exists, read_batches, rewrite_target,
-    touched_buckets, write_batch)
+    KEY_SCHEMA, execution_rows, key_rows, read_batches, rewrite_target, stage_in, touched_buckets,
+    write_batch)
 
 
 @dataclass(frozen=True)
@@ -45,19 +45,9 @@ class EnrichSink:
             F.col("batch") < batch_id)
         fresh = fresh_only(items, seen, as_of, ttl_seconds=self.key_ttl_seconds)
 
-        def save(answers: DataFrame) -> DataFrame:
-            folder = f"{self.root}/answers/batch={batch_id}"
-            if not path_exists(spark, f"{folder}/_SUCCESS"):
-                answers.write.mode("overwrite").parquet(folder)
-            return spark.read.schema(ANSWER_SCHEMA).parquet(folder)
-
-        results = enrich(fresh, self.agents, self.make_client, finished_at=as_of, save=save)
-        folder = f"{self.root}/results/batch={batch_id}"
-        if not path_exists(spark, f"{folder}/_SUCCESS"):
-            kept = [c for c in results.columns if c not in ("full_document", "resume_token",
-                                                            "update_description")]
-            results.select(*kept).write.mode("overwrite").parquet(folder)
-        results = spark.read.parquet(folder)
+        stage = stage_in(f"{self.root}/stages/batch={batch_id}")
+        results = enrich(fresh, self.agents, self.make_client, finished_at=as_of, stage=stage)
+        results = stage(results, "results")
 
         good = results.where(F.col("error_type").isNull())
         touched = touched_buckets(good.select(F.col("document_id").alias(self.id_col)),

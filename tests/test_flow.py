@@ -220,6 +220,6 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, batch_result):
     sink(feed, last)
     assert sorted(map(str, _lengths(spark.table(name)).collect())) == batch_result
     assert spark.read.parquet(f"{root}/executions").count() == count
-    assert path_exists(spark, f"{root}/answers/batch={last}/_SUCCESS")
+    assert path_exists(spark, f"{root}/stages/batch={last}/answers/_SUCCESS")
     spark.sql(f"DROP TABLE {name}")
 
