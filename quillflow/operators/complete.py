@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from quillflow.functions.keys import provider_of_model, request_key
 from quillflow.functions.paths import Ref
 from quillflow.functions.templates import Context, Rendered, compile_template, constant
+from quillflow.functions.text import Filter
 from quillflow.sources.catalog import Agent
 
 Client = Callable[[list[dict[str, Any]]], list[dict[str, Any]]]
@@ -55,15 +56,18 @@ def _by_agent(agents: list[Agent], make: Callable[[Agent], Column | None], kind:
 
 def render_prompts(
     items: DataFrame, agents: list[Agent], as_of: str | None = None,
-    extra: dict[str, Any] | None = None,
+    extra: dict[str, Any] | None = None, filters: dict[str, Filter] | None = None,
 ) -> DataFrame:
-    """Add prompt, system_prompt and render_error; a prompt with an error is NULL."""
+    """Add prompt, system_prompt and render_error; a prompt with an error is NULL.
+
+    ``filters`` adds template filters by name, each a function of a ``Ref``.
+    """
     rendered: dict[tuple[str, str], Rendered] = {}
     for agent in agents:
         context = item_context(items, agent, as_of, extra)
-        rendered[agent.id, "prompt"] = compile_template(agent.prompt, context)
+        rendered[agent.id, "prompt"] = compile_template(agent.prompt, context, filters)
         if agent.system_prompt:
-            rendered[agent.id, "system"] = compile_template(agent.system_prompt, context)
+            rendered[agent.id, "system"] = compile_template(agent.system_prompt, context, filters)
 
     def part(kind: str, field: str) -> Column:
         return _by_agent(agents, lambda a: getattr(rendered.get((a.id, kind)), field, None), "string")

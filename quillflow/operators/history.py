@@ -110,18 +110,23 @@ def top_agents(usage: DataFrame, n: int = 10, by: str = "cost") -> DataFrame:
 
 
 def agent_stats(usage: DataFrame) -> DataFrame:
-    """Per agent: runs, successes, failures, tokens, cost, latency, last run and last error."""
+    """Per agent: runs, successes, failures, tokens, cost, latency, last run and last error.
+
+    The numbers need one hash aggregate. The last error is text, which would turn that aggregate
+    into a sort of all rows, so it is taken from the failed rows alone.
+    """
     failed = ~F.col("ok")
-    return usage.groupBy("agent_id").agg(
+    numbers = usage.groupBy("agent_id").agg(
         F.count("*").alias("total"),
         F.count(F.when(F.col("ok"), 1)).alias("successful"),
         F.count(F.when(failed, 1)).alias("failed"),
         F.sum("total_tokens").alias("tokens"),
         F.sum("cost_usd").alias("cost_usd"),
         F.round(F.avg("latency_ms"), 2).alias("avg_latency_ms"),
-        F.max("ts").alias("last_execution"),
-        F.max_by("error", F.when(failed & F.col("error").isNotNull(), F.struct("ts", "id")))
-        .alias("last_error"))
+        F.max("ts").alias("last_execution"))
+    errors = usage.where(failed & F.col("error").isNotNull()).groupBy("agent_id").agg(
+        F.max_by("error", F.struct("ts", "id")).alias("last_error"))
+    return numbers.join(errors, "agent_id", "left")
 
 
 def cache_stats(lookups: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def distinct_calls(spark: SparkSession, folder: str) -> DataFrame:
 _LOOKUP = REQUESTS + f""", cache AS (
   SELECT model || ':' || prompt AS request_key,
     TIMESTAMP '2024-01-01 12:00:00' - to_seconds(max(id) % 7200) AS cached_at
-  FROM requests WHERE turn = 0 AND conv_id % 2 = 0 GROUP BY 1),
+  FROM requests WHERE turn = 0 GROUP BY 1),
 looked AS (SELECT r.id, c.request_key IS NOT NULL AS cache_hit,
     strftime(c.cached_at, {MOMENT_SQL}) AS cached_at
   FROM requests r LEFT JOIN cache c ON c.request_key = r.model || ':' || r.prompt
@@ -143,7 +143,7 @@ looked AS (SELECT r.id, c.request_key IS NOT NULL AS cache_hit,
 def _lookup(spark: SparkSession, folder: str) -> DataFrame:
     rows = requests(spark, folder).withColumn("request_key", F.concat_ws(":", "model", "prompt"))
     noon = F.lit("2024-01-01 12:00:00").cast("timestamp")
-    cache = rows.where("turn = 0 AND conv_id % 2 = 0").groupBy("request_key").agg(
+    cache = rows.where("turn = 0").groupBy("request_key").agg(
         (noon - F.make_dt_interval(secs=(F.max("id") % 7200).cast("decimal(18,6)"))).alias("cached_at"))
     return lookup_cache(rows, cache, noon)
 

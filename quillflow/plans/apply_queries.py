@@ -23,7 +23,7 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed answers as result rows; some are for documents that do not exist."""
     out = parse_answers(answers(spark, folder), "content")
     return out.select(
-        F.when(F.col("doc_id") % 11 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.when(F.col("toxic") == 1, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"),
         effective_answer(F.col("parsed"), F.col("content")).alias("answer"),
         F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("work_item_id"),
         F.lit("2024-01-01").cast("timestamp").alias("completed_at"),
@@ -39,7 +39,7 @@ _RESULTS = TARGET + ", " + _PARSED + r""", results AS (
     CASE WHEN parse_strategy IN ('whole', 'fenced', 'object', 'repaired')
       THEN CAST(json_extract(j, '$.tags') AS VARCHAR[]) END AS new_tags,
     parse_strategy <> 'array' AS plain
-  FROM found WHERE doc_id % 11 <> 0)"""
+  FROM found WHERE toxic <> 1)"""
 
 _JOINED = _RESULTS + """, joined AS (SELECT t.*, r.doc_id IS NOT NULL AND plain AS hit, r.content,
   r.new_quality, r.new_tags FROM target t LEFT JOIN results r USING (doc_id))"""
@@ -133,9 +133,9 @@ def last_write(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("write_report", f"""
 WITH {_PARSED}
-SELECT 'w' || doc_id AS work_item_id, doc_id % 11 <> 0 AND parse_strategy <> 'array' AS written,
+SELECT 'w' || doc_id AS work_item_id, toxic <> 1 AND parse_strategy <> 'array' AS written,
   CASE WHEN parse_strategy = 'array' THEN 'list_requires_append'
-    WHEN doc_id % 11 = 0 THEN 'document_not_found' END AS write_error
+    WHEN toxic = 1 THEN 'document_not_found' END AS write_error
 FROM found""")
 def report(spark: SparkSession, folder: str) -> DataFrame:
     out = write_report(results(spark, folder), target(spark, folder), "doc_id", WRITE)

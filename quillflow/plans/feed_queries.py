@@ -8,6 +8,7 @@ from quillflow.functions.filters import compile_filter
 from quillflow.functions.keys import (
     ROUTE_STRATEGIES, dead_letter_route, dispatch_key, default_key, document_hash, hash_partition,
     hashed_key, provider_of_model, request_key, route_name)
+from quillflow.operators.complete import template_key
 from quillflow.operators.dedup import dedup_first, dedup_window, mark_first
 from quillflow.operators.diff import distinct_namespaces, namespace_diff, snapshot_diff
 from quillflow.operators.history import dispatch_stats, list_tagged
@@ -16,9 +17,13 @@ from quillflow.plans.registry import query
 from quillflow.plans.views import (
     AGENTS, CHANGES, EXECUTIONS, MOMENT_SQL, REQUESTS, USAGE, changes, changes_of, executions,
     moment, requests, spread, table, usage)
+from quillflow.session import shared_folder
 from quillflow.sources.catalog import Agent
 from quillflow.sources.feed import (
-    envelope_schema, parse_changes, restore_events, serialize_events, split_unreadable)
+    envelope_schema, parse_changes, read_changes, restore_events, serialize_events,
+    split_unreadable)
+from quillflow.sources.tables import write_work_items
+from quillflow.streaming.windows import run_to_table
 
 FEED_DOCUMENT = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("value", T.DoubleType())])
@@ -35,12 +40,12 @@ def feed_lines(spark: SparkSession, folder: str) -> DataFrame:
         operation.alias("operationType"),
         F.struct(F.lit("app").alias("db"),
                  F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("coll")).alias("ns"),
-        F.when(F.col("event_id") % 10 > 0, F.struct(F.col("user_id").alias("_id"))).alias("documentKey"),
+        F.when(F.col("value") <= 150, F.struct(F.col("user_id").alias("_id"))).alias("documentKey"),
         F.when(F.col("event_type") != "error", F.struct(
             F.col("event_type").alias("kind"), F.col("value"))).alias("fullDocument"))
     text = F.to_json(envelope)
     return table(spark, folder, "events").select(
-        "event_id", F.when(F.col("event_id") % 97 == 0, F.substring(text, 1, 40)).otherwise(text)
+        "event_id", F.when(F.col("value") < 1, F.substring(text, 1, 40)).otherwise(text)
         .alias("value"))
 
 
@@ -53,10 +58,10 @@ SELECT event_id,
   CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'replace'
     WHEN 'error' THEN 'delete' ELSE 'update' END AS operation,
   'app.c' || (user_id % 3) AS namespace,
-  CASE WHEN event_id % 10 = 0 OR user_id = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS document_id,
+  CASE WHEN value > 150 OR user_id = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS document_id,
   CASE WHEN event_type <> 'error' THEN event_type END AS kind,
   CASE WHEN event_type <> 'error' THEN value END AS value
-FROM events WHERE event_id % 97 <> 0""")
+FROM events WHERE value >= 1""")
 def parse_feed(spark: SparkSession, folder: str) -> DataFrame:
     good = _parsed(spark, folder).where(F.col("error").isNull()).select("event_id", "record.*")
     return parse_changes(good).select(
@@ -65,7 +70,7 @@ def parse_feed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("unreadable_records", """
-SELECT event_id, 'Failed to deserialize' AS error FROM events WHERE event_id % 97 = 0""")
+SELECT event_id, 'Failed to deserialize' AS error FROM events WHERE value < 1""")
 def unreadable(spark: SparkSession, folder: str) -> DataFrame:
     return _parsed(spark, folder).where(F.col("error").isNotNull()).select("event_id", "error")
 
@@ -338,28 +343,85 @@ def providers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("snapshot_diff", """
-WITH old AS (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 5 <> 0),
-new AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang, n_chars
-        FROM documents WHERE doc_id % 3 <> 0)
+WITH old AS (SELECT doc_id, lang, n_chars FROM documents WHERE source <> 'src3'),
+new AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'xx' ELSE lang END AS lang, n_chars
+        FROM documents WHERE source <> 'src5')
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'created'
   WHEN n.doc_id IS NULL THEN 'deleted' ELSE 'updated' END AS change
 FROM old o FULL JOIN new n ON o.doc_id = n.doc_id
 WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.lang <> n.lang OR o.n_chars <> n.n_chars""")
 def content_diff(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
-    new = docs.where("doc_id % 3 <> 0").withColumn(
-        "lang", F.when(F.col("doc_id") % 7 == 0, "xx").otherwise(F.col("lang")))
-    return snapshot_diff(docs.where("doc_id % 5 <> 0"), new, "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars")
+    old = docs.where("source <> 'src3'").drop("source")
+    new = docs.where("source <> 'src5'").drop("source").withColumn(
+        "lang", F.when(F.col("lang") == "fr", "xx").otherwise(F.col("lang")))
+    return snapshot_diff(old, new, "doc_id")
 
 
 @query("snapshot_diff_by_time", f"""
 WITH {EXECUTIONS}
-SELECT id, CASE WHEN id % 5 = 0 THEN 'created' WHEN id % 3 = 0 THEN 'deleted' ELSE 'updated' END AS change
-FROM executions WHERE (id % 5 = 0) <> (id % 3 = 0) OR (id % 5 <> 0 AND id % 3 <> 0 AND attempt = 2)""")
+SELECT id, CASE WHEN priority = 1 THEN 'created' WHEN priority = 5 THEN 'deleted' ELSE 'updated' END AS change
+FROM executions WHERE priority IN (1, 5) OR attempt = 2""")
 def timed_diff(spark: SparkSession, folder: str) -> DataFrame:
-    rows = executions(spark, folder).select("id", "status", "attempt", "started_at")
+    rows = executions(spark, folder).select("id", "status", "attempt", "started_at", "priority")
     later = F.col("started_at") + F.make_dt_interval(days=F.lit(1))
-    new = rows.where("id % 3 <> 0").withColumn(
+    new = rows.where("priority <> 5").withColumn(
         "started_at", F.when(F.col("attempt") == 2, later).otherwise(F.col("started_at")))
-    return snapshot_diff(rows.where("id % 5 <> 0"), new.withColumn("status", F.lit("any")), "id",
+    return snapshot_diff(rows.where("priority <> 1"), new.withColumn("status", F.lit("any")), "id",
                          "started_at")
+
+
+KEY_AGENTS = [
+    Agent(id="by_kind", database="app", collection="c0", operations=("insert", "update", "delete"),
+          prompt="x", idempotency_key="{{ agent_id }}/{{ document.kind }}/{{ document_id }}"),
+    Agent(id="by_note", database="app", collection="c1", operations=("insert", "update", "delete"),
+          prompt="x", idempotency_key="{{ document.note | default('none') }}@{{ event.operation }}"),
+    Agent(id="plain", database="app", collection="c2", operations=("insert", "update", "delete"),
+          prompt="x"),
+]
+
+
+@query("template_keys", f"""
+WITH {CHANGES}
+SELECT event_id, CASE WHEN collection = 'c0' AND has_doc THEN 'by_kind/' || kind || '/' || document_id
+  WHEN collection = 'c1' THEN coalesce(note, 'none') || '@' || operation
+  ELSE CASE collection WHEN 'c0' THEN 'by_kind' ELSE 'plain' END || ':' || document_id || ':' ||
+    substr(md5(CASE WHEN has_doc THEN to_json({{'k': k, 'kind': kind,
+      'meta': {{'kind': kind, 'pair': [k, k + 1]}}, 'note': note, 'value': value}})::VARCHAR
+    ELSE '{{}}' END), 1, 12) END AS key
+FROM changes WHERE operation <> 'replace'""")
+def template_keys(spark: SparkSession, folder: str) -> DataFrame:
+    items = match_agents(changes(spark, folder), KEY_AGENTS)
+    dtype = items.schema["full_document"].dataType
+    fallback = default_key(F.col("agent_id"), F.col("document_id"), F.col("full_document"), dtype)
+    return items.select("event_id", template_key(items, KEY_AGENTS, fallback).alias("key"))
+
+
+@query("work_item_sink", f"""
+WITH {EXECUTIONS} SELECT 'work:priority:' || priority AS route, count(*) AS items FROM executions GROUP BY 1""")
+def work_item_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Work items written in folders by route and read back."""
+    where = shared_folder(spark, "work")
+    items = executions(spark, folder).select(
+        "id", "agent_id", "attempt", route_name("by_priority").alias("route"))
+    write_work_items(items, where, batch_id=0)
+    return spark.read.parquet(where).groupBy("route").agg(F.count("*").alias("items"))
+
+
+@query("read_changes", f"""
+WITH {CHANGES} SELECT operation, database || '.' || collection AS namespace, count(*) AS events
+FROM changes GROUP BY ALL""")
+def json_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """A feed of JSON files with one folder per namespace, read as a stream."""
+    where = shared_folder(spark, "feed")
+    events = changes(spark, folder)
+    raw = events.select(
+        F.col("event_id").cast("string").alias("_id"), F.col("operation").alias("operationType"),
+        F.struct(F.col("database").alias("db"), F.col("collection").alias("coll")).alias("ns"),
+        F.struct(F.col("document_id").alias("_id")).alias("documentKey"),
+        F.struct("full_document.kind", "full_document.value").alias("fullDocument"),
+        F.concat_ws(".", "database", "collection").alias("namespace"))
+    raw.write.partitionBy("namespace").json(where)
+    stream = read_changes(spark, f"{where}/namespace=*", envelope_schema(FEED_DOCUMENT), streaming=True)
+    parsed = parse_changes(stream).select("operation", "namespace")
+    return run_to_table(parsed).groupBy("operation", "namespace").agg(F.count("*").alias("events"))

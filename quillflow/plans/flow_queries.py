@@ -12,11 +12,12 @@ from quillflow.plans.registry import query
 from quillflow.plans.views import (
     AGENTS, CHANGES, MOMENT_SQL, USAGE, changes, changes_of, moment, spread, table, usage_of)
 from quillflow.session import configure, shared_folder
+from quillflow.sources.feed import read_changes
 from quillflow.sources.tables import create_target, execution_rows, is_folder, stage_in
 from quillflow.streaming.enrich import EnrichSink, start_enrich
 from quillflow.streaming.windows import (
     STATE_CONF, BucketAdmission, SlidingAdmission, WindowDedup, dedup_within, label_stream,
-    usage_windows)
+    run_to_table, usage_windows)
 
 SCHEMA = {"type": "object", "required": ["length", "model"], "properties": {
     "length": {"type": "integer"}, "model": {"type": "string"}}}
@@ -116,20 +117,9 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     # One file is found by its name in the folder; a folder of files is the source itself.
     if is_folder(spark, path):
-        return spark.readStream.schema(schema).parquet(path)
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-
-
-def run_to_table(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream to its end into files in the shared folder and read them back."""
-    spark = rows.sparkSession
-    folder = shared_folder(spark, "stream")
-    running = (
-        rows.writeStream.format("parquet").outputMode(mode)
-        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).start())
-    running.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+        return read_changes(spark, path, schema, "parquet", streaming=True)
+    return read_changes(spark, folder, schema, "parquet", streaming=True,
+                        pathGlobFilter="events.parquet")
 
 
 def with_state_conf(spark: SparkSession) -> None:

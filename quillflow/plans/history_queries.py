@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quillflow.functions.keys import provider_of_model, retry_delay, retryable
+from quillflow.functions.keys import provider_of_model, retry_delay, retryable, stable_fraction
 from quillflow.operators import history as h
 from quillflow.operators.failure import (
     dead_letters, delete_rows, failure_runs, keep_recent, plan_retries, replay_dead_letters,
@@ -282,15 +282,18 @@ def retried(spark: SparkSession, folder: str) -> DataFrame:
 WITH {EXECUTIONS}
 SELECT id, attempt < max_attempts AND error_type IN ('TimeoutError', 'AIRateLimitError') AS again,
   attempt < max_attempts AND error_type <> 'AIRateLimitError' AS again_unless_limited,
-  least(0.5 * pow(3, attempt - 1), 20.0) AS delay
+  least(0.5 * pow(3, attempt - 1), 20.0) AS delay, true AS jitter_in_range
 FROM executions WHERE status = 'failed'""")
 def retry_decision(spark: SparkSession, folder: str) -> DataFrame:
     kind, attempt, most = F.col("error_type"), F.col("attempt"), F.col("max_attempts")
+    delay = retry_delay(attempt, 0.5, 20.0, 3.0)
+    jittered = retry_delay(attempt, 0.5, 20.0, 3.0, jitter=stable_fraction(F.col("id")))
     return _failed(spark, folder).select(
         "id", retryable(kind, attempt, most).alias("again"),
         retryable(kind, attempt, most, allow=(), refuse=("AIRateLimitError",)).alias(
             "again_unless_limited"),
-        retry_delay(attempt, 0.5, 20.0, 3.0).alias("delay"))
+        retry_delay(attempt, 0.5, 20.0, 3.0).alias("delay"),
+        jittered.between(delay, delay * 1.5).alias("jitter_in_range"))
 
 
 @query("dead_letter_split", f"""
@@ -305,20 +308,20 @@ def dead_letter_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("dlq_replay", f"""
 WITH {_DEAD}
-SELECT id, CASE WHEN CAST(document_id AS BIGINT) % 3 = 0 THEN 0 ELSE attempt END AS attempt,
-  CASE WHEN CAST(document_id AS BIGINT) % 3 = 0 THEN 'work:again' ELSE 'dead' END AS place FROM dead""")
+SELECT id, CASE WHEN error_type = 'TimeoutError' THEN 0 ELSE attempt END AS attempt,
+  CASE WHEN error_type = 'TimeoutError' THEN 'work:again' ELSE 'dead' END AS place FROM dead""")
 def dlq_replay(spark: SparkSession, folder: str) -> DataFrame:
     dead = _dead(spark, folder)
-    chosen = dead.where(F.col("document_id").cast("long") % 3 == 0).select("id")
+    chosen = dead.where("error_type = 'TimeoutError'").select("id")
     work, rest = replay_dead_letters(dead, chosen, _at(AS_OF), "work:again", "id")
     return work.select("id", "attempt", F.col("route").alias("place")).unionByName(
         rest.select("id", "attempt", F.lit("dead").alias("place")))
 
 
-@query("dlq_delete", f"WITH {_DEAD} SELECT id FROM dead WHERE id % 4 <> 0")
+@query("dlq_delete", f"WITH {_DEAD} SELECT id FROM dead WHERE error_type <> 'AIProviderError'")
 def dlq_delete(spark: SparkSession, folder: str) -> DataFrame:
     dead = _dead(spark, folder)
-    return delete_rows(dead, dead.where("id % 4 = 0"), "id").select("id")
+    return delete_rows(dead, dead.where("error_type = 'AIProviderError'"), "id").select("id")
 
 
 @query("dlq_page", f"""

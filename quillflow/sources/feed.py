@@ -8,6 +8,9 @@ from quillflow.sources.catalog import OPERATIONS
 
 CORRUPT = "_corrupt_record"
 
+# Files of one micro-batch of a streaming read; bounds the state work of one batch.
+FILES_PER_BATCH = 1000
+
 
 def envelope_schema(document: T.DataType, id_type: T.DataType | None = None) -> T.StructType:
     """Schema of one raw change record whose documents have type ``document``."""
@@ -34,10 +37,13 @@ def read_changes(
 ) -> DataFrame:
     """A feed folder as a batch or streaming frame.
 
-    Each namespace has its own folder or glob; the position in it is the query's checkpoint.
+    Each namespace has its own folder or glob; the position in it is the query's checkpoint. A
+    streaming read takes ``FILES_PER_BATCH`` files at a time unless told otherwise.
     """
-    reader = spark.readStream if streaming else spark.read
-    return reader.format(fmt).schema(schema).options(**options).load(path)
+    if not streaming:
+        return spark.read.format(fmt).schema(schema).options(**options).load(path)
+    options.setdefault("maxFilesPerTrigger", str(FILES_PER_BATCH))
+    return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
 def split_unreadable(lines: DataFrame, schema: T.StructType, text: str = "value") -> DataFrame:

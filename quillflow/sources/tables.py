@@ -27,6 +27,11 @@ def write_batch(rows: DataFrame, path: str, batch_id: int, partition_by: tuple[s
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
 
 
+def write_work_items(items: DataFrame, path: str, batch_id: int) -> None:
+    """Work items in one folder per route, so that a worker reads only its route."""
+    write_batch(items, path, batch_id, ("route",))
+
+
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     """Everything the batches wrote; an empty frame before the first one."""
     if not path_exists(spark, path):

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillflow.session import shared_folder
+
 
 def usage_windows(usage: DataFrame, width: str, lateness: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Cost, tokens and requests per tumbling window (and key); closed windows are emitted once."""
@@ -36,15 +39,18 @@ class _Ordered(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
                         ) -> Iterator[pd.DataFrame]:
-        # One micro-batch of one key is sorted here; the source's rate options bound its size.
-        batch = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
+        # The rows of one key in one micro-batch are sorted here, three numbers per row. The
+        # source's rate option (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds them.
+        parts = [chunk[["at", "id", "need"]].to_numpy() for chunk in rows]
+        batch = np.concatenate(parts)
+        batch = batch[np.lexsort((batch[:, 1], batch[:, 0]))]
         state = self._state.get() if self._state.exists() else None
         flags = []
-        for at, need in zip(batch["at"].tolist(), batch["need"].tolist(), strict=True):
-            state, ok = self.step(state, at, need)
+        for at, _, need in batch.tolist():
+            state, ok = self.step(state, int(at), need)
             flags.append(ok)
         self._state.update(state)
-        yield pd.DataFrame({"key": batch["key"], "id": batch["id"], "admitted": flags})
+        yield pd.DataFrame({"key": key[0], "id": batch[:, 1].astype("int64"), "admitted": flags})
 
     def step(self, state: Any, at: int, need: float) -> tuple[Any, bool]:
         raise NotImplementedError
@@ -115,3 +121,15 @@ def label_stream(rows: DataFrame, key: str, ts: str, row_id: str, processor: Sta
     return slim.groupBy("key").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType="key string, id long, admitted boolean",
         outputMode="Append", timeMode="None")
+
+
+def run_to_table(rows: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream to its end into files in the shared folder and read them back."""
+    spark = rows.sparkSession
+    folder = shared_folder(spark, "stream")
+    running = (
+        rows.writeStream.format("parquet").outputMode(mode)
+        .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True).start())
+    running.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
