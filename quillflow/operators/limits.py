@@ -26,8 +26,11 @@ def budget_gate(
     """Refuse a row iff its key has already spent ``limit`` or more in this tumbling window.
 
     Spend is not negative, so counting refused rows too gives the same answer as counting
-    admitted rows only: once the sum reaches the limit nothing later is admitted.
+    admitted rows only: once the sum reaches the limit nothing later is admitted. A row without
+    a key has no limit.
     """
+    for key in keys:
+        limit = F.when(F.col(key).isNotNull(), limit)
     started = usage.withColumn(
         "_window", micros(F.col(ts)) - F.pmod(micros(F.col(ts)), F.lit(window_seconds * MICROS)))
     gated = admit_until(
@@ -129,6 +132,7 @@ def bucket_admission(
     ``rate`` and ``capacity`` depend on the key only. After a pause of ``capacity / rate`` the
     bucket is full again whatever came before, so such pauses (found between slabs of time) cut
     a key into stretches that are scanned independently. Only key, time, id and need are scanned.
+    A row without a key or a limit is admitted.
     """
     width = int(slab_seconds * MICROS)
     at = micros(F.col(ts))
@@ -136,7 +140,8 @@ def bucket_admission(
         F.col(key).cast("string").alias("_key"), at.alias("_at"), F.col(row_id).alias("_id"),
         rate.cast("double").alias("_rate"), capacity.cast("double").alias("_capacity"),
         (F.lit(1.0) if need is None else need.cast("double")).alias("_need"),
-    ).withColumn("_slab", ((F.col("_at") - F.pmod("_at", F.lit(width))) / width).cast("long"))
+    ).where("_key IS NOT NULL AND _rate IS NOT NULL AND _capacity IS NOT NULL").withColumn(
+        "_slab", ((F.col("_at") - F.pmod("_at", F.lit(width))) / width).cast("long"))
     order = Window.partitionBy("_key").orderBy("_slab")
     refill = F.max("_capacity") / F.max("_rate") * MICROS * 1.000001 + 1
     stretches = (
@@ -162,8 +167,9 @@ def bucket_admission(
     scanned = ordered_scan(
         slim.join(stretches, ["_key", "_slab"]), ["_key", "_run"], ["_at", "_id"], make,
         ["_at", "_rate", "_capacity", "_need"], T.StructField(name, T.BooleanType()))
-    flags = scanned.select("_id", name)
-    return requests.join(flags, requests[row_id] == F.col("_id")).drop("_id")
+    flags = scanned.select("_id", F.col(name).alias("_flag"))
+    joined = requests.join(flags, requests[row_id] == F.col("_id"), "left")
+    return joined.withColumn(name, F.coalesce("_flag", F.lit(True))).drop("_id", "_flag")
 
 
 def retry_ratio(

@@ -41,6 +41,15 @@ def bucket_totals(
     return totals.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), zero))
 
 
+def _join_totals(rows: DataFrame, totals: DataFrame, on: list[str]) -> DataFrame:
+    """Join bucket totals to their rows; a NULL key is a key of its own, so no row is lost."""
+    renamed = totals.withColumnsRenamed({c: f"{c}__" for c in on})
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    return rows.join(renamed, condition).drop(*[f"{c}__" for c in on])
+
+
 def running_total(
     df: DataFrame, keys: list[str], ts: str, row_id: str, value: Column, name: str,
     seconds: float = 3600,
@@ -55,7 +64,7 @@ def running_total(
         Window.partitionBy(*keys, "_bucket").orderBy(ts, row_id)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = rows.join(totals, [*keys, "_bucket"])
+    joined = _join_totals(rows, totals, [*keys, "_bucket"])
     zero = F.lit(0).cast(totals.schema["_before"].dataType)
     total = F.col("_before") + F.coalesce(F.sum(value).over(inside), zero)
     return joined.withColumn(name, total).drop("_bucket", "_before")
@@ -81,14 +90,14 @@ def admit_until(
     rows = df.withColumn("_bucket", time_bucket(F.col(ts), seconds))
     on = [*keys, "_bucket"]
     whole = (
-        rows.join(totals.where("_side >= 0").select(*on, "_side"), on)
+        _join_totals(rows, totals.where("_side >= 0").select(*on, "_side"), on)
         .select(*df.columns, (F.col("_side") == 1).alias(name))
     )
     order = [F.col(ts).desc(), F.col(row_id).desc()] if descending else [F.col(ts), F.col(row_id)]
     inside = (
         Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    split = rows.join(totals.where("_side < 0").select(*on, "_before", "_limit"), on)
+    split = _join_totals(rows, totals.where("_side < 0").select(*on, "_before", "_limit"), on)
     zero = F.lit(0).cast(totals.schema["_before"].dataType)
     spent = F.col("_before") + F.coalesce(F.sum(value).over(inside), zero)
     crossing = split.withColumn(name, spent < F.col("_limit")).select(*df.columns, name)

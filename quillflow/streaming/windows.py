@@ -41,16 +41,16 @@ class _Ordered(StatefulProcessor):
                         ) -> Iterator[pd.DataFrame]:
         # The rows of one key in one micro-batch are sorted here, three numbers per row. The
         # source's rate option (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds them.
-        parts = [chunk[["at", "id", "need"]].to_numpy() for chunk in rows]
-        batch = np.concatenate(parts)
-        batch = batch[np.lexsort((batch[:, 1], batch[:, 0]))]
+        parts = [(c["at"].to_numpy(), c["id"].to_numpy(), c["need"].to_numpy()) for c in rows]
+        at, row_id, need = (np.concatenate(column) for column in zip(*parts, strict=True))
+        order = np.lexsort((row_id, at))
         state = self._state.get() if self._state.exists() else None
         flags = []
-        for at, _, need in batch.tolist():
-            state, ok = self.step(state, int(at), need)
+        for time, amount in zip(at[order].tolist(), need[order].tolist(), strict=True):
+            state, ok = self.step(state, time, amount)
             flags.append(ok)
         self._state.update(state)
-        yield pd.DataFrame({"key": key[0], "id": batch[:, 1].astype("int64"), "admitted": flags})
+        yield pd.DataFrame({"key": key[0], "id": row_id[order], "admitted": flags})
 
     def step(self, state: Any, at: int, need: float) -> tuple[Any, bool]:
         raise NotImplementedError

@@ -102,6 +102,20 @@ def test_budget_gate(frame, bucket):
     assert ids(gated.where("admitted")) == want
 
 
+def test_rows_without_key_are_kept(frame):
+    some = frame.withColumn("key", F.when(F.col("id") % 50 > 0, F.col("key")))
+    for out in (budget_gate(some, ["key"], "ts", "id", F.col("cost"), F.lit(300), 7200, 600),
+                sliding_admission(some, "key", "ts", "id", 3, 60),
+                running_total(some, ["key"], "ts", "id", F.col("cost"), "before", 600)
+                .withColumn("admitted", F.lit(True))):
+        assert out.count() == len(ROWS)
+        assert out.where("key IS NULL AND NOT admitted").count() == 0
+    flagged = bucket_admission(some, "key", "ts", "id", F.lit(0.1), F.lit(3.0))
+    assert flagged.count() == len(ROWS)
+    kept = dedup_window(some, "key", "ts", "id", 60)
+    assert kept.where("key IS NULL").count() == sum(1 for r in ROWS if r[0] % 50 == 0)
+
+
 def test_running_total(frame):
     total, want = defaultdict(int), {}
     for i, key, _, cost in ORDERED:
