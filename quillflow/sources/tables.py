@@ -24,7 +24,16 @@ AUDIT_ACTIONS = (
 def write_batch(rows: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
     """Append one batch; writing the same batch again replaces it."""
     folder = f"{path}/batch={batch_id}"
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+    _gathered(rows, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+
+
+def _gathered(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows of one output folder together, in as many tasks as their size needs.
+
+    Without it every task writes a file into every folder; with a plain repartition one large
+    folder would be one task.
+    """
+    return rows.hint("rebalance", *columns) if columns else rows
 
 
 def write_work_items(items: DataFrame, path: str, batch_id: int) -> None:
@@ -129,7 +138,7 @@ def create_target(rows: DataFrame, table: str, row_id: str, buckets: int, root:
     buckets it touches."""
     spark = rows.sparkSession
     staged = rows.withColumn("bucket", bucket_of(row_id, buckets))
-    staged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/start")
+    _gathered(staged, ("bucket",)).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/start")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     spark.sql(f"CREATE TABLE {table} ({columns}, bucket int) USING parquet "
               f"PARTITIONED BY (bucket) LOCATION '{root}/start'")
@@ -147,7 +156,7 @@ def rewrite_target(
     spark = changed.sparkSession
     folder = f"{root}/batch-{batch_id}"
     if not path_exists(spark, f"{folder}/_SUCCESS"):
-        changed.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        _gathered(changed, ("bucket",)).write.mode("overwrite").partitionBy("bucket").parquet(folder)
     for bucket in touched:
         spark.sql(f"ALTER TABLE {table} PARTITION (bucket={bucket}) "
                   f"SET LOCATION '{folder}/bucket={bucket}'")
