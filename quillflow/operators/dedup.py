@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,10 @@ def mark_first(df: DataFrame, key: str, ts: str, row_id: str, name: str) -> Data
     return joined.withColumn(name, F.col("_id").isNotNull() | F.col(key).isNull()).drop("_id")
 
 
+# Time of the row that carries a slab's entering time; before every real one.
+_ENTRY = -(1 << 62)
+
+
 def _slab_exits(width: int, window: int):
     """Per (key, slab): where a chain of accepted times that enters the slab leaves it.
 
@@ -103,58 +108,65 @@ def dedup_window(
     each slab on its own, a short scan over those tables finds the accepted time that enters
     each slab, and a second pass accepts rows per slab. Equal (key, time) rows collapse before
     any shuffle. A slab's distinct times are held by one task, so lower ``slab_seconds`` for
-    very dense keys (never below the window).
+    very dense keys (never below the window). Rows without a key or a time are kept.
     """
     window = int(window_seconds * MICROS)
     width = max(int((slab_seconds or 64 * window_seconds) * MICROS), window, 1)
     at = micros(F.col(ts))
+    usable = F.col(key).isNotNull() & F.col(ts).isNotNull()
     slim = (
-        df.where(F.col(key).isNotNull())
+        df.where(usable)
         .groupBy(F.col(key).cast("string").alias("_key"), at.alias("_at"))
         .agg(F.min(row_id).alias("_id"))
         .withColumn("_slab", ((F.col("_at") - F.pmod("_at", F.lit(width))) / width).cast("long"))
     )
     table_schema = "_key string, _slab long, _start long, _exit long"
     tables = (
-        slim.select("_key", "_slab", "_at").repartition("_key", "_slab")
-        .sortWithinPartitions("_key", "_slab", "_at")
+        # All columns of ``slim``, so that its shuffle is the same one as below and runs once.
+        slim.repartition("_key", "_slab").sortWithinPartitions("_key", "_slab", "_at")
         .mapInPandas(_slab_exits(width, window), table_schema)
     )
 
     def enter():
-        # state: (last accepted before this slab, this slab, last accepted within it)
-        def step(state, row):
-            slab, start, end = row
-            if state is None:
-                entry, found = None, None
-            elif state[1] != slab:
-                entry, found = (state[0] if state[2] is None else state[2]), None
-            else:
-                entry, found = state[0], state[2]
-            if found is None and (entry is None or start >= entry + window):
-                found = end
-            return (entry, slab, found), entry
+        # state: last accepted before this slab, this slab, last accepted within it
+        def step(state, slabs, starts, ends):
+            entry, slab, found = state or (None, None, None)
+            out = []
+            for here, start, end in zip(slabs, starts, ends, strict=True):
+                if here != slab:
+                    entry, slab, found = (entry if found is None else found), here, None
+                if found is None and (entry is None or start >= entry + window):
+                    found = end
+                out.append(entry)
+            return (entry, slab, found), out
         return step
 
     entries = (
         ordered_scan(tables, ["_key"], ["_slab", "_start"], enter, ["_slab", "_start", "_exit"],
                      T.StructField("_entry", T.LongType()))
-        .groupBy("_key", "_slab").agg(F.max("_entry").alias("_entry"))
+        .where("_entry IS NOT NULL").groupBy("_key", "_slab").agg(F.max("_entry").alias("_entry"))
     )
 
     def accept():
-        # state: last accepted time
-        def step(state, row):
-            time, entry = row
-            last = entry if state is None else state
-            if last is None or last != last or time - last >= window:
-                return time, True
-            return last, False
+        # state: last accepted time; a slab starts with the one that enters it, if any
+        def step(last, times, entered):
+            out, at = [False] * len(times), 0
+            if times[0] == _ENTRY:
+                last, at = int(entered[0]), 1
+            if last is not None:
+                at = bisect_left(times, last + window, at)
+            while at < len(times):
+                out[at], last = True, times[at]
+                at = bisect_left(times, last + window, at)
+            return last, out
         return step
 
-    accepted = ordered_scan(
-        slim.join(entries, ["_key", "_slab"]), ["_key", "_slab"], ["_at"], accept,
-        ["_at", "_entry"], T.StructField("_ok", T.BooleanType()))
+    # The entering time travels as the first row of its slab: no join, one shuffle.
+    first_rows = entries.select("_key", F.lit(_ENTRY).alias("_at"), F.lit(None).cast(
+        slim.schema["_id"].dataType).alias("_id"), "_slab", "_entry")
+    rows = slim.withColumn("_entry", F.lit(None).cast("long")).unionByName(first_rows)
+    accepted = ordered_scan(rows, ["_key", "_slab"], ["_at"], accept, ["_at", "_entry"],
+                            T.StructField("_ok", T.BooleanType()))
     chosen = accepted.where("_ok").select(F.col("_id").alias("_chosen"))
     kept = df.join(chosen, df[row_id] == F.col("_chosen"), "left_semi")
-    return kept.unionByName(df.where(F.col(key).isNull()))
+    return kept.unionByName(df.where(~usable))

@@ -70,12 +70,13 @@ def sliding_admission(
     Time is cut into slabs of one window. A slab is calm when it and the slab before it hold at
     most ``max_rate`` rows: every row of it is admitted, whatever came earlier. Only stretches
     of busy slabs are scanned in order, each starting from the calm slab before it, and equal
-    (key, time) rows enter the scan as one row with a count.
+    (key, time) rows enter the scan as one row with a count. Rows without key or time pass.
     """
     width = int(window_seconds * MICROS)
     at = micros(F.col(ts))
     slab = lambda c: ((c - F.pmod(c, F.lit(width))) / width).cast("long")
-    ticks = requests.groupBy(F.col(key).cast("string").alias("_key"), at.alias("_at")).agg(
+    timed = requests.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    ticks = timed.groupBy(F.col(key).cast("string").alias("_key"), at.alias("_at")).agg(
         F.count("*").alias("_n")).withColumn("_slab", slab(F.col("_at")))
     order = Window.partitionBy("_key").orderBy("_slab")
     slabs = (
@@ -99,15 +100,18 @@ def sliding_admission(
 
     def make():
         # state: admitted (time, count) pairs of the trailing window, and their sum
-        def step(state, row):
-            time, count, busy = row
+        def step(state, times, counts, busy):
             recent, held = state or (deque(), 0)
-            while recent and recent[0][0] <= time - width:
-                held -= recent.popleft()[1]
-            taken = min(count, max(max_rate - held, 0)) if busy else count
-            if taken:
-                recent.append((time, taken))
-            return (recent, held + taken), taken
+            out = []
+            for time, count, limited in zip(times, counts, busy, strict=True):
+                while recent and recent[0][0] <= time - width:
+                    held -= recent.popleft()[1]
+                taken = min(count, max(max_rate - held, 0)) if limited else count
+                if taken:
+                    recent.append((time, taken))
+                    held += taken
+                out.append(taken)
+            return (recent, held), out
         return step
 
     scanned = ordered_scan(
@@ -140,7 +144,8 @@ def bucket_admission(
         F.col(key).cast("string").alias("_key"), at.alias("_at"), F.col(row_id).alias("_id"),
         rate.cast("double").alias("_rate"), capacity.cast("double").alias("_capacity"),
         (F.lit(1.0) if need is None else need.cast("double")).alias("_need"),
-    ).where("_key IS NOT NULL AND _rate IS NOT NULL AND _capacity IS NOT NULL").withColumn(
+    ).where(
+        "_key IS NOT NULL AND _at IS NOT NULL AND _rate IS NOT NULL AND _capacity IS NOT NULL").withColumn(
         "_slab", ((F.col("_at") - F.pmod("_at", F.lit(width))) / width).cast("long"))
     order = Window.partitionBy("_key").orderBy("_slab")
     refill = F.max("_capacity") / F.max("_rate") * MICROS * 1.000001 + 1
@@ -154,14 +159,19 @@ def bucket_admission(
     )
 
     def make():
-        def step(state, row):
-            time, rate_, capacity_, need_ = row
-            if state is None:
-                tokens = capacity_
-            else:
-                tokens = min(capacity_, state[0] + (time - state[1]) / MICROS * rate_)
-            ok = tokens >= need_
-            return (tokens - need_ if ok else tokens, time), ok
+        # state: tokens left and the time of the last row
+        def step(state, times, rates, capacities, needs):
+            fill, most = rates[0], capacities[0]
+            tokens, last = state or (most, times[0])
+            out = []
+            for time, amount in zip(times, needs, strict=True):
+                tokens = min(most, tokens + (time - last) / MICROS * fill)
+                last = time
+                ok = tokens >= amount
+                if ok:
+                    tokens -= amount
+                out.append(ok)
+            return (tokens, last), out
         return step
 
     scanned = ordered_scan(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -104,18 +105,18 @@ def admit_until(
     return whole.unionByName(crossing)
 
 
+Step = Callable[..., tuple[Any, list]]
+
+
 def ordered_scan(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    make_step: Callable[[], Callable[[Any, tuple], tuple[Any, Any]]],
-    columns: list[str],
-    output: T.StructField,
+    df: DataFrame, keys: list[str], order: list[str], make_step: Callable[[], Step],
+    columns: list[str], output: T.StructField,
 ) -> DataFrame:
-    """Run ``step(state, row) -> (state, value)`` over each key's rows in order.
+    """Run ``step(state, *lists) -> (state, values)`` over each key's rows in order.
 
-    ``state`` starts as None for every key; ``row`` holds ``columns``. The value becomes a new
-    column. Memory is one Arrow batch and one key's state, whatever the size of the key.
+    A call gets the next rows of one key as one list per column of ``columns``, and the state its
+    previous call left (None at the start of a key). The values become a new column. Memory is
+    one Arrow batch and one key's state, whatever the size of the key.
     """
     schema = T.StructType([*df.schema.fields, output])
 
@@ -123,14 +124,21 @@ def ordered_scan(
         step = make_step()
         current, state = None, None
         for batch in batches:
+            if batch.empty:
+                continue
+            names = [batch[k].to_numpy() for k in keys]
+            new = names[0][1:] != names[0][:-1]
+            for name in names[1:]:
+                new = new | (name[1:] != name[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(batch)]
+            lists = [batch[c].tolist() for c in columns]
             values = []
-            names = zip(*[batch[k].tolist() for k in keys], strict=True)
-            rows = zip(*[batch[c].tolist() for c in columns], strict=True)
-            for key, row in zip(names, rows, strict=True):
+            for begin, end in zip(edges, edges[1:], strict=False):
+                key = tuple(name[begin] for name in names)
                 if key != current:
                     current, state = key, None
-                state, value = step(state, row)
-                values.append(value)
+                state, more = step(state, *[rows[begin:end] for rows in lists])
+                values += more
             batch[output.name] = pd.Series(values, index=batch.index, dtype=object)
             yield batch
 

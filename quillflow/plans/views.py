@@ -51,7 +51,9 @@ def _note(k: Column) -> Column:
 
 def changes_of(events: DataFrame) -> DataFrame:
     """Change events of database ``app``; a delete has no document."""
-    k = _k()
+    # The props are parsed once per row.
+    events = events.withColumn("_k", _k())
+    k = F.col("_k")
     document = F.struct(
         F.col("event_type").alias("kind"), "value", k.alias("k"), _note(k).alias("note"),
         F.struct(F.array(k, k + 1).alias("pair"), F.col("event_type").alias("kind")).alias("meta"))

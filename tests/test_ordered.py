@@ -103,7 +103,8 @@ def test_budget_gate(frame, bucket):
 
 
 def test_rows_without_key_are_kept(frame):
-    some = frame.withColumn("key", F.when(F.col("id") % 50 > 0, F.col("key")))
+    some = frame.withColumn("key", F.when(F.col("id") % 50 > 0, F.col("key"))).withColumn(
+        "ts", F.when((F.col("id") % 70 > 0) | F.col("key").isNull(), F.col("ts")))
     for out in (budget_gate(some, ["key"], "ts", "id", F.col("cost"), F.lit(300), 7200, 600),
                 sliding_admission(some, "key", "ts", "id", 3, 60),
                 running_total(some, ["key"], "ts", "id", F.col("cost"), "before", 600)
