@@ -43,6 +43,15 @@ def retry_items(planned: DataFrame) -> DataFrame:
         "next_step", "next_attempt", "delay_seconds", "error", "error_type")
 
 
+def due_retries(
+    retries: DataFrame, executions: DataFrame, as_of: Column, row_id: str = "work_item_id",
+) -> DataFrame:
+    """Retries whose time has come and that have not run yet with their attempt number."""
+    ran = executions.where(F.col("attempt") > 0).select(F.col("id").alias(row_id), "attempt")
+    due = retries.where(F.col("scheduled_at") <= as_of)
+    return due.join(ran, [row_id, "attempt"], "left_anti")
+
+
 def dead_letters(planned: DataFrame, at: str, route: str = "route") -> DataFrame:
     """Items out of attempts, with what went wrong and where they came from."""
     chosen = planned.where(F.col("next_step") == "dead_letter")

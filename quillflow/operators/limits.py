@@ -148,7 +148,7 @@ def bucket_admission(
         "_key IS NOT NULL AND _at IS NOT NULL AND _rate IS NOT NULL AND _capacity IS NOT NULL").withColumn(
         "_slab", ((F.col("_at") - F.pmod("_at", F.lit(width))) / width).cast("long"))
     order = Window.partitionBy("_key").orderBy("_slab")
-    refill = F.max("_capacity") / F.max("_rate") * MICROS * 1.000001 + 1
+    refill = F.try_divide(F.max("_capacity"), F.max("_rate")) * MICROS * 1.000001 + 1
     stretches = (
         slim.groupBy("_key", "_slab")
         .agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), refill.alias("_refill"))

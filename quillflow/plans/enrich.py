@@ -67,15 +67,19 @@ def enrich(
     items: DataFrame, agents: list[Agent], make_client: Callable[[], Client], *,
     finished_at: Column | None = None, cache: DataFrame | None = None, tasks: int | None = None,
     stage: Stage | None = None, extra: dict[str, Any] | None = None,
+    again: DataFrame | None = None,
 ) -> DataFrame:
     """Result rows of work items: answer, checks, usage, and the error of a failed item.
 
-    The documents are needed for the prompts only and are dropped after them. ``stage`` stores
+    ``again`` adds requests that are due for a retry; their prompts exist already. The documents
+    are needed for the prompts only and are dropped after them. ``stage`` stores
     the requests, which are read twice, and the answers, which must not be asked for again.
     """
     active = [a for a in agents if a.enabled]
     requests = render_prompts(items, active, extra=extra).drop(
         "full_document", "update_description", "resume_token")
+    if again is not None:
+        requests = requests.unionByName(again.select(*requests.columns))
     if stage is not None:
         requests = stage(requests, "requests")
     save = None if stage is None else partial(stage, name="answers")

@@ -29,8 +29,8 @@ def envelope_schema(document: T.DataType, id_type: T.DataType | None = None) ->
 
 def read_changes(
     spark: SparkSession,
-    path: str,
-    schema: T.StructType,
+    path: str | None,
+    schema: T.StructType | None,
     fmt: str = "json",
     streaming: bool = False,
     **options: str,
@@ -38,8 +38,13 @@ def read_changes(
     """A feed folder as a batch or streaming frame.
 
     Each namespace has its own folder or glob; the position in it is the query's checkpoint. A
-    streaming read takes ``FILES_PER_BATCH`` files at a time unless told otherwise.
+    streaming read takes ``FILES_PER_BATCH`` files at a time unless told otherwise. A feed of a
+    message queue (``fmt="kafka"``) has no path and no schema; its ``value`` goes through
+    ``split_unreadable``.
     """
+    if fmt == "kafka":
+        source = (spark.readStream if streaming else spark.read).format(fmt).options(**options)
+        return source.load().withColumn("value", F.col("value").cast("string"))
     if not streaming:
         return spark.read.format(fmt).schema(schema).options(**options).load(path)
     options.setdefault("maxFilesPerTrigger", str(FILES_PER_BATCH))

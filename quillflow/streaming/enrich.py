@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillflow.operators.apply import fresh_only
 from quillflow.operators.complete import Client
-from quillflow.operators.failure import dead_letters, plan_retries, retry_items
+from quillflow.operators.failure import dead_letters, due_retries, plan_retries, retry_items
 from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items
 from quillflow.sources.catalog import Agent
 from quillflow.sources.tables import (
-    KEY_SCHEMA, execution_rows, key_rows, read_batches, rewrite_target, stage_in, touched_buckets,
-    write_batch)
+    EXECUTION_SCHEMA, KEY_SCHEMA, execution_rows, key_rows, path_exists, read_batches,
+    rewrite_target, stage_in, touched_buckets, write_batch)
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,8 @@ class EnrichSink:
         fresh = fresh_only(items, seen, as_of, ttl_seconds=self.key_ttl_seconds)
 
         stage = stage_in(f"{self.root}/stages/batch={batch_id}")
-        results = enrich(fresh, self.agents, self.make_client, finished_at=as_of, stage=stage)
+        results = enrich(fresh, self.agents, self.make_client, finished_at=as_of, stage=stage,
+                         again=self._due(spark, batch_id))
         results = stage(results, "results")
 
         good = results.where(F.col("error_type").isNull())
@@ -70,6 +71,17 @@ class EnrichSink:
         write_batch(dead_letters(planned, "completed_at"), f"{self.root}/dead_letters", batch_id)
 
 
+    def _due(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """Retries that earlier batches planned and that are due now."""
+        folder = f"{self.root}/retries"
+        if not path_exists(spark, folder):
+            return None
+        earlier = F.col("batch") < batch_id
+        retries = spark.read.option("basePath", folder).parquet(folder).where(earlier)
+        ran = read_batches(spark, f"{self.root}/executions", EXECUTION_SCHEMA + ", batch int")
+        return due_retries(retries, ran.where(earlier), F.current_timestamp())
+
+
 def start_enrich(changes: DataFrame, sink: EnrichSink, checkpoint: str,
                  available_now: bool = False) -> StreamingQuery:
     """Start the flow on a stream of change events."""

@@ -1,6 +1,9 @@
 """Catalog, model calls, writes and the streaming flow."""
 
+import hashlib
 import json
+import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,12 +210,14 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, batch_result):
     got = sorted(map(str, _lengths(spark.table(name)).collect()))
     assert got == batch_result
     history = spark.read.parquet(f"{root}/executions")
-    assert history.select("id").distinct().count() == history.count()
+    assert history.select("id", "attempt").distinct().count() == history.count()
     keys = spark.read.parquet(f"{root}/keys")
     assert keys.select("key").distinct().count() == keys.count()
     retries = spark.read.parquet(f"{root}/retries")
-    assert retries.count() == history.where("NOT success").count()
-    assert {r["attempt"] for r in retries.select("attempt").distinct().collect()} == {1}
+    dead = spark.read.parquet(f"{root}/dead_letters")
+    assert retries.count() + dead.count() == history.where("NOT success").count()
+    attempts = {r["attempt"] for r in retries.select("attempt").distinct().collect()}
+    assert 1 in attempts and max(attempts) <= 3
     # The last batch again, as after a crash: the same files, the same table.
     count = history.count()
     feed = changes_of(spark.read.schema(schema).parquet(f"{root}/feed"))
@@ -223,3 +228,39 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, batch_result):
     assert path_exists(spark, f"{root}/stages/batch={last}/answers/_SUCCESS")
     spark.sql(f"DROP TABLE {name}")
 
+
+
+def test_failed_items_run_again(spark, tmp_path):
+    marks = str(tmp_path)
+
+    def client_factory():
+        answer = demo_client()
+
+        def client(batch):
+            out = []
+            for request in batch:
+                mark = os.path.join(marks, hashlib.md5(request["prompt"].encode()).hexdigest())
+                if len(request["prompt"]) % 7 == 3 and not os.path.exists(mark):
+                    open(mark, "w").close()
+                    out.append({"error": "slow down", "error_type": "AIRateLimitError"})
+                else:
+                    out.append(answer([request])[0])
+            return out
+
+        return client
+
+    root = shared_folder(spark, "again")
+    create_target(users(spark, SMALL), "again_users", "user", 2, root)
+    agents = [replace(a, target_collection="elsewhere") for a in FLOW_AGENTS]
+    sink = EnrichSink(agents, client_factory, root, "again_users", "user", "app", "users", buckets=2)
+    feed = changes(spark, SMALL)
+    sink(feed.where("event_id < 500"), 0)
+    sink(feed.where("event_id >= 500"), 1)
+    sink(feed.where("false"), 2)
+    sink(feed.where("false"), 3)
+    history = [r.asDict() for r in spark.read.parquet(f"{root}/executions").collect()]
+    first_failures = {r["id"] for r in history if r["attempt"] == 0 and not r["success"]}
+    second = {r["id"]: r["success"] for r in history if r["attempt"] == 1}
+    assert first_failures and set(second) == first_failures and all(second.values())
+    assert max(r["attempt"] for r in history) == 1
+    spark.sql("DROP TABLE again_users")
