@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillflow.functions.columns import let, strip
+from quillflow.functions.columns import computed, let, strip
 from quillflow.functions.paths import _variant_steps, variant_path
 
 # Where JSON is looked for in a text, in this order after the text itself.
@@ -76,7 +76,7 @@ def parse_answers(
     kept = df.columns
     found = let(strip(F.coalesce(F.col(content), F.lit(""))), lambda text: F.struct(
         text.alias("text"), _first_json(text).alias("hit")))
-    out = df.select(*kept, found.alias("_found"))
+    out = df.select(*kept, computed(found).alias("_found"))
     text, hit = F.col("_found.text"), F.col("_found.hit")
     good = hit.isNotNull() & ~F.is_variant_null(hit["value"])
     raw = F.to_variant_object(F.struct(text.alias("content"), F.lit(True).alias("_raw")))

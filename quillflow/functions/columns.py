@@ -16,6 +16,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def computed(value: Column) -> Column:
+    """The value as a column that later filters do not copy below themselves.
+
+    A filter on a derived column is pushed down together with its expression, which then runs
+    again for the filter. Nothing is pushed through the output of a one-element explode.
+    """
+    return F.explode(F.array(value))
+
+
 # Fixed value: the characters that count as white space at the ends of a text.
 WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"

@@ -44,7 +44,7 @@ def feed_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("event_type") != "error", F.struct(
             F.col("event_type").alias("kind"), F.col("value"))).alias("fullDocument"))
     text = F.to_json(envelope)
-    return table(spark, folder, "events").select(
+    return spread(spark, folder, "events").select(
         "event_id", F.when(F.col("value") < 1, F.substring(text, 1, 40)).otherwise(text)
         .alias("value"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from quillflow.functions.columns import computed
 from quillflow.sources.catalog import OPERATIONS
 
 CORRUPT = "_corrupt_record"
@@ -61,7 +62,7 @@ def split_unreadable(lines: DataFrame, schema: T.StructType, text: str = "value"
     parsed = F.from_json(
         F.col(text), marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     kept = [c for c in lines.columns if c != text]
-    frame = lines.select(*kept, F.col(text).alias("raw"), parsed.alias("_parsed"))
+    frame = lines.select(*kept, F.col(text).alias("raw"), computed(parsed).alias("_parsed"))
     bad = F.col("_parsed").isNull() | F.col(f"_parsed.{CORRUPT}").isNotNull()
     record = F.struct(*[F.col(f"_parsed.`{f.name}`").alias(f.name) for f in schema.fields])
     return frame.select(
