@@ -6,9 +6,10 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillflow.plans import limit_queries  # noqa: F401 - its SQL serves the streams too
 from quillflow.plans.answer_queries import demo_client
 from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items
-from quillflow.plans.registry import query
+from quillflow.plans.registry import ORACLES, query
 from quillflow.plans.views import (
     AGENTS, CHANGES, MOMENT_SQL, USAGE, changes, changes_of, moment, spread, table, usage_of)
 from quillflow.session import configure, shared_folder
@@ -166,12 +167,12 @@ def stream_window(spark: SparkSession, folder: str) -> DataFrame:
     return _labelled(spark, folder, "document_id", WindowDedup(6 * 3600)).where("admitted").select("id")
 
 
-@query("stream_sliding_admission")
+@query("stream_sliding_admission", ORACLES["sliding_admission"])
 def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
     return _labelled(spark, folder, "agent_id", SlidingAdmission(4, 6 * 3600))
 
 
-@query("stream_bucket_admission")
+@query("stream_bucket_admission", ORACLES["bucket_admission"])
 def stream_bucket(spark: SparkSession, folder: str) -> DataFrame:
     return _labelled(spark, folder, "agent_id", BucketAdmission(0.0005, 3.0))
 
