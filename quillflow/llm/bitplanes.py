@@ -79,7 +79,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, chu
     end = end_id.to_bytes(2, "little")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encoder, part = byte_vocabulary(path), TaskContext.get().partitionId()
+        encoder, part = byte_vocabulary(path, forced=False), TaskContext.get().partitionId()
         names: list = []
         held: list[bytes] = []
         state = {"chunk": 0, "before": 0, "ids": 0}

@@ -95,10 +95,28 @@ def _merge_long(symbols: list[int], ranks: dict) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+def _remember(cache: dict, new: dict) -> None:
+    short = {k: v for k, v in new.items() if len(k) <= CACHED_LENGTH}
+    if len(cache) + len(short) > CACHE_ENTRIES:
+        cache.clear()
+    cache.update(short)
+
+
+def _parted(ids: np.ndarray, mark: int) -> list[bytes]:
+    """16-bit ids of the stretches that each end in ``mark``."""
+    ends, data = np.flatnonzero(ids == mark).tolist(), ids.astype("<u2").tobytes()
+    return [data[2 * a:2 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+
+
 class _Vocabulary:
-    """Ids, merges and forced boundaries of one vocabulary file."""
+    """Ids, merges and forced boundaries of one vocabulary file.
 
-    def __init__(self, path: str):
+    With ``forced`` words are cut at forced boundaries, without it they are encoded whole (same
+    ids; faster where words seldom have such a boundary).
+    """
+
+    def __init__(self, path: str, forced: bool = True):
+        self.forced = forced
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab, letters = spec["model"]["vocab"], byte_letters()
@@ -156,7 +174,7 @@ class _Vocabulary:
         return np.array(merge(symbols, self.ranks), "<u2").tobytes()
 
     @functools.cached_property
-    def _batcher(self) -> tiktoken.Encoding:
+    def _ranked(self) -> dict[bytes, int]:
         """The merges as ranks of byte strings; a blank stands for the end of a word.
 
         A blank occurs in no word of such a vocabulary, and joining it to the last byte comes
@@ -169,9 +187,14 @@ class _Vocabulary:
                 continue
             end = self.ends and text.endswith(_END) and text != _END
             ranks[bytes(byte_of[c] for c in (text[:-len(_END)] if end else text)) + b" " * end] = i
-        return tiktoken.Encoding("fragments", pat_str=r"[^\n]+|\n", mergeable_ranks=ranks, special_tokens={})
+        return ranks
 
-    def _learn_fragments(self, fragments: set[bytes]) -> dict[bytes, bytes]:
+    @functools.cached_property
+    def _batcher(self) -> tiktoken.Encoding:
+        """Encodes fragments that are parted by line ends."""
+        return tiktoken.Encoding("fragments", pat_str=r"[^\n]+|\n", mergeable_ranks=self._ranked, special_tokens={})
+
+    def _learn_fragments(self, fragments: list[bytes]) -> dict[bytes, bytes]:
         new, texts, names = {}, [], []
         for fragment in fragments:
             try:
@@ -185,16 +208,8 @@ class _Vocabulary:
                 names.append(fragment)
         if texts:
             texts.append("")
-            ids = self._batcher.encode_to_numpy("\n".join(texts)).astype("<u2")
-            ends = np.flatnonzero(ids == self.byte_ids[10]).tolist()
-            data, at = ids.tobytes(), 0
-            for name, end in zip(names, ends, strict=True):
-                new[name] = data[2 * at:2 * end]
-                at = end + 1
-        short = {k: v for k, v in new.items() if len(k) <= CACHED_LENGTH}
-        if len(self.fragments) + len(short) > CACHE_ENTRIES:
-            self.fragments.clear()
-        self.fragments.update(short)
+            ids = self._batcher.encode_to_numpy("\n".join(texts))
+            new.update(zip(names, _parted(ids, self.byte_ids[10]), strict=True))
         return new
 
     def _pieces(self, text: str) -> list[str]:
@@ -204,61 +219,53 @@ class _Vocabulary:
         """The words of all pieces, and how many each piece has."""
         raise NotImplementedError
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces; all their words are cut in one pass."""
-        names = list(pieces)
-        words, counts = self._words(names)
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces by forced boundaries; all their words are cut in one pass."""
+        words, counts = self._words(pieces)
         fragments = self.cuts(words) if words else []
-        known = self.fragments
-        missing = {f for word in fragments for f in word if f not in known}
+        distinct = {f for word in fragments for f in word}
+        known = dict(zip(distinct, map(self.fragments.get, distinct)))
+        missing = [f for f, found in known.items() if found is None]
         if missing:
-            if len(known) + len(missing) > CACHE_ENTRIES:  # learning may empty the cache
-                known = {f: known[f] for word in fragments for f in word if f in known}
-            new_fragments = self._learn_fragments(missing)
-            known = {**known, **new_fragments} if known is not self.fragments or any(
-                len(f) > CACHED_LENGTH for f in new_fragments) else self.fragments
+            learnt = self._learn_fragments(missing)
+            known.update(learnt)
+            _remember(self.fragments, learnt)
         get = known.__getitem__
         ids = [get(f[0]) if len(f) == 1 else b"".join(map(get, f)) for f in fragments]
         new, at = {}, 0
-        for name, count in zip(names, counts):
+        for name, count in zip(pieces, counts):
             new[name] = ids[at] if count == 1 else b"".join(ids[at:at + count])
             at += count
-        short = {k: v for k, v in new.items() if len(k) <= CACHED_LENGTH}
-        if len(self.known) + len(short) > CACHE_ENTRIES:
-            self.known.clear()
-        self.known.update(short)
         return new
 
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces, their words encoded whole."""
+        raise NotImplementedError
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers."""
         split: list[list[list[str] | bytes]] = []
-        new: set[str] = set()
+        pieces: set[str] = set()
         for text in texts:
             parts: list[list[str] | bytes] = []
             for part in self._around_special(text):
                 if part and not isinstance(part, bytes):
                     part = self._pieces(part)
-                    new.update(part)
+                    pieces.update(part)
                 if part:
                     parts.append(part)
             split.append(parts)
-        new.difference_update(self.known)
-        known = self.known
+        # One look into the large cache per distinct piece; the texts use a small table.
+        ids = dict(zip(pieces, map(self.known.get, pieces)))
+        new = [p for p, found in ids.items() if found is None]
         if new:
-            if len(known) + len(new) > CACHE_ENTRIES:  # learning may empty the cache
-                known = {p: known[p] for parts in split for part in parts if not isinstance(part, bytes)
-                         for p in part if p in known}
-            learnt = self._learn(new)
-            known = {**known, **learnt} if known is not self.known else self._with(learnt)
-        get = known.__getitem__
+            learnt = self._learn(new) if self.forced else self._encoded(new)
+            ids.update(learnt)
+            _remember(self.known, learnt)
+        get = ids.__getitem__
         return [b"".join(part if isinstance(part, bytes) else b"".join(map(get, part))
                          for part in parts) for parts in split]
 
-    def _with(self, new: dict[str, bytes]) -> dict[str, bytes]:
-        if any(len(k) > CACHED_LENGTH for k in new):
-            return {**self.known, **new}
-        return self.known
-
     def _around_special(self, text: str) -> Iterator[str | bytes]:
         if self.special_pattern is None or not any(s in text for s in self.special):
             yield text
@@ -278,10 +285,21 @@ class WordVocabulary(_Vocabulary):
         # Neither normal form, case nor pattern reach across a blank or a line end.
         return text.replace("\n", " ").split(" ")
 
-    def _words(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+    def _found(self, pieces: list[str]) -> list[str]:
+        """Words of all pieces, with a line end after those of each piece."""
         text = "\n".join([*pieces, ""])
-        text = text.lower() if text.isascii() else self.normalizer.normalize_str(text)
-        found = self.pattern.findall(text)
+        return self.pattern.findall(text.lower() if text.isascii() else self.normalizer.normalize_str(text))
+
+    @functools.cached_property
+    def _whole(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("words", pat_str=r"[^ \n]+ |\n", mergeable_ranks=self._ranked, special_tokens={})
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        ids = self._whole.encode_to_numpy(" ".join(self._found(pieces)))
+        return dict(zip(pieces, _parted(ids, self.byte_ids[10]), strict=True))
+
+    def _words(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+        found = self._found(pieces)
         ends = [i for i, word in enumerate(found) if word == "\n"]
         counts = [b - a - 1 for a, b in zip([-1, *ends], ends)]
         return [w.encode() for w in found if w != "\n"], counts
@@ -296,16 +314,41 @@ class ByteVocabulary(_Vocabulary):
 
     pattern = regex.compile(BYTE_PATTERN)
     blank = re.compile(r" (?=\S)")
+    run = re.compile(r" \s")
 
     def _pieces(self, text: str) -> list[str]:
-        # A blank before a visible character always begins a new word of the pattern.
-        first, *rest = self.blank.split(text)
-        return [first, *[" " + r for r in rest]]
+        """Names of pieces: a blank before a visible character always begins a new word of the pattern.
+
+        A name without a blank in front stands for the piece with one; any other piece is named
+        by itself behind a blank.
+        """
+        if self.run.search(text) is None:
+            pieces = text.split(" ")
+        else:
+            pieces = self.blank.split(text)
+            pieces[1:] = ["  " + p if " " in p else p for p in pieces[1:]]
+        pieces[0] = " " + pieces[0]
+        return pieces
+
+    @staticmethod
+    def _texts(pieces: list[str]) -> list[str]:
+        return [p[1:] if p[:1] == " " else " " + p for p in pieces]
 
     def _words(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
-        found = list(map(self.pattern.findall, pieces))
+        found = list(map(self.pattern.findall, self._texts(pieces)))
         return [w.encode() for words in found for w in words], list(map(len, found))
 
+    @functools.cached_property
+    def _whole(self) -> tiktoken.Encoding:
+        return tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=self._ranked,
+                                 special_tokens=self.special)
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        # No piece holds a special token: one parts them.
+        mark, number = next(iter(self.special.items()))
+        ids = self._whole.encode_to_numpy(mark.join([*self._texts(pieces), ""]), allowed_special={mark})
+        return dict(zip(pieces, _parted(ids, number), strict=True))
+
     def decode(self, ids: bytes) -> str:
         letters = {c: b for b, c in enumerate(byte_letters())}
         out = b"".join(
@@ -314,12 +357,12 @@ class ByteVocabulary(_Vocabulary):
         return out.decode("utf-8", "replace")
 
 
-def word_vocabulary(path: str) -> WordVocabulary:
-    return per_worker(("word", path), lambda: WordVocabulary(path))
+def word_vocabulary(path: str, forced: bool = True) -> WordVocabulary:
+    return per_worker(("word", path, forced), lambda: WordVocabulary(path, forced))
 
 
-def byte_vocabulary(path: str) -> ByteVocabulary:
-    return per_worker(("byte", path), lambda: ByteVocabulary(path))
+def byte_vocabulary(path: str, forced: bool = True) -> ByteVocabulary:
+    return per_worker(("byte", path, forced), lambda: ByteVocabulary(path, forced))
 
 
 def vocabulary_path(name: str) -> str:
@@ -360,7 +403,7 @@ def widen(ids: bytes) -> bytes:
     return np.frombuffer(ids, "<u2").astype("<u4").tobytes()
 
 
-def slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Stretches of a batch with about ``size`` characters each."""
     start = total = 0
     for i, text in enumerate(texts):

@@ -36,7 +36,7 @@ def encoded_runs(docs: DataFrame, vocabulary: Callable, path: str, end_id: int,
     end = end_id.to_bytes(2, "little")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        encoder, part = vocabulary(path), TaskContext.get().partitionId()
+        encoder, part = vocabulary(path, forced=False), TaskContext.get().partitionId()
         place = before = 0
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
