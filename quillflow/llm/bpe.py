@@ -280,6 +280,8 @@ class WordVocabulary(_Vocabulary):
     # White space is dropped afterwards, so it need not be folded first.
     normalizer: Normalizer = Sequence([NFC(), Lowercase()])
     pattern = regex.compile(WORD_PATTERN + r"|\n")
+    # Letters up to here are composed already, and lower-cased one by one.
+    simple = re.compile("[\x00-\u024f]*")
 
     def _pieces(self, text: str) -> list[str]:
         # Neither normal form, case nor pattern reach across a blank or a line end.
@@ -288,7 +290,8 @@ class WordVocabulary(_Vocabulary):
     def _found(self, pieces: list[str]) -> list[str]:
         """Words of all pieces, with a line end after those of each piece."""
         text = "\n".join([*pieces, ""])
-        return self.pattern.findall(text.lower() if text.isascii() else self.normalizer.normalize_str(text))
+        simple = self.simple.fullmatch(text) is not None
+        return self.pattern.findall(text.lower() if simple else self.normalizer.normalize_str(text))
 
     @functools.cached_property
     def _whole(self) -> tiktoken.Encoding:

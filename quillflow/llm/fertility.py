@@ -75,20 +75,17 @@ class Pieces:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, tokenized piece by piece (merges never reach across a blank)."""
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        known = self.known
+        distinct = set().union(*split)
+        ids = dict(zip(distinct, map(self.known.get, distinct)))
+        new = [p for p, found in ids.items() if found is None]
         if new:
-            if len(known) + len(new) > CACHE_ENTRIES:
-                known = {p: known[p] for pieces in split for p in pieces if p in known}
-            names = list(new)
-            found = {n: np.array(i, "<u2").tobytes()
-                     for n, i in zip(names, self.model.encode(names, num_threads=1))}
-            short = {k: v for k, v in found.items() if len(k) <= CACHED_LENGTH}
+            learnt = {n: np.array(i, "<u2").tobytes() for n, i in zip(new, self.model.encode(new, num_threads=1))}
+            ids.update(learnt)
+            short = {k: v for k, v in learnt.items() if len(k) <= CACHED_LENGTH}
             if len(self.known) + len(short) > CACHE_ENTRIES:
                 self.known.clear()
             self.known.update(short)
-            known = {**known, **found} if known is not self.known or len(short) < len(found) else self.known
-        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u2") for pieces in split]
+        return [np.frombuffer(b"".join(map(ids.__getitem__, pieces)), "<u2") for pieces in split]
 
 
 def pieces_of(path: str) -> Pieces:

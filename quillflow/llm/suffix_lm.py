@@ -1,76 +1,180 @@
-"""Language model scores: a probabilistic suffix tree over bytes, beside a unigram base score.
-
-Text is taken as its words (A-Z lower-cased) with one blank between and an end mark, byte by byte. A
-context is the last 0 to ``DEPTH`` bytes. From the counts of all contexts of the training documents
-
-* contexts with a share of at least ``MIN_SHARE`` of all positions are considered, so there are at
-  most 1 / MIN_SHARE of each length, however large the corpus;
-* a context is retained when its next-byte distribution diverges from that of its suffix (one byte
-  shorter) by at least ``DIVERGENCE`` nats (Kullback-Leibler), or when a longer retained context
-  ends in it;
-* next-byte counts (those with a share of at least MIN_SHARE / 16) are smoothed with the
-  distribution of the suffix, weight ``PRIOR``, down to add-one over the 256 bytes.
-
-A byte is scored in the longest retained context that its history ends in. Counting and the
-divergence tests run in Spark; the tree, bounded by the shares, is broadcast.
-
-Word counts for the base score aren't bounded. Words with a share of at least ``HOT_SHARE`` of all
-tokens, at most 1 / HOT_SHARE, are broadcast; the occurrences of the rest are joined with their counts.
-Words are told apart by 64-bit hashes.
+"""Language model scores: a probabilistic suffix tree over words, whose root is the base score's unigram.
+
+Tokens are words (A-Z lower-cased) and one end per text. A state is a context of 0 to ``DEPTH`` words that
+precede a token. From the training documents
+
+* a context is considered when its share of all tokens is at least ``MIN_SHARE`` (and its count at
+  least ``MIN_COUNT``), so there are at most 1 / MIN_SHARE of each length, however large the corpus;
+* its next-word counts are kept from a share of MIN_SHARE / 16 (and a count of 2) on; all other
+  next words are one leftover mass;
+* it is retained when its next words diverge from those of its suffix (one word shorter): the
+  Kullback-Leibler divergence is at least ``DIVERGENCE`` nats and significant for its count, or when a
+  longer retained context ends in it;
+* P(w | s) = (n(s w) + (leftover(s) + PRIOR) * P(w | suffix of s)) / (n(s) + PRIOR), n(s w) = 0 where it
+  isn't kept; P(w) of the root is (c + 1) / (N + V + 1). Each state's probabilities sum to the root's.
+
+A token is scored in the longest retained context that ends before it. So the score is the base score
+plus the gains log10(P(w | s) / P(w)); gains come from the tree alone, which is bounded by the shares
+and broadcast. Counting runs in Spark, one pass per context length; only counts above the
+shares come to the driver.
+
+Base: words with a share of at least MIN_SHARE / 16, at most 16 / MIN_SHARE, are in the broadcast; the
+occurrences of the rest are joined with their counts. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import LOWER_BYTES, arrow_rows, chunked, stored
+from quillflow.llm.common import arrow_rows, chunked, stored
 from quillflow.llm.words import mix, word_hashes
 
-DEPTH = 5
-MIN_SHARE = 1e-4
-DIVERGENCE = 0.01
+DEPTH = 3
+MIN_SHARE, MIN_COUNT = 2e-5, 50
+DIVERGENCE = 0.02
 PRIOR = 4.0
-HOT_SHARE = 2e-6
-END = 10  # the byte that ends a text and fills the history before its start; no word contains it
 FOLDS, HELD_OUT = 7, 2
 # Counts that a training task gathers before it passes them on.
 HELD_ROWS = 3_000_000
 _END_HASH = int(mix(np.array([0xE0F], np.uint64)).view(np.int64)[0])
-_SCORE_FIELDS = ("row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, "
+_SCORE_FIELDS = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, "
                  "rare array<struct<word:long,n:int>>")
 
 
-class Stream(NamedTuple):
-    """Bytes of a chunk of documents, each after ``DEPTH`` fill bytes; ``scored`` marks their own bytes."""
-
-    codes: np.ndarray
-    scored: np.ndarray
-    starts: np.ndarray
+def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, and where each text begins (one more entry at the end)."""
+    words, first = word_hashes(texts)
+    at = np.arange(len(words)) + np.repeat(np.arange(len(texts)), np.diff(first))
+    tokens = np.full(len(words) + len(texts), _END_HASH, np.int64)
+    tokens[at] = words.view(np.int64)
+    return tokens, first + np.arange(len(first))
 
 
-def byte_stream(texts: list[bytes], depth: int = DEPTH) -> Stream:
-    fill = bytes([END]) * depth
-    parts = [b" ".join(t.translate(LOWER_BYTES).split()) + bytes([END]) for t in texts]
-    codes = np.frombuffer(b"".join(fill + p for p in parts), np.uint8)
-    sizes = np.array([len(p) for p in parts], np.int64)
-    starts = np.cumsum(sizes + depth) - sizes
-    edges = np.zeros(len(codes) + 1, np.int8)
-    edges[starts - depth] -= 1
-    edges[starts] += 1
-    return Stream(codes, np.cumsum(edges[:-1], dtype=np.int8) >= 0, starts)
+class SuffixTree:
+    """Listed words, contexts and their gains as sorted arrays.
 
+    Node 0 is the empty context. ``keys[d]`` holds (suffix node, word to the left) of the contexts of
+    d words; the node of the i-th is ``first[d]`` + i. Words are indexes into ``listed``.
+    """
 
-def grams(codes: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-    """At each position the byte (lowest 8 bits) and its ``depth`` predecessors above, the nearest lowest."""
-    out = codes.astype(np.int64)
-    for back in range(1, depth + 1):
-        out[back:] |= codes[:-back].astype(np.int64) << (8 * back)
-    return out
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, vocabulary: int):
+        order = np.argsort(hashes)
+        self.listed, self.counts = hashes[order].copy(), counts[order].copy()
+        self.tokens, self.vocabulary = tokens, vocabulary
+        self.first, self.keys = [0, 1], [np.array([0], np.int64)]
+        self.retained = np.ones(1, bool)
+        self.parent = np.zeros(1, np.int64)
+        self.backoff = np.zeros(1)  # log10 of the weight of the suffix
+        self.gain_keys, self.gains = np.empty(0, np.int64), np.empty(0)
+
+    def ids(self, tokens: np.ndarray) -> np.ndarray:
+        """Indexes of listed words; their number for any other word."""
+        return _find(self.listed, tokens, len(self.listed))
+
+    def add_contexts(self, words: np.ndarray) -> int:
+        """Add contexts of one more word; rows of word indexes, the nearest word first."""
+        depth = words.shape[1]
+        suffix = np.zeros(len(words), np.int64)
+        for d in range(1, depth):
+            suffix = self._child(d, suffix, words[:, d - 1])
+        keys = np.sort((suffix << 32) | words[:, depth - 1])
+        self.keys.append(keys)
+        self.first.append(self.first[-1] + len(keys))
+        self.retained = np.append(self.retained, np.zeros(len(keys), bool))
+        self.parent = np.append(self.parent, keys >> 32)
+        self.backoff = np.append(self.backoff, np.zeros(len(keys)))
+        return len(keys)
+
+    def _child(self, depth: int, node: np.ndarray, word: np.ndarray) -> np.ndarray:
+        at = _find(self.keys[depth], (node << 32) | word, -1)
+        return np.where(at >= 0, self.first[depth] + at, -1)
+
+    def words_of(self, nodes: np.ndarray, depth: int) -> np.ndarray:
+        """The words of contexts of ``depth`` words, the nearest first."""
+        columns = []
+        for d in range(depth, 0, -1):
+            key = self.keys[d][nodes - self.first[d]]
+            columns.append(key & 0xFFFFFFFF)
+            nodes = key >> 32
+        return np.stack(columns[::-1], axis=1)
+
+    def states(self, ids: np.ndarray, place: np.ndarray, depth: int, retained: bool) -> np.ndarray:
+        """For each token the longest (retained) context before it; without ``retained`` the one of
+        exactly ``depth`` words, -1 where there is none. ``place``: tokens before it in its text."""
+        here = np.zeros(len(ids), np.int64)
+        best = np.zeros(len(ids), np.int64)
+        at = np.arange(len(ids))
+        for d in range(1, depth + 1):
+            at = at[place[at] >= d]
+            here[at] = self._child(d, here[at], ids[at - d])
+            at = at[here[at] >= 0]
+            if retained:
+                best[at] = np.where(self.retained[here[at]], here[at], best[at])
+        if retained:
+            return best
+        out = np.full(len(ids), -1, np.int64)
+        out[at] = here[at]
+        return out
+
+    def gain(self, nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log10(P(word | node) / P(word)): the kept next word of the longest suffix that has it."""
+        out = np.zeros(len(nodes))
+        nodes = nodes.copy()
+        open_ = np.flatnonzero(nodes > 0)
+        while len(open_):
+            at = _find(self.gain_keys, (nodes[open_] << 32) | ids[open_], -1)
+            hit = at >= 0
+            out[open_[hit]] += self.gains[at[hit]]
+            open_ = open_[~hit]
+            out[open_] += self.backoff[nodes[open_]]
+            nodes[open_] = self.parent[nodes[open_]]
+            open_ = open_[nodes[open_] > 0]
+        return out
+
+    def learn(self, totals: tuple[np.ndarray, np.ndarray], kept: tuple[np.ndarray, np.ndarray],
+              divergence: float = DIVERGENCE, prior: float = PRIOR) -> None:
+        """Next-word counts of the newest contexts: (node, count) of all, (key, count) of the kept ones."""
+        weight = np.zeros(self.first[-1])
+        weight[totals[0]] = totals[1]
+        order = np.argsort(kept[0])
+        keys, n = kept[0][order], kept[1][order].astype(float)
+        node, word = keys >> 32, keys & 0xFFFFFFFF
+        size = len(weight)
+        leftover = np.maximum(weight - np.bincount(node, n, size), 0.0)
+        shorter = self.gain(self.parent[node], word)
+        root = (self.counts[word] + 1) / (self.tokens + self.vocabulary + 1)
+        suffix = root * 10 ** shorter
+        p, q = n / weight[node], suffix
+        rest_p, rest_q = leftover / np.maximum(weight, 1), np.clip(1 - np.bincount(node, q, size), 1e-12, 1)
+        distance = np.bincount(node, p * np.log(p / q), size) + np.where(
+            rest_p > 0, rest_p * np.log(np.maximum(rest_p, 1e-300) / rest_q), 0)
+        free = np.bincount(node, minlength=size)
+        new = slice(self.first[-2], self.first[-1])
+        self.retained[new] = ((distance >= divergence) & (2 * weight * distance >= free + 4 * np.sqrt(2 * free)))[new]
+        self.backoff[new] = np.log10((leftover + prior) / (weight + prior))[new]
+        gains = np.log10((n + (leftover[node] + prior) * suffix) / (weight[node] + prior)) - np.log10(root)
+        keys = np.append(self.gain_keys, keys)
+        order = np.argsort(keys)
+        self.gain_keys, self.gains = keys[order], np.append(self.gains, gains)[order]
+
+    def close(self) -> None:
+        """Whatever a retained context ends in is retained, too."""
+        for d in range(len(self.keys) - 1, 0, -1):
+            nodes = np.arange(self.first[d], self.first[d + 1])
+            self.retained[self.parent[nodes[self.retained[nodes]]]] = True
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
+    """Places of ``wanted`` in the sorted ``keys``."""
+    if not len(keys):
+        return np.full(len(wanted), missing, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, missing)
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,211 +185,154 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first)
 
 
-def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(kind, key, n): words (kind 0) and byte grams (kind 1) of all texts, counted and written."""
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+def counted(docs: DataFrame, keys_of: Callable[[], Callable[[list[bytes]], np.ndarray]], purpose: str) -> DataFrame:
+    """(key, n): how often ``keys_of()(texts)`` gives each key, over all texts; written.
 
-    def run(batches):
-        held: dict[int, list] = {0: [], 1: []}
+    Tasks count in arrays of a bounded size before the shuffle.
+    """
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
-        def passed_on(kind: int):
-            keys, counts = _merged(held[kind])
-            held[kind] = []
-            for a in range(0, len(keys), 200_000):
-                part = keys[a:a + 200_000]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(part), kind, np.int8)), pa.array(part),
-                    pa.array(counts[a:a + 200_000])], schema=schema)
+    def passed_on(held) -> Iterator[pa.RecordBatch]:
+        keys, counts = _merged(held)
+        for a in range(0, len(keys), 200_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[a:a + 200_000]), pa.array(counts[a:a + 200_000])], schema=schema)
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        size, take = 0, keys_of()
         for batch in batches:
             for chunk in chunked(arrow_rows(batch)):
-                texts = [row[0] for row in chunk]
-                words, _ = word_hashes(texts)
-                stream = byte_stream(texts, depth)
-                ends = np.full(len(texts), _END_HASH, np.int64)
-                for kind, keys in ((0, np.concatenate((words.view(np.int64), ends))),
-                                   (1, grams(stream.codes, depth)[stream.scored])):
-                    found, counts = np.unique(keys, return_counts=True)
-                    held[kind].append((found, counts.astype(np.int64)))
-                    if sum(len(k) for k, _ in held[kind]) > HELD_ROWS:
-                        held[kind] = [_merged(held[kind])]
-                        if len(held[kind][0][0]) > HELD_ROWS // 2:
-                            yield from passed_on(kind)
-        for kind in held:
-            if held[kind]:
-                yield from passed_on(kind)
-
-    counted = docs.select("text").mapInArrow(run, "kind byte, key long, n long")
-    return stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+                found, counts = np.unique(take([row[0] for row in chunk]), return_counts=True)
+                held.append((found, counts.astype(np.int64)))
+                size += len(found)
+                if size > HELD_ROWS:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > HELD_ROWS // 2:
+                        yield from passed_on(held)
+                        held, size = [], 0
+        if held:
+            yield from passed_on(held)
+
+    return stored(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(
+        F.sum("n").alias("n")), purpose)
+
+
+def fit_tree(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE,
+             min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, prior: float = PRIOR) -> SuffixTree:
+    """The tree of ``docs`` (text) whose word counts (key, n) are ``words``.
+
+    To the driver come at most 16 / min_share words and, for each context length, 1 / min_share
+    contexts and 16 / min_share next words.
+    """
+    spark = docs.sparkSession
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    tokens, least = size["n"], min_share * size["n"]
+    listed = words.where(F.col("n") >= least / 16).select("key", "n").toArrow()
+    tree = SuffixTree(listed.column("key").to_numpy(), listed.column("n").to_numpy(), tokens, size["v"])
+    end = _find(tree.listed, np.array([_END_HASH]), -1)
+    often = max(least, min_count)
+    new = np.setdiff1d(np.flatnonzero(tree.counts >= often), end)[:, None]
+    for d in range(1, depth + 1):
+        if not len(new) or not tree.add_contexts(new):
+            break
+        shared = spark.sparkContext.broadcast(vars(tree))
+        grams = counted(docs, _grams_of(shared, d), f"grams{d}")
+        totals = grams.groupBy(F.shiftright("key", 32).alias("node")).agg(F.sum("n").alias("n")).toArrow()
+        kept = grams.where((F.col("n") >= max(least / 16, 2)) & (
+            F.col("key").bitwiseAND(0xFFFFFFFF) != len(tree.listed))).toArrow()
+        keys, n = (kept.column(c).to_numpy() for c in ("key", "n"))
+        tree.learn((totals.column("node").to_numpy(), totals.column("n").to_numpy()), (keys, n), divergence, prior)
+        longer = keys[(n >= often) & ~np.isin(keys & 0xFFFFFFFF, end)]
+        new = np.concatenate(((longer & 0xFFFFFFFF)[:, None], tree.words_of(longer >> 32, d)), axis=1)
+    tree.close()
+    return tree
 
 
-class SuffixTree:
-    """Retained contexts as a transition table and log10 probabilities of the next byte.
+def _grams_of(shared, depth: int):
+    def start():
+        tree = restored(shared.value)
 
-    ``entries``: depth, context (nearest byte lowest), next byte, count, retained. Node 0 is the
-    empty context; ``child[node, byte]`` is the context one byte longer to the left.
-    """
+        def keys(texts: list[bytes]) -> np.ndarray:
+            tokens, first = token_stream(texts)
+            ids = tree.ids(tokens)
+            nodes = tree.states(ids, _places(first), depth, retained=False)
+            inside = nodes >= 0
+            return (nodes[inside] << 32) | ids[inside]
 
-    def __init__(self, depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, count: np.ndarray,
-                 retained: np.ndarray, longest: int = DEPTH, prior: float = PRIOR):
-        self.longest = longest
-        keep = {0: np.array([0], np.int64)}
-        above = np.empty(0, np.int64)
-        for d in range(longest, 0, -1):  # whatever a retained context ends in is retained
-            own = np.unique(context[(depth == d) & retained])
-            keep[d] = np.union1d(own, above)
-            above = np.unique(keep[d] & ((1 << (8 * (d - 1))) - 1)) if d > 1 else above
-        sizes = [len(keep[d]) for d in range(longest + 1)]
-        offset = np.cumsum([0, *sizes])
-        nodes = int(offset[-1])
-        self.child = np.full((nodes + 1, 256), nodes, np.int32)  # the last row: nowhere
-        probability = np.empty((nodes, 256))
-        total = float(count[depth == 0].sum())
-        root = np.zeros(256)
-        np.add.at(root, symbol[depth == 0], count[depth == 0])
-        probability[0] = (root + 1) / (total + 256)
-        for d in range(1, longest + 1):
-            contexts = keep[d]
-            if not len(contexts):
-                continue
-            shorter = contexts & ((1 << (8 * (d - 1))) - 1)
-            parent = offset[d - 1] + np.searchsorted(keep[d - 1], shorter)
-            own = offset[d] + np.arange(len(contexts))
-            self.child[parent, contexts >> (8 * (d - 1))] = own
-            here = np.flatnonzero(depth == d)
-            at = np.searchsorted(contexts, context[here])
-            hit = (at < len(contexts)) & (contexts[np.minimum(at, len(contexts) - 1)] == context[here])
-            table = np.zeros((len(contexts), 256))
-            table[at[hit], symbol[here][hit]] = count[here][hit]
-            probability[own] = (table + prior * probability[parent]) / (table.sum(axis=1, keepdims=True) + prior)
-        self.log10 = np.log10(probability).astype(np.float32).ravel()
-        self.child = self.child.ravel()
-        self.nodes = nodes
-
-    def scores(self, stream: Stream) -> np.ndarray:
-        """log10 probability of each document of the stream."""
-        codes = stream.codes.astype(np.int64)
-        n = len(codes)
-        node = np.zeros(n, np.int64)
-        now = np.zeros(n, np.int64)
-        for back in range(1, self.longest + 1):
-            now[back:] = self.child[(now[back:] << 8) + codes[:-back]]
-            now[:back] = self.nodes
-            node = np.where(now < self.nodes, now, node)
-        each = np.where(stream.scored, self.log10[(node << 8) + codes], np.float32(0)).astype(np.float64)
-        return np.add.reduceat(each, stream.starts)
-
-
-def suffix_entries(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE,
-                   divergence: float = DIVERGENCE) -> DataFrame:
-    """(depth, context, symbol, n, retained): next-byte counts of the contexts with enough weight.
-
-    At most 16 / min_share rows of each depth.
-    """
-    full = counts.where("kind = 1")
-    total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    mask = [(1 << (8 * d)) - 1 for d in range(depth + 1)]
-    contexts = F.inline(F.array(*[
-        F.struct(F.lit(d).alias("depth"), F.shiftright("key", 8).bitwiseAND(F.lit(mask[d])).alias("context"))
-        for d in range(depth + 1)]))
-    seen = full.select(F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "n", contexts).groupBy(
-        "depth", "context", "symbol").agg(F.sum("n").alias("n")).where(
-        (F.col("depth") == 0) | (F.col("n") >= min_share / 16 * total))
-    seen = stored(seen, "next")
-    weight = seen.groupBy("depth", "context").agg(F.sum("n").alias("weight")).where(
-        (F.col("depth") == 0) | (F.col("weight") >= min_share * total))
-    kept = stored(seen.join(weight, ["depth", "context"]), "next")
-    shorter = kept.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("shorter"), "symbol",
-                          (F.col("n") / F.col("weight")).alias("q"))
-    cut = F.lit(0).cast("long")
-    for d in range(1, depth + 1):
-        cut = F.when(F.col("depth") == d, F.col("context").bitwiseAND(F.lit(mask[d - 1]))).otherwise(cut)
-    share = F.col("n") / F.col("weight")
-    tested = kept.where("depth > 0").withColumn("shorter", cut).join(
-        shorter, ["depth", "shorter", "symbol"]).groupBy("depth", "context").agg(
-        (F.sum(share * F.log(share / F.col("q"))) >= divergence).alias("retained"))
-    return kept.join(tested, ["depth", "context"], "left").select(
-        "depth", "context", "symbol", "n", F.coalesce("retained", F.lit(False)).alias("retained"))
+        return keys
 
+    return start
 
-def fit_tree(counts: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE,
-             divergence: float = DIVERGENCE, prior: float = PRIOR) -> SuffixTree:
-    """The tree of ``corpus_counts``; what comes to the driver is bounded by ``suffix_entries``."""
-    rows = suffix_entries(counts, depth, min_share, divergence).toArrow()
-    column = lambda name: rows.column(name).to_numpy()
-    return SuffixTree(column("depth"), column("context"), column("symbol"), column("n"),
-                      column("retained").astype(bool), depth, prior)
 
+def restored(state: dict) -> SuffixTree:
+    """A tree from its attributes (arrays travel in a broadcast, classes by value don't)."""
+    tree = SuffixTree.__new__(SuffixTree)
+    vars(tree).update(state)
+    return tree
 
-def held_out(doc_id) -> F.Column:
+
+def _places(first: np.ndarray) -> np.ndarray:
+    return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+
+
+def held_out(doc_id: Column) -> Column:
     """Documents kept out of training; a null doc_id trains."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def score_texts(docs: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
+def score_texts(docs: DataFrame) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) by a model of the training documents among them.
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null counts as empty: one
     token, the end. Repeated rows train repeatedly and are scored alike. Other columns are ignored.
-    Without any training document the base is uniform over nothing seen (V = N = 0) and the tree
-    is uniform over bytes. An empty table gives an empty result.
+    Without any training document nothing is known (V = N = 0). An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    counts = corpus_counts(rows.where("NOT held_out"))
-    words = counts.where("kind = 0")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    least = hot_share * size["n"]
-    hot = words.where(F.col("n") >= least).select("key", "n").toArrow()
-    keys, values = hot.column("key").to_numpy(), hot.column("n").to_numpy()
-    order = np.argsort(keys)
-    # At most 1 / hot_share words, and a tree bounded by its shares.
-    model = spark.sparkContext.broadcast(
-        (keys[order].copy(), values[order].copy(), vars(fit_tree(counts))))
+    training = rows.where("NOT held_out").select("text")
+    words = counted(training, lambda: lambda texts: token_stream(texts)[0], "words")
+    tree = fit_tree(training, words)
+    shared = spark.sparkContext.broadcast(vars(tree))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                        ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+                        ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()),
                         ("rare", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())])))])
 
     def run(batches):
-        known, weights, state = model.value
-        tree = SuffixTree.__new__(SuffixTree)
-        vars(tree).update(state)
-        gain = np.log10(weights + 1.0)
+        tree = restored(shared.value)
+        weight, unlisted = np.append(np.log10(tree.counts + 1.0), 0.0), len(tree.listed)
         for batch in batches:
             for chunk in chunked(arrow_rows(batch, "doc_id", "held_out")):
-                texts = [row[0] for row in chunk]
-                hashes, first = word_hashes(texts)
-                hashes = hashes.view(np.int64)
-                scores = tree.scores(byte_stream(texts, tree.longest))
-                columns: list[list] = [[], [], [], [], []]
-                offsets, rare_words, rare_counts = [0], [], []
-                for i in range(len(chunk)):
-                    own = np.concatenate((hashes[first[i]:first[i + 1]], [_END_HASH]))
-                    uniq, tf = np.unique(own, return_counts=True)
-                    at = np.minimum(np.searchsorted(known, uniq), max(0, len(known) - 1))
-                    hit = known[at] == uniq if len(known) else np.zeros(len(uniq), bool)
-                    rare_words.append(uniq[~hit])
-                    rare_counts.append(tf[~hit])
-                    offsets.append(offsets[-1] + int((~hit).sum()))
-                    for column, value in zip(columns, (chunk[i][1], chunk[i][2], len(own), int(tf[hit].sum()),
-                                                       float((tf[hit] * gain[at[hit]]).sum()))):
-                        column.append(value)
+                tokens, first = token_stream([row[0] for row in chunk])
+                ids = tree.ids(tokens)
+                nodes = tree.states(ids, _places(first), len(tree.keys) - 1, retained=True)
+                sums = lambda values: np.add.reduceat(values, first[:-1])  # noqa: E731  every text has a token
+                rare_words, rare_counts, offsets = [], [], [0]
+                missing = ids == unlisted
+                for a, b in zip(first[:-1], first[1:]):
+                    word, n = np.unique(tokens[a:b][missing[a:b]], return_counts=True)
+                    rare_words.append(word)
+                    rare_counts.append(n)
+                    offsets.append(offsets[-1] + len(word))
                 rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
                     [pa.array(np.concatenate(rare_words), pa.int64()),
                      pa.array(np.concatenate(rare_counts), pa.int32())], names=["word", "n"]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, f.type) for c, f in zip(columns, schema)), pa.array(scores), rare], schema=schema)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row[1] for row in chunk], pa.int64()), pa.array([row[2] for row in chunk], pa.bool_()),
+                    pa.array(np.diff(first)), pa.array(sums((~missing).astype(np.int64))),
+                    pa.array(sums(weight[ids])), pa.array(sums(tree.gain(nodes, ids))), rare], schema=schema)
 
-    parts = stored(rows.mapInArrow(run, _SCORE_FIELDS.removeprefix("row long, ")).withColumn(
-        "row", F.monotonically_increasing_id()), "scores")
-    tail = words.where(F.col("n") < least).select(F.col("key").alias("word"), F.col("n").alias("c"))
+    parts = stored(rows.mapInArrow(run, _SCORE_FIELDS).withColumn("row", F.monotonically_increasing_id()), "scores")
+    tail = words.where(F.col("n") < MIN_SHARE * tree.tokens / 16).select(
+        F.col("key").alias("word"), F.col("n").alias("c"))
     used = parts.select("row", F.inline("rare")).join(tail, "word").select(
         "row", F.col("n").cast("long").alias("n_known"), (F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("base"))
-    # The row of a document and the gains of its rare words meet in one sum.
+    # The row of a document and the parts of its rare words meet in one sum.
     whole = parts.drop("rare").unionByName(used, allowMissingColumns=True).groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "score")),
+        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "gain")),
         F.sum("n_known").alias("n_known"), F.sum("base").alias("base"))
-    return whole.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(size["n"]).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(size["n"] + size["v"] + 1)))).alias("base_score"),
-        "score")
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(tree.tokens + tree.vocabulary + 1)))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known",
+                        F.lit(tree.tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
+                        (base + F.col("gain")).alias("score"))
