@@ -7,11 +7,13 @@ number of equal bins of two sketches is concentrated around similarity * ``COORD
 
 Documents with the same shingle set are one *node* from the start. Two nodes that share a band
 (``ROWS`` consecutive bins) are candidates: at similarity 0.8 a pair misses all 40 bands of 5 with
-a probability below 2e-7. Candidates are not expanded into all pairs of a bucket: in each round
-a few members of a bucket (its centres) are compared with the members of other components, then
-leave the bucket, and buckets inside one component are done. When the members that remain are
-few per bucket, the rest of the pairs across components is compared at once. Every pair in a
-bucket is thus compared or already connected, so no link between components is lost.
+a probability below 2e-7. Candidates are not expanded into all pairs of a bucket. First the least
+node of each bucket is compared with the others. Buckets that then lie within one component are
+done. The nodes of the others meet again by their rarest shingles: of a set of n, two sets of
+similarity 0.8 share one of the n - ceil(0.8 n) + 1 rarest, while text that many documents share is
+never rare. Groups that still are large and split lose more centres, 4, 16, ... at a time; when
+few comparisons across components are left they are made at once. Every candidate pair is thus
+compared or already connected, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillflow.llm.common import arrow_rows, chunked, fresh, stored
@@ -29,7 +31,7 @@ from quillflow.llm.words import mix, shingles, word_hashes
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-# Pairs per remaining row from which all pairs across components are compared at once.
+# Comparisons across components per remaining row, up to which all of them are made at once.
 PAIRS_PER_ROW = 20
 _U = np.uint64
 _SALT = _U(0x9E3779B97F4A7C15)
@@ -158,16 +160,26 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
         banded.join(shared.select("key"), "key", "left_semi").withColumn("label", F.col("node")), "members")
     sets = _candidate_sets(rows, nodes, members, size)
     tested = edges = labels = None
-    centres = 1
+    centres, rare = 1, False
     while True:
-        size_ = members.groupBy("key").agg(F.count("*").alias("m")).agg(
-            F.sum("m").alias("rows"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs")).first()
-        if not size_["rows"]:
-            break
-        last = tested is not None and size_["pairs"] <= PAIRS_PER_ROW * size_["rows"]
+        last = False
+        if tested is not None:
+            parts = stored(members.groupBy("key", "label").agg(F.count("*").alias("m")), "parts")
+            largest = parts.groupBy("key").agg(F.max(F.struct("m", "label")).alias("big"), F.sum("m").alias("m"))
+            left = largest.agg(F.sum("m").alias("rows"),
+                               F.sum((F.col("m") - F.col("big")["m"]) * F.col("m")).alias("pairs")).first()
+            if not left["rows"]:
+                break
+            last = left["pairs"] <= PAIRS_PER_ROW * left["rows"]
+            if not last and not rare:
+                members, rare, centres = _rare_members(members, sets, percent), True, 1
+                continue
         if last:
-            other = members.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "label")))
-            met, rest = members.join(other, "key").where("node < node_2"), None
+            # One side without the largest component of each key: few rows meet many.
+            key = largest.select("key", F.col("big")["label"].alias("big"))
+            few = members.join(key, "key").where("label <> big").drop("big")
+            met, rest = few.join(members.select(
+                "key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "label"))), "key"), None
         else:
             met, rest = _centred(members, centres)
         pairs = met.where(f"label <> label_2 AND 100 * least(n, n_2) >= {percent} * greatest(n, n_2)").select(
@@ -182,12 +194,22 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
         if last:
             break
         members = _unfinished(rest, labels)
-        centres = 4
-    if labels is None:
-        return nodes.select("node", F.col("node").alias("label")).where("false")
+        centres *= 4
     return labels
 
 
+def _rare_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes of ``members`` by those of their rarest shingles that a partner must share one of."""
+    nodes = stored(members.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label")), "open")
+    items = stored(sets.join(nodes.select("node"), "node", "left_semi").select(
+        "node", F.explode("items").alias("key")), "items")
+    often = items.groupBy("key").agg(F.count("*").alias("df"))
+    place = Window.partitionBy("node").orderBy("df", "key")
+    ranked = items.join(stored(often, "often"), "key").withColumn("place", F.row_number().over(place))
+    return stored(ranked.where("df > 1").join(nodes, "node").where(
+        f"place <= n - ceil({percent} * n / 100) + 1").select("key", "node", "n", "label"), "members")
+
+
 def _centred(members: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """Members beside the centres of their buckets, and the members that aren't centres."""
     first = [F.xxhash64("node", F.lit(k)) if k else F.col("node") for k in range(count)]
