@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm.bpe import byte_vocabulary, slices
+from quillflow.llm.common import row_slices
 from quillflow.llm.token_runs import in_order, part_offsets
 
 BLOCK = 1 << 15
@@ -93,7 +94,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, chu
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole)):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 for name, ids in zip(doc_ids[a:b], encoder.encode([t or "" for t in texts[a:b]])):

@@ -24,9 +24,9 @@ import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers.normalizers import NFC, Lowercase, Normalizer, Sequence
 
-from quillflow.llm.common import per_worker
+from quillflow.llm.common import per_worker, row_slices
 
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 CACHED_LENGTH = 64
 # Longer fragments are merged with a heap here, the rest in batches by the tiktoken library.
 BATCHED_LENGTH = 2_000
@@ -361,11 +361,11 @@ class ByteVocabulary(_Vocabulary):
 
 
 def word_vocabulary(path: str, forced: bool = True) -> WordVocabulary:
-    return per_worker(("word", path, forced), lambda: WordVocabulary(path, forced))
+    return per_worker("vocabulary", ("word", path, forced), lambda: WordVocabulary(path, forced))
 
 
 def byte_vocabulary(path: str, forced: bool = True) -> ByteVocabulary:
-    return per_worker(("byte", path, forced), lambda: ByteVocabulary(path, forced))
+    return per_worker("vocabulary", ("byte", path, forced), lambda: ByteVocabulary(path, forced))
 
 
 def vocabulary_path(name: str) -> str:
@@ -389,7 +389,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         vocabulary = word_vocabulary(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole)):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 ids = vocabulary.encode([t or "" for t in texts[a:b]])

@@ -20,14 +20,18 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 CHUNK_BYTES = 1 << 20
 
 
-def per_worker(key: tuple, make: Callable):
-    """``make()`` once per Python process. Functions travel to workers by value, so their modules
-    hold no state from one task to the next; a module of this name does."""
+def per_worker(slot: str, key: tuple, make: Callable):
+    """``make()`` once per Python process and key; a slot holds the value of its last key only.
+
+    Functions travel to workers by value, so their modules hold no state from one task to the
+    next; a module of this name does. One slot for all large states bounds a worker's memory.
+    """
     state = vars(sys.modules.setdefault("_quillflow_worker", types.ModuleType("_quillflow_worker")))
     held = state.setdefault("held", {})
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if slot not in held or held[slot][0] != key:
+        held.pop(slot, None)
+        held[slot] = (key, make())
+    return held[slot][1]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,7 +84,13 @@ def chunked(rows: Iterable[tuple], size: int = CHUNK_BYTES) -> Iterator[list[tup
 
 def arrow_rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
     """Rows of (text bytes, other columns...); null text counts as empty."""
-    text = batch.column(batch.schema.get_field_index("text")).to_pylist()
-    rest = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
-    for i, t in enumerate(text):
-        yield ((t or "").encode("utf-8", "surrogatepass"), *(r[i] for r in rest))
+    at = [batch.schema.get_field_index(c) for c in ("text", *columns)]
+    for part in row_slices(batch):
+        for text, *rest in zip(*(part.column(i).to_pylist() for i in at)):
+            yield ((text or "").encode("utf-8", "surrogatepass"), *rest)
+
+
+def row_slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Small parts of a batch, so that few texts at a time are Python objects."""
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)

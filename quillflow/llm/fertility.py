@@ -31,7 +31,7 @@ from quillflow.llm.words import mix, word_hashes
 WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
 MIN_TOKENS = 50
-CACHE_ENTRIES, CACHED_LENGTH = 500_000, 64
+CACHE_ENTRIES, CACHED_LENGTH = 400_000, 64
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = " \t\n\v\f\r"
 
@@ -89,7 +89,7 @@ class Pieces:
 
 
 def pieces_of(path: str) -> Pieces:
-    return per_worker(("pieces", path), lambda: Pieces(path))
+    return per_worker("vocabulary", ("pieces", path), lambda: Pieces(path))
 
 
 def script_of(text: str) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import fresh, per_worker, stored
+from quillflow.llm.common import fresh, per_worker, row_slices, stored
 
 MAX_LABELLED = 4_000
 TREES, DEPTH, SEED = 25, 6, 17
@@ -194,13 +194,13 @@ def parse_tree(text: str) -> list[tuple[int, float, int, int, float]]:
 
 def _scan_batches(path: str, visit):
     """Run ``visit(doc_id, text, start, end, words)`` over the candidates of each batch."""
-    words = per_worker(("dictionary", path), lambda: dictionary(path))
+    words = per_worker("dictionary", (path,), lambda: dictionary(path))
 
     def rows(batch):
-        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for name, text in zip(names, texts):
-            for start, end in candidates(text or ""):
-                yield visit(name, text, start, end, words)
+        for part in row_slices(batch):
+            for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for start, end in candidates(text or ""):
+                    yield visit(name, text, start, end, words)
 
     return rows
 
@@ -293,7 +293,7 @@ def redact(docs: DataFrame, forest: Forest, path: str, threshold: float = THRESH
 
     @F.pandas_udf("string")
     def masked(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = per_worker(("dictionary", path), lambda: dictionary(path))
+        words = per_worker("dictionary", (path,), lambda: dictionary(path))
         for texts in columns:
             out = []
             for text in texts:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillflow.llm.bpe import slices
-from quillflow.llm.common import stored
+from quillflow.llm.common import row_slices, stored
 
 # (part, place, doc_id, before, n, ids): ids as little-endian unsigned 16-bit integers.
 RUN_SCHEMA = "part int, place long, doc_id long, before long, n long, ids binary"
@@ -38,7 +38,7 @@ def encoded_runs(docs: DataFrame, vocabulary: Callable, path: str, end_id: int,
     def run(batches) -> Iterator[pa.RecordBatch]:
         encoder, part = vocabulary(path, forced=False), TaskContext.get().partitionId()
         place = before = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in row_slices(whole)):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 ids = [i + end for i in encoder.encode([t or "" for t in texts[a:b]])]

@@ -27,7 +27,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    held = per_worker(("powers",), dict)
+    held = per_worker("powers", (), dict)
     if len(held.get("n", ())) < n:
         for name, base in (("n", _BASE), ("inv", _INVERSE)):
             steps = np.full(max(n, CHUNK_BYTES + (1 << 16)), base, np.uint64)
