@@ -11,7 +11,7 @@ a probability below 2e-7. Candidates are not expanded into all pairs of a bucket
 node of each bucket is compared with the others. Buckets that then lie within one component are
 done. The nodes of the others meet again by their rarest shingles: of a set of n, two sets of
 similarity 0.8 share one of the n - ceil(0.8 n) + 1 rarest, while text that many documents share is
-never rare. Groups that still are large and split lose more centres, 4, 16, ... at a time; when
+never rare. Groups that still are large and split lose more centres, ``CENTRES`` at a time; when
 few comparisons across components are left they are made at once. Every candidate pair is thus
 compared or already connected, so no link between components is lost.
 """
@@ -31,8 +31,11 @@ from quillflow.llm.words import mix, shingles, word_hashes
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-# Comparisons across components per remaining row, up to which all of them are made at once.
-PAIRS_PER_ROW = 20
+# Comparisons across components per remaining row, up to which all of them are made at once: among
+# members of a band, and among members that share a rare shingle.
+PAIRS_PER_ROW, RARE_PAIRS_PER_ROW = 20, 400
+# Centres of a group that is too large for that, per round.
+CENTRES = 4
 _U = np.uint64
 _SALT = _U(0x9E3779B97F4A7C15)
 _VALUE_BITS = _U(52)
@@ -170,7 +173,7 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
                                F.sum((F.col("m") - F.col("big")["m"]) * F.col("m")).alias("pairs")).first()
             if not left["rows"]:
                 break
-            last = left["pairs"] <= PAIRS_PER_ROW * left["rows"]
+            last = left["pairs"] <= (RARE_PAIRS_PER_ROW if rare else PAIRS_PER_ROW) * left["rows"]
             if not last and not rare:
                 members, rare, centres = _rare_members(members, sets, percent), True, 1
                 continue
@@ -194,7 +197,7 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
         if last:
             break
         members = _unfinished(rest, labels)
-        centres *= 4
+        centres = CENTRES
     return labels
 
 
