@@ -91,7 +91,9 @@ def _updated(old: Column, dtype: T.DataType | None, update: Update) -> Column:
         return value
     if dtype is None:
         return F.when(flag, value)
-    return F.when(flag, value.cast(dtype)).otherwise(old)
+    # A value that doesn't fit the type, such as an overflow, leaves the old one.
+    new = F.coalesce(value.try_cast(dtype), F.when(value.isNotNull(), old))
+    return F.when(flag, new).otherwise(old)
 
 
 def set_fields(root: Column, dtype: T.DataType | None, tree: Tree) -> Column:
