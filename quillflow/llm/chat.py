@@ -88,10 +88,11 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         jumps.append(state.where("anc IS NOT NULL").select("tree", "node", "anc"))
         above = state.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc_2"),
                              F.col("total").alias("total_2"), F.col("size").alias("size_2"))
-        state = stored(state.join(above, ["tree", "anc"], "left").select(
-            "tree", "node", F.col("anc_2").alias("anc"),
-            (F.col("total") + F.coalesce("total_2", F.lit(0.0))).alias("total"),
-            (F.col("size") + F.coalesce("size_2", F.lit(0))).alias("size")), "jump")
+        # Nodes that have reached their root are done and stay out of the join.
+        moved = state.where("anc IS NOT NULL").join(above, ["tree", "anc"]).select(
+            "tree", "node", F.col("anc_2").alias("anc"), (F.col("total") + F.col("total_2")).alias("total"),
+            (F.col("size") + F.col("size_2")).alias("size"))
+        state = stored(moved.unionByName(state.where("anc IS NULL")), "jump")
     inner = base.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL")
     ranked = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("size")), "node")
     chosen = state.join(inner, ["tree", "node"], "left_anti").withColumn(
