@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -85,6 +85,17 @@ def _flags(tree: Tree) -> list[Column | None]:
     return found
 
 
+def _nullable(dtype: T.DataType) -> T.DataType:
+    """The type with nulls allowed in all elements and fields, as answers may lack any."""
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_nullable(dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return T.MapType(dtype.keyType, _nullable(dtype.valueType))
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in dtype.fields])
+    return dtype
+
+
 def _updated(old: Column, dtype: T.DataType | None, update: Update) -> Column:
     value, flag = update
     if flag is None:
@@ -92,7 +103,7 @@ def _updated(old: Column, dtype: T.DataType | None, update: Update) -> Column:
     if dtype is None:
         return F.when(flag, value)
     # A value that doesn't fit the type, such as an overflow, leaves the old one.
-    new = F.coalesce(value.try_cast(dtype), F.when(value.isNotNull(), old))
+    new = F.coalesce(value.try_cast(_nullable(dtype)), F.when(value.isNotNull(), old))
     return F.when(flag, new).otherwise(old)
 
 
@@ -141,7 +152,8 @@ class Write:
     """How answers change the target.
 
     ``types`` names the answer fields and their SQL types. ``fields`` renames answer fields and
-    drops the others.
+    drops the others. With ``rest`` no field is lost: fields that the target has are set there,
+    and all others become entries of a VARIANT object of that name beside them.
     """
 
     types: dict[str, str]
@@ -152,6 +164,7 @@ class Write:
     target_field: str | None = None
     include_metadata: bool = True
     metadata_field: str = "_ai_metadata"
+    rest: str | None = None
 
     @property
     def mapping(self) -> dict[str, str]:
@@ -194,15 +207,17 @@ def is_list(answer: Column) -> Column:
 def fold_results(
     results: DataFrame, id_col: str, writes: list[tuple[Column, Write]],
     order_by: tuple[str, ...] = ("completed_at", "work_item_id"),
-) -> tuple[DataFrame, dict[str, str], dict[str, str]]:
+) -> tuple[DataFrame, dict[str, str], dict[str, str], dict[str, str]]:
     """One row per document: the last write of every target path, by ``order_by``.
 
     A write applies to the result rows its condition selects. ``results`` needs the id,
     ``answer`` (VARIANT), ``completed_at`` and ``work_item_id``. One aggregate that combines
     before the shuffle serves all writes; only an append keeps every answer of a document, as the
-    target array does. Also returned: folded column by set path, and by appended path.
+    target array does, and ``rest`` the unlisted fields of each. Also returned: folded column by
+    set path, by appended path and by path of the unlisted fields.
     """
     order = F.struct(*order_by)
+    others: dict[str, list[tuple[Column, Column]]] = {}
     answer = F.col("answer")
     listed = is_list(answer)
     cases: dict[str, list[tuple[Column, Column]]] = {}
@@ -218,9 +233,13 @@ def fold_results(
         for source, target in write.mapping.items():
             at = variant_path([source])
             value = F.try_variant_get(answer, at, write.types[source])
-            found = usable & F.try_variant_get(answer, at, "variant").isNotNull()
+            # A value of another type leaves the old one; only a JSON null takes it away.
+            null = F.is_variant_null(F.try_variant_get(answer, at, "variant"))
+            found = usable & (value.isNotNull() | null)
             cases.setdefault(write.place(target), []).append((found, value))
-    aggregates, sets, appends = [], {}, {}
+        if write.rest and not write.fields:
+            others.setdefault(write.place(write.rest), []).append((usable, _unlisted(answer, write)))
+    aggregates, sets, appends, rests = [], {}, {}, {}
     for number, (path, options) in enumerate(cases.items()):
         chain = F.when(options[0][0], F.struct(options[0][1].alias("v")))
         test = options[0][0]
@@ -232,11 +251,75 @@ def fold_results(
         chain = F.when(*options[0])
         for found, value in options[1:]:
             chain = chain.when(found, value)
-        every = F.array_sort(F.collect_list(F.when(chain.isNotNull(), F.struct(
-            *order_by, chain.alias("items")))))
         appends[path] = f"_append{number}"
-        aggregates.append(F.flatten(F.transform(every, lambda x: x["items"])).alias(appends[path]))
-    return results.groupBy(id_col).agg(*aggregates), sets, appends
+        aggregates.append(F.flatten(_in_order(chain, order)).alias(appends[path]))
+    for number, (path, options) in enumerate(others.items()):
+        chain = F.when(*options[0])
+        for found, value in options[1:]:
+            chain = chain.when(found, value)
+        rests[path] = f"_rest{number}"
+        every = _in_order(F.when(F.cardinality(chain) > 0, chain), order)
+        merged = F.aggregate(every, F.create_map().cast(OBJECT), over)
+        aggregates.append(F.when(F.cardinality(merged) > 0, merged).alias(rests[path]))
+    return results.groupBy(id_col).agg(*aggregates), sets, appends, rests
+
+
+OBJECT = "map<string,variant>"
+
+
+def _in_order(value: Column, order: Column) -> Column:
+    """All values of a group that aren't null, by ``order``; VARIANT itself has no order."""
+    def compare(a: Column, b: Column) -> Column:
+        return F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+
+    rows = F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("at"), value.alias("v"))))
+    return F.transform(F.array_sort(rows, compare), lambda x: x["v"])
+
+
+def over(old: Column, new: Column) -> Column:
+    """The entries of ``new``, and those of ``old`` that ``new`` doesn't have."""
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+
+def _unlisted(answer: Column, write: Write) -> Column:
+    """The answer fields that have no type of their own."""
+    return F.map_filter(F.try_variant_get(answer, "$", OBJECT), lambda k, _: ~k.isin(list(write.types)))
+
+
+def _open_types(writes: list[Write], target: T.StructType, fixed: tuple[str, ...]) -> list[Write]:
+    """Open writes also know the fields that the target has.
+
+    Left to ``rest`` are the ``fixed`` columns, arrays that a write appends to, metadata, and
+    structs below which another write sets fields.
+    """
+    declared = {w.place(place): w.types[source] for w in writes if w.strategy != "append"
+                for source, place in w.mapping.items()}
+    own = {w.metadata_field for w in writes} | {w.array_field for w in writes}
+    own |= {w.place(w.rest) for w in writes if w.rest}
+    deep = [p for p in (*declared, *own) if p and "." in p]
+
+    def opened(write: Write) -> Write:
+        if not write.rest or write.fields or write.strategy == "append":
+            return write
+        base = write.path if write.strategy == "nested" else write.target_field
+        below = _type_at(target, base) if base else target
+        types = {}
+        for field in below.fields if isinstance(below, T.StructType) else ():
+            at = write.place(field.name)
+            if at not in own and at not in fixed and not any(p.startswith(at + ".") for p in deep):
+                types[field.name] = declared.get(at, field.dataType.simpleString())
+        return replace(write, types={**types, **write.types})
+
+    return [opened(w) for w in writes]
+
+
+def _type_at(dtype: T.DataType, path: str) -> T.DataType | None:
+    """Type of the field at a dot path, None where there is none."""
+    for name in path.split("."):
+        if not isinstance(dtype, T.StructType) or name not in dtype.names:
+            return None
+        dtype = dtype[name].dataType
+    return dtype
 
 
 def _append_items(answer: Column, write: Write) -> Column:
@@ -266,18 +349,30 @@ def apply_results(
 def apply_writes(
     target: DataFrame, results: DataFrame, id_col: str, writes: list[tuple[Column, Write]],
     condition: Column | None = None,
-    order_by: tuple[str, ...] = ("completed_at", "work_item_id"),
+    order_by: tuple[str, ...] = ("completed_at", "work_item_id"), keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Several writes in one pass: one aggregate over the results and one join with the target."""
-    folded, sets, appends = fold_results(results, id_col, writes, order_by)
+    """Several writes in one pass: one aggregate over the results and one join with the target.
+
+    Answers never set the id and the columns in ``keep``.
+    """
+    fixed = (id_col, *keep)
+    opened = _open_types([write for _, write in writes], target.schema, fixed)
+    writes = [(chosen, write) for (chosen, _), write in zip(writes, opened)]
+    folded, sets, appends, rests = fold_results(results, id_col, writes, order_by)
     joined = target.join(folded, id_col, "left")
     act = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
     tree: Tree = {}
     for path, name in sets.items():
         _put(tree, path, (F.col(f"{name}.v"), act & F.col(name).isNotNull()))
     for path, name in appends.items():
-        old = F.col(path) if path in target.columns else F.lit(None)
+        old = F.col(path) if _type_at(target.schema, path) is not None else F.lit(None)
         _put(tree, path, (append_items(old, F.col(name)), act & (F.size(name) > 0)))
+    for path, name in rests.items():
+        merged = F.col(name)
+        if _type_at(target.schema, path) is not None:
+            old = F.coalesce(F.try_variant_get(F.col(path), "$", OBJECT), F.create_map().cast(OBJECT))
+            merged = over(old, merged)
+        _put(tree, path, (F.to_variant_object(merged), act & F.col(name).isNotNull()))
     schema = target.schema
     columns = {name: F.col(f"`{name}`") for name in target.columns}
     for name, node in tree.items():

@@ -115,6 +115,55 @@ def appended(spark: SparkSession, folder: str) -> DataFrame:
                       F.coalesce(F.array_join(listed, ","), F.lit("")).alias("listed"))
 
 
+@query("apply_without_schema", f"""
+WITH {_RESULTS}, joined AS (SELECT t.*, r.content, r.new_quality, r.new_tags,
+  CASE WHEN r.parse_strategy NOT IN ('raw', 'array') THEN 0 END AS toxic FROM target t LEFT JOIN results r USING (doc_id))
+SELECT doc_id, coalesce(new_quality, quality) AS quality, array_to_string(coalesce(new_tags, tags), ',') AS tags,
+  toxic, content FROM joined""")
+def without_schema(spark: SparkSession, folder: str) -> DataFrame:
+    write = Write(types={}, rest="_fields", include_metadata=False)
+    out = apply_results(target(spark, folder), results(spark, folder), "doc_id", write)
+    return out.select(
+        "doc_id", "quality", F.array_join("tags", ",").alias("tags"),
+        F.try_variant_get("_fields", "$.mood.toxic", "int").alias("toxic"),
+        F.try_variant_get("_fields", "$.content", "string").alias("content"))
+
+
+@query("apply_wrong_type", f"""
+WITH {TARGET}
+SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 8 WHEN 2 THEN NULL ELSE quality END AS quality,
+  CASE WHEN doc_id % 2 = 1 THEN lang || '!' ELSE lang END AS lang FROM target""")
+def wrong_type(spark: SparkSession, folder: str) -> DataFrame:
+    rows = target(spark, folder)
+    quality = F.when(F.col("doc_id") % 4 == 0, '"high"').when(F.col("doc_id") % 4 == 1, "99999999999").when(
+        F.col("doc_id") % 4 == 2, "null").otherwise("8")
+    lang = F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit('["'), "lang", F.lit('!"]'))).otherwise('"no list"')
+    answers_ = rows.select("doc_id", F.parse_json(F.concat(
+        F.lit('{"quality": '), quality, F.lit(', "lang": '), lang, F.lit("}"))).alias("answer"),
+        F.lit("2024-01-01").cast("timestamp").alias("completed_at"), F.lit("w").alias("work_item_id"))
+    write = Write(types={"quality": "int", "lang": "array<string>"}, include_metadata=False)
+    out = apply_results(rows.withColumn("lang", F.array("lang")), answers_, "doc_id", write)
+    return out.select("doc_id", "quality", F.element_at("lang", 1).alias("lang"))
+
+
+@query("apply_append_nested", f"""
+WITH {_RESULTS}, log AS (SELECT doc_id, coalesce(new_quality, -1) AS q, CASE WHEN plain THEN 1 ELSE 2 END AS n FROM results)
+SELECT t.doc_id, 1 + coalesce(n, 0) AS entries, 't' || t.lang AS first_entry,
+  CASE WHEN n IS NOT NULL THEN q END AS last_quality
+FROM target t LEFT JOIN log USING (doc_id)""")
+def appended_nested(spark: SparkSession, folder: str) -> DataFrame:
+    write = Write(types={}, strategy="append", array_field="ai.log", include_metadata=False)
+    old = F.to_variant_object(F.struct(F.concat(F.lit("t"), "lang").alias("was")))
+    rows = target(spark, folder).withColumn("ai", F.struct(F.array(old).alias("log"), F.lit(1).alias("k")))
+    out = apply_results(rows, results(spark, folder), "doc_id", write)
+    last = F.element_at("ai.log", -1)
+    return out.select(
+        "doc_id", F.size("ai.log").alias("entries"),
+        F.try_variant_get(F.element_at("ai.log", 1), "$.was", "string").alias("first_entry"),
+        F.when(F.size("ai.log") > 1, F.coalesce(F.try_variant_get(last, "$.quality", "int"), F.lit(-1)))
+        .alias("last_quality"))
+
+
 @query("apply_last_write", f"""
 WITH {CHANGES}, last AS (SELECT document_id, arg_max(kind, (ts, event_id)) AS kind,
   arg_max(note, (ts, event_id)) FILTER (note IS NOT NULL) AS note FROM changes WHERE has_doc GROUP BY 1)

@@ -107,8 +107,11 @@ def sql_type(schema: dict[str, Any]) -> str:
     return SQL_TYPES.get(schema.get("type", ""), "variant")
 
 
-def write_of(agent: Agent) -> Write:
-    """The write settings of an agent; answers without JSON fill the field ``content``."""
+def write_of(agent: Agent, rest: str | None = "_fields") -> Write:
+    """The write settings of an agent; answers without JSON fill the field ``content``.
+
+    Answer fields without a type and without a column in the target become entries of ``rest``.
+    """
     properties = (agent.response_schema or {}).get("properties", {})
     types = {name: sql_type(below) for name, below in properties.items()}
     types.setdefault("content", "string")
@@ -117,17 +120,20 @@ def write_of(agent: Agent) -> Write:
     return Write(
         types=types, strategy=agent.strategy, fields=agent.fields, path=agent.path,
         array_field=agent.array_field, target_field=agent.target_field,
-        include_metadata=agent.include_metadata, metadata_field=agent.metadata_field)
+        include_metadata=agent.include_metadata, metadata_field=agent.metadata_field, rest=rest)
 
 
 def apply_agents(
     target: DataFrame, results: DataFrame, agents: list[Agent], id_col: str, database: str,
-    collection: str,
+    collection: str, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The target collection with the successful results of every agent that writes to it."""
+    """The target collection with the successful results of every agent that writes to it.
+
+    Answers never set the id and the columns in ``keep``.
+    """
     writes = [(F.col("agent_id") == a.id, write_of(a)) for a in agents
               if a.enabled and a.target == (database, collection)]
     good = results.where(F.col("error_type").isNull()).withColumn(id_col, F.col("document_id"))
     # Answers of one batch complete together; the order of their events decides between them.
     order = ("completed_at", "started_at", "work_item_id")
-    return apply_writes(target, good, id_col, writes, order_by=order) if writes else target
+    return apply_writes(target, good, id_col, writes, order_by=order, keep=keep) if writes else target

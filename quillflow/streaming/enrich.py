@@ -56,7 +56,8 @@ class EnrichSink:
         if touched:
             current = spark.table(self.table).where(F.col("bucket").isin(touched))
             changed = apply_agents(current, results, self.agents, self.id_col, self.database,
-                                   self.collection).select(*spark.table(self.table).columns)
+                                   self.collection, keep=("bucket",)).select(
+                                       *spark.table(self.table).columns)
             rewrite_target(self.table, changed, touched, self.root, batch_id)
         known = spark.table(self.table).where(F.col("bucket").isin(touched)).select(
             F.col(self.id_col).alias("document_id"), F.lit(True).alias("_known"))
