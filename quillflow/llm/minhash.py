@@ -11,7 +11,8 @@ a probability below 2e-7. Candidates are not expanded into all pairs of a bucket
 node of each bucket is compared with the others. Buckets that then lie within one component are
 done. The nodes of the others meet again by their rarest shingles: of a set of n, two sets of
 similarity 0.8 share one of the n - ceil(0.8 n) + 1 rarest, while text that many documents share is
-never rare. Groups that still are large and split lose more centres, ``CENTRES`` at a time; when
+never rare. The place of the shingle where two sets first meet bounds what they can share: only what
+comes after it in both. Pairs whose bound is too low are not made. Groups that still are large and split lose more centres, ``CENTRES`` at a time; when
 few comparisons across components are left they are made at once. Every candidate pair is thus
 compared or already connected, so no link between components is lost.
 """
@@ -160,7 +161,7 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
     banded = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     members = stored(
-        banded.join(shared.select("key"), "key", "left_semi").withColumn("label", F.col("node")), "members")
+        banded.join(shared.select("key"), "key", "left_semi").withColumns({"place": F.lit(1), "label": F.col("node")}), "members")
     sets = _candidate_sets(rows, nodes, members, size)
     tested = edges = labels = None
     centres, rare = 1, False
@@ -182,10 +183,12 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
             key = largest.select("key", F.col("big")["label"].alias("big"))
             few = members.join(key, "key").where("label <> big").drop("big")
             met, rest = few.join(members.select(
-                "key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "label"))), "key"), None
+                "key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "place", "label"))), "key"), None
         else:
             met, rest = _centred(members, centres)
-        pairs = met.where(f"label <> label_2 AND 100 * least(n, n_2) >= {percent} * greatest(n, n_2)").select(
+        # What two sets share lies at or after the places where they first meet.
+        pairs = met.where(f"label <> label_2 AND {100 + percent} * (1 + least(n - place, n_2 - place_2)) "
+                          f">= {percent} * (n + n_2)").select(
             F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -210,27 +213,27 @@ def _rare_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     place = Window.partitionBy("node").orderBy("df", "key")
     ranked = items.join(stored(often, "often"), "key").withColumn("place", F.row_number().over(place))
     return stored(ranked.where("df > 1").join(nodes, "node").where(
-        f"place <= n - ceil({percent} * n / 100) + 1").select("key", "node", "n", "label"), "members")
+        f"place <= n - ceil({percent} * n / 100) + 1").select("key", "node", "n", "place", "label"), "members")
 
 
 def _centred(members: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
     """Members beside the centres of their buckets, and the members that aren't centres."""
     first = [F.xxhash64("node", F.lit(k)) if k else F.col("node") for k in range(count)]
-    picks = [F.min(F.struct(order.alias("order"), "node", "n", "label")).alias(f"c{k}") for k, order in enumerate(first)]
+    picks = [F.min(F.struct(order.alias("order"), "node", "n", "place", "label")).alias(f"c{k}") for k, order in enumerate(first)]
     centres = stored(members.groupBy("key").agg(*picks), "centres")
     beside = stored(members.join(centres, "key").withColumn(
         "centres", F.array_distinct(F.transform(
             F.array(*(F.col(f"c{k}") for k in range(count))),
-            lambda c: F.struct(c["node"].alias("node_2"), c["n"].alias("n_2"), c["label"].alias("label_2")))))
-        .select("key", "node", "n", "label", "centres"), "beside")
+            lambda c: F.struct(*(c[name].alias(f"{name}_2") for name in ("node", "n", "place", "label"))))))
+        .select("key", "node", "n", "place", "label", "centres"), "beside")
     rest = beside.where(~F.exists("centres", lambda c: c["node_2"] == F.col("node")))
-    return beside.select("*", F.inline("centres")), rest.select("key", "node", "n")
+    return beside.select("*", F.inline("centres")), rest.select("key", "node", "n", "place")
 
 
 def _unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one component."""
     now = stored(members.join(labels, "node", "left").select(
-        "key", "node", "n", F.coalesce("label", "node").alias("label")), "members")
+        "key", "node", "n", "place", F.coalesce("label", "node").alias("label")), "members")
     open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     return stored(now.join(open_.select("key"), "key", "left_semi"), "members")
 
