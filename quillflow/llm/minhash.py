@@ -32,9 +32,9 @@ from quillflow.llm.words import mix, shingles, word_hashes
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-# Comparisons across components per remaining row, up to which all of them are made at once: among
-# members of a band, and among members that share a rare shingle.
-PAIRS_PER_ROW, RARE_PAIRS_PER_ROW = 20, 400
+# Pairs across components per remaining row, up to which those that share a rare shingle and may be
+# similar are all compared at once.
+PAIRS_PER_ROW = 400
 # Centres of a group that is too large for that, per round.
 CENTRES = 4
 _U = np.uint64
@@ -174,10 +174,10 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
                                F.sum((F.col("m") - F.col("big")["m"]) * F.col("m")).alias("pairs")).first()
             if not left["rows"]:
                 break
-            last = left["pairs"] <= (RARE_PAIRS_PER_ROW if rare else PAIRS_PER_ROW) * left["rows"]
-            if not last and not rare:
+            if not rare:
                 members, rare, centres = _rare_members(members, sets, percent), True, 1
                 continue
+            last = left["pairs"] <= PAIRS_PER_ROW * left["rows"]
         if last:
             # One side without the largest component of each key: few rows meet many.
             key = largest.select("key", F.col("big")["label"].alias("big"))

@@ -79,18 +79,26 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_rare_shingles_lose_no_link(spark, monkeypatch):
-    """Text that many documents share, with links that only rare shingles show."""
+@pytest.mark.parametrize("pairs_per_row, groups, copies", [(400, 30, 40), (-1, 3, 6)])
+def test_rare_shingles_lose_no_link(spark, monkeypatch, pairs_per_row, groups, copies):
+    """Text that many documents share, with links that only rare shingles show, and sets of
+    different sizes whose similarity lies around the limit; both ways to compare what is left."""
     rnd = random.Random(9)
     common = [f"c{i}" for i in range(40)]
     rows = []
-    for g in range(30):
+    for g in range(groups):
         own = [f"g{g}_{i}" for i in range(30)]
         for k in range(3):
             mine = list(own)
             mine[rnd.randrange(30)] = f"k{g}_{k}"
             rows.append((len(rows), " ".join(common + mine)))
-    monkeypatch.setattr(minhash, "PAIRS_PER_ROW", -1)
+    base = [f"b{i}" for i in range(100)]
+    for k in range(copies):
+        mine = base[:rnd.randint(88, 100)]
+        for place in rnd.sample(range(len(mine)), rnd.randint(1, 3)):
+            mine[place] = f"edit{rnd.randrange(60)}"
+        rows.append((len(rows), " ".join(mine)))
+    monkeypatch.setattr(minhash, "PAIRS_PER_ROW", pairs_per_row)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(
         spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
     monkeypatch.undo()
