@@ -3,47 +3,57 @@
 Tokens are words (A-Z lower-cased) and one end per text. A state is a context of 0 to ``DEPTH`` words that
 precede a token. From the training documents
 
-* a context is considered when its share of all tokens is at least ``MIN_SHARE`` (and its count at
-  least ``MIN_COUNT``), so there are at most 1 / MIN_SHARE of each length, however large the corpus;
-* its next-word counts are kept from a share of MIN_SHARE / 16 (and a count of 2) on; all other
-  next words are one leftover mass;
+* a context is considered when it occurs at least ``MIN_COUNT`` times;
+* its next words are kept from ``MIN_NEXT`` occurrences on; all other next words are one leftover mass;
 * it is retained when its next words diverge from those of its suffix (one word shorter): the
   Kullback-Leibler divergence is at least ``DIVERGENCE`` nats and significant for its count, or when a
   longer retained context ends in it;
 * P(w | s) = (n(s w) + (leftover(s) + PRIOR) * P(w | suffix of s)) / (n(s) + PRIOR), n(s w) = 0 where it
   isn't kept; P(w) of the root is (c + 1) / (N + V + 1). Each state's probabilities sum to the root's.
 
-A token is scored in the longest retained context that ends before it. So the score is the base score
-plus the gains log10(P(w | s) / P(w)); gains come from the tree alone, which is bounded by the shares
-and broadcast. Counting runs in Spark, one pass per context length; only counts above the
-shares come to the driver.
+A token is scored in the longest retained context that ends before it. All counts are absolute, so the
+tree grows with the corpus: it stays in written tables, one row per context and per kept next word.
 
-Base: words with a share of at least MIN_SHARE / 16, at most 16 / MIN_SHARE, are in the broadcast; the
-occurrences of the rest are joined with their counts. Words are told apart by 64-bit hashes.
+A kept next word of s is kept in the suffix of s, too, and the suffix of a retained context is retained.
+So the score is a sum of effects that are looked up one by one: log10(c + 1) of each token, the
+back-off weight (leftover + PRIOR) / (n + PRIOR) of each retained context before it, and for each kept
+next word what it adds to that. The most frequent ones, ``HOT_WORDS`` words and ``HOT_EFFECTS`` others,
+are broadcast; (document, effect, count) rows of the rest are joined. These bounds and the sieves
+(one-hash Bloom filters of a bounded size) decide where an effect is added, never whether.
+
+Words are told apart by 64-bit hashes; a sequence of words has the exclusive or of its words' hashes,
+rotated by their distance: ``key`` = word ^ ctx.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.llm.common import arrow_rows, chunked, stored
 from quillflow.llm.words import mix, word_hashes
 
 DEPTH = 3
-MIN_SHARE, MIN_COUNT = 2e-5, 50
+MIN_COUNT, MIN_NEXT = 50, 2
 DIVERGENCE = 0.02
 PRIOR = 4.0
 FOLDS, HELD_OUT = 7, 2
+# At most so many words and other effects are broadcast.
+HOT_WORDS, HOT_EFFECTS = 1_000_000, 2_500_000
+# Bits of a sieve per key, and at most.
+SIEVE_BITS, MAX_SIEVE_BITS = 16, 1 << 27
+ROTATE = 7
 # Counts that a training task gathers before it passes them on.
 HELD_ROWS = 3_000_000
 _END_HASH = int(mix(np.array([0xE0F], np.uint64)).view(np.int64)[0])
 _SCORE_FIELDS = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, "
-                 "rare array<struct<word:long,n:int>>")
+                 "rare array<struct<key:long,n:int>>")
 
 
 def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,71 +66,40 @@ def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SuffixTree:
-    """Listed words, contexts and their gains as sorted arrays.
+    """A whole tree in arrays, for a look at small corpora; scores come from the written tables.
 
-    Node 0 is the empty context. ``keys[d]`` holds (suffix node, word to the left) of the contexts of
-    d words; the node of the i-th is ``first[d]`` + i. Words are indexes into ``listed``.
+    Node 0 is the empty context. Words are indexes into ``listed``; ``gain_keys`` are (node, word).
     """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, vocabulary: int):
+    def __init__(self, words: DataFrame, tokens: int, vocabulary: int, levels: list[Level]):
+        read = lambda df: [c.to_numpy() for c in df.toArrow().columns]
+        hashes, counts = read(words.select("key", "n"))
         order = np.argsort(hashes)
-        self.listed, self.counts = hashes[order].copy(), counts[order].copy()
+        self.listed, self.counts = hashes[order], counts[order]
         self.tokens, self.vocabulary = tokens, vocabulary
-        self.first, self.keys = [0, 1], [np.array([0], np.int64)]
-        self.retained = np.ones(1, bool)
-        self.parent = np.zeros(1, np.int64)
-        self.backoff = np.zeros(1)  # log10 of the weight of the suffix
-        self.gain_keys, self.gains = np.empty(0, np.int64), np.empty(0)
+        self.contexts = np.zeros(1, np.int64)
+        self.retained, self.parent, self.backoff = np.ones(1, bool), np.zeros(1, np.int64), np.zeros(1)
+        keys, gains = [np.empty(0, np.int64)], [np.empty(0)]
+        for level in levels:
+            contexts, suffix, backoff, retained = read(level.nodes.select("ctx", "suffix", "backoff", "retained"))
+            self.parent = np.append(self.parent, self.nodes(suffix))
+            self.contexts = np.append(self.contexts, contexts)
+            self.backoff, self.retained = np.append(self.backoff, backoff), np.append(self.retained, retained)
+            key, ctx, logp = read(level.grams.select("key", "ctx", "logp"))
+            word = self.ids(key ^ ctx)
+            keys.append((self.nodes(ctx) << 32) | word)
+            gains.append(logp - np.log10((self.counts[word] + 1) / (tokens + vocabulary + 1)))
+        order = np.argsort(np.concatenate(keys))
+        self.gain_keys, self.gains = np.concatenate(keys)[order], np.concatenate(gains)[order]
+
+    def nodes(self, contexts: np.ndarray) -> np.ndarray:
+        order = np.argsort(self.contexts)
+        return order[_find(self.contexts[order], contexts, -1)]
 
     def ids(self, tokens: np.ndarray) -> np.ndarray:
         """Indexes of listed words; their number for any other word."""
         return _find(self.listed, tokens, len(self.listed))
 
-    def add_contexts(self, words: np.ndarray) -> int:
-        """Add contexts of one more word; rows of word indexes, the nearest word first."""
-        depth = words.shape[1]
-        suffix = np.zeros(len(words), np.int64)
-        for d in range(1, depth):
-            suffix = self._child(d, suffix, words[:, d - 1])
-        keys = np.sort((suffix << 32) | words[:, depth - 1])
-        self.keys.append(keys)
-        self.first.append(self.first[-1] + len(keys))
-        self.retained = np.append(self.retained, np.zeros(len(keys), bool))
-        self.parent = np.append(self.parent, keys >> 32)
-        self.backoff = np.append(self.backoff, np.zeros(len(keys)))
-        return len(keys)
-
-    def _child(self, depth: int, node: np.ndarray, word: np.ndarray) -> np.ndarray:
-        at = _find(self.keys[depth], (node << 32) | word, -1)
-        return np.where(at >= 0, self.first[depth] + at, -1)
-
-    def words_of(self, nodes: np.ndarray, depth: int) -> np.ndarray:
-        """The words of contexts of ``depth`` words, the nearest first."""
-        columns = []
-        for d in range(depth, 0, -1):
-            key = self.keys[d][nodes - self.first[d]]
-            columns.append(key & 0xFFFFFFFF)
-            nodes = key >> 32
-        return np.stack(columns[::-1], axis=1)
-
-    def states(self, ids: np.ndarray, place: np.ndarray, depth: int, retained: bool) -> np.ndarray:
-        """For each token the longest (retained) context before it; without ``retained`` the one of
-        exactly ``depth`` words, -1 where there is none. ``place``: tokens before it in its text."""
-        here = np.zeros(len(ids), np.int64)
-        best = np.zeros(len(ids), np.int64)
-        at = np.arange(len(ids))
-        for d in range(1, depth + 1):
-            at = at[place[at] >= d]
-            here[at] = self._child(d, here[at], ids[at - d])
-            at = at[here[at] >= 0]
-            if retained:
-                best[at] = np.where(self.retained[here[at]], here[at], best[at])
-        if retained:
-            return best
-        out = np.full(len(ids), -1, np.int64)
-        out[at] = here[at]
-        return out
-
     def gain(self, nodes: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10(P(word | node) / P(word)): the kept next word of the longest suffix that has it."""
         out = np.zeros(len(nodes))
@@ -136,37 +115,13 @@ class SuffixTree:
             open_ = open_[nodes[open_] > 0]
         return out
 
-    def learn(self, totals: tuple[np.ndarray, np.ndarray], kept: tuple[np.ndarray, np.ndarray],
-              divergence: float = DIVERGENCE, prior: float = PRIOR) -> None:
-        """Next-word counts of the newest contexts: (node, count) of all, (key, count) of the kept ones."""
-        weight = np.zeros(self.first[-1])
-        weight[totals[0]] = totals[1]
-        order = np.argsort(kept[0])
-        keys, n = kept[0][order], kept[1][order].astype(float)
-        node, word = keys >> 32, keys & 0xFFFFFFFF
-        size = len(weight)
-        leftover = np.maximum(weight - np.bincount(node, n, size), 0.0)
-        shorter = self.gain(self.parent[node], word)
-        root = (self.counts[word] + 1) / (self.tokens + self.vocabulary + 1)
-        suffix = root * 10 ** shorter
-        p, q = n / weight[node], suffix
-        rest_p, rest_q = leftover / np.maximum(weight, 1), np.clip(1 - np.bincount(node, q, size), 1e-12, 1)
-        distance = np.bincount(node, p * np.log(p / q), size) + np.where(
-            rest_p > 0, rest_p * np.log(np.maximum(rest_p, 1e-300) / rest_q), 0)
-        free = np.bincount(node, minlength=size)
-        new = slice(self.first[-2], self.first[-1])
-        self.retained[new] = ((distance >= divergence) & (2 * weight * distance >= free + 4 * np.sqrt(2 * free)))[new]
-        self.backoff[new] = np.log10((leftover + prior) / (weight + prior))[new]
-        gains = np.log10((n + (leftover[node] + prior) * suffix) / (weight[node] + prior)) - np.log10(root)
-        keys = np.append(self.gain_keys, keys)
-        order = np.argsort(keys)
-        self.gain_keys, self.gains = keys[order], np.append(self.gains, gains)[order]
-
-    def close(self) -> None:
-        """Whatever a retained context ends in is retained, too."""
-        for d in range(len(self.keys) - 1, 0, -1):
-            nodes = np.arange(self.first[d], self.first[d + 1])
-            self.retained[self.parent[nodes[self.retained[nodes]]]] = True
+
+class Level(NamedTuple):
+    """Written contexts of one length (ctx, suffix, weight, backoff, retained) and their kept next
+    words (key, ctx, suffix, n, logp, extra); ``extra``: logp less the suffix's logp and the backoff."""
+
+    nodes: DataFrame
+    grams: DataFrame
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
@@ -177,35 +132,42 @@ def _find(keys: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
     return np.where(keys[at] == wanted, at, missing)
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in held])
+def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns (key, columns that depend on it, count) with one row per key."""
+    keys, *rest, counts = map(np.concatenate, zip(*held))
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], np.concatenate([c for _, c in held])[order]
+    keys = keys[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
+    return [keys[first], *(c[order[first]] for c in rest), np.add.reduceat(counts[order], first)]
 
 
-def counted(docs: DataFrame, keys_of: Callable[[], Callable[[list[bytes]], np.ndarray]], purpose: str) -> DataFrame:
+def counted(docs: DataFrame, keys_of: Callable[[], Callable[[list[bytes]], np.ndarray | tuple]], purpose: str | None,
+            beside: tuple[str, ...] = (), least: int = 1) -> DataFrame:
     """(key, n): how often ``keys_of()(texts)`` gives each key, over all texts; written.
 
-    Tasks count in arrays of a bounded size before the shuffle.
+    With ``beside`` it gives a tuple: the keys and columns of these names, which depend on the key.
+    Counts below ``least`` are left out. Tasks count in arrays of a bounded size before the shuffle.
+    Without a ``purpose`` nothing is written yet.
     """
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+    names = ["key", *beside, "n"]
+    schema = pa.schema([(name, pa.int64()) for name in names])
 
     def passed_on(held) -> Iterator[pa.RecordBatch]:
-        keys, counts = _merged(held)
-        for a in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[a:a + 200_000]), pa.array(counts[a:a + 200_000])], schema=schema)
+        columns = _merged(held)
+        for a in range(0, len(columns[0]), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[a:a + 200_000]) for c in columns], schema=schema)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list = []
         size, take = 0, keys_of()
         for batch in batches:
             for chunk in chunked(arrow_rows(batch)):
-                found, counts = np.unique(take([row[0] for row in chunk]), return_counts=True)
-                held.append((found, counts.astype(np.int64)))
-                size += len(found)
+                found = take([row[0] for row in chunk])
+                keys, *rest = found if beside else (found,)
+                keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+                if len(keys):
+                    held.append([keys, *(c[first] for c in rest), counts.astype(np.int64)])
+                size += len(keys)
                 if size > HELD_ROWS:
                     held = [_merged(held)]
                     size = len(held[0][0])
@@ -215,66 +177,146 @@ def counted(docs: DataFrame, keys_of: Callable[[], Callable[[list[bytes]], np.nd
         if held:
             yield from passed_on(held)
 
-    return stored(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(
-        F.sum("n").alias("n")), purpose)
+    rows = docs.select("text").mapInArrow(run, ", ".join(f"{name} long" for name in names))
+    sums = rows.groupBy("key", *beside).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return stored(sums, purpose) if purpose else sums
 
 
-def fit_tree(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE,
-             min_count: int = MIN_COUNT, divergence: float = DIVERGENCE, prior: float = PRIOR) -> SuffixTree:
-    """The tree of ``docs`` (text) whose word counts (key, n) are ``words``.
+def sieve(keys: DataFrame) -> np.ndarray:
+    """Bits by which ``passes`` tells most keys that aren't in ``keys`` (key); none of those in it."""
+    wanted = SIEVE_BITS * keys.count()
+    bits = min(max(64, 1 << max(0, wanted - 1).bit_length()), MAX_SIEVE_BITS)
+    slot = F.col("key").bitwiseAND(F.lit(bits - 1))
+    rows = keys.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63L AS int))").alias("bit")).groupBy(
+        "at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out
 
-    To the driver come at most 16 / min_share words and, for each context length, 1 / min_share
-    contexts and 16 / min_share next words.
-    """
-    spark = docs.sparkSession
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tokens, least = size["n"], min_share * size["n"]
-    listed = words.where(F.col("n") >= least / 16).select("key", "n").toArrow()
-    tree = SuffixTree(listed.column("key").to_numpy(), listed.column("n").to_numpy(), tokens, size["v"])
-    end = _find(tree.listed, np.array([_END_HASH]), -1)
-    often = max(least, min_count)
-    new = np.setdiff1d(np.flatnonzero(tree.counts >= often), end)[:, None]
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & (len(bits) * 64 - 1)
+    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def _rotated(keys: np.ndarray, by: int) -> np.ndarray:
+    keys = keys.view(np.uint64)
+    return ((keys << np.uint64(by)) | (keys >> np.uint64(64 - by))).view(np.int64)
+
+
+def _rotated_column(key: Column) -> Column:
+    return F.shiftleft(key, ROTATE).bitwiseOR(F.shiftrightunsigned(key, 64 - ROTATE))
+
+
+def contexts_before(tokens: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``depth`` words: places that so many words precede in their text, and their context's hash."""
+    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    at, ctx = np.arange(len(tokens)), np.zeros(len(tokens), np.int64)
     for d in range(1, depth + 1):
-        if not len(new) or not tree.add_contexts(new):
-            break
-        shared = spark.sparkContext.broadcast(vars(tree))
-        grams = counted(docs, _grams_of(shared, d), f"grams{d}")
-        totals = grams.groupBy(F.shiftright("key", 32).alias("node")).agg(F.sum("n").alias("n")).toArrow()
-        kept = grams.where((F.col("n") >= max(least / 16, 2)) & (
-            F.col("key").bitwiseAND(0xFFFFFFFF) != len(tree.listed))).toArrow()
-        keys, n = (kept.column(c).to_numpy() for c in ("key", "n"))
-        tree.learn((totals.column("node").to_numpy(), totals.column("n").to_numpy()), (keys, n), divergence, prior)
-        longer = keys[(n >= often) & ~np.isin(keys & 0xFFFFFFFF, end)]
-        new = np.concatenate(((longer & 0xFFFFFFFF)[:, None], tree.words_of(longer >> 32, d)), axis=1)
-    tree.close()
-    return tree
+        inside = place[at] >= d
+        at = at[inside]
+        ctx = ctx[inside] ^ _rotated(tokens[at - d], ROTATE * d)
+        yield at, ctx
 
 
 def _grams_of(shared, depth: int):
     def start():
-        tree = restored(shared.value)
+        bits = shared.value
 
-        def keys(texts: list[bytes]) -> np.ndarray:
+        def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             tokens, first = token_stream(texts)
-            ids = tree.ids(tokens)
-            nodes = tree.states(ids, _places(first), depth, retained=False)
-            inside = nodes >= 0
-            return (nodes[inside] << 32) | ids[inside]
+            *_, (at, ctx) = contexts_before(tokens, first, depth)
+            maybe = passes(bits, ctx)
+            return tokens[at[maybe]] ^ ctx[maybe], ctx[maybe]
 
         return keys
 
     return start
 
 
-def restored(state: dict) -> SuffixTree:
-    """A tree from its attributes (arrays travel in a broadcast, classes by value don't)."""
-    tree = SuffixTree.__new__(SuffixTree)
-    vars(tree).update(state)
-    return tree
+def _let_go(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written; it does so as their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _least_count(effects: DataFrame, most: int) -> int:
+    """The least n from which on there are at most ``most`` rows."""
+    sizes = effects.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).toArrow()
+    n, rows = sizes.column("n").to_numpy(), np.cumsum(sizes.column("count").to_numpy())
+    fits = int(np.searchsorted(rows, most, side="right"))
+    return int(n[fits - 1]) if fits else 1 << 62
 
 
-def _places(first: np.ndarray) -> np.ndarray:
-    return np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+def fit_levels(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT,
+               divergence: float = DIVERGENCE, prior: float = PRIOR) -> tuple[int, int, list[Level]]:
+    """Tokens, vocabulary and the written tree of ``docs`` (text) whose word counts (key, n) are ``words``."""
+    spark = docs.sparkSession
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    tokens, vocabulary = size["n"], size["v"]
+    root = F.log10((F.col("n") + F.lit(1.0)) / F.lit(float(tokens + vocabulary + 1)))
+    shorter = words.select("key", F.lit(0).cast("long").alias("ctx"), F.lit(0).cast("long").alias("suffix"), "n",
+                           root.alias("logp"))
+    levels: list[Level] = []
+    for d in range(1, depth + 1):
+        # Every context is followed by a token, so it occurs as often as its words in a row.
+        word = F.col("key").bitwiseXOR(F.col("ctx"))
+        considered = shorter.where((F.col("n") >= min_count) & (word != _END_HASH))
+        contexts = stored(considered.select(
+            _rotated_column(F.col("key")).alias("ctx"),
+            (_rotated_column(F.col("suffix").bitwiseXOR(word)) if d > 1 else F.lit(0).cast("long")).alias("suffix"),
+            F.col("n").alias("weight")), f"contexts{d}")
+        if contexts.isEmpty():
+            break
+        shared = spark.sparkContext.broadcast(sieve(contexts.select(F.col("ctx").alias("key"))))
+        grams = counted(docs, _grams_of(shared, d), None, ("ctx",), MIN_NEXT).join(contexts, "ctx")
+        # The same next word of the suffix: it occurs there at least as often, so it is kept there.
+        grams = stored(grams.withColumn("short", word.bitwiseXOR(F.col("suffix"))).join(
+            shorter.select(F.col("key").alias("short"), F.col("logp").alias("short_logp")), "short").drop("short"), f"kept{d}")
+        q = F.pow(F.lit(10.0), F.col("short_logp"))
+        sums = grams.groupBy("ctx").agg(
+            F.sum("n").alias("kept"), F.count("*").alias("free"), F.sum(q).alias("q"),
+            F.sum(F.col("n") * (F.log("n") - F.col("short_logp") * float(np.log(10.0)))).alias("a"))
+        weight = F.col("weight").cast("double")
+        leftover = F.greatest(F.col("weight") - F.coalesce("kept", F.lit(0)), F.lit(0)).cast("double")
+        rest_q = F.least(F.greatest(1 - F.coalesce("q", F.lit(0.0)), F.lit(1e-12)), F.lit(1.0))
+        distance = F.coalesce((F.col("a") - F.col("kept") * F.log(weight)) / weight, F.lit(0.0)) + F.when(
+            leftover > 0, leftover / weight * F.log(leftover / weight / rest_q)).otherwise(0.0)
+        free = F.coalesce("free", F.lit(0)).cast("double")
+        nodes = stored(contexts.join(sums, "ctx", "left").select(
+            "ctx", "suffix", "weight", F.log10((leftover + prior) / (weight + prior)).alias("backoff"),
+            leftover.alias("leftover"),
+            ((distance >= divergence) & (2 * weight * distance >= free + 4 * F.sqrt(2 * free))).alias("retained")), f"nodes{d}")
+        logp = F.log10((F.col("n") + (F.col("leftover") + prior) * q) / (weight + prior))
+        shorter = stored(grams.join(nodes.select("ctx", "leftover", "backoff"), "ctx").select(
+            "key", "ctx", "suffix", "n", logp.alias("logp"),
+            (logp - F.col("short_logp") - F.col("backoff")).alias("extra")), f"next{d}")
+        levels.append(Level(nodes, shorter))
+        del grams, contexts, considered, sums
+        _let_go(spark)
+    # Whatever a retained context ends in is retained, too.
+    for d in range(len(levels) - 1, 0, -1):
+        used = levels[d].nodes.where("retained").select(F.col("suffix").alias("ctx")).distinct().withColumn("used", F.lit(True))
+        nodes = levels[d - 1].nodes.join(used, "ctx", "left").withColumn(
+            "retained", F.col("retained") | F.col("used").isNotNull()).drop("used")
+        levels[d - 1] = levels[d - 1]._replace(nodes=stored(nodes, f"closed{d}"))
+    return tokens, vocabulary, levels
+
+
+def fit_tree(docs: DataFrame, words: DataFrame, **options) -> SuffixTree:
+    """The whole tree on the driver."""
+    return SuffixTree(words, *fit_levels(docs, words, **options))
+
+
+def effects(levels: list[Level]) -> DataFrame | None:
+    """(key, n, value) of the retained contexts (key: ctx) and of their kept next words; written."""
+    found = None
+    for nodes, grams in levels:
+        kept = nodes.where("retained")
+        rows = kept.select(F.col("ctx").alias("key"), F.col("weight").alias("n"), F.col("backoff").alias("value")).unionByName(
+            grams.join(kept.select("ctx"), "ctx", "left_semi").select("key", "n", F.col("extra").alias("value")))
+        found = rows if found is None else found.unionByName(rows)
+    return found if found is None else stored(found, "effects")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -282,6 +324,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
+def _sorted(effects: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(key, value) by key."""
+    rows = effects.select("key", "value").toArrow()
+    keys, values = rows.column("key").to_numpy(), rows.column("value").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def score_texts(docs: DataFrame) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) by a model of the training documents among them.
 
@@ -293,46 +343,65 @@ def score_texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     training = rows.where("NOT held_out").select("text")
     words = counted(training, lambda: lambda texts: token_stream(texts)[0], "words")
-    tree = fit_tree(training, words)
-    shared = spark.sparkContext.broadcast(vars(tree))
+    total, vocabulary, levels = fit_levels(training, words)
+    counts = words.select("key", "n", F.log10(F.col("n") + F.lit(1.0)).alias("value"))
+    tree = effects(levels)
+    tree = counts.limit(0) if tree is None else tree
+    both = ((counts, F.col("n") >= _least_count(counts, HOT_WORDS)), (tree, F.col("n") >= _least_count(tree, HOT_EFFECTS)))
+    shared = spark.sparkContext.broadcast((
+        *(_sorted(df.where(hot)) for df, hot in both), sieve(tree.select("key")), len(levels)))
+    del levels
+    _let_go(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                         ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()),
-                        ("rare", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())])))])
+                        ("rare", pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())])))])
 
     def run(batches):
-        tree = restored(shared.value)
-        weight, unlisted = np.append(np.log10(tree.counts + 1.0), 0.0), len(tree.listed)
+        (listed, weight), (keys, values), bits, depth = shared.value
+        weight = np.append(weight, 0.0)
         for batch in batches:
             for chunk in chunked(arrow_rows(batch, "doc_id", "held_out")):
                 tokens, first = token_stream([row[0] for row in chunk])
-                ids = tree.ids(tokens)
-                nodes = tree.states(ids, _places(first), len(tree.keys) - 1, retained=True)
+                ids = _find(listed, tokens, len(listed))
+                missing = ids == len(listed)
+                gain = np.zeros(len(tokens))
+                rare_at, rare_key = [np.flatnonzero(missing)], [tokens[missing]]
+                for at, ctx in contexts_before(tokens, first, depth):
+                    for key in (ctx, tokens[at] ^ ctx):
+                        maybe = passes(bits, key)
+                        place, key = at[maybe], key[maybe]
+                        found = _find(keys, key, -1)
+                        gain[place] += np.where(found >= 0, np.append(values, 0.0)[found], 0.0)
+                        rare_at.append(place[found < 0])
+                        rare_key.append(key[found < 0])
                 sums = lambda values: np.add.reduceat(values, first[:-1])  # noqa: E731  every text has a token
-                rare_words, rare_counts, offsets = [], [], [0]
-                missing = ids == unlisted
-                for a, b in zip(first[:-1], first[1:]):
-                    word, n = np.unique(tokens[a:b][missing[a:b]], return_counts=True)
-                    rare_words.append(word)
-                    rare_counts.append(n)
-                    offsets.append(offsets[-1] + len(word))
+                text = np.searchsorted(first, np.concatenate(rare_at), side="right") - 1
+                key = np.concatenate(rare_key)
+                order = np.lexsort((key, text))
+                text, key = text[order], key[order]
+                start = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0))
+                offsets = np.searchsorted(text[start], np.arange(len(chunk) + 1))
                 rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(np.concatenate(rare_words), pa.int64()),
-                     pa.array(np.concatenate(rare_counts), pa.int32())], names=["word", "n"]))
+                    [pa.array(key[start], pa.int64()),
+                     pa.array(np.diff(start, append=len(key)), pa.int32())], names=["key", "n"]))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([row[1] for row in chunk], pa.int64()), pa.array([row[2] for row in chunk], pa.bool_()),
                     pa.array(np.diff(first)), pa.array(sums((~missing).astype(np.int64))),
-                    pa.array(sums(weight[ids])), pa.array(sums(tree.gain(nodes, ids))), rare], schema=schema)
+                    pa.array(sums(weight[ids])), pa.array(sums(gain)), rare], schema=schema)
 
     parts = stored(rows.mapInArrow(run, _SCORE_FIELDS).withColumn("row", F.monotonically_increasing_id()), "scores")
-    tail = words.where(F.col("n") < MIN_SHARE * tree.tokens / 16).select(
-        F.col("key").alias("word"), F.col("n").alias("c"))
-    used = parts.select("row", F.inline("rare")).join(tail, "word").select(
-        "row", F.col("n").cast("long").alias("n_known"), (F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("base"))
-    # The row of a document and the parts of its rare words meet in one sum.
+    rest, more = (df.where(~hot).withColumn("known", F.lit(k)) for k, (df, hot) in zip((1, 0), both))
+    tail = rest.unionByName(more)
+    added = F.col("n") * F.col("value")
+    used = parts.select("row", F.inline("rare")).join(tail.drop("n"), "key").select(
+        "row", (F.col("n") * F.col("known")).cast("long").alias("n_known"),
+        F.when(F.col("known") == 1, added).otherwise(0.0).alias("base"),
+        F.when(F.col("known") == 0, added).otherwise(0.0).alias("gain"))
+    # The row of a document and the parts of its rare effects meet in one sum.
     whole = parts.drop("rare").unionByName(used, allowMissingColumns=True).groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "gain")),
-        F.sum("n_known").alias("n_known"), F.sum("base").alias("base"))
-    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(tree.tokens + tree.vocabulary + 1)))
+        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")),
+        *(F.sum(c).alias(c) for c in ("n_known", "base", "gain")))
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + vocabulary + 1)))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known",
-                        F.lit(tree.tokens).cast("long").alias("train_tokens"), base.alias("base_score"),
+                        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),
                         (base + F.col("gain")).alias("score"))

@@ -291,6 +291,83 @@ def test_suffix_tree_sums_and_gains(spark):
     assert all(r.score > r.base_score for r in suffix_lm.score_texts(frame).collect())
 
 
+def plain_gains(texts):
+    """Gains of texts by a tree of them in dictionaries, all counts absolute."""
+    streams = [WORD.findall(t.translate(LOWER)) + [None] for t in texts]
+    counts = Counter(w for s in streams for w in s)
+    total = sum(counts.values()) + len(counts) + 1
+    nexts = {}
+    for s in streams:
+        for i, w in enumerate(s):
+            for d in range(1, min(3, i) + 1):
+                nexts.setdefault(tuple(s[i - d:i]), Counter())[w] += 1
+    nexts = {c: n for c, n in nexts.items() if sum(n.values()) >= suffix_lm.MIN_COUNT}
+    prior = suffix_lm.PRIOR
+
+    def probability(context, w):
+        if not context:
+            return (counts[w] + 1) / total
+        all_, kept = sum(nexts[context].values()), {x: n for x, n in nexts[context].items() if n >= 2}
+        rest = all_ - sum(kept.values())
+        return (kept.get(w, 0) + (rest + prior) * probability(context[1:], w)) / (all_ + prior)
+
+    retained = set()
+    for c, n in nexts.items():
+        all_, kept = sum(n.values()), {x: k for x, k in n.items() if k >= 2}
+        q = {x: probability(c[1:], x) for x in kept}
+        rest = 1 - sum(kept.values()) / all_
+        distance = sum(k / all_ * math.log(k / all_ / q[x]) for x, k in kept.items())
+        if all_ > sum(kept.values()):
+            distance += rest * math.log(rest / min(1, max(1e-12, 1 - sum(q.values()))))
+        if distance >= suffix_lm.DIVERGENCE and 2 * all_ * distance >= len(kept) + 4 * math.sqrt(2 * len(kept)):
+            retained.update(c[k:] for k in range(len(c)))
+    out = []
+    for s in streams:
+        gain = 0.0
+        for i, w in enumerate(s):
+            context = next((c for d in (3, 2, 1) if d <= i and (c := tuple(s[i - d:i])) in retained), ())
+            gain += math.log10(probability(context, w) / probability((), w))
+        out.append(gain)
+    return out, retained
+
+
+@pytest.mark.parametrize("hot", [None, 15, 0])
+def test_suffix_tree_scores_against_plain_python(spark, monkeypatch, hot):
+    """Wherever an effect is added, by broadcast or by join, the score is the same."""
+    rnd = random.Random(11)
+    say = lambda: " ".join(rnd.choice("the cat sat on a mat and|the dog lay on the rug|one day a fox ran by|".split("|"))
+                           + rnd.choice(["", f" x{rnd.randrange(400)}", " the"]) for _ in range(6))
+    rows = [(i, say()) for i in range(-200, 0) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for name in ("HOT_WORDS", "HOT_EFFECTS"):
+        monkeypatch.setattr(suffix_lm, name, getattr(suffix_lm, name) if hot is None else hot)
+    got = {r.doc_id: r.score - r.base_score for r in
+           suffix_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want, retained = plain_gains([t for _, t in rows])
+    assert len(retained) > 10 and {len(c) for c in retained} == {1, 2, 3}
+    assert [got[i] for i, _ in rows] == pytest.approx(want, abs=1e-6)
+
+
+def test_suffix_tree_keeps_its_states_in_a_larger_corpus(spark):
+    """What 70 documents teach is known however much other text there is."""
+    rows = [(i, "a heron waits beside the quiet water") for i in range(-70, 0) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(rows) >= suffix_lm.MIN_COUNT
+    small = spark.createDataFrame(rows, "doc_id long, text string")
+    fill = spark.range(800).where("crc32(cast(id AS string)) % 7 <> 2").selectExpr(
+        "id AS doc_id", "repeat('filler words of no use ', 1200) AS text")
+    gains = lambda docs: suffix_lm.score_texts(docs).where("doc_id < 0").selectExpr(
+        "min((score - base_score) / n_tokens) AS least", "max(train_tokens) AS tokens").first()
+    alone, among = gains(small), gains(small.unionByName(fill))
+    assert among.tokens * 2e-5 > len(rows)
+    assert alone.least > 0.5 and among.least > alone.least
+
+
+def test_suffix_tree_with_tasks_without_contexts(spark):
+    rows = [(i, "one two three four") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1).unionByName(
+        spark.createDataFrame([(500, ""), (501, None)], "doc_id long, text string").repartition(1))
+    assert suffix_lm.score_texts(docs).count() == 122
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.org/es/1?x", "https://EXAMPLE.ORG/en/12", "http://example.org", "http://x.com/de/1#a", None,
             "no scheme", "http://b.com/fr/", "http://notexample.org/es/", "http://spam-farm.net/x", "http://a.net/cgi-bin/x",
