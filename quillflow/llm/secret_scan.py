@@ -1,10 +1,13 @@
 """Secret scans: broad candidates, and a random forest that removes the false findings.
 
 A candidate is a run of at least 12 characters of keys and tokens with a digit in it (the value
-after a ``name=``). Ten features describe it: length, character transitions, entropy, shares of digits
-and upper case, dictionary coverage (words of a public vocabulary), marks of paths and addresses,
-credential and harmless words beside it, hexadecimal or not. The forest is trained by Spark ML
-on labelled findings and ships to the tasks as a few hundred nodes.
+after a ``name=``), the whole value that is assigned to a credential word (quoted, or up to the next
+blank; any characters, with or without a digit), or the password of a ``user:password@host``; the last two
+from ``MIN_VALUE`` characters on. Candidates may lie in one another. Twelve features describe one: length,
+character transitions, entropy, shares of digits, upper case and marks, dictionary coverage (words of a
+public vocabulary), marks of paths and addresses, credential and harmless words beside it, hexadecimal
+or not, assigned or not. The forest is trained by Spark ML on labelled findings and ships to the tasks
+as a few hundred nodes.
 
 Labelled findings: a table (before, candidate, after, label) of the caller's own, or candidates of
 the corpus that a strict rule decides (formats of known issuers and values assigned to a credential
@@ -19,7 +22,7 @@ import hashlib
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +41,17 @@ BESIDE = 48
 _RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{12,}")
 _DIGIT = re.compile(r"[0-9]")
 _ASSIGNED = re.compile(r"([A-Za-z][A-Za-z_.\-]{1,40})=(?=.{8})")
+MIN_VALUE = 6
+_SIGN = re.compile(r"=>|:=|[=:]")
+# The name before an assignment sign; a word of its own, also in camel case or joined by marks.
+_NAME = re.compile(
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|secret|auth|private)?key"
+    r"|(?:auth|access)token|auth(?:orization)?|bearer|credentials?|private|login)s?[\"']?[ \t]{0,4}\Z")
+_VALUE = re.compile(
+    r"[ \t]{0,4}(?i:(?:bearer|basic)[ \t]+)?(?:\"(?P<double>(?:\\.|[^\"\\\n])+)\"|'(?P<single>(?:\\.|[^'\\\n])+)'"
+    r"|[\"']?(?P<bare>(?:(?!&[A-Za-z_][\w.\-]*=)[^\s\"'])(?:(?!&[A-Za-z_][\w.\-]*=)\S)*))")
+_USER = re.compile(r"(?:://[^\s/:@]*|(?<![^\s\"'(\[<])(?!mailto:)[\w.+\-]+):\Z")
+_PASSWORD = re.compile(r"([^\s/]+)@(?=[A-Za-z0-9\[])")
 _WORD = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 # Formats of known issuers.
 _ISSUED = re.compile(
@@ -53,12 +67,16 @@ HARMLESS_WORDS = frozenset(
     "invoice phone tel page figure build release etag session file path url ref".split())
 
 FEATURES = ("length", "transitions", "entropy", "digits", "upper", "dictionary", "path", "credential", "harmless",
-            "hexadecimal")
+            "hexadecimal", "marks", "assigned")
 FINDING = ("doc_id long, start long, end long, secret_sha256 string, votes double, is_secret boolean")
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the candidates of a text, in code points."""
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the candidates of a text, in code points, in order."""
+    return sorted({*_runs(text), *_values(text)})
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
     for m in _RUN.finditer(text):
         run = m.group()
         if not _DIGIT.search(run):
@@ -73,6 +91,34 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    """Values assigned to a credential word, and passwords before a host."""
+    for sign in _SIGN.finditer(text):
+        start, end = 0, 0
+        before = text[max(0, sign.start() - BESIDE):sign.end()]
+        if before[-1] == ":" and _USER.search(before):
+            found = _PASSWORD.match(text, sign.end())
+            if found:
+                start, end = found.span(1)
+        if not end and _NAME.search(text[max(0, sign.start() - BESIDE):sign.start()]):
+            found = _VALUE.match(text, sign.end())
+            if found:
+                start, end = found.span(found.lastgroup)
+                while found.lastgroup == "bare" and end > start and text[end - 1] in ",;.)]}\"'":
+                    end -= 1
+        if end - start >= MIN_VALUE:
+            yield start, end
+
+
+def _assigned(before: str, after: str) -> bool:
+    """Whether a value between these texts is assigned to a credential word, or a password before a host."""
+    if after[:1] == "@" and _USER.search(before):
+        return True
+    name = re.sub(r"(?i:[ \t](?:bearer|basic)[ \t]+)\Z", "", before.rstrip("\"'")).rstrip(" \t")
+    sign = re.search(r"(?:=>|:=|[=:])\Z", name)
+    return bool(sign and _NAME.search(name[:sign.start()]))
+
+
 def dictionary(path: str) -> frozenset[str]:
     """Whole words of three letters or more of a vocabulary that marks the end of words."""
     import json
@@ -105,12 +151,15 @@ def features(before: str, value: str, after: str, words: frozenset[str]) -> list
     counts = [value.count(c) for c in set(value)]
     beside = [w.lower() for w in _WORD.findall(before)[-4:]]
     near = set(beside) | {p for w in beside for p in w.split("_")}
-    marks = sum(value.count(c) for c in "/.") + 2 * ("://" in before[-12:] or "@" in before[-1:] + after[:1])
+    assigned = _assigned(before, after)
+    address = not assigned and ("://" in before[-12:] or "@" in before[-1:] + after[:1])
+    marks = sum(value.count(c) for c in "/.") + 2 * address
     return [
         math.log2(n), sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
         -sum(c / n * math.log2(c / n) for c in counts), kinds.count(0) / n, kinds.count(2) / n,
         covered(value, words), float(marks), float(bool(near & CREDENTIAL_WORDS)),
-        float(bool(near & HARMLESS_WORDS)), float(all(c in "0123456789abcdefABCDEF" for c in value))]
+        float(bool(near & HARMLESS_WORDS)), float(all(c in "0123456789abcdefABCDEF" for c in value)),
+        kinds.count(3) / n, float(assigned)]
 
 
 def sure_label(before: str, value: str, after: str) -> int | None:
@@ -118,11 +167,14 @@ def sure_label(before: str, value: str, after: str) -> int | None:
     beside = {w.lower() for w in _WORD.findall(before)[-2:]}
     if _ISSUED.fullmatch(value):
         return 1
+    if after[:1] == "@" and _USER.search(before):
+        return 1 if _DIGIT.search(value) and "://" in before else None
     if (_NUMBERS.fullmatch(value) or _UUID.fullmatch(value) or "://" in before[-12:]
             or "@" in before[-1:] + after[:1] or beside & HARMLESS_WORDS):
         return 0
     assigned = before.rstrip(" \"'")[-1:] in ("=", ":")
-    return 1 if assigned and beside & CREDENTIAL_WORDS else None
+    # A value without a digit may be an ordinary word.
+    return 1 if assigned and beside & CREDENTIAL_WORDS and _DIGIT.search(value) and " " not in value else None
 
 
 def made_findings(count: int = 40, seed: int = SEED) -> list[tuple[str, str, str, int]]:
@@ -134,7 +186,24 @@ def made_findings(count: int = 40, seed: int = SEED) -> list[tuple[str, str, str
     out = []
     for _ in range(count):
         named = rnd.choice(["password", "api_key", "secret", "auth_token", "access_key", "token"])
+        strong = pick(mixed, rnd.randint(5, 12)) + rnd.choice("!&#$%?*") + pick(mixed + "!&#$%?*", rnd.randint(1, 5))
+        letters, lower = mixed[:-10], mixed[26:-10]
+        plain = "".join(rnd.choice("bcdfghklmnprstvw") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4)))
+        prose = rnd.choice("required optional string missing changed incorrect forgotten protected another everything "
+                           "nothing function undefined different important available successful".split())
+        blank = rnd.choice(["<your password>", "${DB_PASSWORD}", "********", "{{ secret }}", "<secret>", "$PASSWORD", "%(token)s",
+                            "xxxxxxxx", "os.environ['TOKEN']", "getpass.getpass()", "your-password-here"])
         out += [
+            (f'{named} = "', strong, '"', 1), (f"with {named}=", strong, " and more", 1),
+            (f"{named}: ", rnd.choice([plain, prose]) + str(rnd.randint(10, 9999)), ", then", 1),
+            (f'{named} = "', pick(letters, rnd.randint(12, 32)), '"', 1),
+            (f"{named}: ", pick(lower, rnd.randint(8, 20)), " and more", 1),
+            (f"at {rnd.choice(['postgres', 'mysql', 'https', 'amqp'])}://{plain}:",
+             rnd.choice([strong, pick(mixed, 12) + "9", pick(lower, 10)]), f"@{prose}.example.com/db", 1),
+            (f"{named}: ", prose, rnd.choice([" and more", ", but"]), 0), (f'{named} = "', prose, '"', 0),
+            (f"the {rnd.choice([named, 'key', 'pass', 'login'])}: ", prose, " words", 0),
+            (rnd.choice([f"{named}: ", f'{named} = "', f"{named}="]), blank, "", 0),
+            ("write to ", f"{plain}.{prose}{rnd.randint(10, 99)}", f"@{prose}.example.com today", 0),
             (f"set {named}=", pick(hexa, rnd.randint(16, 40)) + "7", "", 1),
             (f'the {named} = "', pick(mixed, rnd.randint(16, 44)) + "3", '"', 1),
             ("some words and ", "AKIA" + pick(upper, 16), " more words", 1),
@@ -285,6 +354,17 @@ def scan(docs: DataFrame, forest: Forest, path: str, threshold: float = THRESHOL
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINDING)
 
 
+def _joined(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, with those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def redact(docs: DataFrame, forest: Forest, path: str, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mask``; ``n_chars`` follows the text if it is there.
 
@@ -297,12 +377,14 @@ def redact(docs: DataFrame, forest: Forest, path: str, threshold: float = THRESH
         for texts in columns:
             out = []
             for text in texts:
-                spans = [*candidates(text or "")]
+                spans = candidates(text or "")
                 if spans:
                     votes = forest.votes(np.array([features(*_around(text, a, b), words) for a, b in spans]))
-                    for (a, b), vote in reversed([*zip(spans, votes)]):
-                        if vote >= threshold:
-                            text = text[:a] + mask + text[b:]
+                    parts, done = [], 0
+                    for a, b in _joined(span for span, vote in zip(spans, votes) if vote >= threshold):
+                        parts += [text[done:a], mask]
+                        done = b
+                    text = "".join(parts) + text[done:]
                 out.append(text)
             yield pd.Series(out, dtype=object)
 

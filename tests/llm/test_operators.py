@@ -291,6 +291,29 @@ def test_suffix_tree_sums_and_gains(spark):
     assert all(r.score > r.base_score for r in suffix_lm.score_texts(frame).collect())
 
 
+LEAKS = {
+    'the password = "Tr0ub4dor&3!x9Q" here': "Tr0ub4dor&3!x9Q",
+    "password: hunter2024, and so on": "hunter2024",
+    'api_key = "qwertyuiopASDFGHJKLzxcvbnm"': "qwertyuiopASDFGHJKLzxcvbnm",
+    "run it with pwd=Ab3!xY9#kQ2$mN7": "Ab3!xY9#kQ2$mN7",
+    "open postgres://app:S3cretPassw0rd9@host now": "S3cretPassw0rd9",
+}
+
+
+def test_secrets_of_any_form(spark, empty):
+    rows = [(i, t) for i, t in enumerate(LEAKS)]
+    clean = ["the key: everything else follows", "write to mailto:anna.berg@example.org", "see http://example.org:8080/a@b",
+             "a password: required for all", "monkey: bananas1"]
+    docs = spark.createDataFrame(rows + [(100 + i, t) for i, t in enumerate(clean)], "doc_id long, text string")
+    for text, secret in LEAKS.items():
+        assert secret in [text[a:b] for a, b in secret_scan.candidates(text)]
+    assert secret_scan.sure_label("open postgres://app:", "S3cretPassw0rd9", "@host") == 1
+    out = {r.doc_id: r.text for r in secret_scan.redact(docs, secret_scan.train(empty, WORDS), WORDS).collect()}
+    assert [out[i] for i, _ in rows] == [t.replace(s, secret_scan.MASK) for t, s in LEAKS.items()]
+    assert [out[100 + i] for i in range(len(clean))] == clean
+    assert secret_scan._joined([(0, 9), (2, 5), (8, 12), (12, 14)]) == [(0, 12), (12, 14)]
+
+
 def plain_gains(texts):
     """Gains of texts by a tree of them in dictionaries, all counts absolute."""
     streams = [WORD.findall(t.translate(LOWER)) + [None] for t in texts]
