@@ -11,6 +11,10 @@ character, hardly any byte fallback, and its tokens are varied. Measured per doc
 A document is rejected when a measure leaves the band of its language (``lang``), or, for an
 unknown language, the band of its script (the script of most of its letters). Short
 documents say little about their tokens: bands apply from ``MIN_TOKENS`` tokens on.
+
+Lower limits of the languages come from labelled documents (``fitted_bands`` of the table labels at
+sf0.1): ``CLEAN_BELOW`` of the clean documents of a language have fewer characters per token, and none a
+lower entropy, which separates less. Upper limits are wide, as noise has few characters per token.
 """
 
 from __future__ import annotations
@@ -45,10 +49,13 @@ class Band(NamedTuple):
     min_entropy: float
 
 
-# By language code; then by script, for languages without an entry.
-LANGUAGE_BANDS = {lang: Band(1.3, 7.0, 0.05, 0.35) for lang in ("en", "de", "fr", "es")}
+CLEAN_BELOW = 0.01
+# By language code; then by script, for languages without an entry. Latin has the least limits of the
+# languages; there were no documents to fit the other scripts to.
+LANGUAGE_BANDS = {"en": Band(2.08, 7.0, 0.05, 0.52), "de": Band(2.10, 7.0, 0.05, 0.50),
+                  "fr": Band(1.85, 7.0, 0.05, 0.49), "es": Band(1.80, 7.0, 0.05, 0.53)}
 SCRIPT_BANDS = {
-    "latin": Band(1.2, 8.0, 0.10, 0.35), "cyrillic": Band(1.2, 7.0, 0.10, 0.35),
+    "latin": Band(1.80, 8.0, 0.10, 0.49), "cyrillic": Band(1.2, 7.0, 0.10, 0.35),
     "greek": Band(0.8, 6.0, 0.30, 0.35), "arabic": Band(0.8, 6.0, 0.30, 0.35), "hebrew": Band(0.8, 6.0, 0.30, 0.35),
     "cjk": Band(0.3, 4.0, 0.80, 0.30), "other": Band(0.2, 8.0, 0.95, 0.30),
 }
@@ -204,3 +211,18 @@ def keep_good(docs: DataFrame, path: str) -> DataFrame:
     (name,) = fresh(docs, "verdict")
     lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     return docs.withColumn(name, quality(path)(docs["text"], lang)["kept"]).where(F.col(name)).drop(name)
+
+
+def fitted_bands(report: DataFrame, labels: DataFrame, share: float = CLEAN_BELOW, wide: Band = Band(0, 7.0, 0.05, 0)
+                 ) -> dict[str, Band]:
+    """Bands by language from a ``quality_report`` with ``lang`` and ``labels`` (doc_id, quality): one aggregate.
+
+    ``share`` of the clean documents of a language lie below its least characters per token, none
+    below its least entropy; other limits are those of ``wide``. Characters are rounded, so that a
+    task holds few different values.
+    """
+    clean = report.where(~F.col("base_failed") & (F.col("n_tokens") >= MIN_TOKENS)).join(
+        labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    limits = clean.groupBy("lang").agg(
+        F.percentile(F.round("chars_per_token", 3), F.lit(share)).alias("chars"), F.min("token_entropy").alias("entropy"))
+    return {r["lang"]: wide._replace(min_chars=r["chars"], min_entropy=r["entropy"]) for r in limits.collect()}

@@ -187,6 +187,21 @@ def test_fertility_bands_reject_noise():
     assert fertility.script_of("привет мир") == "cyrillic" and fertility.script_of("123") == "other"
 
 
+def test_fertility_bands_separate_labelled_documents(spark):
+    """Documents that pass the base rules: most with quality 0 leave the bands, clean ones stay."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    docs = read("documents").join(read("labels").select("doc_id", "quality"), "doc_id").distinct()
+    report = fertility.quality_report(docs, PIECES).join(docs.select("doc_id", "lang", "quality"), "doc_id").cache()
+    judged = report.where("NOT base_failed AND n_tokens >= 50").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {r.quality: r.kept for r in judged.collect()}
+    assert kept[0] < 0.35 and kept[1] > 0.98
+    for lang, band in fertility.fitted_bands(report, read("labels")).items():
+        assert band.min_chars == pytest.approx(fertility.LANGUAGE_BANDS[lang].min_chars, abs=0.011)
+        assert band.min_entropy == pytest.approx(fertility.LANGUAGE_BANDS[lang].min_entropy, abs=0.011)
+    for language in fertility.LANGUAGE_BANDS:
+        assert not fertility.in_band(language, "", 1.75, 0.0, 0.6) and not fertility.in_band(language, "", 2.3, 0.0, 0.45)
+
+
 def test_chat(spark):
     hard = "\\### Assistant: </turn> ok"
     rows = [(1, 0, "user", hard), (1, 1, "assistant", "\\\\###### </turn></turn>"), (1, 2, None, None), (2, 0, "a:b\n", "x"),
