@@ -126,36 +126,73 @@ def count_matches(text: Column, name: str, pattern: str) -> Column:
     return F.coalesce(count, F.lit(0))
 
 
-def _processed(name: str, path: str, fields: list[str] | None) -> bool:
-    return fields is None or name in fields or any(f.startswith(path) for f in fields)
+def _below(path: str | Column, name: str | Column) -> str | Column:
+    """Path of an entry; a column below a map, whose keys are data."""
+    if isinstance(path, str) and not path:
+        return name
+    if isinstance(path, str) and isinstance(name, str):
+        return f"{path}.{name}"
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in (path, ".", name)))
+
+
+def _processed(name: str | Column, path: str | Column, fields: list[str] | None) -> bool | Column:
+    if fields is None or isinstance(name, str) and name in fields:
+        return True
+    if isinstance(path, str):
+        return any(f.startswith(path) for f in fields)
+    found = F.lit(False) if isinstance(name, str) else name.isin(fields)
+    for f in fields:
+        found = found | F.startswith(F.lit(f), path)
+    return F.coalesce(found, F.lit(False))
+
+
+def _refuse_variant(dtype: T.DataType) -> None:
+    if isinstance(dtype, T.VariantType):
+        raise TypeError("VARIANT values cannot be masked; cast them to a struct, map or array first")
 
 
 def mask_document(
     value: Column, dtype: T.DataType, fields: list[str] | None = None, recursive: bool = True,
-    chosen: dict[str, str] | None = None, char: str = "*", path: str = "",
+    chosen: dict[str, str] | None = None, char: str = "*", path: str | Column = "",
 ) -> Column:
-    """Mask every string of a nested document; ``fields`` limits which fields are entered."""
+    """Mask every string of a nested document; ``fields`` limits which fields and map keys are entered.
+
+    A VARIANT that would be entered is an error.
+    """
+    _refuse_variant(dtype)
     if isinstance(dtype, T.StringType):
         return mask_text(value, chosen, char)
     if isinstance(dtype, T.ArrayType):
         return F.transform(value, lambda v: mask_document(
-            v, dtype.elementType, fields, recursive, chosen, char, f"{path}[]"))
+            v, dtype.elementType, fields, recursive, chosen, char, _item(path)))
     if isinstance(dtype, T.StructType):
         parts = []
         for f in dtype.fields:
-            here = f"{path}.{f.name}" if path else f.name
+            here = _below(path, f.name)
             inner = value.getField(f.name)
             nested = isinstance(f.dataType, (T.StructType, T.MapType))
-            if _processed(f.name, here, fields) and (recursive or not nested):
-                inner = mask_document(inner, f.dataType, fields, recursive, chosen, char, here)
+            entered = _processed(f.name, here, fields)
+            if entered is not False and (recursive or not nested):
+                masked = mask_document(inner, f.dataType, fields, recursive, chosen, char, here)
+                inner = masked if entered is True else F.when(entered, masked).otherwise(inner)
             parts.append(inner.alias(f.name))
         return F.when(value.isNotNull(), F.struct(*parts))
-    if isinstance(dtype, T.MapType) and (fields is None):
-        return F.transform_values(value, lambda _, v: mask_document(
-            v, dtype.valueType, fields, recursive, chosen, char, path))
+    if isinstance(dtype, T.MapType) and (recursive or not isinstance(dtype.valueType, (T.StructType, T.MapType))):
+        def entry(key: Column, v: Column) -> Column:
+            name = key.cast("string")
+            here = _below(path, name)
+            entered = _processed(name, here, fields)
+            masked = mask_document(v, dtype.valueType, fields, recursive, chosen, char, here)
+            return masked if entered is True else F.when(entered, masked).otherwise(v)
+
+        return F.transform_values(value, entry)
     return value
 
 
+def _item(path: str | Column) -> str | Column:
+    return f"{path}[]" if isinstance(path, str) else F.concat(path, F.lit("[]"))
+
+
 PATH_DETECTION = "array<struct<type:string,start:int,end:int,length:int,path:string>>"
 
 
@@ -163,10 +200,11 @@ def document_detections(
     value: Column, dtype: T.DataType, fields: list[str] | None = None, recursive: bool = True,
     chosen: dict[str, str] | None = None,
 ) -> Column:
-    """Detections of all strings of a nested document, with paths like ``a.b[0]``."""
+    """Detections of all strings of a nested document, with paths like ``a.b[0]``; a VARIANT is an error."""
     empty = F.array().cast(PATH_DETECTION)
 
-    def walk(v: Column, kind: T.DataType, path: Column, plain: str) -> Column:
+    def walk(v: Column, kind: T.DataType, path: Column, plain: str | Column) -> Column:
+        _refuse_variant(kind)
         if isinstance(kind, T.StringType):
             found = mask_and_detect(v, chosen)["detections"]
             return F.coalesce(F.transform(found, lambda d: F.struct(
@@ -175,17 +213,29 @@ def document_detections(
         if isinstance(kind, T.ArrayType):
             each = F.transform(v, lambda x, i: walk(
                 x, kind.elementType,
-                F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), f"{plain}[]"))
+                F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), _item(plain)))
             return F.coalesce(F.flatten(each), empty)
         if isinstance(kind, T.StructType):
             parts = [empty]
             for f in kind.fields:
-                here = f"{plain}.{f.name}" if plain else f.name
+                here = _below(plain, f.name)
                 nested = isinstance(f.dataType, (T.StructType, T.MapType))
-                if _processed(f.name, here, fields) and (recursive or not nested):
-                    below = F.concat(path, F.lit(f".{f.name}")) if plain else F.lit(f.name)
-                    parts.append(walk(v.getField(f.name), f.dataType, below, here))
+                entered = _processed(f.name, here, fields)
+                if entered is not False and (recursive or not nested):
+                    below = F.lit(f.name) if isinstance(plain, str) and not plain else F.concat(path, F.lit(f".{f.name}"))
+                    found = walk(v.getField(f.name), f.dataType, below, here)
+                    parts.append(found if entered is True else F.when(entered, found).otherwise(empty))
             return F.concat(*parts)
+        if isinstance(kind, T.MapType) and (recursive or not isinstance(kind.valueType, (T.StructType, T.MapType))):
+            def entry(e: Column) -> Column:
+                name = e["key"].cast("string")
+                here = _below(plain, name)
+                below = name if isinstance(plain, str) and not plain else F.concat(path, F.lit("."), name)
+                found = walk(e["value"], kind.valueType, below, here)
+                entered = _processed(name, here, fields)
+                return found if entered is True else F.when(entered, found).otherwise(empty)
+
+            return F.coalesce(F.flatten(F.transform(F.map_entries(v), entry)), empty)
         return empty
 
     return walk(value, dtype, F.lit(""), "")

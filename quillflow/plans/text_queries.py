@@ -192,3 +192,14 @@ def pii_nested(spark: SparkSession, folder: str) -> DataFrame:
     found = rows.where(F.size("found") > 0).select(
         "doc_id", F.md5(F.to_json("masked")).alias("masked_hash"), F.explode("found").alias("d"))
     return found.select("doc_id", "masked_hash", "d.type", "d.path", "d.start", "d.length")
+
+
+@query("pii_nested_map")
+def pii_nested_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Masks and detections inside a map, limited to its key ``body``."""
+    docs = spread(spark, folder, "documents").select("doc_id", F.create_map(
+        F.lit("body"), F.col("text"), F.lit("owner"), F.col("source")).alias("doc"))
+    dtype = docs.schema["doc"].dataType
+    return docs.select(
+        "doc_id", F.md5(F.to_json(mask_document(F.col("doc"), dtype, ["body"]))).alias("masked_hash"),
+        F.size(document_detections(F.col("doc"), dtype, ["body"])).alias("detections"))

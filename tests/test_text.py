@@ -191,3 +191,26 @@ def test_nested_masks(spark):
     assert row["flat"].asDict(True) == {"a": {"b": ["x@y.de", "z"]}, "c": "********", "n": 5}
     assert [(d["type"], d["path"]) for d in row["found"]] == [("email", "a.b[0]"), ("ip_address", "c")]
     assert row["own"] == "id **"
+
+
+def test_nested_masks_of_maps_and_variants(spark):
+    frame = spark.sql("select named_struct('m', map('a', 'x@y.de', 'b', '10.0.0.1'), "
+                      "'s', map('k', named_struct('t', array('x@y.de'), 'u', '10.0.0.1'))) doc, "
+                      "named_struct('v', parse_json('{\"a\": \"x@y.de\"}'), 'c', 'x@y.de') var")
+    dtype, var = frame.schema["doc"].dataType, frame.schema["var"].dataType
+    mask = lambda **options: pii.mask_document(F.col("doc"), dtype, **options)
+    row = frame.select(
+        mask().alias("all"), mask(fields=["m.a", "s.k.t"]).alias("some"), mask(recursive=False).alias("flat"),
+        pii.document_detections(F.col("doc"), dtype).alias("found"),
+        pii.document_detections(F.col("doc"), dtype, ["m.a", "s.k.t"]).alias("few"),
+        pii.mask_document(F.col("var"), var, ["c"]).getField("c").alias("beside"),
+    ).first()
+    mail, address = "*" * 6, "*" * 8
+    assert row["all"].asDict(True) == {"m": {"a": mail, "b": address}, "s": {"k": {"t": [mail], "u": address}}}
+    assert row["some"].asDict(True) == {"m": {"a": mail, "b": "10.0.0.1"}, "s": {"k": {"t": [mail], "u": "10.0.0.1"}}}
+    assert row["flat"].asDict(True) == {"m": {"a": "x@y.de", "b": "10.0.0.1"}, "s": {"k": {"t": ["x@y.de"], "u": "10.0.0.1"}}}
+    assert [d["path"] for d in row["found"]] == ["m.a", "m.b", "s.k.t[0]", "s.k.u"]
+    assert [d["path"] for d in row["few"]] == ["m.a", "s.k.t[0]"] and row["beside"] == mail
+    for walk in (pii.mask_document, pii.document_detections):
+        with pytest.raises(TypeError):
+            walk(F.col("var"), var)
