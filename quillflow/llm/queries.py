@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.llm import (
-    bitplanes, bpe, chat, exact_dedup, fertility, minhash, packing, secret_scan, suffix_lm, url_rules)
+    bitplanes, bpe, chat, exact_dedup, fertility, minhash, packing, prefix_trie, secret_scan, suffix_lm, url_rules,
+    whitening)
 from quillflow.llm.common import stored, table
 from quillflow.session import shared_folder
 
@@ -68,9 +69,19 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents")).drop("text_hash")
 
 
+def op11_feast(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def op13_burst_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, folder, "conversations"))
+    members = turns.where("place = 1").select("conv_id")
+    return prefix_trie.trie(prefix_trie.rebuilt(turns), members)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash, op2_bpe, op3_fertility, op4_chat, op5_packing, op6_secrets, op7_suffix_lm, op8_bitplanes,
-    op9_url_rules, op10_exact_dedup)}
+    op9_url_rules, op10_exact_dedup, op11_feast, op13_burst_trie)}
 
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
@@ -119,4 +130,38 @@ WITH digests AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM digests WINDOW w AS (PARTITION BY text_sha256)""",
+    "op13_burst_trie": r"""
+WITH own AS (
+  SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), taken AS (  -- crc32 of the decimal id, bit by bit
+  SELECT conv_id, turns, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                                     lambda x, step: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h FROM own
+), whole AS (
+  SELECT t.conv_id, list_concat(coalesce(b.turns[1:t.h], []), t.turns[t.h + 1:]) AS turns
+  FROM taken t LEFT JOIN own b ON b.conv_id = t.conv_id - t.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, unnest(range(len(turns) + 1)) AS depth, turns FROM whole
+), nodes AS (
+  SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY ALL
+), children AS (
+  SELECT prefix[1:depth - 1] AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL
+), own_values AS (
+  SELECT n.prefix, n.depth, (c.n IS NULL)::BIGINT AS leaf,
+         CASE WHEN n.depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(n.prefix[-1].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM nodes n LEFT JOIN children c ON c.prefix = n.prefix
+), ways AS (
+  SELECT prefix, leaf, saved, unnest(range(depth + 1)) AS up FROM own_values
+), subtrees AS (
+  SELECT prefix[1:up] AS prefix, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM ways GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, n_leaves,
+       saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s ON s.prefix = n.prefix LEFT JOIN children c ON c.prefix = n.prefix
+LEFT JOIN nodes p ON n.depth > 0 AND p.prefix = n.prefix[1:n.depth - 1]""",
 }
