@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillflow.llm import (
-    bitplanes, bpe, chat, exact_dedup, fertility, minhash, packing, prefix_trie, secret_scan, suffix_lm, url_rules,
-    whitening)
+    bitplanes, bpe, chat, count_tree, exact_dedup, fertility, minhash, packing, prefix_trie, secret_scan, suffix_lm,
+    url_rules, whitening)
 from quillflow.llm.common import stored, table
 from quillflow.session import shared_folder
 
@@ -73,6 +73,10 @@ def op11_feast(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op12_count_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tree.jaccard_join(table(spark, folder, "documents"))
+
+
 def op13_burst_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = prefix_trie.numbered(table(spark, folder, "conversations"))
     members = turns.where("place = 1").select("conv_id")
@@ -81,13 +85,38 @@ def op13_burst_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_minhash, op2_bpe, op3_fertility, op4_chat, op5_packing, op6_secrets, op7_suffix_lm, op8_bitplanes,
-    op9_url_rules, op10_exact_dedup, op11_feast, op13_burst_trie)}
+    op9_url_rules, op10_exact_dedup, op11_feast, op12_count_tree, op13_burst_trie)}
 
 _LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
 
 _ESCAPED = "regexp_replace({}, '(\\\\|###|</turn>)', '\\\\\\1', 'g')"
 
+def _linked_sql(percent: int, kept: str = "") -> str:
+    """Documents with their sets of four-word shingles and components; links from {percent} % on."""
+    return rf"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM texts
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS k FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.k = b.k AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), links AS (
+  SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT s.doc_id, len(s) AS n_shingles, component_id{kept} FROM sets s JOIN least l ON l.doc_id = s.doc_id"""
+
+
 ORACLES = {
+    "op1_minhash": _linked_sql(80, ", s.doc_id = component_id AS kept"),
+    "op12_count_tree": _linked_sql(85),
     "op4_chat": f"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
