@@ -247,24 +247,25 @@ def joined_components(rows: DataFrame, nodes: DataFrame, size: int, percent: int
     meet = f"{100 + percent} * (1 + least(n - place, c_n - c_place)) >= {percent} * (n + c_n)"
     first = starred.where(f"node <> c_node AND {meet}").select(F.col("c_node").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(bounded(first, points, percent), "pairs")
-    sets, links = _compared(rows, nodes, pairs, None, size, percent)
+    sets, links = compared(rows, nodes, pairs, None, size, percent)
     labels = components(links)
     rest = starred.where("node <> c_node").join(labels, "node", "left").select(
         "key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     more = stored(cross_pairs(rest, points, percent).join(pairs, ["a", "b"], "left_anti"), "cross")
-    _, found = _compared(rows, nodes, more, sets, size, percent)
+    _, found = compared(rows, nodes, more, sets, size, percent)
     return components(links.union(found))
 
 
-def _compared(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, known: DataFrame | None, size: int,
+def compared(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, known: DataFrame | None, size: int,
               percent: int) -> tuple[DataFrame, DataFrame]:
     """Sets of all nodes compared so far, and the pairs that are links."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     if known is not None:
-        wanted = wanted.join(known.select("node"), "node", "left_anti")
-    sets = sets_of(texts_of(rows, nodes.select("node", "doc_id", "text_hash").join(wanted, "node", "left_semi")), size)
-    sets = sets if known is None else known.unionByName(sets)
-    return sets, stored(verified(pairs, sets, percent), "links")
+        wanted = stored(wanted.join(known.select("node"), "node", "left_anti"), "wanted")
+    if known is None or not wanted.isEmpty():
+        sets = sets_of(texts_of(rows, nodes.select("node", "doc_id", "text_hash").join(wanted, "node", "left_semi")), size)
+        known = sets if known is None else known.unionByName(sets)
+    return known, stored(verified(pairs, known, percent), "links")
 
 
 def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

@@ -11,32 +11,27 @@ a probability below 2e-7. Candidates are not expanded into all pairs of a bucket
 node of each bucket is compared with the others. Buckets that then lie within one component are
 done. The nodes of the others meet again by their rarest shingles: of a set of n, two sets of
 similarity 0.8 share one of the n - ceil(0.8 n) + 1 rarest, while text that many documents share is
-never rare. The place of the shingle where two sets first meet bounds what they can share: only what
-comes after it in both. Pairs whose bound is too low are not made. Groups that still are large and split lose more centres, ``CENTRES`` at a time; when
-few comparisons across components are left they are made at once. Every candidate pair is thus
-compared or already connected, so no link between components is lost.
+never rare. Again the least node of each bucket is compared first; then all pairs of different
+components are found whose summed counts by shingle group, and the place of the shingle where they
+meet, allow the limit (``count_tree.cross_pairs``), before any set is joined. Every candidate pair is
+thus compared, already connected, or proven to lie below the limit, so no link between components is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import arrow_rows, chunked, fresh, stored
+from quillflow.llm.common import fresh, stored
 from quillflow.llm.components import components
-from quillflow.llm.words import mix, shingles, word_hashes
+from quillflow.llm.count_tree import bounded, compared, count_vector, cross_pairs
+from quillflow.llm.shingle_sets import set_digests, set_rows, sets_of, texts_of
+from quillflow.llm.words import mix
 
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-# Pairs across components per remaining row, up to which those that share a rare shingle and may be
-# similar are all compared at once.
-PAIRS_PER_ROW = 400
-# Centres of a group that is too large for that, per round.
-CENTRES = 4
 _U = np.uint64
 _SALT = _U(0x9E3779B97F4A7C15)
 _VALUE_BITS = _U(52)
@@ -70,51 +65,37 @@ def band_keys(coordinates: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def set_digest(items: np.ndarray) -> int:
-    """64-bit digest of a sorted set, as a signed integer."""
-    place = mix(np.arange(1, len(items) + 1, dtype=np.uint64) * _SALT)
-    return int(mix(np.array([mix(items ^ place).sum(dtype=np.uint64) + _U(len(items))])).view(np.int64)[0])
-
-
-def _sets(batch: pa.RecordBatch, size: int, *columns: str) -> Iterator[tuple]:
-    for chunk in chunked(arrow_rows(batch, *columns)):
-        words, first = word_hashes([row[0] for row in chunk])
-        for i, row in enumerate(chunk):
-            yield (shingles(words[first[i]:first[i + 1]], size), *row[1:])
-
-
 def _fingerprints(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()),
-                        ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()),
+                        ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("point", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
-            for items, doc_id, text_hash in _sets(batch, size, "doc_id", "text_hash"):
-                full = len(items) > 0
-                row = (doc_id, text_hash, len(items), set_digest(items) if full else None,
-                       band_keys(sketch(items)) if full else None)
-                for held, value in zip(columns, row):
+            columns: list[list] = [[] for _ in schema]
+            for items, doc_id, text_hash in set_rows(batch, size, "doc_id", "text_hash"):
+                rest = (*set_digests(items), band_keys(sketch(items)), count_vector(items)) if len(items) else (None,) * 4
+                for held, value in zip(columns, (doc_id, text_hash, len(items), *rest)):
                     held.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return run
-
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-def _wanted_sets(size: int):
-    schema = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
+    return run, "doc_id long, text_hash long, n long, d1 long, d2 long, bands array<long>, point binary"
 
-    def run(batches):
-        for batch in batches:
-            for chunk in chunked(arrow_rows(batch, "node")):
-                words, first = word_hashes([row[0] for row in chunk])
-                sets = [shingles(words[first[i]:first[i + 1]], size).view(np.int64) for i in range(len(chunk))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row[1] for row in chunk], pa.int64()), pa.array(sets, schema.field(1).type)],
-                    schema=schema)
 
-    return run
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n, label, component) of every row; label and component are null without shingles."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    run, fields = _fingerprints(size)
+    prints = stored(rows.mapInArrow(run, fields).withColumn("row", F.monotonically_increasing_id()), "prints")
+    # One row per distinct shingle set; a row of it stands for it.
+    classes = stored(prints.where("n > 0").groupBy("d1", "d2").agg(
+        F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
+    nodes = stored(prints.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(
+        F.col("row").alias("node"), "n", "doc_id", "text_hash", "bands", "point"), "nodes")
+    linked = classes.join(_linked(rows, nodes, size, percent), "node")
+    least = linked.groupBy("label").agg(F.min("least").alias("component"))
+    named = stored(classes.join(linked.select("node", "label"), "node", "left").join(least, "label", "left").select(
+        "d1", "d2", F.coalesce("label", "node").alias("label"), F.coalesce("component", "least").alias("component")), "named")
+    return prints.select("doc_id", "text_hash", "n", "d1", "d2").join(named, ["d1", "d2"], "left").drop("d1", "d2")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -127,132 +108,85 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     is never a component's name unless all its rows have none. Other columns are ignored.
     An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    prints = stored(rows.mapInArrow(
-        _fingerprints(size), "doc_id long, text_hash long, n_shingles long, node long, bands array<long>"), "prints")
-    # One row per distinct shingle set, with the row that stands for it.
-    nodes = stored(
-        prints.where("node IS NOT NULL").groupBy("node").agg(
-            F.min("doc_id").alias("least"),
-            F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("at"),
-            F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
-    labels = _linked(rows, nodes, size, percent)
-    named = labels.join(nodes.select("node", "least"), "node")
-    least = stored(named.groupBy("label").agg(F.min("least").alias("component")), "least")
-    component = stored(labels.join(least, "label").select("node", "component")
-                       .join(nodes.select("node", "least"), "node", "right")
-                       .select("node", F.coalesce("component", "least").alias("component")), "component")
-    out = prints.select("doc_id", "n_shingles", "node").join(component, "node", "left")
     name = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", name.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(name).alias("kept"))
+    return _judged(docs, size, percent).select(
+        "doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` whose doc_id names its component: one document of each group stays."""
-    kept = near_duplicates(docs, size, percent).where("kept").select("doc_id").distinct()
-    (name,) = fresh(docs, "kept_id")
-    kept = kept.withColumnRenamed("doc_id", name)
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[name]), "left_semi")
+    """``docs`` with one row of each component: that of the least doc_id (a null one last); of rows that
+    repeat it, that of the least text hash. Rows without shingles all stay."""
+    judged = stored(_judged(docs, size, percent), "judged")
+    winner, text_hash, nth = fresh(docs, "winner_id", "winner_hash", "nth")
+    key = lambda doc_id: F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("w")
+    kept = judged.where("n > 0").groupBy("label").agg(first).select(
+        key(F.col("w.doc_id")).alias(winner), F.col("w.text_hash").alias(text_hash), F.lit(True).alias(nth))
+    empty = judged.where("n = 0").select(
+        key(F.col("doc_id")).alias(winner), F.col("text_hash").alias(text_hash), F.lit(False).alias(nth)).distinct()
+    rows = docs.join(kept.unionByName(empty), (key(docs["doc_id"]) == F.col(winner)) & (F.xxhash64(docs["text"]) == F.col(text_hash)))
+    once = Window.partitionBy(winner, text_hash).orderBy(F.lit(1))
+    single = rows.where(F.col(nth)).withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1)
+    return single.drop(winner, text_hash, nth).unionByName(rows.where(~F.col(nth)).drop(winner, text_hash, nth))
 
 
 def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Components of the nodes that have a link."""
-    banded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = stored(
-        banded.join(shared.select("key"), "key", "left_semi").withColumns({"place": F.lit(1), "label": F.col("node")}), "members")
-    sets = _candidate_sets(rows, nodes, members, size)
-    tested = edges = labels = None
-    centres, rare = 1, False
-    while True:
-        last = False
-        if tested is not None:
-            parts = stored(members.groupBy("key", "label").agg(F.count("*").alias("m")), "parts")
-            largest = parts.groupBy("key").agg(F.max(F.struct("m", "label")).alias("big"), F.sum("m").alias("m"))
-            left = largest.agg(F.sum("m").alias("rows"),
-                               F.sum((F.col("m") - F.col("big")["m"]) * F.col("m")).alias("pairs")).first()
-            if not left["rows"]:
-                break
-            if not rare:
-                members, rare, centres = _rare_members(members, sets, percent), True, 1
-                continue
-            last = left["pairs"] <= PAIRS_PER_ROW * left["rows"]
-        if last:
-            # One side without the largest component of each key: few rows meet many.
-            key = largest.select("key", F.col("big")["label"].alias("big"))
-            few = members.join(key, "key").where("label <> big").drop("big")
-            met, rest = few.join(members.select(
-                "key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n", "place", "label"))), "key"), None
-        else:
-            met, rest = _centred(members, centres)
-        # What two sets share lies at or after the places where they first meet.
-        pairs = met.where(f"label <> label_2 AND {100 + percent} * (1 + least(n - place, n_2 - place_2)) "
-                          f">= {percent} * (n + n_2)").select(
-            F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stored(_verified(pairs, sets, percent), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-        if last:
-            break
-        members = _unfinished(rest, labels)
-        centres = CENTRES
-    return labels
-
-
-def _rare_members(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The nodes of ``members`` by those of their rarest shingles that a partner must share one of."""
-    nodes = stored(members.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label")), "open")
+    banded = nodes.select("node", "n", F.explode("bands").alias("key"), F.lit(1).cast("long").alias("place"))
+    starred = _starred(banded, "members")
+    pairs = stored(bounded(_first_pairs(starred, percent), nodes, percent), "pairs")
+    sets, links = compared(rows, nodes, pairs, None, size, percent)
+    rest = _unfinished(starred, components(links))
+    open_ = stored(rest.select("node", "n", "label").distinct(), "open")
+    sets = sets.unionByName(_more_sets(rows, nodes, open_, sets, size))
+    # The nodes of unfinished buckets meet again by rare shingles.
+    again = _starred(_rare_members(open_, sets, percent), "rare")
+    more = stored(bounded(_first_pairs(again.join(open_.select("node", "label"), "node").join(
+        open_.select(F.col("node").alias("c_node"), F.col("label").alias("c_label")), "c_node").where("label <> c_label"), percent)
+        .join(pairs, ["a", "b"], "left_anti"), nodes, percent), "pairs")
+    _, found = compared(rows, nodes, more, sets, size, percent)
+    links = links.union(found)
+    labels = components(links)
+    members = again.where("node <> c_node").join(labels, "node", "left").select(
+        "key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
+    last = stored(cross_pairs(members, nodes, percent).join(pairs.union(more), ["a", "b"], "left_anti"), "cross")
+    _, found = compared(rows, nodes, last, sets, size, percent)
+    return components(links.union(found))
+
+
+def _starred(members: DataFrame, purpose: str) -> DataFrame:
+    """Members (key, node, n, place) of keys that several nodes have, beside the least of them; written."""
+    centres = members.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("c"), F.max("node").alias("last")).where(
+        "c.node < last").select("key", *(F.col("c")[c].alias(f"c_{c}") for c in ("node", "n", "place")))
+    return stored(members.join(centres, "key"), purpose)
+
+
+def _first_pairs(starred: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of centres and members that may reach the limit by what comes after their meeting place."""
+    return starred.where(
+        f"node <> c_node AND {100 + percent} * (1 + least(n - place, c_n - c_place)) >= {percent} * (n + c_n)").select(
+        F.col("c_node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _more_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    missing = wanted.select("node").join(sets.select("node"), "node", "left_anti")
+    return sets_of(texts_of(rows, nodes.select("node", "doc_id", "text_hash").join(missing, "node", "left_semi")), size)
+
+
+def _rare_members(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes (node, n) by those of their rarest shingles that a partner must share one of."""
     items = stored(sets.join(nodes.select("node"), "node", "left_semi").select(
         "node", F.explode("items").alias("key")), "items")
     often = items.groupBy("key").agg(F.count("*").alias("df"))
     place = Window.partitionBy("node").orderBy("df", "key")
-    ranked = items.join(stored(often, "often"), "key").withColumn("place", F.row_number().over(place))
-    return stored(ranked.where("df > 1").join(nodes, "node").where(
-        f"place <= n - ceil({percent} * n / 100) + 1").select("key", "node", "n", "place", "label"), "members")
-
-
-def _centred(members: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
-    """Members beside the centres of their buckets, and the members that aren't centres."""
-    first = [F.xxhash64("node", F.lit(k)) if k else F.col("node") for k in range(count)]
-    picks = [F.min(F.struct(order.alias("order"), "node", "n", "place", "label")).alias(f"c{k}") for k, order in enumerate(first)]
-    centres = stored(members.groupBy("key").agg(*picks), "centres")
-    beside = stored(members.join(centres, "key").withColumn(
-        "centres", F.array_distinct(F.transform(
-            F.array(*(F.col(f"c{k}") for k in range(count))),
-            lambda c: F.struct(*(c[name].alias(f"{name}_2") for name in ("node", "n", "place", "label"))))))
-        .select("key", "node", "n", "place", "label", "centres"), "beside")
-    rest = beside.where(~F.exists("centres", lambda c: c["node_2"] == F.col("node")))
-    return beside.select("*", F.inline("centres")), rest.select("key", "node", "n", "place")
-
-
-def _unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component."""
-    now = stored(members.join(labels, "node", "left").select(
-        "key", "node", "n", "place", F.coalesce("label", "node").alias("label")), "members")
+    ranked = items.join(stored(often, "often"), "key").withColumn("place", F.row_number().over(place).cast("long"))
+    return ranked.where("df > 1").join(nodes.select("node", "n"), "node").where(
+        f"place <= n - ceil({percent} * n / 100) + 1").select("key", "node", "n", "place")
+
+
+def _unfinished(starred: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members beside the centres of the buckets that still hold more than one component."""
+    now = stored(starred.where("node <> c_node").join(labels, "node", "left").select(
+        "key", "node", "n", F.coalesce("label", "node").alias("label")), "members")
     open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    return stored(now.join(open_.select("key"), "key", "left_semi"), "members")
-
-
-def _candidate_sets(rows: DataFrame, nodes: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """(node, items) of all nodes that share a bucket, computed anew from one text of each node."""
-    wanted = members.select("node").distinct().join(nodes.select("node", "at"), "node").select(
-        "node", F.col("at")["id"].alias("want_id"), F.col("at")["text_hash"].alias("want_hash"))
-    at = rows.withColumn("want_id", F.coalesce("doc_id", F.lit(0))).withColumnRenamed("text_hash", "want_hash")
-    keys = ["want_id", "want_hash"]
-    # A repeated row counts once; its copies already lie together after the join.
-    texts = at.join(wanted, keys).select(*keys, "node", "text").dropDuplicates([*keys, "node"])
-    return stored(texts.select("node", "text").mapInArrow(
-        _wanted_sets(size), "node long, items array<long>"), "sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    both = F.size(F.array_intersect("items_a", "items_b"))
-    union = F.size("items_a") + F.size("items_b") - both
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select("a", "b")
+    return now.join(open_.select("key"), "key", "left_semi")

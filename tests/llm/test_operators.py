@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillflow.llm import (
-    bitplanes, bpe, chat, exact_dedup, fertility, minhash, packing, secret_scan, suffix_lm, url_rules)
+    bitplanes, bpe, chat, count_tree, exact_dedup, fertility, minhash, packing, secret_scan, suffix_lm, url_rules)
 from quillflow.llm.components import components
 from quillflow.llm.queries import SITE_RULES
 
@@ -79,10 +79,10 @@ def test_near_duplicates(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("pairs_per_row, groups, copies", [(400, 30, 40), (-1, 3, 6)])
-def test_rare_shingles_lose_no_link(spark, monkeypatch, pairs_per_row, groups, copies):
+@pytest.mark.parametrize("leaf, groups, copies", [(128, 30, 40), (2, 3, 6), (4, 30, 40)])
+def test_rare_shingles_lose_no_link(spark, monkeypatch, leaf, groups, copies):
     """Text that many documents share, with links that only rare shingles show, and sets of
-    different sizes whose similarity lies around the limit; both ways to compare what is left."""
+    different sizes whose similarity lies around the limit; leaves of any size."""
     rnd = random.Random(9)
     common = [f"c{i}" for i in range(40)]
     rows = []
@@ -98,7 +98,7 @@ def test_rare_shingles_lose_no_link(spark, monkeypatch, pairs_per_row, groups, c
         for place in rnd.sample(range(len(mine)), rnd.randint(1, 3)):
             mine[place] = f"edit{rnd.randrange(60)}"
         rows.append((len(rows), " ".join(mine)))
-    monkeypatch.setattr(minhash, "PAIRS_PER_ROW", pairs_per_row)
+    monkeypatch.setattr(count_tree, "LEAF", leaf)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(
         spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
     monkeypatch.undo()
@@ -112,6 +112,21 @@ def test_rare_shingles_lose_no_link(spark, monkeypatch, pairs_per_row, groups, c
     assert got == dict(enumerate(label))
 
 
+def test_keep_one(spark, docs):
+    """One row of each group, whatever repeats: judged by (doc_id, text), not by doc_id alone."""
+    words = [f"w{k}" for k in range(40)]
+    x, y = " ".join(words), " ".join(words[::-1])
+    rows = [(3, x), (5, x + " more"), (5, y), (5, y), (None, x + " other"), (None, "null id alone"), (None, "null id  ALONE"),
+            (6, None), (6, None), (None, ""), (7, "one"), (7, "two"), (8, "ONE")]
+    frame = spark.createDataFrame([(i, t, "en", "clash", 0) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in minhash.keep_one(frame).collect()), key=repr)
+    want = [(3, x), (5, y), (6, None), (6, None), (None, ""), (7, "one"), (7, "two")]
+    alone = [g for g in got if g[0] is None and g[1]]
+    assert len(alone) == 1 and alone[0][1].lower().split() == ["null", "id", "alone"]
+    assert sorted((g for g in got if g not in alone), key=repr) == sorted(want, key=repr)
+    assert minhash.keep_one(docs).columns == docs.columns
+
+
 def test_sketch_fills_and_estimates():
     rnd = np.random.default_rng(1)
     assert (minhash.sketch(rnd.integers(0, 1 << 62, 1).astype(np.uint64)) < np.iinfo(np.uint64).max).all()
