@@ -36,9 +36,12 @@ CHUNK_FIELDS = "part int, chunk long, before long, n long, doc_ids array<long>,
 
 
 def pack_block(ids: np.ndarray, compressor: zstandard.ZstdCompressor) -> bytes:
-    planes = max(1, int(ids.max()).bit_length()) if len(ids) else 0
-    bits = (ids[None, :] >> np.arange(planes, dtype=ids.dtype)[:, None]) & 1
-    packed = [compressor.compress(row.tobytes()) for row in np.packbits(bits.astype(np.uint8), axis=1)]
+    top = int(ids.max()) if len(ids) else 0
+    planes = max(1, top.bit_length()) if len(ids) else 0
+    # Two bytes an id where they do, then a row of bits per id, turned into a row of bits per plane.
+    octets = np.ascontiguousarray(ids, "<u2" if top < 1 << 16 else "<u4").view(np.uint8).reshape(len(ids), -1)
+    bits = np.ascontiguousarray(np.unpackbits(octets, axis=1, count=planes, bitorder="little").T)
+    packed = [compressor.compress(row.tobytes()) for row in np.packbits(bits, axis=1)]
     return struct.pack(f"<IB{planes}I", len(ids), planes, *map(len, packed)) + b"".join(packed)
 
 
@@ -58,13 +61,15 @@ def decode_chunk(payload: bytes) -> np.ndarray:
         n, planes = struct.unpack_from("<IB", payload, at)
         sizes = struct.unpack_from(f"<{planes}I", payload, at + 5)
         at += 5 + 4 * planes
-        ids = np.zeros(n, "<u4")
+        rows = np.empty((planes, -(-n // 8)), np.uint8)
         for k, size in enumerate(sizes):
-            plane = np.frombuffer(decompressor.decompress(payload[at:at + size]), np.uint8)
-            ids |= np.unpackbits(plane, count=n).astype("<u4") << np.uint32(k)
+            rows[k] = np.frombuffer(decompressor.decompress(payload[at:at + size]), np.uint8)
             at += size
-        out.append(ids)
-    return np.concatenate(out)
+        octets = np.zeros((n, 2 if planes <= 16 else 4), np.uint8)
+        turned = np.packbits(np.unpackbits(rows, axis=1, count=n), axis=0, bitorder="little")
+        octets[:, :len(turned)] = turned.T
+        out.append(octets.view("<u2" if planes <= 16 else "<u4").ravel())
+    return np.concatenate(out).astype("<u4", copy=False)
 
 
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS) -> None:
