@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import stored
+from quillflow.llm.common import let_go, stored
 from quillflow.llm.components import components
-from quillflow.llm.shingle_sets import set_digests, set_rows, sets_of, texts_of, verified
+from quillflow.llm.shingle_sets import picked, set_digests, set_rows, sets_of, verified
 
 GROUPS, LEAF = 128, 128
 # A count of this size or more is stored as this one and bounds nothing where two sets have it.
@@ -71,21 +71,14 @@ def _prints(size: int, percent: int):
     return run, "doc_id long, text_hash long, n long, d1 long, d2 long, prefix array<long>, point binary"
 
 
-def _cold_prefixes(hot: np.ndarray, size: int, percent: int):
-    """First shingles in the order that puts ``hot`` (sorted) last."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+def _cold_prefix(hot: np.ndarray, percent: int):
+    """Size and first shingles of a set in the order that puts ``hot`` (sorted) last."""
+    def values(items: np.ndarray) -> tuple[int, np.ndarray]:
+        items = items.view(np.int64)
+        late = hot[np.minimum(np.searchsorted(hot, items), len(hot) - 1)] == items
+        return len(items), np.concatenate([items[~late], items[late]])[:prefix_length(len(items), percent)]
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for items, node in set_rows(batch, size, "node"):
-                items = items.view(np.int64)
-                late = hot[np.minimum(np.searchsorted(hot, items), len(hot) - 1)] == items
-                rows.append((node, len(items), np.concatenate([items[~late], items[late]])[:prefix_length(len(items), percent)]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
-
-    return run, "node long, n long, prefix array<long>"
+    return values
 
 
 def _hot_keys(nodes: DataFrame) -> np.ndarray:
@@ -107,8 +100,8 @@ def _prefixes(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> Dat
     listed = spark.createDataFrame([(int(k),) for k in hot], "key long")
     changed = stored(nodes.select("node", F.explode("prefix").alias("key")).join(F.broadcast(listed), "key", "left_semi")
                      .select("node").distinct(), "changed")
-    run, fields = _cold_prefixes(hot, size, percent)
-    again = texts_of(rows, nodes.select("node", "doc_id", "text_hash").join(changed, "node", "left_semi")).mapInArrow(run, fields)
+    places = nodes.select("node", "doc_id", "text_hash").join(changed, "node", "left_semi")
+    again = picked(rows, places, size, _cold_prefix(hot, percent), "n long, prefix array<long>")
     return stored(plain.join(changed, "node", "left_anti").unionByName(again), "prefixes")
 
 
@@ -242,11 +235,15 @@ def _starred(prefixes: DataFrame) -> DataFrame:
 def joined_components(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame | None:
     """(node, label) of the nodes (node, n, doc_id, text_hash, prefix, point) that have links; None without any pair."""
     points = nodes.select("node", "n", "point")
-    starred = _starred(_prefixes(rows, nodes, size, percent))
+    prefixes = _prefixes(rows, nodes, size, percent)
+    let_go(rows.sparkSession)
+    starred = _starred(prefixes)
+    let_go(rows.sparkSession)
     # What two sets share lies at or after the places where they first meet.
     meet = f"{100 + percent} * (1 + least(n - place, c_n - c_place)) >= {percent} * (n + c_n)"
     first = starred.where(f"node <> c_node AND {meet}").select(F.col("c_node").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(bounded(first, points, percent), "pairs")
+    let_go(rows.sparkSession)
     sets, links = compared(rows, nodes, pairs, None, size, percent)
     labels = components(links)
     rest = starred.where("node <> c_node").join(labels, "node", "left").select(
@@ -263,7 +260,7 @@ def compared(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, known: DataFra
     if known is not None:
         wanted = stored(wanted.join(known.select("node"), "node", "left_anti"), "wanted")
     if known is None or not wanted.isEmpty():
-        sets = sets_of(texts_of(rows, nodes.select("node", "doc_id", "text_hash").join(wanted, "node", "left_semi")), size)
+        sets = sets_of(rows, nodes.select("node", "doc_id", "text_hash").join(wanted, "node", "left_semi"), size)
         known = sets if known is None else known.unionByName(sets)
     return known, stored(verified(pairs, known, percent), "links")
 
@@ -285,6 +282,7 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
         F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = stored(prints.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(
         F.col("row").alias("node"), "n", "doc_id", "text_hash", "prefix", "point"), "nodes")
+    let_go(docs.sparkSession)
     labels = joined_components(rows, nodes, size, percent)
     linked = classes.join(labels, "node")
     least = linked.groupBy("label").agg(F.min("least").alias("component"))

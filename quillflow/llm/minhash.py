@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import fresh, stored
+from quillflow.llm.common import fresh, let_go, stored
 from quillflow.llm.components import components
 from quillflow.llm.count_tree import bounded, compared, count_vector, cross_pairs
-from quillflow.llm.shingle_sets import set_digests, set_rows, sets_of, texts_of
+from quillflow.llm.shingle_sets import set_digests, set_rows, sets_of
 from quillflow.llm.words import mix
 
 BANDS, ROWS = 40, 5
@@ -135,6 +135,7 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
     banded = nodes.select("node", "n", F.explode("bands").alias("key"), F.lit(1).cast("long").alias("place"))
     starred = _starred(banded, "members")
     pairs = stored(bounded(_first_pairs(starred, percent), nodes, percent), "pairs")
+    let_go(rows.sparkSession)
     sets, links = compared(rows, nodes, pairs, None, size, percent)
     rest = _unfinished(starred, components(links))
     open_ = stored(rest.select("node", "n", "label").distinct(), "open")
@@ -170,7 +171,7 @@ def _first_pairs(starred: DataFrame, percent: int) -> DataFrame:
 
 def _more_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     missing = wanted.select("node").join(sets.select("node"), "node", "left_anti")
-    return sets_of(texts_of(rows, nodes.select("node", "doc_id", "text_hash").join(missing, "node", "left_semi")), size)
+    return sets_of(rows, nodes.select("node", "doc_id", "text_hash").join(missing, "node", "left_semi"), size)
 
 
 def _rare_members(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm.common import arrow_rows, chunked, stored
+from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.words import mix, shingles, word_hashes
 
 _U = np.uint64
@@ -33,26 +34,38 @@ def set_rows(batch: pa.RecordBatch, size: int, *columns: str) -> Iterator[tuple]
             yield (shingles(words[first[i]:first[i + 1]], size), *row[1:])
 
 
-def texts_of(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """(node, text): one text of each row of ``places`` (node, doc_id, text_hash) from ``rows``
-    (doc_id, text, text_hash). Rows that repeat doc_id and text count once."""
-    wanted = places.select("node", F.coalesce("doc_id", F.lit(0)).alias("want_id"), F.col("text_hash").alias("want_hash"))
-    at = rows.withColumn("want_id", F.coalesce("doc_id", F.lit(0))).withColumnRenamed("text_hash", "want_hash")
-    return at.join(wanted, ["want_id", "want_hash"]).select("node", "text").dropDuplicates(["node"])
+def picked(rows: DataFrame, places: DataFrame, size: int, values: Callable, fields: str) -> DataFrame:
+    """(node, *fields): ``values(items)`` for the shingle set of one text of each row of ``places``
+    (node, doc_id, text_hash); ``rows``: (doc_id, text, text_hash).
 
+    A sieve of the wanted places picks the texts where they are read, so texts aren't shuffled. Rows that
+    repeat doc_id and text count once.
+    """
+    key = lambda doc_id: F.coalesce(doc_id, F.lit(0)).alias("want_id")
+    wanted = places.select("node", key(F.col("doc_id")), F.col("text_hash").alias("want_hash"))
+    mark = F.xxhash64("want_id", "want_hash").alias("mark")
+    shared = rows.sparkSession.sparkContext.broadcast(sieve(wanted.select(mark.alias("key"))))
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    names = [f.split() for f in fields.split(", ")]
+    schema = pa.schema([("want_id", pa.int64()), ("want_hash", pa.int64()), *((n, kinds[k]) for n, k in names)])
 
-def sets_of(texts: DataFrame, size: int, purpose: str = "sets") -> DataFrame:
-    """(node, items): the shingle sets of ``texts`` (node, text); written."""
-    schema = pa.schema([("node", pa.int64()), ("items", pa.list_(pa.int64()))])
-
-    def run(batches):
+    def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(set_rows(batch, size, "node"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([node for _, node in rows], pa.int64()),
-                 pa.array([items.view(np.int64) for items, _ in rows], schema.field(1).type)], schema=schema)
+            maybe = batch.filter(pa.array(passes(shared.value, batch.column(3).to_numpy())))
+            found = [(*at, *values(items)) for items, *at in set_rows(maybe, size, "want_id", "want_hash")]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    keys = ["want_id", "want_hash"]
+    texts = rows.select("text", key(F.col("doc_id")), F.col("text_hash").alias("want_hash")).select("text", *keys, mark)
+    out = texts.mapInArrow(run, f"want_id long, want_hash long, {fields}").join(wanted, keys)
+    # Copies of a row already lie together after the join.
+    return out.dropDuplicates([*keys, "node"]).select("node", *(n for n, _ in names))
+
 
-    return stored(texts.mapInArrow(run, "node long, items array<long>"), purpose)
+def sets_of(rows: DataFrame, places: DataFrame, size: int, purpose: str = "sets") -> DataFrame:
+    """(node, items): the shingle sets of ``places`` (node, doc_id, text_hash); written."""
+    return stored(picked(rows, places, size, lambda items: (items.view(np.int64),), "items array<long>"), purpose)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

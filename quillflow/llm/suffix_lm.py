@@ -27,7 +27,6 @@ rotated by their distance: ``key`` = word ^ ctx.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -36,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import arrow_rows, chunked, stored
+from quillflow.llm.common import arrow_rows, chunked, let_go, stored
+from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.words import mix, word_hashes
 
 DEPTH = 3
@@ -46,11 +46,9 @@ PRIOR = 4.0
 FOLDS, HELD_OUT = 7, 2
 # At most so many words and other effects are broadcast.
 HOT_WORDS, HOT_EFFECTS = 1_000_000, 2_500_000
-# Bits of a sieve per key, and at most.
-SIEVE_BITS, MAX_SIEVE_BITS = 16, 1 << 27
 ROTATE = 7
-# Counts that a training task gathers before it passes them on.
-HELD_ROWS = 3_000_000
+# Counts that a training task gathers before it passes them on; Spark's aggregation, which spills, adds them up.
+HELD_ROWS = 300_000
 _END_HASH = int(mix(np.array([0xE0F], np.uint64)).view(np.int64)[0])
 _SCORE_FIELDS = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, "
                  "rare array<struct<key:long,n:int>>")
@@ -182,23 +180,6 @@ def counted(docs: DataFrame, keys_of: Callable[[], Callable[[list[bytes]], np.nd
     return stored(sums, purpose) if purpose else sums
 
 
-def sieve(keys: DataFrame) -> np.ndarray:
-    """Bits by which ``passes`` tells most keys that aren't in ``keys`` (key); none of those in it."""
-    wanted = SIEVE_BITS * keys.count()
-    bits = min(max(64, 1 << max(0, wanted - 1).bit_length()), MAX_SIEVE_BITS)
-    slot = F.col("key").bitwiseAND(F.lit(bits - 1))
-    rows = keys.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63L AS int))").alias("bit")).groupBy(
-        "at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return out
-
-
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & (len(bits) * 64 - 1)
-    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
-
-
 def _rotated(keys: np.ndarray, by: int) -> np.ndarray:
     keys = keys.view(np.uint64)
     return ((keys << np.uint64(by)) | (keys >> np.uint64(64 - by))).view(np.int64)
@@ -220,13 +201,21 @@ def contexts_before(tokens: np.ndarray, first: np.ndarray, depth: int) -> Iterat
 
 
 def _grams_of(shared, depth: int):
+    """Next words of the contexts that pass the first sieve. What was found twice was also found twice behind
+    the context one word shorter, so its shorter form passes the second sieve."""
     def start():
-        bits = shared.value
+        bits, shorter = shared.value
 
         def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             tokens, first = token_stream(texts)
-            *_, (at, ctx) = contexts_before(tokens, first, depth)
+            before = np.zeros(len(tokens), np.int64)
+            for at, ctx in contexts_before(tokens, first, depth):
+                last, before_at = before, at
+                before = np.zeros(len(tokens), np.int64)
+                before[at] = ctx
             maybe = passes(bits, ctx)
+            at, ctx = before_at[maybe], ctx[maybe]
+            maybe = passes(shorter, tokens[at] ^ last[at])
             return tokens[at[maybe]] ^ ctx[maybe], ctx[maybe]
 
         return keys
@@ -234,12 +223,6 @@ def _grams_of(shared, depth: int):
     return start
 
 
-def _let_go(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are written; it does so as their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _least_count(effects: DataFrame, most: int) -> int:
     """The least n from which on there are at most ``most`` rows."""
     sizes = effects.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).toArrow()
@@ -268,7 +251,8 @@ def fit_levels(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_count:
             F.col("n").alias("weight")), f"contexts{d}")
         if contexts.isEmpty():
             break
-        shared = spark.sparkContext.broadcast(sieve(contexts.select(F.col("ctx").alias("key"))))
+        known = shorter if d > 1 else shorter.where(F.col("n") >= MIN_NEXT)
+        shared = spark.sparkContext.broadcast((sieve(contexts.select(F.col("ctx").alias("key"))), sieve(known.select("key"))))
         grams = counted(docs, _grams_of(shared, d), None, ("ctx",), MIN_NEXT).join(contexts, "ctx")
         # The same next word of the suffix: it occurs there at least as often, so it is kept there.
         grams = stored(grams.withColumn("short", word.bitwiseXOR(F.col("suffix"))).join(
@@ -293,7 +277,7 @@ def fit_levels(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_count:
             (logp - F.col("short_logp") - F.col("backoff")).alias("extra")), f"next{d}")
         levels.append(Level(nodes, shorter))
         del grams, contexts, considered, sums
-        _let_go(spark)
+        let_go(spark)
     # Whatever a retained context ends in is retained, too.
     for d in range(len(levels) - 1, 0, -1):
         used = levels[d].nodes.where("retained").select(F.col("suffix").alias("ctx")).distinct().withColumn("used", F.lit(True))
@@ -351,7 +335,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((
         *(_sorted(df.where(hot)) for df, hot in both), sieve(tree.select("key")), len(levels)))
     del levels
-    _let_go(spark)
+    let_go(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                         ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()),
                         ("rare", pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())])))])
