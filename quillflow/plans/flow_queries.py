@@ -17,7 +17,7 @@ from quillflow.sources.feed import read_changes
 from quillflow.sources.tables import create_target, execution_rows, is_folder, stage_in
 from quillflow.streaming.enrich import EnrichSink, start_enrich
 from quillflow.streaming.windows import (
-    STATE_CONF, BucketAdmission, SlidingAdmission, WindowDedup, dedup_within, label_stream,
+    STATE_CONF, BucketAdmission, BudgetGate, SlidingAdmission, WindowDedup, dedup_within, label_stream,
     run_to_table, usage_windows)
 
 SCHEMA = {"type": "object", "required": ["length", "model"], "properties": {
@@ -148,12 +148,42 @@ def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return run_to_table(dedup_within(items, "key", "ts", "60 days")).select("key")
 
 
-def _labelled(spark: SparkSession, folder: str, key: str, processor) -> DataFrame:
+# Files that the events are dealt into for the stateful streams, out of order, and files of a micro-batch.
+STREAM_FILES, BATCH_FILES = 8, 2
+CLOSING = "closing"
+
+
+def shuffled_stream(rows: DataFrame, ts: str, purpose: str) -> DataFrame:
+    """All rows as a stream of several files that each hold rows of all times.
+
+    A last file of one row with a time after all others moves the watermark past them, as the
+    next events of an endless stream would; its key is ``CLOSING``.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark, purpose)}/feed"
+    dealt = rows.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(STREAM_FILES)).cast("int"))
+    last = dealt.agg((F.max(ts) + F.expr("INTERVAL 1001 DAYS")).alias("last")).first()["last"]
+    closing = spark.range(1).select(*(
+        F.lit(last).alias(f.name) if f.name == ts else F.lit(CLOSING).alias(f.name) if f.name == "key"
+        else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
+    # One write per file time: a stream reads files by the time they were written.
+    dealt.repartition(STREAM_FILES, "file").drop("file").write.parquet(folder)
+    closing.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(folder)
+
+
+def _labelled(spark: SparkSession, folder: str, key: str, processor, need: str | None = None) -> DataFrame:
     with_state_conf(spark)
-    rows = usage_of(event_stream(spark, folder)).withColumn(
-        "document_id", F.col("agent_id")) if key == "agent_id" else changes_of(
-        event_stream(spark, folder)).withColumn("id", F.col("event_id"))
-    return run_to_table(label_stream(rows, key, "ts", "id", processor)).select("id", "admitted")
+    configure(spark)
+    events = table(spark, folder, "events")
+    rows = usage_of(events) if key == "agent_id" else changes_of(events).withColumn("id", F.col("event_id"))
+    if need == "cost_units":
+        rows = rows.withColumn(need, F.floor(F.col("cost_usd") * 1000))
+    amount = F.lit(1.0) if need is None else F.col(need).cast("double")
+    slim = rows.select(F.col(key).alias("key"), F.col("id").cast("long").alias("id"), "ts", amount.alias("need"))
+    stream = shuffled_stream(slim, "ts", "labelled")
+    labels = run_to_table(label_stream(stream, "key", "ts", "id", processor, "need", "1000 days"))
+    return labels.where(F.col("key") != CLOSING).select("id", "admitted")
 
 
 @query("stream_dedup_window", f"""
@@ -177,6 +207,15 @@ def stream_bucket(spark: SparkSession, folder: str) -> DataFrame:
     return _labelled(spark, folder, "agent_id", BucketAdmission(0.0005, 3.0))
 
 
+@query("stream_budget_gate", f"""
+WITH {USAGE}
+SELECT id, coalesce(sum(floor(cost_usd * 1000)) OVER (PARTITION BY agent_id, date_trunc('day', ts)
+  ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 750 AS admitted FROM usage""")
+def stream_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """A daily budget in thousandths, whole numbers, so that sums are exact in any order."""
+    return _labelled(spark, folder, "agent_id", BudgetGate(750.0, 24 * 3600), "cost_units")
+
+
 @query("stream_enrich", f"WITH {_USERS}")
 def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
     """The streaming flow into a table; its target equals the batch result."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,49 +28,106 @@ def dedup_within(items: DataFrame, key: str, ts: str, window: str) -> DataFrame:
     return items.withWatermark(ts, window).dropDuplicatesWithinWatermark([key])
 
 
+MICROS = 1_000_000
+HELD = T.StructType([T.StructField("at", T.LongType()), T.StructField("id", T.LongType()),
+                     T.StructField("need", T.DoubleType())])
+
+
 class _Ordered(StatefulProcessor):
-    """Label the rows of one key in (time, id) order with state kept between batches."""
+    """Label the rows of one key in (time, id) order, whatever batch they come in.
+
+    A row is held until the watermark has passed its time, so nothing earlier can follow; a timer
+    at the earliest held time judges all rows that are due. What is held is one key's rows of the
+    lateness, three numbers each. A second timer drops the state when it can't matter any more.
+    """
 
     state_type: T.StructType
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._state = handle.getValueState("state", self.state_type)
+        self._held = handle.getListState("held", HELD)
+        self._timer = handle.getValueState("timer", T.StructType([T.StructField("ms", T.LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
                         ) -> Iterator[pd.DataFrame]:
-        # The rows of one key in one micro-batch are sorted here, three numbers per row. The
-        # source's rate option (maxFilesPerTrigger, maxOffsetsPerTrigger) bounds them.
-        parts = [(c["at"].to_numpy(), c["id"].to_numpy(), c["need"].to_numpy()) for c in rows]
-        at, row_id, need = (np.concatenate(column) for column in zip(*parts, strict=True))
-        order = np.lexsort((row_id, at))
+        first = None
+        for part in rows:
+            held = list(zip(part["at"].tolist(), part["id"].tolist(), part["need"].tolist(), strict=True))
+            if held:
+                self._held.appendList(held)
+                earliest = min(held)[0]
+                first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            self._wake(_ceil_ms(first))
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any
+                           ) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        self._timer.clear()
+        held = sorted(tuple(row) for row in self._held.get()) if self._held.exists() else []
+        due = [row for row in held if row[0] <= passed * 1000]
+        rest = held[len(due):]
         state = self._state.get() if self._state.exists() else None
         flags = []
-        for time, amount in zip(at[order].tolist(), need[order].tolist(), strict=True):
-            state, ok = self.step(state, time, amount)
+        for at, _, need in due:
+            state, ok = self.step(state, at, need)
             flags.append(ok)
-        self._state.update(state)
-        yield pd.DataFrame({"key": key[0], "id": row_id[order], "admitted": flags})
+        if due:
+            self._held.put(rest) if rest else self._held.clear()
+        # Rows still held lie after the watermark, so a state that has run out by then is as good as none.
+        ends = None if state is None else _ceil_ms(self.expires(state))
+        if ends is None or ends <= passed:
+            self._state.clear()
+        else:
+            self._state.update(state)
+            self._wake(ends)
+        if rest:
+            self._wake(_ceil_ms(rest[0][0]))
+        if due:
+            yield pd.DataFrame({"key": key[0], "id": [row[1] for row in due], "admitted": flags})
+
+    def _wake(self, ms: int) -> None:
+        """One timer per key, at the earliest time asked for."""
+        before = self._timer.get()[0] if self._timer.exists() else None
+        if before is None or ms < before:
+            if before is not None:
+                self._handle.deleteTimer(before)
+            self._handle.registerTimer(ms)
+            self._timer.update((ms,))
 
     def step(self, state: Any, at: int, need: float) -> tuple[Any, bool]:
         raise NotImplementedError
 
+    def expires(self, state: Any) -> float:
+        """The time in microseconds from which on ``state`` judges as no state does."""
+        raise NotImplementedError
+
     def close(self) -> None:
         pass
 
 
+def _ceil_ms(micros: float) -> int:
+    return -int(-micros // 1000)
+
+
 class WindowDedup(_Ordered):
     """Exact duplicate window: refuse a row less than ``window`` after an accepted one."""
 
     state_type = T.StructType([T.StructField("last", T.LongType())])
 
     def __init__(self, window_seconds: float) -> None:
-        self.window = int(window_seconds * 1_000_000)
+        self.window = int(window_seconds * MICROS)
 
     def step(self, state: Any, at: int, need: float) -> tuple[Any, bool]:
         if state is None or at - state[0] >= self.window:
             return (at,), True
         return state, False
 
+    def expires(self, state: Any) -> float:
+        return state[0] + self.window
+
 
 class SlidingAdmission(_Ordered):
     """At most ``max_rate`` admitted rows in the trailing window."""
@@ -79,13 +135,16 @@ class SlidingAdmission(_Ordered):
     state_type = T.StructType([T.StructField("recent", T.ArrayType(T.LongType()))])
 
     def __init__(self, max_rate: int, window_seconds: float) -> None:
-        self.max_rate, self.window = max_rate, int(window_seconds * 1_000_000)
+        self.max_rate, self.window = max_rate, int(window_seconds * MICROS)
 
     def step(self, state: Any, at: int, need: float) -> tuple[Any, bool]:
         recent = [] if state is None else [t for t in state[0] if t > at - self.window]
         ok = len(recent) < self.max_rate
         return (recent + [at] if ok else recent,), ok
 
+    def expires(self, state: Any) -> float:
+        return max(state[0], default=0) + self.window
+
 
 class BucketAdmission(_Ordered):
     """Token bucket that starts full."""
@@ -99,10 +158,31 @@ class BucketAdmission(_Ordered):
     def step(self, state: Any, at: int, need: float) -> tuple[Any, bool]:
         tokens = self.capacity
         if state is not None:
-            tokens = min(self.capacity, state[0] + (at - state[1]) / 1_000_000 * self.rate)
+            tokens = min(self.capacity, state[0] + (at - state[1]) / MICROS * self.rate)
         ok = tokens >= need
         return (tokens - need if ok else tokens, at), ok
 
+    def expires(self, state: Any) -> float:
+        # A second more than it takes to refill, for the rounding of the rate.
+        return state[1] + ((self.capacity - state[0]) / self.rate + 1) * MICROS
+
+
+class BudgetGate(_Ordered):
+    """Refuse a row once its key has spent ``limit`` or more in the tumbling window; needs aren't negative."""
+
+    state_type = T.StructType([T.StructField("window", T.LongType()), T.StructField("spent", T.DoubleType())])
+
+    def __init__(self, limit: float, window_seconds: float) -> None:
+        self.limit, self.window = limit, int(window_seconds * MICROS)
+
+    def step(self, state: Any, at: int, need: float) -> tuple[Any, bool]:
+        window = at // self.window
+        spent = 0.0 if state is None or state[0] != window else state[1]
+        return (window, spent + need), spent < self.limit
+
+    def expires(self, state: Any) -> float:
+        return (state[0] + 1) * self.window
+
 
 # transformWithState keeps its state in RocksDB.
 STATE_CONF = {
@@ -112,15 +192,21 @@ STATE_CONF = {
 
 
 def label_stream(rows: DataFrame, key: str, ts: str, row_id: str, processor: StatefulProcessor,
-                 need: str | None = None) -> DataFrame:
-    """(key, id, admitted) for the rows of a stream, by a per-key state machine."""
+                 need: str | None = None, lateness: str = "1 hour") -> DataFrame:
+    """(key, id, admitted) for the rows of a stream, by a per-key state machine in event time.
+
+    A row is judged when the watermark, ``lateness`` behind the latest time seen, has passed it; rows
+    that arrive later than that are dropped, as by any watermark. Rows without time can't be
+    ordered and are dropped, too. A null key is a key of its own.
+    """
     slim = rows.select(
         F.col(key).cast("string").alias("key"), F.col(row_id).cast("long").alias("id"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("at"),
+        F.col(ts).cast("timestamp").alias("time"),
         (F.lit(1.0) if need is None else F.col(need).cast("double")).alias("need"))
-    return slim.groupBy("key").transformWithStateInPandas(
+    timed = slim.where("time IS NOT NULL").withWatermark("time", lateness).withColumn("at", F.unix_micros("time"))
+    return timed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType="key string, id long, admitted boolean",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
 
 
 def run_to_table(rows: DataFrame, mode: str = "append") -> DataFrame:
