@@ -165,12 +165,13 @@ def appended_nested(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("apply_last_write", f"""
-WITH {CHANGES}, last AS (SELECT document_id, arg_max(kind, (ts, event_id)) AS kind,
-  arg_max(note, (ts, event_id)) FILTER (note IS NOT NULL) AS note FROM changes WHERE has_doc GROUP BY 1)
+WITH {CHANGES}, last AS (SELECT document_id, arg_max(kind, (ts, event_id)) FILTER (kind IS NOT NULL) AS kind,
+  arg_max(note, (ts, event_id)) FILTER (note IS NOT NULL) AS note FROM changes GROUP BY 1)
 SELECT d.doc_id, coalesce(l.kind, d.source) AS kind, l.note FROM documents d
 LEFT JOIN last l ON l.document_id = CAST(d.doc_id AS VARCHAR)""")
 def last_write(spark: SparkSession, folder: str) -> DataFrame:
-    feed = changes(spark, folder).where(F.col("full_document").isNotNull())
+    # An event without document answers with nothing, so it writes nothing.
+    feed = changes(spark, folder)
     rows = feed.select(
         F.col("document_id").cast("long").alias("doc_id"),
         F.parse_json(F.to_json(F.struct("full_document.kind", "full_document.note"))).alias("answer"),

@@ -143,16 +143,13 @@ def outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return items.groupBy("outcome").agg(F.count("*").alias("items"))
 
 
-def _where(spark: SparkSession, folder: str, condition: dict) -> DataFrame:
-    feed = changes(spark, folder).where(F.col("full_document").isNotNull())
-    dtype = feed.schema["full_document"].dataType
-    return feed.where(compile_filter(condition, dtype, F.col("full_document"))).select("event_id")
-
-
 def _filter_query(name: str, condition: dict, sql: str) -> None:
-    @query(name, f"WITH {CHANGES} SELECT event_id FROM changes WHERE has_doc AND ({sql})")
+    """Every event with the verdict of a filter; of an event without document all fields are null."""
+    @query(name, f"WITH {CHANGES} SELECT event_id, coalesce(({sql}), false) AS passes FROM changes")
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return _where(spark, folder, condition)
+        feed = changes(spark, folder)
+        dtype = feed.schema["full_document"].dataType
+        return feed.select("event_id", compile_filter(condition, dtype, F.col("full_document")).alias("passes"))
 
 
 _filter_query("filter_compare", {"value": {"$gt": 20, "$lte": 120.5}, "k": {"$gte": 10, "$lt": 90}},
@@ -160,7 +157,7 @@ _filter_query("filter_compare", {"value": {"$gt": 20, "$lte": 120.5}, "k": {"$gt
 _filter_query("filter_equal", {"kind": "click", "k": {"$eq": 7}, "missing": None},
               "kind = 'click' AND k = 7")
 _filter_query("filter_in_nin", {"note": {"$in": ["x", None]}, "kind": {"$nin": ["view", "click"]}},
-              "(note = 'x' OR note IS NULL) AND kind NOT IN ('view', 'click')")
+              "(note = 'x' OR note IS NULL) AND coalesce(kind NOT IN ('view', 'click'), true)")
 _filter_query("filter_exists", {"note": {"$exists": False}, "nothing.here": {"$exists": False}},
               "note IS NULL")
 _filter_query("filter_regex", {"$or": [{"note": {"$regex": {"$regex": "^z", "$options": "i"}}},
@@ -177,7 +174,7 @@ _filter_query("filter_dot_path", {"meta.pair.1": {"$gt": 60}, "meta.kind": "purc
               "k + 1 > 60 AND kind = 'purchase' AND k <> 98")
 _filter_query("filter_type", {"value": {"$type": "double"}, "k": {"$type": 16},
                               "meta": {"$type": "object"}, "meta.pair": {"$type": "array"},
-                              "note": {"$type": "null"}}, "note IS NULL")
+                              "note": {"$type": "null"}}, "has_doc AND note IS NULL")
 
 
 @query("filter_null_semantics", f"""
@@ -186,9 +183,9 @@ SELECT event_id, note IS NULL AS eq_null, coalesce(note <> 'x', true) AS ne_x,
   coalesce(note > 'x', false) AS gt_x, NOT coalesce(note > 'x', false) AS not_gt_x,
   coalesce(note IN ('x', 'y'), false) AS in_list, NOT coalesce(note IN ('x', 'y'), false) AS nin_list,
   note IS NOT NULL AS present, false AS or_empty, true AS nor_empty, true AS and_empty,
-  false AS number_as_text FROM changes WHERE has_doc""")
+  false AS number_as_text FROM changes""")
 def null_semantics(spark: SparkSession, folder: str) -> DataFrame:
-    feed = changes(spark, folder).where(F.col("full_document").isNotNull())
+    feed = changes(spark, folder)
     dtype = feed.schema["full_document"].dataType
     conditions = {
         "eq_null": {"note": None}, "ne_x": {"note": {"$ne": "x"}}, "gt_x": {"note": {"$gt": "x"}},
@@ -202,10 +199,10 @@ def null_semantics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("filter_variant", f"""
 WITH {CHANGES}
-SELECT event_id, value >= 25.5 AND kind IN ('click', 'view') AND k + 1 < 70
-  AND coalesce(note <> 'y', true) AS passes FROM changes WHERE has_doc""")
+SELECT event_id, coalesce(value >= 25.5 AND kind IN ('click', 'view') AND k + 1 < 70
+  AND coalesce(note <> 'y', true), false) AS passes FROM changes""")
 def variant_filter(spark: SparkSession, folder: str) -> DataFrame:
-    feed = changes_of(spread(spark, folder, "events")).where(F.col("full_document").isNotNull())
+    feed = changes_of(spread(spark, folder, "events"))
     loose = feed.withColumn("full_document", F.parse_json(F.to_json("full_document")))
     condition = {"value": {"$gte": 25.5, "$type": "double"}, "kind": {"$in": ["click", "view"]},
                  "meta.pair.1": {"$lt": 70, "$type": "int"}, "note": {"$ne": "y"},
@@ -216,10 +213,10 @@ def variant_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("project_fields", f"""
 WITH {CHANGES}
-SELECT event_id, to_json({{'kind': kind, 'meta': {{'kind': kind}}}}) AS document
-FROM changes WHERE has_doc""")
+SELECT event_id, CASE WHEN has_doc THEN to_json({{'kind': kind, 'meta': {{'kind': kind}}}}) END AS document
+FROM changes""")
 def projection(spark: SparkSession, folder: str) -> DataFrame:
-    feed = changes(spark, folder).where(F.col("full_document").isNotNull())
+    feed = changes(spark, folder)
     dtype = feed.schema["full_document"].dataType
     return feed.select("event_id", F.to_json(
         project_fields(F.col("full_document"), dtype, ["kind", "meta.kind"])).alias("document"))

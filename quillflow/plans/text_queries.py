@@ -68,9 +68,9 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
 WITH {CHANGES}
 SELECT event_id, CASE WHEN note IS NOT NULL THEN 'Note ' || note END AS prompt,
   CASE WHEN note IS NULL THEN 'Undefined variable: document.note' END AS render_error
-FROM changes WHERE has_doc""")
+FROM changes""")
 def undefined(spark: SparkSession, folder: str) -> DataFrame:
-    feed = changes(spark, folder).where(F.col("full_document").isNotNull())
+    feed = changes(spark, folder)
     document = Ref(F.col("full_document"), feed.schema["full_document"].dataType)
     rendered = compile_template("Note {{ document.note }}", {"document": document})
     return feed.select("event_id", rendered.text.alias("prompt"),
@@ -110,14 +110,14 @@ def filters(spark: SparkSession, folder: str) -> DataFrame:
         tf.sanitize(F.lit("{{x}}")).alias("safe"))
 
 
+# Blank lines go at both ends, white space at the ends of the lines that stay does not.
 @query("trim_blank_lines", r"""
-SELECT doc_id, text AS trimmed FROM documents WHERE length(trim(text, E' \t\n\r')) > 0
-  AND text = trim(text, E' \t\n\r')""")
+WITH padded AS (SELECT doc_id, E'\n  \n\t\n' || text || E'\n \n' AS t FROM documents),
+cut AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^([ \t\r\f\v]*\n)+', ''), '(\n[ \t\r\f\v]*)+$', '') AS t FROM padded)
+SELECT doc_id, CASE WHEN regexp_full_match(t, '[ \t\r\f\v]*') THEN '' ELSE t END AS trimmed FROM cut""")
 def blank_lines(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(spark, folder, "documents").where(
-        "length(trim(BOTH ' \t\n\r' FROM text)) > 0 AND text = trim(BOTH ' \t\n\r' FROM text)")
     padded = F.concat(F.lit("\n  \n\t\n"), F.col("text"), F.lit("\n \n"))
-    return docs.select("doc_id", trim_blank_lines(padded).alias("trimmed"))
+    return spread(spark, folder, "documents").select("doc_id", trim_blank_lines(padded).alias("trimmed"))
 
 
 @query("chat_messages", f"""
@@ -148,6 +148,16 @@ def _count_sql(name: str, text: str = "text") -> str:
     return f"len(regexp_extract_all({text}, '{_SQL_PATTERNS[name]}'))"
 
 
+def _mask_sql() -> str:
+    """Every text with its matches filled by asterisks, pattern after pattern."""
+    text = "text"
+    for pattern in _SQL_PATTERNS.values():
+        text = (f"(SELECT array_to_string(list_transform(list_zip(string_split_regex(t, '{pattern}'), "
+                f"regexp_extract_all(t, '{pattern}')), lambda p: p[1] || coalesce(repeat('*', length(p[2])::BIGINT), '')), '') "
+                f"FROM (SELECT {text} AS t))")
+    return f"SELECT doc_id, {text} AS masked FROM documents"
+
+
 @query("pii_detect_counts", " UNION ALL ".join(
     f"SELECT '{n}' AS type, CAST(sum({_count_sql(n)}) AS BIGINT) AS detections FROM documents"
     for n in _SQL_PATTERNS))
@@ -162,11 +172,10 @@ def pii_documents(spark: SparkSession, folder: str) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.count("*").alias("detections"))
 
 
-@query("pii_mask")
+@query("pii_mask", _mask_sql())
 def pii_mask(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(spark, folder, "documents")
-    masked = docs.select("doc_id", "text", mask_text(F.col("text")).alias("masked"))
-    return masked.where(F.col("masked") != F.col("text")).select("doc_id", "masked")
+    return docs.select("doc_id", mask_text(F.col("text")).alias("masked"))
 
 
 @query("pii_spans")
@@ -189,8 +198,8 @@ def pii_nested(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id",
         mask_document(F.col("doc"), dtype, fields, chosen=chosen).alias("masked"),
         document_detections(F.col("doc"), dtype, fields, chosen=chosen).alias("found"))
-    found = rows.where(F.size("found") > 0).select(
-        "doc_id", F.md5(F.to_json("masked")).alias("masked_hash"), F.explode("found").alias("d"))
+    found = rows.select(
+        "doc_id", F.md5(F.to_json("masked")).alias("masked_hash"), F.explode_outer("found").alias("d"))
     return found.select("doc_id", "masked_hash", "d.type", "d.path", "d.start", "d.length")
 
 
