@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quillflow.llm.common import let_go, stored
 from quillflow.llm.components import components
+from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.shingle_sets import picked, set_digests, set_rows, sets_of, verified
 
 GROUPS, LEAF = 128, 128
@@ -41,7 +42,7 @@ HOT_KEYS, COUNTERS = 4_096, 1 << 16
 BLOCK = 1 << 15
 _POINT_LISTS = ("nodes", "ns", "places", "labels")
 _LEAF_FIELDS = ("key long, nodes array<long>, ns array<long>, places array<long>, labels array<long>, points binary, "
-                "bounds binary, low long, high long, only long")
+                "bounds binary, low long, high long, only long, part long")
 
 
 def count_vector(items: np.ndarray) -> bytes:
@@ -147,9 +148,11 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = [[] for _ in schema]
         for a, b in zip(cuts, [*cuts[1:], len(key)]):
             only = int(label[a]) if (label[a:b] == label[a]).all() else None
+            # Whether the key may have more leaves: at its edge here, or in another batch.
+            alone = a > 0 and b < len(key) and key[a - 1] != key[a] and key[b] != key[a]
             for column, value in zip(rows, (
                     int(key[a]), node[a:b], n[a:b], place[a:b], label[a:b], points[a:b].tobytes(),
-                    points[a:b].max(axis=0).tobytes(), int(n[a:b].min()), int(n[a:b].max()), only)):
+                    points[a:b].max(axis=0).tobytes(), int(n[a:b].min()), int(n[a:b].max()), only, int(not alone))):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
@@ -195,15 +198,15 @@ def cross_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFram
     leaves = stored(dealt.select("key", "node", "n", "place", "label", "point").mapInArrow(
         _leaves, _LEAF_FIELDS).withColumn("leaf", F.monotonically_increasing_id()), "leaves")
     # Pairs of leaves are chosen by their bounds alone and then get their points.
-    outline = leaves.select("key", "leaf", "low", "high", "only", "bounds")
-    outline = outline.join(outline.groupBy("key").count().where("count > 1"), "key", "left_semi")
+    several = leaves.where("part = 1")
+    outline = several.select("key", "leaf", "low", "high", "only", "bounds")
     other = outline.select("key", *(F.col(c).alias(f"{c}_2") for c in ("leaf", "low", "high", "only", "bounds")))
     near = outline.join(other, "key").where(
         f"leaf < leaf_2 AND NOT (only <=> only_2 AND only IS NOT NULL) AND 100 * high >= {percent} * low_2 AND 100 * high_2 >= {percent} * low")
     chosen = near.select("leaf", "leaf_2", "low", "low_2", "bounds", "bounds_2").mapInArrow(_near_leaves(percent), "leaf long, leaf_2 long")
     lists = [*_POINT_LISTS, "points"]
-    one = leaves.select("leaf", *lists)
-    two = leaves.select(F.col("leaf").alias("leaf_2"), *(F.col(c).alias(f"{c}_2") for c in lists))
+    one = several.select("leaf", *lists)
+    two = several.select(F.col("leaf").alias("leaf_2"), *(F.col(c).alias(f"{c}_2") for c in lists))
     inside = leaves.where("only IS NULL").select(
         *lists, *(F.col(c).alias(f"{c}_2") for c in lists), F.lit(True).alias("same"))
     beside = chosen.join(one, "leaf").join(two, "leaf_2").select(
@@ -223,12 +226,36 @@ def _near_leaves(percent: int):
     return run
 
 
+def _shared_keys(prefixes: DataFrame) -> DataFrame:
+    """(node, n, key, place) of all keys that several nodes have, and of few others.
+
+    Keys are counted alone; a sieve of those found twice then thins the prefixes where they are read, so
+    only rows that may meet are dealt out with their nodes.
+    """
+    twice = stored(prefixes.select(F.explode("prefix").alias("key")).groupBy("key").count().where("count > 1").select("key"), "twice")
+    shared = prefixes.sparkSession.sparkContext.broadcast(sieve(twice))
+    schema = pa.schema([(name, pa.int64()) for name in ("node", "n", "key", "place")])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            keys, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+            maybe = passes(shared.value, keys)
+            of = np.repeat(np.arange(len(sizes)), sizes)[maybe]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(batch.column(0).to_numpy()[of]), pa.array(batch.column(1).to_numpy()[of]),
+                pa.array(keys[maybe]), pa.array(place[maybe])], schema=schema)
+
+    return prefixes.select("node", "n", "prefix").mapInArrow(run, "node long, n long, key long, place long")
+
+
 def _starred(prefixes: DataFrame) -> DataFrame:
-    """(key, node, n, place, c_node, c_n, c_place): the nodes of each key that several have, beside the least of them; written."""
-    keys = prefixes.select("node", "n", F.posexplode("prefix").alias("at", "key")).select(
-        "key", "node", "n", (F.col("at") + 1).cast("long").alias("place"))
-    centres = keys.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("c"), F.max("node").alias("last")).where(
-        "c.node < last").select("key", *(F.col("c")[c].alias(f"c_{c}") for c in ("node", "n", "place")))
+    """(key, node, n, place, c_node, c_n, c_place, m): the nodes of each key that several have, beside the
+    least of them, and their number; written."""
+    keys = _shared_keys(prefixes)
+    centres = keys.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("c"), F.count("*").alias("m")).where(
+        "m > 1").select("key", *(F.col("c")[c].alias(f"c_{c}") for c in ("node", "n", "place")), "m")
     return stored(keys.join(centres, "key"), "members")
 
 
@@ -246,7 +273,8 @@ def joined_components(rows: DataFrame, nodes: DataFrame, size: int, percent: int
     let_go(rows.sparkSession)
     sets, links = compared(rows, nodes, pairs, None, size, percent)
     labels = components(links)
-    rest = starred.where("node <> c_node").join(labels, "node", "left").select(
+    # Two members are compared already.
+    rest = starred.where("node <> c_node AND m > 2").join(labels, "node", "left").select(
         "key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     more = stored(cross_pairs(rest, points, percent).join(pairs, ["a", "b"], "left_anti"), "cross")
     _, found = compared(rows, nodes, more, sets, size, percent)

@@ -148,7 +148,7 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
     _, found = compared(rows, nodes, more, sets, size, percent)
     links = links.union(found)
     labels = components(links)
-    members = again.where("node <> c_node").join(labels, "node", "left").select(
+    members = again.where("node <> c_node AND m > 2").join(labels, "node", "left").select(
         "key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     last = stored(cross_pairs(members, nodes, percent).join(pairs.union(more), ["a", "b"], "left_anti"), "cross")
     _, found = compared(rows, nodes, last, sets, size, percent)
@@ -157,8 +157,8 @@ def _linked(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataF
 
 def _starred(members: DataFrame, purpose: str) -> DataFrame:
     """Members (key, node, n, place) of keys that several nodes have, beside the least of them; written."""
-    centres = members.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("c"), F.max("node").alias("last")).where(
-        "c.node < last").select("key", *(F.col("c")[c].alias(f"c_{c}") for c in ("node", "n", "place")))
+    centres = members.groupBy("key").agg(F.min(F.struct("node", "n", "place")).alias("c"), F.count("*").alias("m")).where(
+        "m > 1").select("key", *(F.col("c")[c].alias(f"c_{c}") for c in ("node", "n", "place")), "m")
     return stored(members.join(centres, "key"), purpose)
 
 
@@ -187,7 +187,7 @@ def _rare_members(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _unfinished(starred: DataFrame, labels: DataFrame) -> DataFrame:
     """Members beside the centres of the buckets that still hold more than one component."""
-    now = stored(starred.where("node <> c_node").join(labels, "node", "left").select(
+    now = stored(starred.where("node <> c_node AND m > 2").join(labels, "node", "left").select(
         "key", "node", "n", F.coalesce("label", "node").alias("label")), "members")
     open_ = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     return now.join(open_.select("key"), "key", "left_semi")
