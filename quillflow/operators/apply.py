@@ -206,10 +206,13 @@ def is_list(answer: Column) -> Column:
 
 def fold_results(
     results: DataFrame, id_col: str, writes: list[tuple[Column, Write]],
-    order_by: tuple[str, ...] = ("completed_at", "work_item_id"),
+    order_by: tuple[str, ...] = ("completed_at", "work_item_id"), target: T.StructType | None = None,
 ) -> tuple[DataFrame, dict[str, str], dict[str, str], dict[str, str]]:
     """One row per document: the last write of every target path, by ``order_by``.
 
+    A value that doesn't fit the type that ``target`` has at its path isn't a write, so the ones
+    before it count.
+
     A write applies to the result rows its condition selects. ``results`` needs the id,
     ``answer`` (VARIANT), ``completed_at`` and ``work_item_id``. One aggregate that combines
     before the shuffle serves all writes; only an append keeps every answer of a document, as the
@@ -230,13 +233,15 @@ def fold_results(
         if write.strategy == "append":
             items.setdefault(write.array_field, []).append((usable, _append_items(answer, write)))
             continue
-        for source, target in write.mapping.items():
+        for source, target_name in write.mapping.items():
             at = variant_path([source])
             value = F.try_variant_get(answer, at, write.types[source])
             # A value of another type leaves the old one; only a JSON null takes it away.
             null = F.is_variant_null(F.try_variant_get(answer, at, "variant"))
-            found = usable & (value.isNotNull() | null)
-            cases.setdefault(write.place(target), []).append((found, value))
+            dtype = None if target is None else _type_at(target, write.place(target_name))
+            fits = value if dtype is None else value.try_cast(_nullable(dtype))
+            found = usable & (fits.isNotNull() | null)
+            cases.setdefault(write.place(target_name), []).append((found, value))
         if write.rest and not write.fields:
             others.setdefault(write.place(write.rest), []).append((usable, _unlisted(answer, write)))
     aggregates, sets, appends, rests = [], {}, {}, {}
@@ -358,7 +363,7 @@ def apply_writes(
     fixed = (id_col, *keep)
     opened = _open_types([write for _, write in writes], target.schema, fixed)
     writes = [(chosen, write) for (chosen, _), write in zip(writes, opened)]
-    folded, sets, appends, rests = fold_results(results, id_col, writes, order_by)
+    folded, sets, appends, rests = fold_results(results, id_col, writes, order_by, target.schema)
     joined = target.join(folded, id_col, "left")
     act = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
     tree: Tree = {}

@@ -126,14 +126,14 @@ def write_of(agent: Agent, rest: str | None = "_fields") -> Write:
 def apply_agents(
     target: DataFrame, results: DataFrame, agents: list[Agent], id_col: str, database: str,
     collection: str, keep: tuple[str, ...] = (),
+    order_by: tuple[str, ...] = ("completed_at", "started_at", "work_item_id"),
 ) -> DataFrame:
     """The target collection with the successful results of every agent that writes to it.
 
-    Answers never set the id and the columns in ``keep``.
+    Answers never set the id and the columns in ``keep``. Answers of one batch complete together;
+    by default the order of their events decides between them.
     """
     writes = [(F.col("agent_id") == a.id, write_of(a)) for a in agents
               if a.enabled and a.target == (database, collection)]
     good = results.where(F.col("error_type").isNull()).withColumn(id_col, F.col("document_id"))
-    # Answers of one batch complete together; the order of their events decides between them.
-    order = ("completed_at", "started_at", "work_item_id")
-    return apply_writes(target, good, id_col, writes, order_by=order, keep=keep) if writes else target
+    return apply_writes(target, good, id_col, writes, order_by=order_by, keep=keep) if writes else target

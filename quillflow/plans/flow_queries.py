@@ -11,11 +11,12 @@ from quillflow.plans.answer_queries import demo_client
 from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items
 from quillflow.plans.registry import ORACLES, query
 from quillflow.plans.views import (
-    AGENTS, CHANGES, MOMENT_SQL, USAGE, changes, changes_of, moment, spread, table, usage_of)
+    AGENTS, CHANGES, MOMENT_SQL, USAGE, changes_of, moment, spread, table, usage_of)
 from quillflow.session import configure, shared_folder
 from quillflow.sources.feed import read_changes
-from quillflow.sources.tables import create_target, execution_rows, is_folder, stage_in
+from quillflow.sources.tables import execution_rows, is_folder, stage_in
 from quillflow.streaming.enrich import EnrichSink, start_enrich
+from quillflow.streaming.targets import Target, TargetStore
 from quillflow.streaming.windows import (
     STATE_CONF, BucketAdmission, BudgetGate, SlidingAdmission, WindowDedup, dedup_within, label_stream,
     run_to_table, usage_windows)
@@ -216,22 +217,40 @@ def stream_budget(spark: SparkSession, folder: str) -> DataFrame:
     return _labelled(spark, folder, "agent_id", BudgetGate(750.0, 24 * 3600), "cost_units")
 
 
+# The agents of the stream: one writes to a second collection, one has no schema for its answers.
+STREAM_AGENTS = [
+    replace(a, target_collection="people") if a.id == "all_watch"
+    else replace(a, response_schema=None) if a.id == "text_watch" else a for a in FLOW_AGENTS]
+USERS_TARGET, PEOPLE_TARGET = Target("app", "users", "user"), Target("app", "people", "person")
+
+
+def stream_store(spark: SparkSession, folder: str, root: str, buckets: int = 8) -> TargetStore:
+    """Both targets of the stream, without answers yet."""
+    store = TargetStore(root, (USERS_TARGET, PEOPLE_TARGET), buckets)
+    rows = users(spark, folder)
+    store.create(USERS_TARGET, rows)
+    store.create(PEOPLE_TARGET, rows.select(F.col("user").alias("person")))
+    return store
+
+
+def stream_lengths(spark: SparkSession, store: TargetStore, agents: list) -> DataFrame:
+    """What both targets hold, side by side."""
+    people = store.read(spark, PEOPLE_TARGET, agents).select(
+        F.col("person").alias("user"), F.col("all_watch.length").alias("everything"))
+    rows = store.read(spark, USERS_TARGET, agents).join(people, "user", "left")
+    return rows.select(
+        "user", "events", F.col("spend_watch.length").alias("spend"),
+        F.col("kind_watch.length").alias("kind"),
+        F.try_variant_get(F.col("text_watch._fields"), "$.length", "long").alias("text"), "everything")
+
+
 @query("stream_enrich", f"WITH {_USERS}")
 def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
-    """The streaming flow into a table; its target equals the batch result."""
+    """The streaming flow into two tables, which equal the batch result."""
     configure(spark)
     root = shared_folder(spark, "enrich")
-    name = "users_" + root.rsplit("-", 1)[1]
-    base = apply_agents(users(spark, folder), _no_results(spark, folder), FLOW_AGENTS, "user", "app",
-                        "users")
-    create_target(base, name, "user", 8, root)
-    sink = EnrichSink(FLOW_AGENTS, demo_client, root, name, "user", "app", "users", buckets=8)
+    store = stream_store(spark, folder, root)
+    sink = EnrichSink(STREAM_AGENTS, demo_client, root, store)
     start_enrich(changes_of(event_stream(spark, folder)), sink, f"{root}/checkpoint",
                  available_now=True).awaitTermination()
-    return _lengths(spark.table(name))
-
-
-def _no_results(spark: SparkSession, folder: str) -> DataFrame:
-    # Gives the target its answer columns before the first batch.
-    items = work_items(changes(spark, folder).where("false"), FLOW_AGENTS)
-    return enrich(items, FLOW_AGENTS, demo_client)
+    return stream_lengths(spark, store, STREAM_AGENTS)

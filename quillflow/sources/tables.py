@@ -7,6 +7,7 @@ same batch replaces what it wrote before.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,10 +25,10 @@ AUDIT_ACTIONS = (
 def write_batch(rows: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
     """Append one batch; writing the same batch again replaces it."""
     folder = f"{path}/batch={batch_id}"
-    _gathered(rows, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
+    gathered(rows, partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
 
 
-def _gathered(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+def gathered(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows of one output folder together, in as many tasks as their size needs.
 
     Without it every task writes a file into every folder; with a plain repartition one large
@@ -41,11 +42,21 @@ def write_work_items(items: DataFrame, path: str, batch_id: int) -> None:
     write_batch(items, path, batch_id, ("route",))
 
 
-def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Everything the batches wrote; an empty frame before the first one."""
-    if not path_exists(spark, path):
+def read_batches(spark: SparkSession, path: str, schema, folders: list[str] | None = None) -> DataFrame:
+    """Everything the batches wrote, or some of their folders; an empty frame before the first one."""
+    if folders is None:
+        folders = [path] if path_exists(spark, path) else []
+    if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.option("basePath", path).schema(schema).parquet(path)
+    return spark.read.option("basePath", path).schema(schema).parquet(*folders)
+
+
+def finished(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the folders ``name=<number>`` below a path that a write has finished, ascending."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    folders = [status.getPath().getParent().getName() for status in found or []]
+    return sorted(int(folder.split("=")[1]) for folder in folders)
 
 
 Stage = Callable[[DataFrame, str], DataFrame]
@@ -80,6 +91,37 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 KEY_SCHEMA = "key string, agent_id string, work_item_id string, created_at timestamp"
 
 
+def _hour(at: datetime) -> int:
+    """Hours since 1970."""
+    return int(at.timestamp() // 3600)
+
+
+def append_keys(written: DataFrame, path: str, batch_id: int, created_at: datetime) -> None:
+    """Store the keys of a batch below the hour of their making, so that old hours are never read."""
+    rows = key_rows(written, F.lit(created_at).cast("timestamp"))
+    write_batch(rows, f"{path}/hour={_hour(created_at)}", batch_id)
+
+
+def live_keys(spark: SparkSession, path: str, as_of: datetime, ttl_seconds: int) -> DataFrame:
+    """Keys made within the ttl: the folders of its hours and no others are listed and read."""
+    first = _hour(as_of - timedelta(seconds=ttl_seconds))
+    folders = [f"{path}/hour={hour}" for hour in range(first, _hour(as_of) + 1)]
+    there = [folder for folder in folders if path_exists(spark, folder)]
+    return read_batches(spark, path, KEY_SCHEMA + ", hour int, batch int", there)
+
+
+def drop_keys(spark: SparkSession, path: str, as_of: datetime, ttl_seconds: int) -> int:
+    """Delete the folders of all hours before the ttl whole; returns their number."""
+    first = _hour(as_of - timedelta(seconds=ttl_seconds))
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/hour=*")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [status.getPath() for status in files.globStatus(where) or []
+           if int(status.getPath().getName().split("=")[1]) < first]
+    for folder in old:
+        files.delete(folder, True)
+    return len(old)
+
+
 def key_rows(written: DataFrame, created_at: Column) -> DataFrame:
     """Idempotency records of written results: one per key, the first writer wins."""
     return (
@@ -93,7 +135,7 @@ def key_rows(written: DataFrame, created_at: Column) -> DataFrame:
 EXECUTION_SCHEMA = (
     "id string, agent_id string, document_id string, status string, success boolean, "
     "written boolean, started_at timestamp, completed_at timestamp, duration_ms double, "
-    "error string, error_type string, attempt int, model string, provider string, "
+    "error string, error_type string, write_error string, attempt int, model string, provider string, "
     "total_tokens long, cost_usd double"
 )
 
@@ -101,6 +143,7 @@ EXECUTION_SCHEMA = (
 def execution_rows(results: DataFrame) -> DataFrame:
     """Execution history of finished work items, failed ones included."""
     success = F.col("error_type").isNull()
+    refused = F.col("write_error") if "write_error" in results.columns else F.lit(None).cast("string")
     return results.select(
         F.col("work_item_id").alias("id"), "agent_id", "document_id",
         F.when(success, "completed").otherwise("failed").alias("status"),
@@ -108,7 +151,7 @@ def execution_rows(results: DataFrame) -> DataFrame:
         F.coalesce(F.col("written"), F.lit(False)).alias("written"),
         "started_at", "completed_at",
         F.col("latency_ms").alias("duration_ms"), "error", "error_type",
-        F.col("attempt").cast("int").alias("attempt"), "model", "provider",
+        refused.alias("write_error"), F.col("attempt").cast("int").alias("attempt"), "model", "provider",
         "total_tokens", "cost_usd")
 
 
@@ -127,43 +170,3 @@ def audit_rows(rows: DataFrame, action: str, at: Column, **columns: Column) -> D
         pick("details", F.create_map().cast("map<string,string>")),
         pick("ip_address", text), pick("user_agent", text),
         pick("success", F.lit(True)), pick("error", text))
-
-
-def bucket_of(row_id: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(row_id).cast("string")), F.lit(buckets)).cast("int")
-
-
-def create_target(rows: DataFrame, table: str, row_id: str, buckets: int, root: str) -> None:
-    """An external table partitioned by a hash of the id, so that a batch rewrites only the
-    buckets it touches."""
-    spark = rows.sparkSession
-    staged = rows.withColumn("bucket", bucket_of(row_id, buckets))
-    _gathered(staged, ("bucket",)).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/start")
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    spark.sql(f"CREATE TABLE {table} ({columns}, bucket int) USING parquet "
-              f"PARTITIONED BY (bucket) LOCATION '{root}/start'")
-    spark.sql(f"MSCK REPAIR TABLE {table}")
-
-
-def rewrite_target(
-    table: str, changed: DataFrame, touched: list[int], root: str, batch_id: int,
-) -> None:
-    """Replace buckets of a target by new files, then point the table at them.
-
-    Files are written to a folder of this batch first. A rerun after a crash finds the finished
-    folder, does not apply the results a second time, and only repeats the pointing.
-    """
-    spark = changed.sparkSession
-    folder = f"{root}/batch-{batch_id}"
-    if not path_exists(spark, f"{folder}/_SUCCESS"):
-        _gathered(changed, ("bucket",)).write.mode("overwrite").partitionBy("bucket").parquet(folder)
-    for bucket in touched:
-        spark.sql(f"ALTER TABLE {table} PARTITION (bucket={bucket}) "
-                  f"SET LOCATION '{folder}/bucket={bucket}'")
-    spark.catalog.refreshTable(table)
-
-
-def touched_buckets(rows: DataFrame, row_id: str, buckets: int) -> list[int]:
-    """Buckets that hold the ids of these rows; at most ``buckets`` numbers."""
-    found = rows.select(bucket_of(row_id, buckets).alias("b")).distinct().collect()
-    return sorted(r["b"] for r in found)

@@ -4,75 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillflow.operators.apply import fresh_only
 from quillflow.operators.complete import Client
 from quillflow.operators.failure import dead_letters, due_retries, plan_retries, retry_items
-from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items
+from quillflow.plans.enrich import dispatch, enrich, work_items
 from quillflow.sources.catalog import Agent
 from quillflow.sources.tables import (
-    EXECUTION_SCHEMA, KEY_SCHEMA, execution_rows, key_rows, path_exists, read_batches,
-    rewrite_target, stage_in, touched_buckets, write_batch)
+    EXECUTION_SCHEMA, append_keys, execution_rows, live_keys, path_exists, read_batches, stage_in,
+    write_batch)
+from quillflow.streaming.targets import TargetStore
 
 
 @dataclass(frozen=True)
 class EnrichSink:
     """``foreachBatch`` target. ``root`` is a folder all executors share.
 
-    A micro-batch may run again after a crash. Model answers, rewritten buckets, keys, executions,
-    retries and dead letters are written per batch id, so the second run replaces or skips what
-    the first one did.
+    A micro-batch may run again after a crash. Model answers, changes of targets, keys, executions,
+    retries and dead letters are written per batch id, so the second run replaces what the first
+    one did by the same. A key is kept only of a result that reached its target.
     """
 
     agents: list[Agent]
     make_client: Callable[[], Client]
     root: str
-    table: str
-    id_col: str
-    database: str
-    collection: str
-    buckets: int = 64
+    store: TargetStore
     key_ttl_seconds: int = 24 * 3600
 
     def __call__(self, changes: DataFrame, batch_id: int) -> None:
         spark = changes.sparkSession
-        as_of = F.current_timestamp()
+        now = datetime.now(timezone.utc)
+        as_of = F.lit(now).cast("timestamp")
         items = dispatch(work_items(changes, self.agents))
-        seen = read_batches(spark, f"{self.root}/keys", KEY_SCHEMA + ", batch int").where(
+        seen = live_keys(spark, f"{self.root}/keys", now, self.key_ttl_seconds).where(
             F.col("batch") < batch_id)
         fresh = fresh_only(items, seen, as_of, ttl_seconds=self.key_ttl_seconds)
 
         stage = stage_in(f"{self.root}/stages/batch={batch_id}")
         results = enrich(fresh, self.agents, self.make_client, finished_at=as_of, stage=stage,
-                         again=self._due(spark, batch_id))
+                         again=self._due(spark, batch_id, as_of))
         results = stage(results, "results")
+        report = stage(self.store.report(results, self.agents), "report")
 
-        good = results.where(F.col("error_type").isNull())
-        touched = touched_buckets(good.select(F.col("document_id").alias(self.id_col)),
-                                  self.id_col, self.buckets)
-        if touched:
-            current = spark.table(self.table).where(F.col("bucket").isin(touched))
-            changed = apply_agents(current, results, self.agents, self.id_col, self.database,
-                                   self.collection, keep=("bucket",)).select(
-                                       *spark.table(self.table).columns)
-            rewrite_target(self.table, changed, touched, self.root, batch_id)
-        known = spark.table(self.table).where(F.col("bucket").isin(touched)).select(
-            F.col(self.id_col).alias("document_id"), F.lit(True).alias("_known"))
-        written = results.join(known, "document_id", "left").withColumn(
-            "written", F.col("_known").isNotNull() & F.col("error_type").isNull())
-        write_batch(key_rows(written.where("written"), as_of), f"{self.root}/keys", batch_id)
-        write_batch(execution_rows(written), f"{self.root}/executions", batch_id)
+        self.store.append(report, batch_id)
+        append_keys(report.where("written"), f"{self.root}/keys", batch_id, now)
+        write_batch(execution_rows(report), f"{self.root}/executions", batch_id)
         planned = plan_retries(results.where(F.col("error_type").isNotNull()), "completed_at",
                                F.col("retry_delay_seconds"), F.col("retry_max_delay_seconds"))
         planned = planned.drop("parsed", "answer")
         write_batch(retry_items(planned), f"{self.root}/retries", batch_id)
         write_batch(dead_letters(planned, "completed_at"), f"{self.root}/dead_letters", batch_id)
 
-
-    def _due(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+    def _due(self, spark: SparkSession, batch_id: int, as_of: Column) -> DataFrame | None:
         """Retries that earlier batches planned and that are due now."""
         folder = f"{self.root}/retries"
         if not path_exists(spark, folder):
@@ -80,7 +67,7 @@ class EnrichSink:
         earlier = F.col("batch") < batch_id
         retries = spark.read.option("basePath", folder).parquet(folder).where(earlier)
         ran = read_batches(spark, f"{self.root}/executions", EXECUTION_SCHEMA + ", batch int")
-        return due_retries(retries, ran.where(earlier), F.current_timestamp())
+        return due_retries(retries, ran.where(earlier), as_of)
 
 
 def start_enrich(changes: DataFrame, sink: EnrichSink, checkpoint: str,

@@ -4,6 +4,8 @@ import hashlib
 import json
 import os
 from dataclasses import replace
+from datetime import datetime, timedelta, timezone
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,13 +16,15 @@ from quillflow.operators.complete import complete
 from quillflow.operators.match import match_agents
 from quillflow.plans.answer_queries import demo_client
 from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items, write_of
-from quillflow.plans.flow_queries import FLOW_AGENTS, _lengths, _no_results, users
+from quillflow.plans.flow_queries import (
+    FLOW_AGENTS, PEOPLE_TARGET, STREAM_AGENTS, USERS_TARGET, _lengths, stream_lengths, stream_store, users)
 from quillflow.plans.views import changes, changes_of
 from quillflow.session import shared_folder
 from quillflow.sources.catalog import (
     Agent, CatalogError, agent_from_dict, catalog_frame, load_agents)
-from quillflow.sources.tables import create_target, path_exists
+from quillflow.sources.tables import append_keys, drop_keys, live_keys, path_exists
 from quillflow.streaming.enrich import EnrichSink, start_enrich
+from quillflow.streaming.targets import Target, TargetStore
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -199,18 +203,20 @@ def start(spark, feed, schema, sink, root):
     start_enrich(changes_of(stream), sink, f"{root}/checkpoint", available_now=True).awaitTermination()
 
 
+def shown(rows):
+    return sorted(map(str, rows.collect()))
+
+
 def test_stream_equals_batch_and_replay_changes_nothing(spark, batch_result):
     root = shared_folder(spark, "flow")
     schema = split_feed(spark, f"{root}/feed", 3)
-    name = "flow_users"
-    base = apply_agents(users(spark, SMALL), _no_results(spark, SMALL), FLOW_AGENTS, "user", "app", "users")
-    create_target(base, name, "user", 4, root)
-    sink = EnrichSink(FLOW_AGENTS, flaky_client, root, name, "user", "app", "users", buckets=4)
+    store = stream_store(spark, SMALL, root, 4)
+    sink = EnrichSink(STREAM_AGENTS, flaky_client, root, store)
     start(spark, f"{root}/feed", schema, sink, root)
-    got = sorted(map(str, _lengths(spark.table(name)).collect()))
-    assert got == batch_result
+    assert shown(stream_lengths(spark, store, STREAM_AGENTS)) == batch_result
     history = spark.read.parquet(f"{root}/executions")
     assert history.select("id", "attempt").distinct().count() == history.count()
+    assert history.where("success AND NOT written").count() == 0
     keys = spark.read.parquet(f"{root}/keys")
     assert keys.select("key").distinct().count() == keys.count()
     retries = spark.read.parquet(f"{root}/retries")
@@ -223,11 +229,97 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, batch_result):
     feed = changes_of(spark.read.schema(schema).parquet(f"{root}/feed"))
     last = max(r["batch"] for r in keys.select("batch").distinct().collect())
     sink(feed, last)
-    assert sorted(map(str, _lengths(spark.table(name)).collect())) == batch_result
+    assert shown(stream_lengths(spark, store, STREAM_AGENTS)) == batch_result
     assert spark.read.parquet(f"{root}/executions").count() == count
     assert path_exists(spark, f"{root}/stages/batch={last}/answers/_SUCCESS")
-    spark.sql(f"DROP TABLE {name}")
+    # A new base holds the same rows; only batches after it are read from the changes.
+    before = shown(store.read(spark, USERS_TARGET, STREAM_AGENTS))
+    assert store.compact(spark, USERS_TARGET, STREAM_AGENTS) == last
+    assert store.base(spark, USERS_TARGET)[1] == last and store.base(spark, PEOPLE_TARGET)[1] == -1
+    assert shown(store.read(spark, USERS_TARGET, STREAM_AGENTS)) == before
+    assert store.compact(spark, USERS_TARGET, STREAM_AGENTS) == last
+
 
+def test_only_results_that_reach_a_table_count_as_written(spark):
+    """Two targets, lists, answers without schema, unknown documents and collections."""
+    def client_factory():
+        def client(batch):
+            return [{"content": request["prompt"], "cost_usd": 0.0} for request in batch]
+
+        return client
+
+    root = shared_folder(spark, "targets")
+    agent = partial(Agent, database="app", collection="in", prompt="{{ document.say }}", temperature=0.0,
+                    include_metadata=False, deduplicate_window_seconds=0)
+    agents = [
+        agent("typed", target_collection="one", response_schema={
+            "type": "object", "properties": {"n": {"type": "integer"}}}),
+        agent("open", target_collection="two"),
+        agent("lost", target_collection="nowhere"),
+        agent("pile", target_collection="two", strategy="append", array_field="items"),
+    ]
+    one, two = Target("app", "one", "id"), Target("app", "two", "key")
+    store = TargetStore(root, (one, two), 4)
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, n tinyint")
+    store.create(one, rows)
+    store.create(two, rows.select(F.col("id").alias("key")))
+    sink = EnrichSink(agents, client_factory, root, store)
+
+    def events(*pairs):
+        return spark.createDataFrame(
+            [(i, "app", "in", "insert", key, (say,), datetime(2024, 1, 1, 0, i)) for i, key, say in pairs],
+            "event_id int, database string, collection string, operation string, document_id string, "
+            "full_document struct<say:string>, ts timestamp")
+
+    sink(events((1, "a", '{"n": 5, "x": "p"}'), (2, "b", "[1, 2]"), (3, "zz", '{"n": 6}')), 0)
+    sink(events((4, "a", '{"n": 7000, "y": 1}'), (5, "b", "plain")), 1)
+    sink(events(), 2)
+    history = {(r["agent_id"], r["document_id"], r["batch"]): (r["written"], r["write_error"])
+               for r in spark.read.parquet(f"{root}/executions").collect()}
+    assert len(history) == 20
+    for (name, document, batch), found in history.items():
+        error = ("target_not_found" if name == "lost"
+                 else "list_requires_append" if (document, batch) == ("b", 0) and name != "pile"
+                 else "document_not_found" if document == "zz" else None)
+        assert found == (error is None, error), (name, document, batch)
+    keys = spark.read.parquet(f"{root}/keys")
+    assert keys.count() == sum(written for written, _ in history.values())
+    assert "lost" not in {r["agent_id"] for r in keys.collect()}
+
+    def check():
+        first = {r["id"]: r for r in store.read(spark, one, agents).collect()}
+        # 7000 doesn't fit the column, so the value before it stays.
+        assert (first["a"]["n"], first["b"]["n"], set(first)) == (5, 2, {"a", "b"})
+        text = store.read(spark, two, agents).select(
+            "key", F.to_json("_fields").alias("f"), F.col("content"),
+            F.transform("items", lambda v: F.to_json(v)).alias("items"))
+        second = {r["key"]: r for r in text.collect()}
+        assert json.loads(second["a"]["f"]) == {"n": 7000, "x": "p", "y": 1} and second["a"]["content"] is None
+        assert second["b"]["content"] == "plain" and second["b"]["f"] is None
+        assert len(second["a"]["items"]) == 2 and len(second["b"]["items"]) == 3
+
+    check()
+    sink(events((4, "a", '{"n": 7000, "y": 1}'), (5, "b", "plain")), 1)
+    check()
+    for target in (one, two):
+        assert store.compact(spark, target, agents) == 2
+    check()
+
+
+def test_keys_of_old_hours_are_not_read(spark):
+    root = shared_folder(spark, "keys")
+    begin = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = spark.createDataFrame([("w", "a")], "work_item_id string, agent_id string")
+    files = []
+    for batch in range(8):
+        at = begin + timedelta(hours=batch)
+        append_keys(rows.withColumn("idempotency_key", F.lit(f"k{batch}")), root, batch, at)
+        files.append(len(live_keys(spark, root, at, 2 * 3600).inputFiles()))
+    # Three hours at most are within reach of two hours, however many batches ran.
+    assert files[:3] == [1, 2, 3] and set(files[2:]) == {3}
+    assert drop_keys(spark, root, begin + timedelta(hours=7), 2 * 3600) == 5
+    assert {r["key"] for r in spark.read.parquet(root).collect()} == {"k5", "k6", "k7"}
+    assert live_keys(spark, f"{root}/none", begin, 60).count() == 0
 
 
 def test_failed_items_run_again(spark, tmp_path):
@@ -250,9 +342,10 @@ def test_failed_items_run_again(spark, tmp_path):
         return client
 
     root = shared_folder(spark, "again")
-    create_target(users(spark, SMALL), "again_users", "user", 2, root)
+    store = TargetStore(root, (Target("app", "users", "user"),), 2)
+    store.create(store.targets[0], users(spark, SMALL))
     agents = [replace(a, target_collection="elsewhere") for a in FLOW_AGENTS]
-    sink = EnrichSink(agents, client_factory, root, "again_users", "user", "app", "users", buckets=2)
+    sink = EnrichSink(agents, client_factory, root, store)
     feed = changes(spark, SMALL)
     sink(feed.where("event_id < 500"), 0)
     sink(feed.where("event_id >= 500"), 1)
@@ -263,4 +356,4 @@ def test_failed_items_run_again(spark, tmp_path):
     second = {r["id"]: r["success"] for r in history if r["attempt"] == 1}
     assert first_failures and set(second) == first_failures and all(second.values())
     assert max(r["attempt"] for r in history) == 1
-    spark.sql("DROP TABLE again_users")
+    assert not any(r["written"] for r in history) and spark.read.parquet(f"{root}/keys").count() == 0
