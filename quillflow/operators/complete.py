@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -12,6 +15,7 @@ from quillflow.functions.keys import provider_of_model, request_key
 from quillflow.functions.paths import Ref
 from quillflow.functions.templates import Context, Rendered, compile_template, constant
 from quillflow.functions.text import Filter
+from quillflow.operators.match import project_fields, projected_type
 from quillflow.sources.catalog import Agent
 
 Client = Callable[[list[dict[str, Any]]], list[dict[str, Any]]]
@@ -21,8 +25,15 @@ EVENT_FIELDS = ("operation", "database", "collection", "document_id", "namespace
 
 def item_context(items: DataFrame, agent: Agent, as_of: str | None = None,
                  extra: dict[str, Any] | None = None) -> Context:
-    """Template variables of a work item: document, event, operation, agent, now, extras."""
-    document = Ref(F.col("full_document"), items.schema["full_document"].dataType)
+    """Template variables of a work item: document, event, operation, agent, now, extras.
+
+    An agent with a projection sees only those fields of the document.
+    """
+    column, dtype = F.col("full_document"), items.schema["full_document"].dataType
+    if agent.projection:
+        keep = list(agent.projection)
+        column, dtype = project_fields(column, dtype, keep), projected_type(dtype, keep)
+    document = Ref(column, dtype)
     present = [c for c in EVENT_FIELDS if c in items.columns]
     event = T.StructType([items.schema[c] for c in present])
     context: Context = {
@@ -111,10 +122,19 @@ ANSWER_SCHEMA = T.StructType([
 ])
 
 REQUEST_FIELDS = ("model", "prompt", "system_prompt", "temperature", "max_tokens")
+# Fields that a request may have besides; the first two are part of what is asked.
+ASKED_FIELDS, OPTIONAL_FIELDS = ("response_format", "extra_params"), ("response_format", "extra_params", "timeout_seconds")
+
 
+def call_model(calls: DataFrame, make_client: Callable[[], Client], batch: int = 10,
+               overlap: int = 1) -> DataFrame:
+    """Send each row of ``calls`` once. A failed call becomes an error row, not a failed task.
 
-def call_model(calls: DataFrame, make_client: Callable[[], Client], batch: int = 10) -> DataFrame:
-    """Send each row of ``calls`` once. A failed call becomes an error row, not a failed task."""
+    The client gets up to ``batch`` requests at a time, and each task has up to ``overlap`` such calls
+    under way, each with a client of its own. With a column ``timeout_seconds`` a call may take
+    as long as the most patient of its requests allows; a late one gives TimeoutError rows,
+    and its client, which may still be busy, is left to itself.
+    """
 
     def one(client: Client, requests: list[dict[str, Any]]) -> list[dict[str, Any]]:
         try:
@@ -128,32 +148,54 @@ def call_model(calls: DataFrame, make_client: Callable[[], Client], batch: int =
             return [{"error": str(error), "error_type": type(error).__name__}]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
-        for frame in batches:
-            keys = frame.pop("call_key").tolist()
-            columns = [[None if v is None or v != v else v for v in frame[c].tolist()]
-                       for c in frame.columns]
-            requests = [dict(zip(frame.columns, values, strict=True))
-                        for values in zip(*columns, strict=True)]
-            answers = []
-            for start in range(0, len(keys), batch):
-                answers += one(client, requests[start:start + batch])
-            out = {name: [a.get(name) for a in answers] for name in ANSWER_SCHEMA.names}
-            out["call_key"] = keys
-            good = [kind is None for kind in out["error_type"]]
-            out["content"] = [(c or "") if ok else c for c, ok in zip(out["content"], good, strict=True)]
-            spent = zip(out["total_tokens"], out["prompt_tokens"], out["completion_tokens"], strict=True)
-            out["total_tokens"] = [t or (p or 0) + (c or 0) for t, p, c in spent]
-            out["cost_usd"] = [c or 0.0 for c in out["cost_usd"]]
-            yield pd.DataFrame(out, dtype=object)
+        own = threading.local()
+
+        def send(requests: list[dict[str, Any]]) -> list[dict[str, Any]]:
+            if getattr(own, "client", None) is None:
+                own.client = make_client()
+            client = own.client
+            limits = [r["timeout_seconds"] for r in requests if r.get("timeout_seconds")]
+            if len(limits) < len(requests):
+                return one(client, requests)
+            done: queue.SimpleQueue = queue.SimpleQueue()
+            threading.Thread(target=lambda: done.put(one(client, requests)), daemon=True).start()
+            try:
+                return done.get(timeout=max(limits))
+            except queue.Empty:
+                own.client = None
+                return [{"error": f"no answer within {r['timeout_seconds']:g} s", "error_type": "TimeoutError"}
+                        for r in requests]
+
+        with ThreadPoolExecutor(overlap) as pool:
+            for frame in batches:
+                keys = frame.pop("call_key").tolist()
+                columns = [[None if v is None or v != v else v for v in frame[c].tolist()]
+                           for c in frame.columns]
+                requests = [dict(zip(frame.columns, values, strict=True))
+                            for values in zip(*columns, strict=True)]
+                chunks = [requests[start:start + batch] for start in range(0, len(keys), batch)]
+                answers = [a for some in pool.map(send, chunks) for a in some]
+                yield _answer_frame(keys, answers)
 
     return calls.mapInPandas(run, ANSWER_SCHEMA)
 
 
+def _answer_frame(keys: list[str], answers: list[dict[str, Any]]) -> pd.DataFrame:
+    out = {name: [a.get(name) for a in answers] for name in ANSWER_SCHEMA.names}
+    out["call_key"] = keys
+    good = [kind is None for kind in out["error_type"]]
+    out["content"] = [(c or "") if ok else c for c, ok in zip(out["content"], good, strict=True)]
+    spent = zip(out["total_tokens"], out["prompt_tokens"], out["completion_tokens"], strict=True)
+    out["total_tokens"] = [t or (p or 0) + (c or 0) for t, p, c in spent]
+    out["cost_usd"] = [c or 0.0 for c in out["cost_usd"]]
+    return pd.DataFrame(out, dtype=object)
+
+
 def with_call_key(requests: DataFrame, row_id: str = "work_item_id") -> DataFrame:
     """Equal deterministic requests share a key; a request with temperature keeps its own."""
     shared = request_key(F.col("model"), F.col("prompt"), F.col("system_prompt"),
-                         F.col("temperature"), max_tokens=F.col("max_tokens"))
+                         F.col("temperature"), max_tokens=F.col("max_tokens"),
+                         **{c: F.col(c) for c in ASKED_FIELDS if c in requests.columns})
     alone = F.concat(F.lit("once:"), F.col(row_id).cast("string"))
     return requests.withColumn("call_key", F.coalesce(shared, alone))
 
@@ -174,27 +216,29 @@ def lookup_cache(
 
 def complete(
     requests: DataFrame, make_client: Callable[[], Client], row_id: str = "work_item_id",
-    tasks: int | None = None, batch: int = 10, cache: DataFrame | None = None,
+    tasks: int | None = None, batch: int = 10, overlap: int = 1, cache: DataFrame | None = None,
     save: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Answer every request row, sending each distinct request once.
 
-    ``tasks`` bounds how many calls run at a time (default: one per core). ``cache`` (call_key and the answer columns)
-    answers known requests without a call. ``save`` stores the answers of this call (a written
+    ``tasks`` is the number of tasks that call (default: one per core), ``overlap`` the calls that each has
+    under way. ``cache`` (call_key and the answer columns) answers known requests without a call. ``save`` stores the answers of this call (a written
     table or a checkpoint) and returns the stored frame, so that a lost executor does not repeat
     paid calls further down the plan.
     """
     keyed = with_call_key(requests, row_id)
     wanted = (
         keyed.where(F.col("prompt").isNotNull())
-        .groupBy("call_key").agg(*[F.first(c).alias(c) for c in REQUEST_FIELDS])
+        .groupBy("call_key").agg(
+            *[F.first(c).alias(c) for c in REQUEST_FIELDS],
+            *[F.max(c).alias(c) for c in OPTIONAL_FIELDS if c in keyed.columns])
     )
     if cache is not None:
         wanted = wanted.join(cache.select("call_key"), "call_key", "left_anti")
     # Few bytes can be many slow calls, so partitions are not merged by their size here.
     wanted = wanted.repartition(
         tasks or requests.sparkSession.sparkContext.defaultParallelism, "call_key")
-    answers = call_model(wanted, make_client, batch)
+    answers = call_model(wanted, make_client, batch, overlap)
     if save is not None:
         answers = save(answers)
     if cache is not None:

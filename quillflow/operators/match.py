@@ -12,7 +12,8 @@ def document_present(column: Column, dtype: T.DataType) -> Column:
     """Is there a document? Null and ``{}`` both count as none."""
     present = column.isNotNull()
     if isinstance(dtype, T.VariantType):
-        present = present & (F.to_json(column) != "{}") & ~F.is_variant_null(column)
+        entries = F.try_variant_get(column, "$", "map<string,variant>")
+        present = present & ~F.is_variant_null(column) & F.coalesce(F.size(entries) > 0, F.lit(True))
     elif isinstance(dtype, T.MapType):
         present = present & (F.size(column) > 0)
     return F.coalesce(present, F.lit(False))
@@ -57,15 +58,39 @@ def match_agents(changes: DataFrame, agents: list[Agent], lenient: bool = False)
     return kept.drop("watch_database", "watch_collection", "operations", "filter_id")
 
 
-def project_fields(document: Column, dtype: T.StructType, keep: list[str]) -> Column:
-    """Only the watched top-level or dotted fields of a document struct."""
+def _below(name: str, paths: list[str]) -> list[str]:
+    return [p[len(name) + 1:] for p in paths if p.startswith(name + ".")]
+
+
+def projected_type(dtype: T.DataType, keep: list[str]) -> T.DataType:
+    """Type of a document after ``project_fields``."""
+    if not isinstance(dtype, T.StructType):
+        return dtype
+    fields = []
+    for f in dtype.fields:
+        below = _below(f.name, keep)
+        if f.name in keep:
+            fields.append(f)
+        elif below and isinstance(f.dataType, T.StructType):
+            fields.append(T.StructField(f.name, projected_type(f.dataType, below), f.nullable))
+    return T.StructType(fields)
+
+
+def project_fields(document: Column, dtype: T.DataType, keep: list[str]) -> Column:
+    """Only the watched top-level or dotted fields of a document struct or VARIANT object.
+
+    A VARIANT that is no object has no fields and becomes null.
+    """
+    if isinstance(dtype, T.VariantType):
+        return _project_variant(document, keep)
+
     def pick(column: Column, struct: T.StructType, paths: list[str]) -> Column:
         chosen = []
         for f in struct.fields:
             if f.name in paths:
                 chosen.append(column.getField(f.name).alias(f.name))
                 continue
-            below = [p[len(f.name) + 1:] for p in paths if p.startswith(f.name + ".")]
+            below = _below(f.name, paths)
             if below and isinstance(f.dataType, T.StructType):
                 chosen.append(pick(column.getField(f.name), f.dataType, below).alias(f.name))
         return F.when(column.isNotNull(), F.struct(*chosen))
@@ -73,6 +98,21 @@ def project_fields(document: Column, dtype: T.StructType, keep: list[str]) -> Co
     return pick(document, dtype, keep)
 
 
+def _project_variant(value: Column, paths: list[str]) -> Column:
+    names = sorted({p.split(".")[0] for p in paths})
+    deep = {n: _below(n, paths) for n in names if n not in paths}
+
+    def inner(key: Column, entry: Column) -> Column:
+        out = entry
+        for name, below in deep.items():
+            out = F.when(key == name, _project_variant(entry, below)).otherwise(out)
+        return out
+
+    entries = F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, _: k.isin(names))
+    kept = F.map_filter(F.transform_values(entries, inner), lambda _, v: v.isNotNull()) if deep else entries
+    return F.to_variant_object(kept)
+
+
 def resolve_agents(items: DataFrame, agents: list[Agent]) -> DataFrame:
     """Attach each item's agent; ``outcome`` says ready, agent_not_found or agent_disabled.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillflow.plans import limit_queries  # noqa: F401 - its SQL serves the streams too
 from quillflow.plans.answer_queries import demo_client
-from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items
+from quillflow.plans.enrich import admit, apply_agents, dispatch, enrich, work_items
 from quillflow.plans.registry import ORACLES, query
 from quillflow.plans.views import (
     AGENTS, CHANGES, MOMENT_SQL, USAGE, changes_of, moment, spread, table, usage_of)
@@ -29,7 +29,7 @@ FLOW_AGENTS = [replace(a, response_schema=SCHEMA, target_database="app", target_
                for a in AGENTS]
 
 # Work items of the demo catalog, with duplicates of the same document content removed.
-_ITEMS = CHANGES + """, matched AS (
+_MATCHED = CHANGES + """, matched AS (
   SELECT *, 'spend_watch' AS agent_id, 'Rate the ' || kind || ' of ' || CAST(value AS VARCHAR) AS prompt
   FROM changes WHERE collection = 'c0' AND operation IN ('insert', 'update') AND value > 50
   UNION ALL
@@ -41,7 +41,8 @@ _ITEMS = CHANGES + """, matched AS (
     AND k NOT IN (1, 2, 3) AND note IS NOT NULL
   UNION ALL
   SELECT *, 'all_watch', 'See ' || document_id || ': ' || coalesce(kind, 'gone')
-  FROM changes WHERE collection = 'c0'),
+  FROM changes WHERE collection = 'c0')"""
+_ITEMS = _MATCHED + """,
 items AS (SELECT * FROM matched QUALIFY agent_id = 'all_watch' OR row_number() OVER (
   PARTITION BY agent_id, document_id, kind, value, k ORDER BY ts, md5(agent_id || ':' || event_id)) = 1),
 done AS (SELECT *, length(prompt) % 50 <> 49 AS ok FROM items)"""
@@ -64,6 +65,62 @@ def enrich_batch(spark: SparkSession, folder: str) -> DataFrame:
         .alias("length"))
 
 
+# Settings that act: two fields of a document, a window of duplicates, limits by minute and hour.
+_SETTINGS = {
+    "spend_watch": {"prompt": "Rate the {{ document.kind }} of {{ document.value | default('?') }}",
+                    "projection": ("kind", "k"), "token_limit": 2000, "deduplicate": False},
+    "kind_watch": {"idempotency_key": "{{ document_id }}:{{ operation }}", "deduplicate_window_seconds": 6 * 3600},
+    "text_watch": {"rate_limit_requests": 1, "deduplicate": False},
+    "all_watch": {"cost_limit_usd": 0.2, "deduplicate": False},
+}
+LIMITED_AGENTS = [replace(a, **_SETTINGS[a.id]) for a in FLOW_AGENTS if a.id in _SETTINGS]
+
+
+def _spent_sql(column: str) -> str:
+    return (f"coalesce((SELECT sum(u.{column}) FROM usage u WHERE date_trunc('hour', u.ts) = date_trunc('hour', m.ts) "
+            "AND u.ts < m.ts), 0)")
+
+
+def _chain_sql(name: str, agent: str, keys: str, window: str) -> str:
+    """Times that are accepted, each at least a window after the one before it."""
+    return f"""{name} AS (
+  SELECT {keys}, min(ts) AS ts FROM matched WHERE agent_id = '{agent}' GROUP BY {keys}
+  UNION ALL
+  SELECT {keys}, min(e.ts) FROM {name} c JOIN matched e USING ({keys})
+  WHERE e.agent_id = '{agent}' AND e.ts >= c.ts + INTERVAL {window} GROUP BY {keys})"""
+
+
+@query("enrich_settings", f"""
+WITH RECURSIVE {USAGE}, {_MATCHED},
+{_chain_sql('kinds', 'kind_watch', 'document_id, operation', '6 HOUR')},
+{_chain_sql('texts', 'text_watch', 'agent_id', '60 SECOND')},
+placed AS (SELECT *, row_number() OVER (PARTITION BY agent_id, ts, document_id, operation ORDER BY md5(agent_id || ':' || event_id)) AS same,
+  row_number() OVER (PARTITION BY agent_id, ts ORDER BY md5(agent_id || ':' || event_id)) AS place FROM matched),
+judged AS (
+  SELECT event_id, agent_id, 'Rate the ' || kind || ' of ?' AS prompt,
+    CASE WHEN {_spent_sql('total_tokens')} >= 2000 THEN 'token_limit' END AS refused
+  FROM matched m WHERE agent_id = 'spend_watch'
+  UNION ALL
+  SELECT event_id, agent_id, prompt, CASE WHEN {_spent_sql('cost_usd')} >= 0.2 THEN 'cost_limit_usd' END
+  FROM matched m WHERE agent_id = 'all_watch'
+  UNION ALL
+  SELECT event_id, agent_id, prompt, NULL FROM placed JOIN kinds USING (document_id, operation, ts)
+  WHERE agent_id = 'kind_watch' AND same = 1
+  UNION ALL
+  SELECT event_id, p.agent_id, prompt, CASE WHEN t.ts IS NULL OR place > 1 THEN 'rate_limit_requests' END
+  FROM placed p LEFT JOIN texts t ON t.ts = p.ts WHERE p.agent_id = 'text_watch')
+SELECT event_id, agent_id, prompt, CASE WHEN refused IS NOT NULL THEN 'reached ' || refused
+  WHEN length(prompt) % 50 = 49 THEN 'slow down' ELSE 'ok' END AS outcome FROM judged""")
+def enrich_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Items under the settings of their agents; every usage row counts as spent by two of them."""
+    events = spread(spark, folder, "events")
+    stage = stage_in(shared_folder(spark, "settings"))
+    items = stage(dispatch(work_items(changes_of(events), LIMITED_AGENTS), agents=LIMITED_AGENTS), "items")
+    spent = usage_of(events).withColumn("agent_id", F.explode(F.array(F.lit("all_watch"), F.lit("spend_watch"))))
+    results = enrich(admit(items, LIMITED_AGENTS, spent), LIMITED_AGENTS, demo_client, stage=stage)
+    return results.select("event_id", "agent_id", "prompt", F.coalesce("error", F.lit("ok")).alias("outcome"))
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Match, render, call, parse, check and count executions by agent and status."""
     results = _enriched(spark, folder)

@@ -155,6 +155,9 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()),
     T.StructField("temperature", T.DoubleType()),
     T.StructField("max_tokens", T.IntegerType()),
+    T.StructField("timeout_seconds", T.DoubleType()),
+    T.StructField("response_format", T.StringType()),
+    T.StructField("extra_params", T.StringType()),
     T.StructField("target_database", T.StringType()),
     T.StructField("target_collection", T.StringType()),
 ])
@@ -183,7 +186,9 @@ def catalog_frame(spark: SparkSession, agents: list[Agent]) -> DataFrame:
             filters.index(key) if key is not None else None,
             a.enabled, a.deduplicate, a.priority, a.max_attempts,
             float(a.retry_delay_seconds), float(a.retry_max_delay_seconds),
-            a.provider, a.model, float(a.temperature), a.max_tokens, *a.target,
+            a.provider, a.model, float(a.temperature), a.max_tokens, float(a.timeout_seconds),
+            a.response_format, json.dumps(a.extra_params, sort_keys=True) if a.extra_params else None,
+            *a.target,
         ))
     if len({r[0] for r in rows}) != len(rows):
         raise CatalogError("agent ids must be unique")

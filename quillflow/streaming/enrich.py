@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quillflow.operators.apply import fresh_only
 from quillflow.operators.complete import Client
 from quillflow.operators.failure import dead_letters, due_retries, plan_retries, retry_items
-from quillflow.plans.enrich import dispatch, enrich, work_items
+from quillflow.plans.enrich import admit, dispatch, enrich, work_items
 from quillflow.sources.catalog import Agent
 from quillflow.sources.tables import (
     EXECUTION_SCHEMA, append_keys, execution_rows, live_keys, path_exists, read_batches, stage_in,
@@ -26,7 +26,8 @@ class EnrichSink:
 
     A micro-batch may run again after a crash. Model answers, changes of targets, keys, executions,
     retries and dead letters are written per batch id, so the second run replaces what the first
-    one did by the same. A key is kept only of a result that reached its target.
+    one did by the same. A key is kept only of a result that reached its target. Limits of agents
+    count by event time: what earlier batches spent, and the rate within a batch.
     """
 
     agents: list[Agent]
@@ -34,6 +35,7 @@ class EnrichSink:
     root: str
     store: TargetStore
     key_ttl_seconds: int = 24 * 3600
+    overlap: int = 1
 
     def __call__(self, changes: DataFrame, batch_id: int) -> None:
         spark = changes.sparkSession
@@ -45,8 +47,11 @@ class EnrichSink:
         fresh = fresh_only(items, seen, as_of, ttl_seconds=self.key_ttl_seconds)
 
         stage = stage_in(f"{self.root}/stages/batch={batch_id}")
+        if any(a.rate_limit_requests or a.cost_limit_usd or a.token_limit for a in self.agents):
+            fresh = stage(fresh, "items")
+            fresh = admit(fresh, self.agents, self._spent(fresh, batch_id))
         results = enrich(fresh, self.agents, self.make_client, finished_at=as_of, stage=stage,
-                         again=self._due(spark, batch_id, as_of))
+                         again=self._due(spark, batch_id, as_of), overlap=self.overlap)
         results = stage(results, "results")
         report = stage(self.store.report(results, self.agents), "report")
 
@@ -59,6 +64,13 @@ class EnrichSink:
         write_batch(retry_items(planned), f"{self.root}/retries", batch_id)
         write_batch(dead_letters(planned, "completed_at"), f"{self.root}/dead_letters", batch_id)
 
+    def _spent(self, items: DataFrame, batch_id: int) -> DataFrame:
+        """What earlier batches spent, from the hour of the first item on."""
+        first = items.agg(F.date_trunc("hour", F.min("ts")).alias("at")).first()["at"]
+        ran = read_batches(items.sparkSession, f"{self.root}/executions", EXECUTION_SCHEMA + ", batch int")
+        return ran.where((F.col("batch") < batch_id) & (F.col("started_at") >= F.lit(first))).select(
+            "agent_id", F.col("started_at").alias("ts"), "cost_usd", "total_tokens")
+
     def _due(self, spark: SparkSession, batch_id: int, as_of: Column) -> DataFrame | None:
         """Retries that earlier batches planned and that are due now."""
         folder = f"{self.root}/retries"

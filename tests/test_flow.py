@@ -3,17 +3,18 @@
 import hashlib
 import json
 import os
+import time
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 from functools import partial
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from quillflow.operators.apply import (
     Write, append_capped, append_unique, apply_results, set_at_path, update_first_match, write_report)
-from quillflow.operators.complete import complete
-from quillflow.operators.match import match_agents
+from quillflow.operators.complete import call_model, complete, render_prompts, with_call_key
+from quillflow.operators.match import match_agents, project_fields
 from quillflow.plans.answer_queries import demo_client
 from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items, write_of
 from quillflow.plans.flow_queries import (
@@ -118,6 +119,74 @@ def results_frame(spark, rows):
         F.lit(0.1).alias("cost_usd"), F.lit(2.0).alias("latency_ms"))
 
 
+def test_calls_overlap_and_late_ones_are_rows(spark):
+    """A slow client: calls of one task run side by side, each within its deadline, order kept."""
+    def client_factory():
+        def client(batch):
+            time.sleep(max(float(r["prompt"].split(":")[1]) for r in batch))
+            return [{"content": f"{r['prompt']}|{r['extra_params']}|{r['response_format']}"} for r in batch]
+
+        return client
+
+    rows = [(f"k{i:02}", f"{i}:{6 if i % 8 == 3 else 0.25}", 1.0, '{"seed": 1}' if i % 2 else None, "json_object")
+            for i in range(24)]
+    calls = spark.createDataFrame(rows, "call_key string, prompt string, timeout_seconds double, "
+                                        "extra_params string, response_format string").coalesce(1)
+    start = time.time()
+    got = call_model(calls, client_factory, batch=1, overlap=8).collect()
+    assert time.time() - start < 6
+    assert [r["call_key"] for r in got] == [r[0] for r in rows]
+    for row, (_, prompt, _, params, kind) in zip(got, rows, strict=True):
+        if prompt.endswith(":6"):
+            assert (row["content"], row["error_type"], row["error"]) == (None, "TimeoutError", "no answer within 1 s")
+        else:
+            assert (row["content"], row["error_type"]) == (f"{prompt}|{params}|{kind}", None)
+
+
+def test_other_parameters_are_other_calls(spark):
+    rows = spark.createDataFrame(
+        [("a", None, 1.0), ("b", '{"seed": 1}', 1.0), ("c", '{"seed": 1}', 9.0), ("d", None, 1.0)],
+        "work_item_id string, extra_params string, timeout_seconds double").withColumns({
+            "model": F.lit("m"), "prompt": F.lit("p"), "system_prompt": F.lit(None).cast("string"),
+            "temperature": F.lit(0.0), "max_tokens": F.lit(5), "response_format": F.lit("json_object")})
+    keys = {r["work_item_id"]: r["call_key"] for r in with_call_key(rows).collect()}
+    assert keys["a"] == keys["d"] != keys["b"] == keys["c"]
+
+
+def test_projection_of_variant_documents(spark):
+    docs = spark.createDataFrame(
+        [(1, '{"a": 1, "b": {"c": 2, "d": [3]}, "e": 4}'), (2, "[1]"), (3, None), (4, '{"b": 5}'), (5, "{}")],
+        "i int, t string").select("i", F.try_parse_json("t").alias("v"))
+    got = {r["i"]: r["t"] for r in docs.select("i", F.to_json(project_fields(
+        F.col("v"), T.VariantType(), ["a", "b.d", "x.y"])).alias("t")).collect()}
+    assert got == {1: '{"a":1,"b":{"d":[3]}}', 2: None, 3: None, 4: "{}", 5: "{}"}
+    agent = Agent("p", "app", "in", "{{ document.a }}{{ document.e | default('-') }}", projection=("a",))
+    items = docs.where("i = 1").select(
+        F.col("v").alias("full_document"), F.lit("p").alias("agent_id"),
+        *(F.lit("x").alias(c) for c in ("operation", "database", "collection", "document_id")))
+    assert render_prompts(items, [agent]).first()["prompt"] == "1-"
+
+
+def test_budgets_of_a_stream(spark):
+    """A second batch knows what the first one spent; refused items are failures that run again."""
+    root = shared_folder(spark, "budget")
+    store = TargetStore(root, (Target("app", "users", "user"),), 2)
+    store.create(store.targets[0], users(spark, SMALL))
+    agents = [replace(a, token_limit=1, deduplicate=False) for a in FLOW_AGENTS if a.id == "all_watch"]
+    sink = EnrichSink(agents, demo_client, root, store)
+    feed = changes(spark, SMALL).where("collection = 'c0'").withColumn(
+        "ts", F.lit("2024-01-01 10:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("event_id")))
+    sink(feed.where("event_id < 30"), 0)
+    sink(feed.where("event_id >= 30 AND event_id < 60"), 1)
+    sink(feed.where("false"), 2)
+    ran = spark.read.parquet(f"{root}/executions").where("batch < 2")
+    found = {r["batch"]: r["kinds"] for r in ran.groupBy("batch").agg(
+        F.collect_set(F.coalesce("error_type", F.lit("ok"))).alias("kinds")).collect()}
+    assert "AgentLimitError" not in found[0] and found[1] == ["AgentLimitError"]
+    planned = spark.read.parquet(f"{root}/retries").where("batch = 1")
+    assert planned.count() == ran.where("batch = 1").count() > 0
+
+
 def test_merge_keeps_absent_and_writes_null(spark):
     target = spark.createDataFrame([(1, "x", 5), (2, "y", 6), (3, "z", 7), (4, "w", 8)],
                                    "id long, a string, b int")
