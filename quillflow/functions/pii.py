@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+from quillflow.functions.columns import let
+
 # What is looked for, in this order.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
@@ -19,6 +21,7 @@ _DIGIT = r"\p{Nd}"
 
 DETECTION = "array<struct<type:string,start:int,end:int,length:int>>"
 FOUND = "array<struct<type:string,start:int,end:int,value:string>>"
+PATH_DETECTION = "array<struct<type:string,start:int,end:int,length:int,path:string>>"
 
 
 def patterns(
@@ -146,9 +149,133 @@ def _processed(name: str | Column, path: str | Column, fields: list[str] | None)
     return F.coalesce(found, F.lit(False))
 
 
-def _refuse_variant(dtype: T.DataType) -> None:
-    if isinstance(dtype, T.VariantType):
-        raise TypeError("VARIANT values cannot be masked; cast them to a struct, map or array first")
+# Levels of a VARIANT value that masks enter unless told otherwise; a deeper value is an error.
+LEVELS = 8
+ENTRY = "array<struct<key:string,at:int,value:variant>>"
+
+
+def variant_depth(value: Column) -> Column:
+    """Levels of objects and arrays in a VARIANT value, 0 for a scalar; ``levels`` of a mask for a table
+    is their maximum."""
+    text = F.regexp_replace(F.regexp_replace(F.to_json(value), r"\\.", ""), r'"[^"]*"', "")
+    brackets = F.split(F.regexp_replace(text, r"[^\[\]{}]", ""), "")
+
+    def step(state: Column, sign: Column) -> Column:
+        at = state["at"] + F.when(sign.isin("[", "{"), 1).when(sign.isin("]", "}"), -1).otherwise(0)
+        return F.struct(at.alias("at"), F.greatest(state["most"], at).alias("most"))
+
+    return F.aggregate(brackets, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
+def _opened(value: Column, then) -> Column:
+    """``then(value, kind, entries)`` of a VARIANT: kind is O or A, or null for a scalar without entries.
+
+    The entries of objects and arrays have one shape, so what follows stands once for both and a
+    mask grows by a fixed amount per level.
+    """
+    def known(state: Column) -> Column:
+        entries = F.when(state["o"].isNotNull(), F.transform(F.map_entries(state["o"]), lambda e: F.struct(
+            e["key"].alias("key"), F.lit(None).cast("int").alias("at"), e["value"].alias("value")))).otherwise(
+            F.transform(state["a"], lambda x, i: F.struct(
+                F.lit(None).cast("string").alias("key"), i.alias("at"), x.alias("value"))))
+        kind = F.when(state["o"].isNotNull(), "O").when(state["a"].isNotNull(), "A")
+        return let(F.struct(state["v"].alias("v"), kind.alias("kind"), entries.cast(ENTRY).alias("entries")),
+                   lambda s: then(s["v"], s["kind"], s["entries"]))
+
+    return let(F.struct(value.alias("v"), F.try_variant_get(value, "$", "map<string,variant>").alias("o"),
+                        F.try_variant_get(value, "$", "array<variant>").alias("a")), known)
+
+
+def _entry_path(path: Column, entry: Column) -> Column:
+    named = F.when(path == "", entry["key"]).otherwise(F.concat(path, F.lit("."), entry["key"]))
+    return F.coalesce(named, F.concat(path, F.lit("["), entry["at"].cast("string"), F.lit("]")))
+
+
+def _entry_entered(entry: Column, path: Column, fields: list[str] | None, recursive: bool) -> Column:
+    """Items of a list always, entries of an object by name or path; without ``recursive`` no objects in them."""
+    chosen = F.lit(True)
+    if fields is not None:
+        chosen = entry["key"].isin(fields)
+        for f in fields:
+            chosen = chosen | F.startswith(F.lit(f), path)
+    if not recursive:
+        chosen = chosen & F.try_variant_get(entry["value"], "$", "map<string,variant>").isNull()
+    return entry["key"].isNull() | chosen
+
+
+def _is_text(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+
+
+def _too_deep(kind: str) -> Column:
+    return F.raise_error(F.lit("a VARIANT value has more levels than the mask enters; raise levels")).cast(kind)
+
+
+def mask_variant(
+    value: Column, fields: list[str] | None = None, recursive: bool = True,
+    chosen: dict[str, str] | None = None, char: str = "*", path: Column | None = None, levels: int = LEVELS,
+) -> Column:
+    """A VARIANT with every string masked, whatever objects and arrays it lies in.
+
+    ``fields`` are names of keys or paths like ``a.b[0].c``; other entries of objects stay as they
+    are. Empty objects and arrays, JSON null and other scalars are kept. A value with more than
+    ``levels`` levels is an error, never a value in clear.
+    """
+    path = F.lit("") if path is None else path
+
+    def walk(v: Column, path: Column, left: int) -> Column:
+        def rebuilt(v: Column, kind: Column, entries: Column) -> Column:
+            text = F.when(_is_text(v), mask_text(v.cast("string"), chosen, char).cast("variant")).otherwise(v)
+            if left == 0:
+                return F.when(kind.isNotNull(), _too_deep("variant")).otherwise(text)
+
+            def entry(e: Column) -> Column:
+                here = F.struct(_entry_path(path, e).alias("path"), e.alias("e"))
+                return let(here, lambda h: F.struct(h["e"]["key"].alias("key"), F.when(
+                    _entry_entered(h["e"], h["path"], fields, recursive),
+                    walk(h["e"]["value"], h["path"], left - 1)).otherwise(h["e"]["value"]).alias("value")))
+
+            done = F.when(kind.isNotNull(), F.transform(entries, entry))
+            return let(F.struct(text.alias("t"), kind.alias("kind"), done.alias("d")), lambda s: F.when(
+                s["kind"] == "O", F.to_variant_object(F.map_from_entries(s["d"]))).when(
+                s["kind"] == "A", F.to_variant_object(F.transform(s["d"], lambda x: x["value"]))).otherwise(s["t"]))
+
+        return _opened(v, rebuilt)
+
+    return walk(value, path, levels)
+
+
+def variant_detections(
+    value: Column, fields: list[str] | None = None, recursive: bool = True,
+    chosen: dict[str, str] | None = None, path: Column | None = None, levels: int = LEVELS,
+) -> Column:
+    """What ``mask_variant`` masks: type, start, end, length and path of each detection."""
+    empty = F.array().cast(PATH_DETECTION)
+    path = F.lit("") if path is None else path
+
+    def walk(v: Column, path: Column, left: int) -> Column:
+        def found(v: Column, kind: Column, entries: Column) -> Column:
+            text = F.when(_is_text(v), _with_path(mask_and_detect(v.cast("string"), chosen)["detections"], path))
+            if left == 0:
+                return F.when(kind.isNotNull(), _too_deep(PATH_DETECTION)).otherwise(F.coalesce(text, empty))
+
+            def entry(e: Column) -> Column:
+                here = F.struct(_entry_path(path, e).alias("path"), e.alias("e"))
+                return let(here, lambda h: F.when(
+                    _entry_entered(h["e"], h["path"], fields, recursive),
+                    walk(h["e"]["value"], h["path"], left - 1)).otherwise(empty))
+
+            return F.coalesce(F.when(kind.isNotNull(), F.flatten(F.transform(entries, entry))).otherwise(text), empty)
+
+        return _opened(v, found)
+
+    return walk(value, path, levels)
+
+
+def _with_path(found: Column, path: Column) -> Column:
+    return F.transform(found, lambda d: F.struct(
+        d["type"].alias("type"), d["start"].alias("start"), d["end"].alias("end"),
+        d["length"].alias("length"), path.alias("path")))
 
 
 def mask_document(
@@ -157,9 +284,10 @@ def mask_document(
 ) -> Column:
     """Mask every string of a nested document; ``fields`` limits which fields and map keys are entered.
 
-    A VARIANT that would be entered is an error.
+    A VARIANT in it is entered as ``mask_variant`` does, up to ``LEVELS`` levels.
     """
-    _refuse_variant(dtype)
+    if isinstance(dtype, T.VariantType):
+        return mask_variant(value, fields, recursive, chosen, char, F.lit(path) if isinstance(path, str) else path)
     if isinstance(dtype, T.StringType):
         return mask_text(value, chosen, char)
     if isinstance(dtype, T.ArrayType):
@@ -193,23 +321,18 @@ def _item(path: str | Column) -> str | Column:
     return f"{path}[]" if isinstance(path, str) else F.concat(path, F.lit("[]"))
 
 
-PATH_DETECTION = "array<struct<type:string,start:int,end:int,length:int,path:string>>"
-
-
 def document_detections(
     value: Column, dtype: T.DataType, fields: list[str] | None = None, recursive: bool = True,
     chosen: dict[str, str] | None = None,
 ) -> Column:
-    """Detections of all strings of a nested document, with paths like ``a.b[0]``; a VARIANT is an error."""
+    """Detections of all strings of a nested document, with paths like ``a.b[0]``, VARIANT values included."""
     empty = F.array().cast(PATH_DETECTION)
 
     def walk(v: Column, kind: T.DataType, path: Column, plain: str | Column) -> Column:
-        _refuse_variant(kind)
+        if isinstance(kind, T.VariantType):
+            return variant_detections(v, fields, recursive, chosen, path)
         if isinstance(kind, T.StringType):
-            found = mask_and_detect(v, chosen)["detections"]
-            return F.coalesce(F.transform(found, lambda d: F.struct(
-                d["type"].alias("type"), d["start"].alias("start"), d["end"].alias("end"),
-                d["length"].alias("length"), path.alias("path"))), empty)
+            return F.coalesce(_with_path(mask_and_detect(v, chosen)["detections"], path), empty)
         if isinstance(kind, T.ArrayType):
             each = F.transform(v, lambda x, i: walk(
                 x, kind.elementType,

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from quillflow.functions import text as tf
 from quillflow.functions.paths import Ref
 from quillflow.functions.pii import (
-    detect, document_detections, mask_and_detect, mask_document, mask_text, patterns)
+    detect, document_detections, mask_and_detect, mask_document, mask_text, mask_variant, patterns,
+    variant_detections)
 from quillflow.functions.templates import compile_template, trim_blank_lines
 from quillflow.operators.complete import chat_messages, render_prompts
 from quillflow.operators.history import detection_counts
@@ -212,3 +213,20 @@ def pii_nested_map(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(
         "doc_id", F.md5(F.to_json(mask_document(F.col("doc"), dtype, ["body"]))).alias("masked_hash"),
         F.size(document_detections(F.col("doc"), dtype, ["body"])).alias("detections"))
+
+
+@query("pii_variant")
+def pii_variant(spark: SparkSession, folder: str) -> DataFrame:
+    """Masks and detections in schemaless documents: objects in arrays in objects, three fields entered."""
+    docs = spread(spark, folder, "documents").withColumn("lines", F.transform(
+        F.split("text", "\n"), lambda line: F.struct(line.alias("body"), F.col("source").alias("owner"))))
+    doc = F.to_variant_object(F.struct(
+        F.struct(F.col("text").alias("body"), "lang", "n_chars").alias("main"),
+        F.col("lines").alias("notes"), F.col("source").alias("owner")))
+    fields = ["main", "body", "notes"]
+    rows = docs.select("doc_id", doc.alias("doc")).select(
+        "doc_id", mask_variant(F.col("doc"), fields, levels=3).alias("masked"),
+        variant_detections(F.col("doc"), fields, levels=3).alias("found"))
+    found = rows.select(
+        "doc_id", F.md5(F.to_json("masked")).alias("masked_hash"), F.explode_outer("found").alias("d"))
+    return found.select("doc_id", "masked_hash", "d.type", "d.path", "d.start", "d.length")

@@ -1,6 +1,7 @@
 """Answers, templates and personal data against hand cases and Python loops."""
 
 import json
+import random
 import re
 
 import pytest
@@ -211,6 +212,69 @@ def test_nested_masks_of_maps_and_variants(spark):
     assert row["flat"].asDict(True) == {"m": {"a": "x@y.de", "b": "10.0.0.1"}, "s": {"k": {"t": ["x@y.de"], "u": "10.0.0.1"}}}
     assert [d["path"] for d in row["found"]] == ["m.a", "m.b", "s.k.t[0]", "s.k.u"]
     assert [d["path"] for d in row["few"]] == ["m.a", "s.k.t[0]"] and row["beside"] == mail
-    for walk in (pii.mask_document, pii.document_detections):
-        with pytest.raises(TypeError):
-            walk(F.col("var"), var)
+    row = frame.select(pii.mask_document(F.col("var"), var).getField("v").cast("string").alias("v"),
+                       pii.document_detections(F.col("var"), var).alias("found")).first()
+    assert row["v"] == json.dumps({"a": mail}).replace(" ", "")
+    assert [d["path"] for d in row["found"]] == ["v.a", "c"]
+
+
+def walked(value, fields, recursive, path, found):
+    """The value with its strings masked, entries of objects by name or path."""
+    if isinstance(value, str):
+        masked, hits = python_masks(value)
+        found += [(*hit, path) for hit in hits]
+        return masked
+    if isinstance(value, list):
+        return [walked(x, fields, recursive, f"{path}[{i}]", found) for i, x in enumerate(value)]
+    if not isinstance(value, dict):
+        return value
+    out = {}
+    for key, inner in value.items():
+        here = f"{path}.{key}" if path else key
+        enter = fields is None or key in fields or any(f.startswith(here) for f in fields)
+        enter = enter and (recursive or not isinstance(inner, dict))
+        out[key] = walked(inner, fields, recursive, here, found) if enter else inner
+    return out
+
+
+def made_document(rng, depth):
+    kind = rng.random()
+    if depth and kind < 0.45:
+        return {rng.choice(["a", "b", "a b", "c.d", ""]): made_document(rng, depth - 1) for _ in range(rng.randint(0, 4))}
+    if depth and kind < 0.75:
+        return [made_document(rng, depth - 1) for _ in range(rng.randint(0, 3))]
+    return rng.choice([None, True, 7, 1.5, "", "x@y.de", "[1]", '{"a": "x@y.de"}', *TRICKY])
+
+
+def nesting(value):
+    inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else None
+    return 0 if inner is None else 1 + max(map(nesting, inner), default=0)
+
+
+@pytest.mark.parametrize("fields,recursive", [
+    (None, True), (None, False), (["b"], True), (["a.b[0].a", "a b"], True), (["a", "c.d"], False)])
+def test_masks_of_variants_equal_a_plain_walk(spark, fields, recursive):
+    rng = random.Random(7)
+    docs = [made_document(rng, 4) for _ in range(150)]
+    docs += [{}, [], None, "x@y.de", {"a": {}}, {"a": []}, {"a": [{"b": [{"a": "x@y.de"}]}]}, {"k\\\"]": ["}\"", "10.0.0.1"]}]
+    frame = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(-1, None)], "i int, t string")
+    frame = frame.repartition(4).select("i", F.try_parse_json("t").alias("v"))
+    rows = {r["i"]: r for r in frame.select(
+        "i", F.to_json(pii.mask_variant(F.col("v"), fields, recursive, levels=5)).alias("masked"),
+        pii.variant_detections(F.col("v"), fields, recursive, levels=5).alias("found"),
+        pii.variant_depth(F.col("v")).alias("depth")).collect()}
+    assert rows[-1]["masked"] is None and rows[-1]["found"] == [] and rows[-1]["depth"] is None
+    for i, doc in enumerate(docs):
+        found = []
+        want = walked(doc, fields, recursive, "", found)
+        assert json.loads(rows[i]["masked"]) == want, doc
+        assert sorted(tuple(d) for d in rows[i]["found"]) == sorted(found), doc
+        assert rows[i]["depth"] == nesting(doc), doc
+
+
+def test_a_variant_deeper_than_the_mask_is_an_error(spark):
+    deep = spark.sql("SELECT parse_json('[[[\"x@y.de\"]]]') v")
+    assert deep.select(pii.mask_variant(F.col("v"), levels=3).cast("string")).first()[0] == '[[["******"]]]'
+    for mask in (pii.mask_variant, pii.variant_detections):
+        with pytest.raises(Exception, match="more levels"):
+            deep.select(mask(F.col("v"), levels=2).cast("string")).collect()
