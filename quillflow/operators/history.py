@@ -35,8 +35,51 @@ def page(rows: DataFrame, order: list[Column], skip: int = 0, limit: int = 100)
     return rows.orderBy(*order).offset(max(skip, 0)).limit(min(max(limit, 1), MAX_PAGE))
 
 
-def newest_first(rows: DataFrame, ts: str, row_id: str, skip: int = 0, limit: int = 100) -> DataFrame:
-    return page(rows, [F.col(ts).desc(), F.col(row_id)], skip, limit)
+# Rows before a page that are sorted together with it, and pieces of time that are counted at once.
+DEEP, PIECES = 10_000, 1024
+
+
+def newest_first(rows: DataFrame, ts: str, row_id: str, skip: int = 0, limit: int = 100,
+                 deep: int = DEEP) -> DataFrame:
+    """One page, the newest rows first; rows without a time come last.
+
+    A page behind more than ``deep`` rows is looked up first: counts of pieces of time tell the piece
+    that holds its first row, which is cut again until it has few rows or a single time. Then only
+    rows of the pieces of the page are ordered. Each look reads the times in the piece alone.
+    """
+    order = [F.col(ts).desc(), F.col(row_id)]
+    if skip <= deep:
+        return page(rows, order, skip, limit)
+    wanted = min(max(limit, 1), MAX_PAGE)
+    timed = rows.select(F.col(ts), micros(F.col(ts)).alias("_at")).where("_at IS NOT NULL")
+    span = timed.agg(F.min("_at").alias("low"), F.max("_at").alias("high"), F.count("*").alias("rows")).first()
+    if skip >= span["rows"]:
+        return page(rows.where(F.col(ts).isNull()), [F.col(row_id)], skip - span["rows"], limit)
+    low, high, before, held = span["low"], span["high"], 0, span["rows"]
+    floor = low
+    while held > deep and high > low:
+        width = (high - low) // PIECES + 1
+        inside = timed.where(_between(rows, ts, low, high))
+        counts = inside.groupBy(F.expr(f"({high}L - _at) div {width}L").alias("piece")).count().collect()
+        seen, found = before, None
+        for piece, count in sorted(map(tuple, counts)):
+            if found is None and seen + count > skip:
+                found, before, held = piece, seen, count
+            seen += count
+            if seen >= skip + wanted:
+                floor = max(floor, high - (piece + 1) * width + 1)
+                break
+        low, high = max(low, high - (found + 1) * width + 1), high - found * width
+    chosen = _between(rows, ts, floor, high)
+    if skip + wanted > span["rows"]:
+        chosen = chosen | F.col(ts).isNull()
+    return page(rows.where(chosen), order, skip - before, limit)
+
+
+def _between(rows: DataFrame, ts: str, low: int, high: int) -> Column:
+    """Times from ``low`` to ``high`` in microseconds, as a comparison that reaches the file scan."""
+    kind = rows.schema[ts].dataType
+    return F.col(ts).between(*(F.timestamp_micros(F.lit(at)).cast(kind) for at in (low, high)))
 
 
 def list_tagged(

@@ -52,6 +52,18 @@ def history_page(spark: SparkSession, folder: str) -> DataFrame:
         "id", "agent_id", "status", moment("started_at").alias("started_at"))
 
 
+@query("history_deep_page", f"""
+WITH {EXECUTIONS}, spot AS (SELECT count(*) * 3 // 5 AS skip FROM executions)
+SELECT id, agent_id, strftime(started_at, {MOMENT_SQL}) AS started_at FROM (
+  SELECT *, row_number() OVER (ORDER BY started_at DESC, id) AS place FROM executions), spot
+WHERE place > skip AND place <= skip + 1000""")
+def history_deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """A full page three fifths down the history."""
+    rows = executions(spark, folder)
+    return h.newest_first(rows, "started_at", "id", rows.count() * 3 // 5, 1000, deep=500).select(
+        "id", "agent_id", moment("started_at").alias("started_at"))
+
+
 @query("history_by_id", f"WITH {EXECUTIONS} SELECT id, agent_id, status, attempt FROM executions WHERE id = 77")
 def by_id(spark: SparkSession, folder: str) -> DataFrame:
     return h.select_history(executions(spark, folder), {"id": 77}).select(
@@ -325,10 +337,9 @@ def dlq_delete(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("dlq_page", f"""
-WITH {_DEAD} SELECT id, agent_id, attempt, error_type FROM dead
-WHERE id BETWEEN 100 AND 9000 ORDER BY id LIMIT 100""")
+WITH {_DEAD} SELECT id, agent_id, attempt, error_type FROM dead ORDER BY id LIMIT 100""")
 def dlq_page(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _dead(spark, folder).where("id BETWEEN 100 AND 9000")
+    rows = _dead(spark, folder)
     return h.page(rows, [F.col("id")]).select("id", "agent_id", "attempt", "error_type")
 
 

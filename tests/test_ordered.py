@@ -1,6 +1,7 @@
 """Windowed duplicates, limits and prefix sums against plain loops, with one hot key."""
 
 import random
+import re
 from collections import defaultdict, deque
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillflow.operators.dedup import dedup_first, dedup_window, mark_first
 from quillflow.operators.failure import failure_runs
-from quillflow.operators.history import keep_newest
+from quillflow.operators.history import keep_newest, newest_first
 from quillflow.operators.limits import budget_gate, bucket_admission, sliding_admission
 from quillflow.operators.scan import running_total
 
@@ -147,3 +148,25 @@ def test_failure_runs(frame):
     want += [(key, len(run)) for key, run in runs.items() if len(run) >= 4]
     got = failure_runs(frame, ["key"], "ts", "id", F.col("cost") < 6, 4, 600)
     assert sorted((r["key"], r["failures"]) for r in got.collect()) == sorted(want)
+
+
+def test_deep_pages_equal_sorted_rows(spark):
+    """Ties, a very common time, rows without a time, and pages across all edges."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 7, 7, rng.randint(0, 10**6), rng.randint(0, 50), 4 * 10**15])) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "id int, us long").repartition(5).select(
+        "id", F.timestamp_micros("us").alias("ts"))
+    want = [i for i, _ in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+    for skip in (0, 19, 21, 640, 700, 1990, 2000, 2650, 3330, 3420, 3990, 4000, 5000):
+        for limit in (1, 100, 900):
+            got = [r["id"] for r in newest_first(frame, "ts", "id", skip, limit, deep=20).collect()]
+            assert got == want[skip:skip + limit], (skip, limit)
+    assert newest_first(frame.where("false"), "ts", "id", 30, 10, deep=20).count() == 0
+
+
+def test_a_deep_page_orders_its_piece_only(spark):
+    frame = spark.range(1_000_000).select("id", F.timestamp_micros(F.col("id") * 1000).alias("ts"))
+    found = newest_first(frame, "ts", "id", 900_000, 50)
+    assert [r["id"] for r in found.collect()] == list(range(99_999, 99_949, -1))
+    kept = re.search(r"TakeOrderedAndProject\(limit=(\d+)", found._jdf.queryExecution().executedPlan().toString())
+    assert int(kept.group(1)) <= 10_000 + 50
