@@ -15,6 +15,7 @@ from quillflow.functions.keys import provider_of_model, request_key
 from quillflow.functions.paths import Ref
 from quillflow.functions.templates import Context, Rendered, compile_template, constant
 from quillflow.functions.text import Filter
+from quillflow.operators.cache import live_cache
 from quillflow.operators.match import project_fields, projected_type
 from quillflow.sources.catalog import Agent
 
@@ -217,16 +218,20 @@ def lookup_cache(
 def complete(
     requests: DataFrame, make_client: Callable[[], Client], row_id: str = "work_item_id",
     tasks: int | None = None, batch: int = 10, overlap: int = 1, cache: DataFrame | None = None,
-    save: Callable[[DataFrame], DataFrame] | None = None,
+    save: Callable[[DataFrame], DataFrame] | None = None, as_of: Column | None = None,
+    ttl_seconds: int = 3600,
 ) -> DataFrame:
     """Answer every request row, sending each distinct request once.
 
     ``tasks`` is the number of tasks that call (default: one per core), ``overlap`` the calls that each has
-    under way. ``cache`` (call_key and the answer columns) answers known requests without a call. ``save`` stores the answers of this call (a written
+    under way. ``cache`` (call_key and the answer columns) answers known requests without a call; with
+    ``as_of`` only entries within the ttl do. ``save`` stores the answers of this call (a written
     table or a checkpoint) and returns the stored frame, so that a lost executor does not repeat
     paid calls further down the plan.
     """
     keyed = with_call_key(requests, row_id)
+    if cache is not None and as_of is not None:
+        cache = live_cache(cache, as_of, ttl_seconds)
     wanted = (
         keyed.where(F.col("prompt").isNotNull())
         .groupBy("call_key").agg(

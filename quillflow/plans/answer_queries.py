@@ -9,11 +9,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillflow.functions.answers import parse_answers, pick_field
+from quillflow.operators.cache import ANSWER_COLUMNS, refresh_cache
 from quillflow.operators.complete import complete, lookup_cache
 from quillflow.operators.history import cache_stats
 from quillflow.plans.registry import query
 from quillflow.plans.views import (
-    ANSWER_SCHEMA, ANSWERS, MOMENT_SQL, REQUESTS, answers, moment, requests)
+    ANSWER_SCHEMA, ANSWERS, MOMENT_SQL, REQUESTS, USAGE, answers, moment, requests, usage)
 
 # The SQL finds the JSON with the same patterns; RE2 needs no possessive forms.
 _PARSED = ANSWERS + r""", texts AS (
@@ -153,6 +154,31 @@ def cache_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return _lookup(spark, folder).select("id", "cache_hit", moment("cached_at").alias("cached_at"))
 
 
+@query("cache_refresh", f"""
+WITH {USAGE}, calls AS (SELECT *, model || ':' || agent_id || ':' || (id % 97) AS call_key FROM usage),
+until AS (SELECT max(ts) AS as_of FROM usage),
+old AS (SELECT call_key, max(ts) AS was FROM calls, until WHERE id % 3 = 0 GROUP BY call_key, as_of
+  HAVING max(ts) >= as_of - INTERVAL 6 DAY),
+used AS (SELECT call_key, min(ts) AS begun, max(ts) AS ended FROM calls WHERE id % 3 > 0 GROUP BY call_key),
+every AS (SELECT call_key, was, coalesce(was, begun) AS cached, coalesce(greatest(was, ended), was, ended) AS touched
+  FROM old FULL JOIN used USING (call_key))
+SELECT call_key, CASE WHEN was IS NULL THEN 'new' ELSE 'old' END AS content,
+  strftime(cached, {MOMENT_SQL}) AS cached_at, strftime(touched, {MOMENT_SQL}) AS used_at
+FROM every ORDER BY touched DESC, call_key DESC LIMIT 1000""")
+def cache_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """A cache of a third of the usage after a run of the others, cut to the latest 1000 entries."""
+    rows = usage(spark, folder).withColumn("call_key", F.concat_ws(":", "model", "agent_id", F.col("id") % 97))
+    as_of = F.lit(rows.agg(F.max("ts")).first()[0])
+    none = {n: F.lit(None).cast(k) for n, k in ANSWER_COLUMNS.items() if n not in rows.columns}
+    answers = rows.withColumns({**none, "error_type": F.lit(None).cast("string"), "prompt": F.col("model")})
+    old = answers.where("id % 3 = 0").groupBy("call_key").agg(
+        F.max("ts").alias("cached_at"), F.max("ts").alias("used_at")).withColumns(
+        {n: F.lit(None).cast(k) for n, k in ANSWER_COLUMNS.items()}).withColumn("content", F.lit("old"))
+    run = answers.where("id % 3 > 0").withColumn("content", F.lit("new"))
+    kept = refresh_cache(old, run, as_of, "ts", 6 * 24 * 3600, 1000)
+    return kept.select("call_key", "content", moment("cached_at").alias("cached_at"), moment("used_at").alias("used_at"))
+
+
 @query("cache_hit_rate", f"""
 WITH {_LOOKUP}
 SELECT count(*) FILTER (cache_hit) AS hits, count(*) FILTER (NOT cache_hit) AS misses,

@@ -131,7 +131,7 @@ def enrich(
     items: DataFrame, agents: list[Agent], make_client: Callable[[], Client], *,
     finished_at: Column | None = None, cache: DataFrame | None = None, tasks: int | None = None,
     stage: Stage | None = None, extra: dict[str, Any] | None = None,
-    again: DataFrame | None = None, overlap: int = 1,
+    again: DataFrame | None = None, overlap: int = 1, cache_ttl_seconds: int = 3600,
 ) -> DataFrame:
     """Result rows of work items: answer, checks, usage, and the error of a failed item.
 
@@ -155,7 +155,8 @@ def enrich(
         held = requests.where("refused IS NOT NULL AND render_error IS NULL")
         requests = requests.where("refused IS NULL OR render_error IS NOT NULL").drop("refused")
     save = None if stage is None else partial(stage, name="answers")
-    answered = complete(requests, make_client, tasks=tasks, overlap=overlap, cache=cache, save=save)
+    answered = complete(requests, make_client, tasks=tasks, overlap=overlap, cache=cache, save=save,
+                        as_of=finished_at, ttl_seconds=cache_ttl_seconds)
     if held is not None:
         answered = answered.unionByName(held.withColumns({
             "error": F.concat(F.lit("reached "), F.col("refused")), "error_type": F.lit("AgentLimitError"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillflow.operators.apply import fresh_only
+from quillflow.operators.cache import load_cache, refresh_cache, save_cache
 from quillflow.operators.complete import Client
 from quillflow.operators.failure import dead_letters, due_retries, plan_retries, retry_items
 from quillflow.plans.enrich import admit, dispatch, enrich, work_items
@@ -27,7 +28,8 @@ class EnrichSink:
     A micro-batch may run again after a crash. Model answers, changes of targets, keys, executions,
     retries and dead letters are written per batch id, so the second run replaces what the first
     one did by the same. A key is kept only of a result that reached its target. Limits of agents
-    count by event time: what earlier batches spent, and the rate within a batch.
+    count by event time: what earlier batches spent, and the rate within a batch. With ``cache_rows``
+    answers are kept for the batches after it, as many as that.
     """
 
     agents: list[Agent]
@@ -36,6 +38,8 @@ class EnrichSink:
     store: TargetStore
     key_ttl_seconds: int = 24 * 3600
     overlap: int = 1
+    cache_rows: int = 0
+    cache_ttl_seconds: int = 3600
 
     def __call__(self, changes: DataFrame, batch_id: int) -> None:
         spark = changes.sparkSession
@@ -50,9 +54,15 @@ class EnrichSink:
         if any(a.rate_limit_requests or a.cost_limit_usd or a.token_limit for a in self.agents):
             fresh = stage(fresh, "items")
             fresh = admit(fresh, self.agents, self._spent(fresh, batch_id))
+        folder = f"{self.root}/cache"
+        cache = load_cache(spark, folder, batch_id) if self.cache_rows else None
         results = enrich(fresh, self.agents, self.make_client, finished_at=as_of, stage=stage,
-                         again=self._due(spark, batch_id, as_of), overlap=self.overlap)
+                         again=self._due(spark, batch_id, as_of), overlap=self.overlap,
+                         cache=cache, cache_ttl_seconds=self.cache_ttl_seconds)
         results = stage(results, "results")
+        if cache is not None:
+            save_cache(refresh_cache(cache, results, as_of, ttl_seconds=self.cache_ttl_seconds,
+                                     max_rows=self.cache_rows), folder, batch_id)
         report = stage(self.store.report(results, self.agents), "report")
 
         self.store.append(report, batch_id)

@@ -3,7 +3,9 @@
 import hashlib
 import json
 import os
+import random
 import time
+from collections import OrderedDict
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 from functools import partial
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F, types as T
 
 from quillflow.operators.apply import (
     Write, append_capped, append_unique, apply_results, set_at_path, update_first_match, write_report)
+from quillflow.operators.cache import CACHE_SCHEMA, load_cache, refresh_cache
 from quillflow.operators.complete import call_model, complete, render_prompts, with_call_key
 from quillflow.operators.match import match_agents, project_fields
 from quillflow.plans.answer_queries import demo_client
@@ -143,6 +146,63 @@ def test_calls_overlap_and_late_ones_are_rows(spark):
             assert (row["content"], row["error_type"]) == (f"{prompt}|{params}|{kind}", None)
 
 
+def test_cache_is_written_back_and_equals_an_lru_list(spark):
+    """Runs of calls against a plain list; a run after another asks only for what it doesn't know."""
+    rng, lru, cache = random.Random(3), OrderedDict(), spark.createDataFrame([], CACHE_SCHEMA)
+    as_of = F.lit("2024-01-01 01:00:00").cast("timestamp")
+    for run in range(4):
+        calls = [(run * 100 + i, f"p{rng.randint(0, 60)}", rng.choice([0.0, 0.0, 0.0, 1.0])) for i in range(100)]
+        # Temperatures above 0 are never shared; a text that fails is never kept.
+        calls += [(run * 100 + 100, "boom", 0.0)]
+        for at, prompt, temperature in calls:
+            if temperature == 0 and prompt != "boom":
+                lru[prompt] = run if prompt not in lru else lru[prompt]
+                lru.move_to_end(prompt)
+        while len(lru) > 25:
+            lru.popitem(last=False)
+        frame = spark.createDataFrame(calls, "at int, prompt string, temperature double").select(
+            F.col("at").cast("string").alias("work_item_id"), "prompt", "temperature", F.lit("m").alias("model"),
+            F.lit(None).cast("string").alias("system_prompt"), F.lit(5).alias("max_tokens"),
+            F.timestamp_seconds(F.col("at") + 1704067200).alias("completed_at"))
+
+        def client_factory(run=run):
+            return lambda batch: [{"error": "x", "error_type": "E"} if r["prompt"] == "boom" else
+                                  {"content": f"{r['prompt']}/{run}"} for r in batch]
+
+        done = complete(frame, client_factory, cache=cache, as_of=as_of).cache()
+        known = {r["content"]: r["used_at"] for r in cache.collect()}
+        for row in done.where("temperature = 0 AND prompt <> 'boom'").collect():
+            old = [c for c in known if c.startswith(row["prompt"] + "/")]
+            assert row["content"] == (old[0] if old else f"{row['prompt']}/{run}")
+        rows = refresh_cache(cache, done, as_of, max_rows=25).collect()
+        cache = spark.createDataFrame(rows, CACHE_SCHEMA)
+        assert sorted(r["content"].split("/")[0] for r in rows) == sorted(lru)
+    # An hour and a half later nothing is live.
+    late = F.lit("2024-01-01 02:30:00").cast("timestamp")
+    assert refresh_cache(cache, done.where("false"), late).count() == 0
+    assert refresh_cache(cache, done.where("false"), as_of, max_rows=5).count() == 5
+
+
+def test_stream_with_a_cache_asks_once(spark):
+    root = shared_folder(spark, "cached")
+    store = TargetStore(root, (Target("app", "users", "user"),), 2)
+    store.create(store.targets[0], users(spark, SMALL))
+    agents = [replace(a, deduplicate=False) for a in FLOW_AGENTS if a.id == "kind_watch"]
+    feed = changes(spark, SMALL)
+    EnrichSink(agents, demo_client, root, store, cache_rows=1000)(feed, 0)
+
+    def offline():
+        raise RuntimeError("no calls left")
+
+    before = load_cache(spark, f"{root}/cache")
+    assert before.count() == before.select("call_key").distinct().count() > 0
+    good = spark.read.parquet(f"{root}/executions").where("success").count()
+    known = feed.join(spark.read.parquet(f"{root}/executions").where("NOT success").select("document_id"), "document_id", "left_anti")
+    EnrichSink(agents, offline, root, store, cache_rows=1000)(known, 1)
+    second = spark.read.parquet(f"{root}/executions").where("batch = 1")
+    assert 0 < second.count() <= good and second.where("NOT success").count() == 0
+
+
 def test_other_parameters_are_other_calls(spark):
     rows = spark.createDataFrame(
         [("a", None, 1.0), ("b", '{"seed": 1}', 1.0), ("c", '{"seed": 1}', 9.0), ("d", None, 1.0)],
