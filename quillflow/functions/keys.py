@@ -23,6 +23,13 @@ def _sorted_value(column: Column, dtype: T.DataType) -> Column:
     return column
 
 
+def _starts_with_any(name: Column, prefixes: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for prefix in prefixes:
+        found = found | name.startswith(prefix)
+    return found
+
+
 def canonical_json(
     document: Column, dtype: T.DataType, volatile: tuple[str, ...] = VOLATILE_PREFIXES
 ) -> Column:
@@ -42,11 +49,11 @@ def canonical_json(
         entries = F.try_variant_get(document, "$", "map<string,variant>")
     else:
         entries = document
-    for prefix in volatile:
-        entries = F.map_filter(entries, lambda k, _, p=prefix: ~k.startswith(p))
+    if volatile:
+        entries = F.map_filter(entries, lambda k, _: ~_starts_with_any(k, volatile))
     names = F.array_sort(F.map_keys(entries))
     parts = F.transform(names, lambda k: F.concat(
-        F.lit('"'), k, F.lit('":'), F.to_json(F.element_at(entries, k))))
+        F.to_json(k.cast("variant")), F.lit(":"), F.to_json(F.element_at(entries, k))))
     return F.coalesce(F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")), F.lit("{}"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F, types as T
 
 from quillflow.functions import pii
 from quillflow.functions.answers import parse_answers, pick_field
+from quillflow.functions.keys import canonical_json
 from quillflow.functions.paths import Ref
 from quillflow.functions.templates import TemplateError, compile_template
 
@@ -272,6 +273,18 @@ def test_masks_of_variants_equal_a_plain_walk(spark, fields, recursive):
         assert rows[i]["depth"] == nesting(doc), doc
 
 
+def test_names_with_quotes_are_other_documents(spark):
+    frame = spark.createDataFrame([(json.dumps({'a": 1, "b': 2}),), (json.dumps({"a": 1, "b": 2}),)], "t string")
+    texts = [r[0] for r in frame.select(canonical_json(F.parse_json("t"), T.VariantType())).collect()]
+    assert texts == ['{"a\\": 1, \\"b":2}', '{"a":1,"b":2}']
+    # Without volatile fields, for VARIANT and maps.
+    kept = spark.sql("SELECT parse_json('{\"updated_at\": 3, \"b\": 1, \"_ai_x\": 4, \"a\": [2]}') v, "
+                     "map('updated_at', array(1), 'b', array(2)) m")
+    row = kept.select(canonical_json(F.col("v"), T.VariantType()).alias("v"),
+                      canonical_json(F.col("m"), kept.schema["m"].dataType).alias("m")).first()
+    assert (row["v"], row["m"]) == ('{"a":[2],"b":1}', '{"b":[2]}')
+
+
 def test_a_variant_deeper_than_the_mask_is_an_error(spark):
     deep = spark.sql("SELECT parse_json('[[[\"x@y.de\"]]]') v")
     assert deep.select(pii.mask_variant(F.col("v"), levels=3).cast("string")).first()[0] == '[[["******"]]]'
