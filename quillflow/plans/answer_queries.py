@@ -16,7 +16,7 @@ from quillflow.plans.registry import query
 from quillflow.plans.views import (
     ANSWER_SCHEMA, ANSWERS, MOMENT_SQL, REQUESTS, USAGE, answers, moment, requests, usage)
 
-# The SQL finds the JSON with the same patterns; RE2 needs no possessive forms.
+# The SQL finds the JSON with the same patterns; RE2 needs no possessive forms.
 _PARSED = ANSWERS + r""", texts AS (
   SELECT *, trim(content, E' \t\n\r') AS t,
     trim(regexp_extract(content, '(?is)```(?:json)?\s*\n?(.*?)\n?```', 1), E' \t\n\r') AS fenced,

@@ -25,6 +25,7 @@ class CatalogError(ValueError):
 class Agent:
     """One enrichment rule: what to watch, what to ask, how to write the answer."""
 
+    # The defaults of the settings.
     id: str
     database: str
     collection: str
