@@ -20,16 +20,21 @@ FIRST_ARRAY = r"\[[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+\]"
 STRATEGIES = ("whole", "fenced", "object", "array", "repaired")
 
 
+# What every JSON value starts with.
+JSON_START = r"^[ \t\n\r]*[\[{\"0-9tfn-]"
+
+
 def exact_json(text: Column) -> Column:
     """The variant iff the text is exactly one JSON value; JSON null stays a variant null.
 
     The parser stops after the first value, so the text is tried as the only array element and
-    as a field value: both succeed only when it is one value and nothing more.
+    as a field value: both succeed only when it is one value and nothing more. A text that can't
+    start a value isn't tried, as a failed parse costs many times a good one.
     """
     elements = F.try_variant_get(
         F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(F.size(elements) == 1, F.try_variant_get(field, "$.v", "variant"))
+    return F.when(text.rlike(JSON_START) & (F.size(elements) == 1), F.try_variant_get(field, "$.v", "variant"))
 
 
 def repair_text(text: Column) -> Column:

@@ -6,6 +6,7 @@ import queue
 import threading
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -150,18 +151,19 @@ def call_model(calls: DataFrame, make_client: Callable[[], Client], batch: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = threading.local()
+        callers: list[_Caller] = []
 
         def send(requests: list[dict[str, Any]]) -> list[dict[str, Any]]:
             if getattr(own, "client", None) is None:
-                own.client = make_client()
-            client = own.client
+                own.client, own.caller = make_client(), None
             limits = [r["timeout_seconds"] for r in requests if r.get("timeout_seconds")]
             if len(limits) < len(requests):
-                return one(client, requests)
-            done: queue.SimpleQueue = queue.SimpleQueue()
-            threading.Thread(target=lambda: done.put(one(client, requests)), daemon=True).start()
+                return one(own.client, requests)
+            if own.caller is None:
+                own.caller = _Caller(partial(one, own.client))
+                callers.append(own.caller)
             try:
-                return done.get(timeout=max(limits))
+                return own.caller.send(requests, max(limits))
             except queue.Empty:
                 own.client = None
                 return [{"error": f"no answer within {r['timeout_seconds']:g} s", "error_type": "TimeoutError"}
@@ -177,10 +179,29 @@ def call_model(calls: DataFrame, make_client: Callable[[], Client], batch: int =
                 chunks = [requests[start:start + batch] for start in range(0, len(keys), batch)]
                 answers = [a for some in pool.map(send, chunks) for a in some]
                 yield _answer_frame(keys, answers)
+        for caller in callers:
+            caller.asked.put(None)
 
     return calls.mapInPandas(run, ANSWER_SCHEMA)
 
 
+class _Caller:
+    """A thread that makes the calls of one client in turn, so that a late one can be left behind."""
+
+    def __init__(self, call: Callable[[list[dict[str, Any]]], list[dict[str, Any]]]) -> None:
+        self.asked: queue.SimpleQueue = queue.SimpleQueue()
+        self.done: queue.SimpleQueue = queue.SimpleQueue()
+        threading.Thread(target=self._run, args=(call,), daemon=True).start()
+
+    def _run(self, call: Callable[[list[dict[str, Any]]], list[dict[str, Any]]]) -> None:
+        while (requests := self.asked.get()) is not None:
+            self.done.put(call(requests))
+
+    def send(self, requests: list[dict[str, Any]], seconds: float) -> list[dict[str, Any]]:
+        self.asked.put(requests)
+        return self.done.get(timeout=seconds)
+
+
 def _answer_frame(keys: list[str], answers: list[dict[str, Any]]) -> pd.DataFrame:
     out = {name: [a.get(name) for a in answers] for name in ANSWER_SCHEMA.names}
     out["call_key"] = keys

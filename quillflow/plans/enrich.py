@@ -127,6 +127,15 @@ def check_answers(results: DataFrame, agents: list[Agent]) -> DataFrame:
 CALLS_PER_TASK = 2000
 
 
+def distinct_calls(requests: DataFrame) -> int:
+    """About how many different calls the requests need, rather too many; equal prompts are one call when shared."""
+    alone = F.coalesce(F.col("temperature") > 0, F.lit(False))
+    prompt = F.when(~alone, F.xxhash64("agent_id", "prompt", "system_prompt"))
+    found = requests.where("prompt IS NOT NULL").agg(
+        F.count_if(alone).alias("alone"), F.approx_count_distinct(prompt, 0.02).alias("shared")).first()
+    return found["alone"] + found["shared"] * 21 // 20
+
+
 def enrich(
     items: DataFrame, agents: list[Agent], make_client: Callable[[], Client], *,
     finished_at: Column | None = None, cache: DataFrame | None = None, tasks: int | None = None,
@@ -149,7 +158,7 @@ def enrich(
     if stage is not None:
         requests = stage(requests, "requests")
         tasks = tasks or max(requests.sparkSession.sparkContext.defaultParallelism,
-                             -(-requests.count() // CALLS_PER_TASK))
+                             -(-distinct_calls(requests) // CALLS_PER_TASK))
     held = None
     if "refused" in requests.columns:
         held = requests.where("refused IS NOT NULL AND render_error IS NULL")

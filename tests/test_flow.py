@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import random
+import threading
 import time
 from collections import OrderedDict
 from dataclasses import replace
@@ -19,7 +20,8 @@ from quillflow.operators.cache import CACHE_SCHEMA, load_cache, refresh_cache
 from quillflow.operators.complete import call_model, complete, render_prompts, with_call_key
 from quillflow.operators.match import match_agents, project_fields
 from quillflow.plans.answer_queries import demo_client
-from quillflow.plans.enrich import apply_agents, dispatch, enrich, work_items, write_of
+from quillflow.functions.answers import JSON_START, exact_json
+from quillflow.plans.enrich import apply_agents, dispatch, distinct_calls, enrich, work_items, write_of
 from quillflow.plans.flow_queries import (
     FLOW_AGENTS, PEOPLE_TARGET, STREAM_AGENTS, USERS_TARGET, _lengths, stream_lengths, stream_store, users)
 from quillflow.plans.views import changes, changes_of
@@ -486,3 +488,34 @@ def test_failed_items_run_again(spark, tmp_path):
     assert first_failures and set(second) == first_failures and all(second.values())
     assert max(r["attempt"] for r in history) == 1
     assert not any(r["written"] for r in history) and spark.read.parquet(f"{root}/keys").count() == 0
+
+
+def test_calls_with_a_deadline_share_a_thread(spark):
+    """A task makes no thread per call; equal shared requests count as one when tasks are dealt."""
+    def make():
+        own = threading.local()
+
+        def client(batch):
+            own.calls = getattr(own, "calls", 0) + 1
+            return [{"content": str(own.calls)} for _ in batch]
+
+        return client
+
+    rows = [(str(k), f"p{k}", 30.0) for k in range(40)]
+    calls = spark.createDataFrame(rows, "call_key string, prompt string, timeout_seconds double").coalesce(1)
+    done = call_model(calls, make, batch=10).collect()
+    assert sorted({r["content"] for r in done}) == ["1", "2", "3", "4"]
+
+    requests = spark.range(5000).selectExpr(
+        "'a' AS agent_id", "concat('p', id % 10) AS prompt", "CAST(null AS string) AS system_prompt",
+        "IF(id < 1000, 0.7, 0.0) AS temperature")
+    assert 1010 <= distinct_calls(requests) <= 1012
+
+
+def test_texts_that_cannot_be_json_are_told_by_their_start(spark):
+    texts = ["Result: {\"a\": 1}", " \t\n{\"a\": 1}", "-1", "\"x\"", "]", "nul", "null", "true", "+1", "", "1]", "é", "[1]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", F.to_json(exact_json(F.col("t"))).alias("v"), F.col("t").rlike(JSON_START).alias("maybe")).collect()
+    found = {r["t"]: r["v"] for r in rows if r["v"] is not None}
+    assert found == {" \t\n{\"a\": 1}": "{\"a\":1}", "-1": "-1", "\"x\"": "\"x\"", "null": "null", "true": "true", "[1]": "[1]"}
+    assert not any(r["maybe"] for r in rows if r["t"] in ("Result: {\"a\": 1}", "]", "+1", "", "é"))
