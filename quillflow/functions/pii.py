@@ -18,6 +18,9 @@ PATTERNS = {
 # What a text must hold before a default pattern can match: a sign, or any decimal digit.
 _SIGNS = {"email": "@"}
 _DIGIT = r"\p{Nd}"
+# Part of every match of a default pattern, which is found in less time than the pattern.
+_PARTS = {"phone": r"[0-9]{4}", "ssn": r"\p{Nd}-\p{Nd}{2}-\p{Nd}", "credit_card": r"\p{Nd}{4}",
+          "ip_address": r"\p{Nd}\.\p{Nd}"}
 
 DETECTION = "array<struct<type:string,start:int,end:int,length:int>>"
 FOUND = "array<struct<type:string,start:int,end:int,value:string>>"
@@ -35,14 +38,23 @@ def patterns(
 
 
 def _masked(text: Column, name: str, pattern: str, char: str) -> Column:
+    return F.when(_may_match(text, name, pattern), _filled(text, pattern, char)).otherwise(text)
+
+
+def _filled(text: Column, pattern: str, char: str) -> Column:
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     filled = F.zip_with(pieces, hits, lambda p, h: F.concat(
         p, F.coalesce(F.repeat(F.lit(char), F.length(h)), F.lit(""))))
-    return F.when(_may_match(text, name, pattern), F.array_join(filled, "")).otherwise(text)
+    return F.array_join(filled, "")
 
 
 def _spans(text: Column, name: str, pattern: str, with_value: bool) -> Column:
+    found = _found_spans(text, name, pattern, with_value)
+    return F.when(_may_match(text, name, pattern), found).otherwise(F.array().cast(FOUND if with_value else DETECTION))
+
+
+def _found_spans(text: Column, name: str, pattern: str, with_value: bool) -> Column:
     """Start and end of every match, from the lengths of what lies between and within them."""
     pieces = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -59,15 +71,14 @@ def _spans(text: Column, name: str, pattern: str, with_value: bool) -> Column:
                         F.concat(state["out"], F.array(span)).alias("out"))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    spans = F.aggregate(pairs, begin, add, lambda s: s["out"])
-    return F.when(_may_match(text, name, pattern), spans).otherwise(F.array().cast(kind))
+    return F.aggregate(pairs, begin, add, lambda s: s["out"])
 
 
 def _may_match(text: Column, name: str, pattern: str) -> Column:
     found = text.rlike(pattern)
-    if name in _SIGNS and patterns()[name] == pattern:
-        return text.contains(_SIGNS[name]) & found
-    return found
+    if patterns().get(name) != pattern:
+        return found
+    return (text.contains(_SIGNS[name]) if name in _SIGNS else text.rlike(_PARTS[name])) & found
 
 
 def _mask_step(name: str, pattern: str, char: str):
@@ -76,9 +87,10 @@ def _mask_step(name: str, pattern: str, char: str):
 
 def _detect_step(name: str, pattern: str, char: str):
     def step(state: Column) -> Column:
-        spans = F.coalesce(_spans(state["text"], name, pattern, False), F.array().cast(DETECTION))
-        return F.struct(_masked(state["text"], name, pattern, char).alias("text"),
-                        F.concat(state["detections"], spans).alias("detections"))
+        found = F.struct(
+            _filled(state["text"], pattern, char).alias("text"),
+            F.concat(state["detections"], _found_spans(state["text"], name, pattern, False)).alias("detections"))
+        return F.when(_may_match(state["text"], name, pattern), found).otherwise(state)
 
     return step
 
@@ -105,11 +117,15 @@ def mask_text(text: Column, chosen: dict[str, str] | None = None, char: str = "*
 
 def mask_and_detect(text: Column, chosen: dict[str, str] | None = None, char: str = "*") -> Column:
     """Struct of the masked ``text`` and its ``detections`` (type, start, end, length)."""
-    state = F.struct(text.alias("text"), F.array().cast(DETECTION).alias("detections"))
-    states = F.array(state)
-    for name, pattern in (chosen or patterns()).items():
-        states = F.transform(states, _detect_step(name, pattern, char))
-    return F.get(states, F.lit(0))
+    chosen = chosen or patterns()
+
+    def chain(steps: dict[str, str]) -> Column:
+        states = F.array(F.struct(text.alias("text"), F.array().cast(DETECTION).alias("detections")))
+        for name, pattern in steps.items():
+            states = F.transform(states, _detect_step(name, pattern, char))
+        return F.get(states, F.lit(0))
+
+    return F.when(text.rlike(_DIGIT), chain(chosen)).otherwise(chain(_without_digits(chosen)))
 
 
 def detect(text: Column, chosen: dict[str, str] | None = None) -> Column:

@@ -291,3 +291,18 @@ def test_a_variant_deeper_than_the_mask_is_an_error(spark):
     for mask in (pii.mask_variant, pii.variant_detections):
         with pytest.raises(Exception, match="more levels"):
             deep.select(mask(F.col("v"), levels=2).cast("string")).collect()
+
+
+def test_parts_of_default_patterns_refuse_no_match(spark):
+    """The quick tests before the default patterns change nothing: as custom patterns they run without them."""
+    assert set(pii._PARTS) | {"email"} == set(pii.patterns())
+    pick = random.Random(4)
+    marks = ["555-123-4567", "(555)1234567", "+1 555.123.4567", "123-45-6789", "4111 1111 1111 1111", "10.0.0.1",
+             "٣٤٥-١٢-٦٧٨٩", "١.٢.٣.٤", "4111-1111-11111111", "a@b.co", "12", "x-12-y", "1.2", "1234", "é"]
+    texts = ["".join(pick.choice([*marks, " ", " und ", "-", "."]) for _ in range(pick.randint(0, 8))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    plain = {name: f"{pattern}(?:)" for name, pattern in pii.patterns().items()}
+    both = rows.select(*(f(F.col("t"), chosen).alias(f"{name}{k}") for k, chosen in enumerate((None, plain))
+                         for name, f in (("mask", pii.mask_text), ("both", pii.mask_and_detect), ("found", pii.detect)))).collect()
+    assert all((r.mask0, r.both0, r.found0) == (r.mask1, r.both1, r.found1) for r in both)
+    assert {d.type for r in both for d in r.found0} == set(pii.patterns())
