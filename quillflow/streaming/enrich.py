@@ -59,18 +59,20 @@ class EnrichSink:
         results = enrich(fresh, self.agents, self.make_client, finished_at=as_of, stage=stage,
                          again=self._due(spark, batch_id, as_of), overlap=self.overlap,
                          cache=cache, cache_ttl_seconds=self.cache_ttl_seconds)
-        results = stage(results, "results")
+        results = stage(results.drop("parsed"), "results")
         if cache is not None:
             save_cache(refresh_cache(cache, results, as_of, ttl_seconds=self.cache_ttl_seconds,
                                      max_rows=self.cache_rows), folder, batch_id)
-        report = stage(self.store.report(results, self.agents), "report")
+        # What is read of a report needs no texts.
+        slim = results.drop("prompt", "system_prompt", "content", "schema_errors")
+        report = stage(self.store.report(slim, self.agents), "report")
 
         self.store.append(report, batch_id)
         append_keys(report.where("written"), f"{self.root}/keys", batch_id, now)
         write_batch(execution_rows(report), f"{self.root}/executions", batch_id)
         planned = plan_retries(results.where(F.col("error_type").isNotNull()), "completed_at",
                                F.col("retry_delay_seconds"), F.col("retry_max_delay_seconds"))
-        planned = planned.drop("parsed", "answer")
+        planned = planned.drop("answer")
         write_batch(retry_items(planned), f"{self.root}/retries", batch_id)
         write_batch(dead_letters(planned, "completed_at"), f"{self.root}/dead_letters", batch_id)
 

@@ -519,3 +519,15 @@ def test_texts_that_cannot_be_json_are_told_by_their_start(spark):
     found = {r["t"]: r["v"] for r in rows if r["v"] is not None}
     assert found == {" \t\n{\"a\": 1}": "{\"a\":1}", "-1": "-1", "\"x\"": "\"x\"", "null": "null", "true": "true", "[1]": "[1]"}
     assert not any(r["maybe"] for r in rows if r["t"] in ("Result: {\"a\": 1}", "]", "+1", "", "é"))
+
+
+def test_reports_of_a_batch_hold_no_texts(spark):
+    """Stored reports are what targets, keys and executions need; texts lie in the results alone."""
+    root = shared_folder(spark, "slim")
+    sink = EnrichSink(STREAM_AGENTS, demo_client, root, stream_store(spark, SMALL, root))
+    sink(changes(spark, SMALL).where("event_id < 40"), 0)
+    report = spark.read.parquet(f"{root}/stages/batch=0/report")
+    results = spark.read.parquet(f"{root}/stages/batch=0/results")
+    assert not {"prompt", "system_prompt", "content", "parsed"} & set(report.columns)
+    assert {"prompt", "content", "answer"} <= set(results.columns)
+    assert report.count() == results.count() > 0
