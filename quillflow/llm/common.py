@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -35,6 +36,18 @@ def per_worker(slot: str, key: tuple, make: Callable):
     return held[slot][1]
 
 
+def let_slot_go(slot: str) -> None:
+    """Free what a worker holds in a slot, for steps of another kind that run in the same process later."""
+    held = vars(sys.modules.get("_quillflow_worker", types.ModuleType("none"))).get("held", {})
+    if held.pop(slot, None) is not None:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # Many small freed objects stay with the process unless the C library is told.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

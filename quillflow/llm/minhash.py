@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import fresh, let_go, stored
+from quillflow.llm.common import fresh, let_go, let_slot_go, stored
 from quillflow.llm.components import components
 from quillflow.llm.count_tree import bounded, compared, count_vector, cross_pairs
 from quillflow.llm.shingle_sets import set_digests, set_rows, sets_of
@@ -70,6 +70,7 @@ def _fingerprints(size: int):
                         ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("point", pa.binary())])
 
     def run(batches):
+        let_slot_go("vocabulary")
         for batch in batches:
             columns: list[list] = [[] for _ in schema]
             for items, doc_id, text_hash in set_rows(batch, size, "doc_id", "text_hash"):

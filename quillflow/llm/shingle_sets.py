@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import arrow_rows, chunked, stored
+from quillflow.llm.common import arrow_rows, chunked, let_slot_go, stored
 from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.words import mix, shingles, word_hashes
 
@@ -50,6 +50,7 @@ def picked(rows: DataFrame, places: DataFrame, size: int, values: Callable, fiel
     schema = pa.schema([("want_id", pa.int64()), ("want_hash", pa.int64()), *((n, kinds[k]) for n, k in names)])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        let_slot_go("vocabulary")
         for batch in batches:
             maybe = batch.filter(pa.array(passes(shared.value, batch.column(3).to_numpy())))
             found = [(*at, *values(items)) for items, *at in set_rows(maybe, size, "want_id", "want_hash")]

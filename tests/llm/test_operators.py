@@ -448,3 +448,18 @@ def test_exact_dedup(docs, empty):
     kept = exact_dedup.keep_last(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
     assert exact_dedup.exact_groups(empty).count() == 0
+
+
+def test_shingle_steps_free_the_vocabulary(spark):
+    """A worker that judged texts with a vocabulary and its cache holds neither while it makes shingle sets."""
+    import sys
+
+    from quillflow.llm import minhash
+    from quillflow.llm.common import per_worker
+
+    run, _ = minhash._fingerprints(5)
+    per_worker("vocabulary", ("test",), lambda: ["large"])
+    per_worker("other", (), lambda: ["kept"])
+    assert list(run(iter([]))) == []
+    held = vars(sys.modules["_quillflow_worker"])["held"]
+    assert "vocabulary" not in held and held["other"][1] == ["kept"]
