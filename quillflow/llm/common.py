@@ -8,6 +8,7 @@ import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_count(rows: DataFrame, most: int) -> int:
+    """The least n from which on there are at most ``most`` rows (n)."""
+    sizes = rows.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).toArrow()
+    n, total = sizes.column("n").to_numpy(), np.cumsum(sizes.column("count").to_numpy())
+    fits = int(np.searchsorted(total, most, side="right"))
+    return int(n[fits - 1]) if fits else 1 << 62
+
+
 def let_go(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are written; it does so as their plans are collected."""
     gc.collect()

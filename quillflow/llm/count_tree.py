@@ -9,8 +9,8 @@ survivors are verified on full sets.
 
 The tree is dealt out by shingles: in an order of all shingles, two sets of n and m elements that reach
 the limit share one of the first n - ceil(limit n) + 1 of each. The order is that of the hashes, but the
-shingles that many sets have there (found by a Misra-Gries sketch over all sets, ``HOT_KEYS`` at
-most) come last. Sets that share such a key lie in its part of the tree, a *bucket*; buckets are dealt by
+shingles that ``HOT_FROM`` sets or more have there (the ``HOT_KEYS`` most frequent ones at most) come last,
+so buckets don't grow with the input. Sets that share such a key lie in its part of the tree, a *bucket*; buckets are dealt by
 ranges of (key, size) into leaves, so a large one spans many tasks. Where two sets first meet also bounds
 what they share: what comes after it in both.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import let_go, stored
+from quillflow.llm.common import least_count, let_go, stored
 from quillflow.llm.components import components
 from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.shingle_sets import picked, set_digests, set_rows, sets_of, verified
@@ -36,8 +36,8 @@ from quillflow.llm.shingle_sets import picked, set_digests, set_rows, sets_of, v
 GROUPS, LEAF = 128, 128
 # A count of this size or more is stored as this one and bounds nothing where two sets have it.
 FULL = 255
-# Keys that come last in the order of shingles, and counters of the sketch that finds them.
-HOT_KEYS, COUNTERS = 4_096, 1 << 16
+# Keys that come last in the order of shingles: from so many sets on, and at most so many.
+HOT_FROM, HOT_KEYS = 32, 1 << 17
 # Pairs of points that are compared at once.
 BLOCK = 1 << 15
 _POINT_LISTS = ("nodes", "ns", "places", "labels")
@@ -83,27 +83,38 @@ def _cold_prefix(hot: np.ndarray, percent: int):
 
 
 def _hot_keys(nodes: DataFrame) -> np.ndarray:
-    """Keys that a large share of all prefixes has, sorted; at most ``HOT_KEYS``."""
-    keys = nodes.select(F.explode("prefix").alias("key"))
-    found = keys.agg(F.expr(f"approx_top_k(key, {HOT_KEYS}, {COUNTERS})").alias("top"), F.count("*").alias("rows")).first()
-    # The sketch may count a key too often by rows / (0.75 * COUNTERS).
-    least = max(64, found["rows"] / (0.75 * COUNTERS) * 2)
-    return np.sort(np.array([e["item"] for e in found["top"] or [] if e["count"] >= least], np.int64))
+    """Keys that ``HOT_FROM`` prefixes or more have, sorted; of more than ``HOT_KEYS`` the most frequent ones."""
+    keys = nodes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    often = stored(keys.where(F.col("n") >= HOT_FROM), "often")
+    return np.sort(often.where(F.col("n") >= least_count(often, HOT_KEYS)).select("key").toArrow().column("key").to_numpy())
+
+
+def _with_hot(shared):
+    """Rows (node, n, doc_id, text_hash, prefix), and whether a hot key is among the prefix."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        for batch in batches:
+            lists = batch.column(4)
+            keys, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            found = np.concatenate(([0], np.cumsum(hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys)))
+            ends = ends - ends[0]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found[ends[1:]] > found[ends[:-1]])], names=[*batch.schema.names, "late"])
+
+    return run
 
 
 def _prefixes(rows: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, n, prefix) of all nodes; those with a hot key are read again."""
     hot = _hot_keys(nodes)
-    plain = nodes.select("node", "n", "prefix")
     if not len(hot):
-        return plain
-    spark = nodes.sparkSession
-    listed = spark.createDataFrame([(int(k),) for k in hot], "key long")
-    changed = stored(nodes.select("node", F.explode("prefix").alias("key")).join(F.broadcast(listed), "key", "left_semi")
-                     .select("node").distinct(), "changed")
-    places = nodes.select("node", "doc_id", "text_hash").join(changed, "node", "left_semi")
+        return nodes.select("node", "n", "prefix")
+    shared = nodes.sparkSession.sparkContext.broadcast(hot)
+    marked = nodes.select("node", "n", "doc_id", "text_hash", "prefix").mapInArrow(
+        _with_hot(shared), "node long, n long, doc_id long, text_hash long, prefix array<long>, late boolean")
+    places = stored(marked.where("late").select("node", "doc_id", "text_hash"), "changed")
     again = picked(rows, places, size, _cold_prefix(hot, percent), "n long, prefix array<long>")
-    return stored(plain.join(changed, "node", "left_anti").unionByName(again), "prefixes")
+    return stored(marked.where("NOT late").select("node", "n", "prefix").unionByName(again), "prefixes")
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +222,8 @@ def cross_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFram
         *lists, *(F.col(c).alias(f"{c}_2") for c in lists), F.lit(True).alias("same"))
     beside = chosen.join(one, "leaf").join(two, "leaf_2").select(
         *lists, *(f"{c}_2" for c in lists), F.lit(False).alias("same"))
-    return inside.unionByName(beside).mapInArrow(_opened(percent), "a long, b long").distinct()
+    # Written, so that what follows sees a pair once, not once for each key that its nodes share.
+    return stored(inside.unionByName(beside).mapInArrow(_opened(percent), "a long, b long").distinct(), "met")
 
 
 def _near_leaves(percent: int):

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import arrow_rows, chunked, let_go, stored
+from quillflow.llm.common import arrow_rows, chunked, least_count, let_go, stored
 from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.words import mix, word_hashes
 
@@ -223,14 +223,6 @@ def _grams_of(shared, depth: int):
     return start
 
 
-def _least_count(effects: DataFrame, most: int) -> int:
-    """The least n from which on there are at most ``most`` rows."""
-    sizes = effects.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).toArrow()
-    n, rows = sizes.column("n").to_numpy(), np.cumsum(sizes.column("count").to_numpy())
-    fits = int(np.searchsorted(rows, most, side="right"))
-    return int(n[fits - 1]) if fits else 1 << 62
-
-
 def fit_levels(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT,
                divergence: float = DIVERGENCE, prior: float = PRIOR) -> tuple[int, int, list[Level]]:
     """Tokens, vocabulary and the written tree of ``docs`` (text) whose word counts (key, n) are ``words``."""
@@ -331,7 +323,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counts = words.select("key", "n", F.log10(F.col("n") + F.lit(1.0)).alias("value"))
     tree = effects(levels)
     tree = counts.limit(0) if tree is None else tree
-    both = ((counts, F.col("n") >= _least_count(counts, HOT_WORDS)), (tree, F.col("n") >= _least_count(tree, HOT_EFFECTS)))
+    both = ((counts, F.col("n") >= least_count(counts, HOT_WORDS)), (tree, F.col("n") >= least_count(tree, HOT_EFFECTS)))
     shared = spark.sparkContext.broadcast((
         *(_sorted(df.where(hot)) for df, hot in both), sieve(tree.select("key")), len(levels)))
     del levels

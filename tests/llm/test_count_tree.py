@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from quillflow.llm import count_tree
+from quillflow.llm import count_tree, shingle_sets
 
 SCHEMA = "doc_id long, text string, node string, n long, label string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,3 +105,48 @@ def test_minima_bound_what_sets_share(seed, n, m):
         linked = 100 * both >= percent * (len(left) + len(right) - both)
         allowed = count_tree._allowed(*points, np.array([len(left)]), np.array([len(right)]), percent)[0]
         assert allowed or not linked
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 9000), st.floats(0, 1), st.sampled_from([1, 3]))
+def test_fine_counts_lose_no_link(seed, n, kept, grow):
+    random_ = np.random.default_rng(seed)
+    left = np.unique(random_.integers(0, 1 << 63, n, dtype=np.int64))
+    right = np.unique(np.concatenate([left[:int(len(left) * kept)], random_.integers(0, 1 << 63, grow * (n // 10), dtype=np.int64)]))
+    if len(right):
+        both = len(np.intersect1d(left, right))
+        fine = [shingle_sets.fine_counts(s) for s in (left, right)]
+        for percent in (80, 85, 95):
+            linked = 100 * both >= percent * (len(left) + len(right) - both)
+            assert shingle_sets.may_reach(*fine, len(left), len(right), percent) or not linked
+
+
+def test_large_sets_are_ruled_out_before_they_are_joined(spark):
+    """Coarse counts of large sets are alike; fine ones tell a copy from another text."""
+    random_ = np.random.default_rng(3)
+    one, other = (np.sort(random_.integers(0, 1 << 62, 12_000, dtype=np.int64)) for _ in range(2))
+    near = np.sort(np.concatenate([one[:11_500], random_.integers(0, 1 << 62, 500, dtype=np.int64)]))
+    n = np.array([12_000])
+    points = [np.frombuffer(count_tree.count_vector(s.view(np.uint64)), np.uint8)[None] for s in (one, other)]
+    assert count_tree._allowed(*points, n, n, 85)[0]
+    sets = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate((one, near, other, one[:9]))], "node long, items array<long>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (2, 3)], "a long, b long")
+    assert sorted(map(tuple, shingle_sets._finely_bounded(pairs, sets, 85).collect())) == [(0, 1), (2, 3)]
+    assert list(map(tuple, shingle_sets.verified(pairs, sets, 85).collect())) == [(0, 1)]
+
+
+def test_hot_keys_are_counted_exactly(spark):
+    """A key of as many prefixes as the limit is hot, whatever the size of the table."""
+    few, enough = count_tree.HOT_FROM - 1, count_tree.HOT_FROM
+    nodes = spark.range(3000).selectExpr(
+        "id AS node", f"concat(array(-1 - id), IF(id < {enough}, array(7L), array()), IF(id < {few}, array(8L), array())) AS prefix")
+    assert count_tree._hot_keys(nodes).tolist() == [7]
+
+
+def test_pairs_that_share_many_keys_are_met_once(spark):
+    members = spark.range(40).selectExpr("id AS key").crossJoin(spark.range(6).selectExpr("id AS node")).selectExpr(
+        "key", "node", "100L AS n", "1L + key AS place", "node AS label")
+    point = bytearray([1] * 100 + [0] * 28)
+    points = spark.createDataFrame([(k, point) for k in range(6)], "node long, point binary")
+    found = count_tree.cross_pairs(members, points, 85)
+    assert found.count() == 15 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
