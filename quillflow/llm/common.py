@@ -42,11 +42,16 @@ def let_slot_go(slot: str) -> None:
     held = vars(sys.modules.get("_quillflow_worker", types.ModuleType("none"))).get("held", {})
     if held.pop(slot, None) is not None:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        # Many small freed objects stay with the process unless the C library is told.
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        trim_worker()
+
+
+def trim_worker() -> None:
+    """Give freed memory back to the system, at the end of a task with large passing arrays: workers live on."""
+    pa.default_memory_pool().release_unused()
+    # Many small freed objects stay with the process unless the C library is told.
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,6 +77,15 @@ def least_count(rows: DataFrame, most: int) -> int:
     return int(n[fits - 1]) if fits else 1 << 62
 
 
+def dropped(*steps: DataFrame) -> None:
+    """Delete written steps (results of ``stored``) that nothing reads any more."""
+    for df in steps:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let_go(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that are written; it does so as their plans are collected."""
     gc.collect()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import arrow_rows, chunked, least_count, let_go, stored
+from quillflow.llm.common import arrow_rows, chunked, dropped, least_count, let_go, stored
 from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.words import mix, word_hashes
 
@@ -268,6 +268,7 @@ def fit_levels(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_count:
             "key", "ctx", "suffix", "n", logp.alias("logp"),
             (logp - F.col("short_logp") - F.col("backoff")).alias("extra")), f"next{d}")
         levels.append(Level(nodes, shorter))
+        dropped(grams)
         del grams, contexts, considered, sums
         let_go(spark)
     # Whatever a retained context ends in is retained, too.
@@ -326,6 +327,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     both = ((counts, F.col("n") >= least_count(counts, HOT_WORDS)), (tree, F.col("n") >= least_count(tree, HOT_EFFECTS)))
     shared = spark.sparkContext.broadcast((
         *(_sorted(df.where(hot)) for df, hot in both), sieve(tree.select("key")), len(levels)))
+    # All that scores need of the tree is in the effects.
+    dropped(*(step for level in levels for step in level))
     del levels
     let_go(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),

@@ -8,12 +8,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillflow.llm import (
-    bitplanes, bpe, chat, count_tree, exact_dedup, fertility, minhash, packing, secret_scan, suffix_lm, url_rules)
+    bitplanes, bpe, chat, common, count_tree, exact_dedup, fertility, minhash, packing, secret_scan, sieves, suffix_lm,
+    url_rules)
 from quillflow.llm.components import components
 from quillflow.llm.queries import SITE_RULES
 
@@ -463,3 +465,23 @@ def test_shingle_steps_free_the_vocabulary(spark):
     assert list(run(iter([]))) == []
     held = vars(sys.modules["_quillflow_worker"])["held"]
     assert "vocabulary" not in held and held["other"][1] == ["kept"]
+
+
+def test_sieves_tell_strangers_from_keys(spark):
+    """All keys pass, and few others: each that does becomes a row of a shuffle."""
+    rnd = np.random.default_rng(5)
+    keys, strangers = rnd.integers(-(1 << 63), 1 << 63, 60_000, dtype=np.int64), rnd.integers(-(1 << 63), 1 << 63, 200_000, dtype=np.int64)
+    bits = sieves.sieve(spark.createDataFrame(pa.table({"key": keys})))
+    assert sieves.passes(bits, keys).all()
+    assert sieves.passes(bits, strangers).mean() < 0.01
+
+
+def test_steps_of_the_tree_are_dropped(spark, monkeypatch, tmp_path):
+    """Once the effects are written, the tables they came from don't stay on disk."""
+    made = []
+    monkeypatch.setattr(common, "shared_folder", lambda _, purpose: made.append(purpose) or f"{tmp_path}/{purpose}-{len(made)}")
+    rows = [(i, "the cat sat on the mat and the dog lay on the rug") for i in range(80)]
+    assert suffix_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).count() == 80
+    left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    gone = {"kept1", "next1", "kept2", "next2"}
+    assert gone <= set(made) and {"words", "effects", "scores"} <= left and not left & gone
