@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import least_count, let_go, stored
+from quillflow.llm.common import least_count, let_go, row_slices, stored, trim_worker
 from quillflow.llm.components import components
 from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.shingle_sets import picked, set_digests, set_rows, sets_of, verified
@@ -68,6 +68,7 @@ def _prints(size: int, percent: int):
                 for held, value in zip(columns, (doc_id, text_hash, n, *rest)):
                     held.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        trim_worker()
 
     return run, "doc_id long, text_hash long, n long, d1 long, d2 long, prefix array<long>, point binary"
 
@@ -172,7 +173,8 @@ def _opened(percent: int):
     """Pairs of points of two leaves (the columns of a leaf twice) that differ in label and may reach the limit."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            # A leaf pair is about 1000 Python integers: few of them at a time.
+            for row in (row for part in row_slices(batch, 8) for row in part.to_pylist()):
                 nodes, ns, places, labels, nodes_2, ns_2, places_2, labels_2 = (
                     np.array(row[c], np.int64) for c in (*_POINT_LISTS, *(f"{c}_2" for c in _POINT_LISTS)))
                 n, m = ns[:, None], ns_2[None, :]
@@ -188,11 +190,11 @@ def _opened(percent: int):
                     a, b = nodes[i[fits]], nodes_2[j[fits]]
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        trim_worker()
 
     return run
 
 
-
 def cross_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) of nodes with different labels that share a key and may reach the limit.
 

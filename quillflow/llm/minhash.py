@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import fresh, let_go, let_slot_go, stored
+from quillflow.llm.common import fresh, let_go, let_slot_go, stored, trim_worker
 from quillflow.llm.components import components
 from quillflow.llm.count_tree import bounded, compared, count_vector, cross_pairs
 from quillflow.llm.shingle_sets import set_digests, set_rows, sets_of
@@ -78,6 +78,7 @@ def _fingerprints(size: int):
                 for held, value in zip(columns, (doc_id, text_hash, len(items), *rest)):
                     held.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        trim_worker()
 
     return run, "doc_id long, text_hash long, n long, d1 long, d2 long, bands array<long>, point binary"
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import arrow_rows, chunked, let_slot_go, row_slices, stored
+from quillflow.llm.common import arrow_rows, chunked, let_slot_go, row_slices, stored, trim_worker
 from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.words import mix, shingles, word_hashes
 
@@ -55,9 +55,10 @@ def picked(rows: DataFrame, places: DataFrame, size: int, values: Callable, fiel
         let_slot_go("vocabulary")
         for batch in batches:
             maybe = batch.filter(pa.array(passes(shared.value, batch.column(3).to_numpy())))
-            found = [(*at, *values(items)) for items, *at in set_rows(maybe, size, "want_id", "want_hash")]
-            if found:
+            for part in row_slices(maybe, 1024):
+                found = [(*at, *values(items)) for items, *at in set_rows(part, size, "want_id", "want_hash")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+        trim_worker()
 
     keys = ["want_id", "want_hash"]
     texts = rows.select("text", key(F.col("doc_id")), F.col("text_hash").alias("want_hash")).select("text", *keys, mark)

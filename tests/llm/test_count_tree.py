@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -150,3 +152,16 @@ def test_pairs_that_share_many_keys_are_met_once(spark):
     points = spark.createDataFrame([(k, point) for k in range(6)], "node long, point binary")
     found = count_tree.cross_pairs(members, points, 85)
     assert found.count() == 15 and "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_leaf_pairs_are_opened_a_few_at_a_time():
+    """A batch holds thousands of pairs of leaves; as Python objects all at once they take hundreds of MB."""
+    leaf = {c: list(range(10**6, 10**6 + 128)) for c in ("nodes", "ns", "places")} | {"labels": [5] * 128, "points": bytes(128 * 128)}
+    row = leaf | {f"{c}_2": v for c, v in leaf.items()} | {"same": False}
+    batch = pa.RecordBatch.from_pylist([row] * 1000)
+    tracemalloc.start()
+    try:
+        assert list(count_tree._opened(85)(iter([batch]))) == []
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
