@@ -18,8 +18,12 @@ A kept next word of s is kept in the suffix of s, too, and the suffix of a retai
 So the score is a sum of effects that are looked up one by one: log10(c + 1) of each token, the
 back-off weight (leftover + PRIOR) / (n + PRIOR) of each retained context before it, and for each kept
 next word what it adds to that. The most frequent ones, ``HOT_WORDS`` words and ``HOT_EFFECTS`` others,
-are broadcast; (document, effect, count) rows of the rest are joined. These bounds and the sieves
-(one-hash Bloom filters of a bounded size) decide where an effect is added, never whether.
+are broadcast. What is rarer is looked up where it lies: keys are dealt into buckets, a bucket's task has
+its rare effects and every (key, document) that asks for one of them. These bounds and the sieves (Bloom
+filters of a bounded size) decide where an effect is added, never whether.
+
+Counts and look-ups go through shuffles as arrays of a bucket's keys (``bytes`` columns), sorted so that
+a context is written once for its next words; as rows of their own they took more than twice the disk.
 
 Words are told apart by 64-bit hashes; a sequence of words has the exclusive or of its words' hashes,
 rotated by their distance: ``key`` = word ^ ctx.
@@ -27,13 +31,17 @@ rotated by their distance: ``key`` = word ^ ctx.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type as to_spark
 
 from quillflow.llm.common import arrow_rows, chunked, dropped, least_count, let_go, stored
 from quillflow.llm.sieves import passes, sieve
@@ -47,11 +55,22 @@ FOLDS, HELD_OUT = 7, 2
 # At most so many words and other effects are broadcast.
 HOT_WORDS, HOT_EFFECTS = 1_000_000, 2_500_000
 ROTATE = 7
-# Counts that a training task gathers before it passes them on; Spark's aggregation, which spills, adds them up.
-HELD_ROWS = 300_000
+# Counts or look-ups that a task gathers before it passes them on.
+HELD_ROWS = 500_000
+# Tokens of the corpus for a bucket of counts (a task holds one) and for one of look-ups (a task holds its rare effects).
+COUNT_TOKENS, LOOK_TOKENS = 2_000_000, 16_000_000
+# Look-ups in a row, so that a batch of rows is of a bounded size.
+ASKED = 256
 _END_HASH = int(mix(np.array([0xE0F], np.uint64)).view(np.int64)[0])
-_SCORE_FIELDS = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, "
-                 "rare array<struct<key:long,n:int>>")
+_SCORES = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+    ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
+# What meets in a bucket of look-ups: scores so far (row to gain), rare effects (keys, values), and documents that ask
+# for them (keys, rows from ``row`` on; a row has the task's number from bit 33 on). ``kind``: 0 scores, else below.
+_WORD, _EFFECT, _ASK = 1, 2, 4
+_DEALT = pa.schema([*_SCORES, ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("rest", pa.binary())])
+_COUNTS = pa.schema([("bucket", pa.int32()), ("ctxs", pa.binary()), ("runs", pa.binary()), ("keys", pa.binary()),
+                     ("ns", pa.binary())])
 
 
 def token_stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +134,9 @@ class SuffixTree:
 
 
 class Level(NamedTuple):
-    """Written contexts of one length (ctx, suffix, weight, backoff, retained) and their kept next
-    words (key, ctx, suffix, n, logp, extra); ``extra``: logp less the suffix's logp and the backoff."""
+    """Written contexts of one length (ctx, suffix, weight, backoff, own, retained) and their kept next
+    words (key, ctx, suffix, n, own, logp, extra); ``own``: retained for its own next words, not for a longer
+    context; ``extra``: logp less the suffix's logp and the backoff."""
 
     nodes: DataFrame
     grams: DataFrame
@@ -139,45 +159,125 @@ def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [keys[first], *(c[order[first]] for c in rest), np.add.reduceat(counts[order], first)]
 
 
-def counted(docs: DataFrame, keys_of: Callable[[], Callable[[list[bytes]], np.ndarray | tuple]], purpose: str | None,
-            beside: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+def _tallies(batches: Iterator[pa.RecordBatch], take: Callable, beside: int) -> Iterator[list[np.ndarray]]:
+    """Columns (key, ``beside`` columns that depend on it, n) of some texts after others, one row per key in each.
+
+    ``take(texts)`` gives the keys (a tuple of the columns with ``beside``)."""
+    held: list = []
+    size = 0
+    for batch in batches:
+        for chunk in chunked(arrow_rows(batch)):
+            found = take([row[0] for row in chunk])
+            keys, *rest = found if beside else (found,)
+            keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+            if len(keys):
+                held.append([keys, *(c[first] for c in rest), counts.astype(np.int64)])
+            size += len(keys)
+            if size > HELD_ROWS:
+                held = [_merged(held)]
+                size = len(held[0][0])
+                if size > HELD_ROWS // 2:
+                    yield held[0]
+                    held, size = [], 0
+    if held:
+        yield _merged(held)
+
+
+def counted(docs: DataFrame, keys_of: Callable[[], Callable[[list[bytes]], np.ndarray]], purpose: str) -> DataFrame:
     """(key, n): how often ``keys_of()(texts)`` gives each key, over all texts; written.
 
-    With ``beside`` it gives a tuple: the keys and columns of these names, which depend on the key.
-    Counts below ``least`` are left out. Tasks count in arrays of a bounded size before the shuffle.
-    Without a ``purpose`` nothing is written yet.
+    Tasks count in arrays of a bounded size before the shuffle.
     """
-    names = ["key", *beside, "n"]
-    schema = pa.schema([(name, pa.int64()) for name in names])
-
-    def passed_on(held) -> Iterator[pa.RecordBatch]:
-        columns = _merged(held)
-        for a in range(0, len(columns[0]), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a:a + 200_000]) for c in columns], schema=schema)
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        size, take = 0, keys_of()
-        for batch in batches:
-            for chunk in chunked(arrow_rows(batch)):
-                found = take([row[0] for row in chunk])
-                keys, *rest = found if beside else (found,)
-                keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
-                if len(keys):
-                    held.append([keys, *(c[first] for c in rest), counts.astype(np.int64)])
-                size += len(keys)
-                if size > HELD_ROWS:
-                    held = [_merged(held)]
-                    size = len(held[0][0])
-                    if size > HELD_ROWS // 2:
-                        yield from passed_on(held)
-                        held, size = [], 0
-        if held:
-            yield from passed_on(held)
-
-    rows = docs.select("text").mapInArrow(run, ", ".join(f"{name} long" for name in names))
-    sums = rows.groupBy("key", *beside).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return stored(sums, purpose) if purpose else sums
+        for columns in _tallies(batches, keys_of(), 0):
+            for a in range(0, len(columns[0]), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a:a + 200_000]) for c in columns], schema=schema)
+
+    return stored(docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), purpose)
+
+
+def _cut(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` from each edge to the next."""
+    offsets = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the keys as unsigned numbers."""
+    return (((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def _bucket_count(spark: SparkSession, tokens: int, each: int) -> int:
+    """Buckets of about ``each`` tokens, one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-tokens // each))
+
+
+def _dealt(rows: DataFrame, buckets: int, *order: str) -> DataFrame:
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", *order)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[list]]:
+    """For each bucket of a partition that is sorted by them: the values of these columns."""
+    last, held = None, [[] for _ in columns]
+    for batch in batches:
+        of = batch.column("bucket").to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.diff(of)) + 1
+        for a, b in zip([0, *edges], [*edges, len(of)]):
+            if a == b:
+                continue
+            if last is not None and of[a] != last:
+                yield held
+                held = [[] for _ in columns]
+            last = of[a]
+            for to, name in zip(held, columns):
+                to.extend(batch.column(name).slice(a, b - a))
+    if last is not None:
+        yield held
+
+
+def _array(data: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(data.as_py(), kind)
+
+
+def _joined(blobs: list, kind: type) -> np.ndarray:
+    return np.concatenate([_array(x, kind) for x in blobs] or [np.empty(0, kind)])
+
+
+def counted_grams(docs: DataFrame, grams_of: Callable[[], Callable[[list[bytes]], tuple]], least: int, buckets: int,
+                  spread: np.ndarray) -> DataFrame:
+    """(key, ctx, n): how often ``grams_of()(texts)`` = (keys, contexts) gives each, from ``least`` times on.
+
+    A context's keys lie in one bucket, those of the contexts in ``spread`` (sorted) in all of them.
+    """
+    schema = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64())])
+
+    def pack(batches) -> Iterator[pa.RecordBatch]:
+        for keys, ctx, n in _tallies(batches, grams_of(), 1):
+            bucket = _bucket(np.where(_find(spread, ctx, -1) >= 0, keys, ctx), buckets)
+            order = np.argsort((bucket << 40) | (ctx & ((1 << 40) - 1)))
+            bucket, keys, ctx, n = bucket[order], keys[order], ctx[order], n[order]
+            new = np.append(True, bucket[1:] != bucket[:-1])
+            run = np.flatnonzero(new | np.append(True, ctx[1:] != ctx[:-1]))
+            first = np.flatnonzero(new)
+            edges, runs = np.append(first, len(keys)), np.append(np.searchsorted(run, first), len(run))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(bucket[first].astype(np.int32)), _cut(ctx[run], runs),
+                _cut(np.diff(run, append=len(keys)).astype(np.int32), runs), _cut(keys, edges),
+                _cut(n.astype(np.int32), edges)], schema=_COUNTS)
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        for ctxs, runs, keys, ns in _by_bucket(batches, "ctxs", "runs", "keys", "ns"):
+            ctx = np.repeat(_joined(ctxs, np.int64), _joined(runs, np.int32))
+            keys, ctx, n = _merged([[_joined(keys, np.int64), ctx, _joined(ns, np.int32).astype(np.int64)]])
+            kept = np.flatnonzero(n >= least)
+            for a in range(0, len(kept), 100_000):
+                at = kept[a:a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (keys, ctx, n)], schema=schema)
+
+    packed = docs.select("text").mapInArrow(pack, "bucket int, ctxs binary, runs binary, keys binary, ns binary")
+    return _dealt(packed, buckets).mapInArrow(add, "key long, ctx long, n long")
 
 
 def _rotated(keys: np.ndarray, by: int) -> np.ndarray:
@@ -245,7 +345,11 @@ def fit_levels(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_count:
             break
         known = shorter if d > 1 else shorter.where(F.col("n") >= MIN_NEXT)
         shared = spark.sparkContext.broadcast((sieve(contexts.select(F.col("ctx").alias("key"))), sieve(known.select("key"))))
-        grams = counted(docs, _grams_of(shared, d), None, ("ctx",), MIN_NEXT).join(contexts, "ctx")
+        buckets = _bucket_count(spark, tokens, COUNT_TOKENS)
+        spread = contexts.where(F.col("weight") * (4 * buckets) >= tokens).select("ctx").toArrow().column("ctx").to_numpy()
+        grams = counted_grams(docs, _grams_of(shared, d), MIN_NEXT, buckets, np.sort(spread))
+        # Strangers that the sieve let through go when the nodes are joined.
+        grams = grams.join(contexts.drop("weight"), "ctx") if d > 1 else grams.withColumn("suffix", F.lit(0).cast("long"))
         # The same next word of the suffix: it occurs there at least as often, so it is kept there.
         grams = stored(grams.withColumn("short", word.bitwiseXOR(F.col("suffix"))).join(
             shorter.select(F.col("key").alias("short"), F.col("logp").alias("short_logp")), "short").drop("short"), f"kept{d}")
@@ -262,10 +366,11 @@ def fit_levels(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_count:
         nodes = stored(contexts.join(sums, "ctx", "left").select(
             "ctx", "suffix", "weight", F.log10((leftover + prior) / (weight + prior)).alias("backoff"),
             leftover.alias("leftover"),
-            ((distance >= divergence) & (2 * weight * distance >= free + 4 * F.sqrt(2 * free))).alias("retained")), f"nodes{d}")
+            ((distance >= divergence) & (2 * weight * distance >= free + 4 * F.sqrt(2 * free))).alias("own")
+        ).withColumn("retained", F.col("own")), f"nodes{d}")
         logp = F.log10((F.col("n") + (F.col("leftover") + prior) * q) / (weight + prior))
-        shorter = stored(grams.join(nodes.select("ctx", "leftover", "backoff"), "ctx").select(
-            "key", "ctx", "suffix", "n", logp.alias("logp"),
+        shorter = stored(grams.join(nodes.select("ctx", "weight", "leftover", "backoff", "own"), "ctx").select(
+            "key", "ctx", "suffix", "n", "own", logp.alias("logp"),
             (logp - F.col("short_logp") - F.col("backoff")).alias("extra")), f"next{d}")
         levels.append(Level(nodes, shorter))
         dropped(grams)
@@ -290,8 +395,10 @@ def effects(levels: list[Level]) -> DataFrame | None:
     found = None
     for nodes, grams in levels:
         kept = nodes.where("retained")
-        rows = kept.select(F.col("ctx").alias("key"), F.col("weight").alias("n"), F.col("backoff").alias("value")).unionByName(
-            grams.join(kept.select("ctx"), "ctx", "left_semi").select("key", "n", F.col("extra").alias("value")))
+        later = grams.where("NOT own").join(kept.where("NOT own").select("ctx"), "ctx", "left_semi")
+        rows = kept.select(F.col("ctx").alias("key"), F.col("weight").alias("n"), F.col("backoff").alias("value"))
+        for part in (grams.where("own"), later):
+            rows = rows.unionByName(part.select("key", "n", F.col("extra").alias("value")))
         found = rows if found is None else found.unionByName(rows)
     return found if found is None else stored(found, "effects")
 
@@ -302,11 +409,134 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sorted(effects: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(key, value) by key."""
+    """(key, value) by key, for a table."""
     rows = effects.select("key", "value").toArrow()
-    keys, values = rows.column("key").to_numpy(), rows.column("value").to_numpy()
+    return _by_key(rows.column("key").to_numpy(), rows.column("value").to_numpy())
+
+
+def _by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted, with a last entry that is no key."""
     order = np.argsort(keys)
-    return keys[order], values[order]
+    return np.append(keys[order], (1 << 63) - 1), np.append(values[order], 0.0)
+
+
+class _Table:
+    """Values by key, 0 for others. Keys are hashes: their first bits tell about where one lies among the sorted."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = max(1, len(keys).bit_length())
+        self.shift, self.half = 64 - bits, 1 << (bits - 1)
+        self.start = np.cumsum(np.bincount((keys[:-1] >> self.shift) + self.half, minlength=1 << bits)).astype(np.int32)
+        self.start = np.append(np.int32(0), self.start[:-1])
+
+    def look_up(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values and whether the keys are there."""
+        last = len(self.keys) - 1
+        at = self.start[(wanted >> self.shift) + self.half].astype(np.int64)
+        more = np.flatnonzero(self.keys[at] < wanted)
+        while len(more):
+            at[more] += 1
+            more = more[self.keys[at[more]] < wanted[more]]
+        there = (self.keys[at] == wanted) & (at < last)
+        return np.where(there, self.values[at], 0.0), there
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: small values leave runs of zeros."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _unpacked(data: pa.Scalar, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(_array(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _rows(schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
+    """A batch of these columns; the others are null."""
+    return pa.RecordBatch.from_arrays([
+        pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+
+def _ask(kind: int, keys: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Documents that ask for rare effects; sorted keys are passed on as differences, six bytes each."""
+    order = np.argsort(keys.view(np.uint64))
+    keys, rows = keys[order].view(np.uint64), rows[order]
+    bucket = _bucket(keys, buckets)
+    first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (np.arange(1, len(keys)) % ASKED == 0)))
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[first] = keys[first]
+    base, parts = rows.min(), list(zip(first, [*first[1:], len(keys)]))
+    rows = (rows - base).astype(np.uint32)
+    return _rows(_DEALT, len(parts), bucket=bucket[first], kind=np.full(len(parts), kind | _ASK), row=np.full(len(parts), base),
+                 keys=[_packed(steps[a:b]) for a, b in parts], rest=[_packed(rows[a:b]) for a, b in parts])
+
+
+def _rare(effects: DataFrame, kind: int, buckets: int) -> DataFrame:
+    """Effects (key, value) as arrays by bucket."""
+    def pack(batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append([batch.column(name).to_numpy() for name in ("key", "value")])
+                size += batch.num_rows
+            if size and (batch is None or size > HELD_ROWS):
+                keys, values = map(np.concatenate, zip(*held))
+                bucket = _bucket(keys, buckets)
+                order = np.argsort(bucket)
+                bucket = bucket[order]
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                edges = np.append(first, len(keys))
+                yield _rows(_DEALT, len(first), bucket=bucket[first], kind=np.full(len(first), kind),
+                            keys=_cut(keys[order], edges), rest=_cut(values[order], edges))
+                held, size = [], 0
+
+    return effects.select("key", "value").mapInArrow(pack, _ddl(_DEALT))
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scores of a partition as they are, and what rare effects add to the documents that ask for them.
+
+    A bucket's effects come before all that ask for them."""
+    bucket, effects, tables = None, {}, {}
+    for batch in batches:
+        own = pc.equal(batch.column("kind"), 0)
+        yield batch.filter(own).select(_SCORES.names)
+        batch = batch.filter(pc.invert(own))
+        of, kinds, base = (pc.fill_null(batch.column(name), 0).to_numpy() for name in ("bucket", "kind", "row"))
+        keys, rest = batch.column("keys"), batch.column("rest")
+        # The documents of one task at a time.
+        task = np.where(kinds >= _ASK, base >> 33, -1)
+        edges = np.flatnonzero((np.diff(of) != 0) | (np.diff(task) != 0)) + 1
+        for a, b in zip([0, *edges], [*edges, len(of)]):
+            if a == b:
+                continue
+            if of[a] != bucket:
+                bucket, effects, tables = of[a], {_WORD: [], _EFFECT: []}, {}
+            if task[a] < 0:
+                for i in range(a, b):
+                    effects[kinds[i]].append((_array(keys[i], np.int64), _array(rest[i], np.float64)))
+                continue
+            found = []
+            for kind in (_WORD, _EFFECT):
+                if kind not in tables:
+                    tables[kind] = _Table(*_by_key(*map(np.concatenate, zip(
+                        (np.empty(0, np.int64), np.empty(0)), *effects.pop(kind)))))
+                places = [i for i in range(a, b) if kinds[i] == kind | _ASK]
+                wanted = [np.cumsum(_unpacked(keys[i], np.uint64), dtype=np.uint64) for i in places]
+                rows = [_unpacked(rest[i], np.uint32).astype(np.int64) + (base[i] - (task[a] << 33)) for i in places]
+                wanted, rows = (np.concatenate(x or [np.empty(0, np.int64)]).view(np.int64) for x in (wanted, rows))
+                value, there = tables[kind].look_up(wanted)
+                found.append((rows[there], value[there]))
+            size = max((int(rows.max()) + 1 for rows, _ in found if len(rows)), default=0)
+            known = np.bincount(found[0][0], minlength=size)
+            added, gain = (np.bincount(rows, weights=values, minlength=size) for rows, values in found)
+            row = np.unique(np.concatenate([rows for rows, _ in found]))
+            yield _rows(_SCORES, len(row), row=row + (task[a] << 33), n_known=known[row], base=added[row], gain=gain[row])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {to_spark(f.type).simpleString()}" for f in schema)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -324,62 +554,78 @@ def score_texts(docs: DataFrame) -> DataFrame:
     counts = words.select("key", "n", F.log10(F.col("n") + F.lit(1.0)).alias("value"))
     tree = effects(levels)
     tree = counts.limit(0) if tree is None else tree
-    both = ((counts, F.col("n") >= least_count(counts, HOT_WORDS)), (tree, F.col("n") >= least_count(tree, HOT_EFFECTS)))
+    hot_word, hot_effect = (F.col("n") >= least_count(df, most) for df, most in ((counts, HOT_WORDS), (tree, HOT_EFFECTS)))
     shared = spark.sparkContext.broadcast((
-        *(_sorted(df.where(hot)) for df, hot in both), sieve(tree.select("key")), len(levels)))
+        _sorted(counts.where(hot_word)), _sorted(tree.where(hot_effect)), sieve(tree.select("key")),
+        sieve(counts.where("n > 1").select("key")), len(levels)))
     # All that scores need of the tree is in the effects.
     dropped(*(step for level in levels for step in level))
     del levels
     let_go(spark)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                        ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()),
-                        ("rare", pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())])))])
+    buckets = _bucket_count(spark, total, LOOK_TOKENS)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        words_of, effects_of, bits, twice, depth = shared.value
+        words_of, effects_of = _Table(*words_of), _Table(*effects_of)
+        row = TaskContext.get().partitionId() << 33
+        held: dict[int, list] = {_WORD: [], _EFFECT: []}
+
+        def asked(least: int) -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                if sum(len(keys) for keys, _ in parts) > least:
+                    yield _ask(kind, *map(np.concatenate, zip(*parts)), buckets)
+                    parts.clear()
 
-    def run(batches):
-        (listed, weight), (keys, values), bits, depth = shared.value
-        weight = np.append(weight, 0.0)
         for batch in batches:
             for chunk in chunked(arrow_rows(batch, "doc_id", "held_out")):
-                tokens, first = token_stream([row[0] for row in chunk])
-                ids = _find(listed, tokens, len(listed))
-                missing = ids == len(listed)
+                tokens, first = token_stream([x[0] for x in chunk])
+                lengths = np.diff(first)
+                of = row + np.repeat(np.arange(len(chunk)), lengths)
+                new = np.array([x[2] for x in chunk], bool)
+                base, known = words_of.look_up(tokens)
+                # A word of a training document that doesn't occur twice occurs once.
+                at = np.flatnonzero(~known)
+                once = ~passes(twice, tokens[at]) & ~np.repeat(new, lengths)[at]
+                base[at[once]], known[at[once]] = np.log10(2.0), True
+                at = at[~once]
+                held[_WORD].append((tokens[at], of[at]))
                 gain = np.zeros(len(tokens))
-                rare_at, rare_key = [np.flatnonzero(missing)], [tokens[missing]]
+                # What is in the tree has its shorter forms there, too.
+                inside, kept = np.ones(len(tokens), bool), np.ones(len(tokens), bool)
                 for at, ctx in contexts_before(tokens, first, depth):
-                    for key in (ctx, tokens[at] ^ ctx):
-                        maybe = passes(bits, key)
-                        place, key = at[maybe], key[maybe]
-                        found = _find(keys, key, -1)
-                        gain[place] += np.where(found >= 0, np.append(values, 0.0)[found], 0.0)
-                        rare_at.append(place[found < 0])
-                        rare_key.append(key[found < 0])
+                    maybe = inside[at]
+                    at, ctx = at[maybe], ctx[maybe]
+                    maybe = passes(bits, ctx)
+                    at, ctx = at[maybe], ctx[maybe]
+                    inside = np.zeros(len(tokens), bool)
+                    inside[at] = True
+                    maybe = kept[at]
+                    word_at, key = at[maybe], tokens[at[maybe]] ^ ctx[maybe]
+                    maybe = passes(bits, key)
+                    word_at, key = word_at[maybe], key[maybe]
+                    kept = np.zeros(len(tokens), bool)
+                    kept[word_at] = True
+                    for place, key in ((at, ctx), (word_at, key)):
+                        value, there = effects_of.look_up(key)
+                        gain[place] += value
+                        held[_EFFECT].append((key[~there], of[place[~there]]))
                 sums = lambda values: np.add.reduceat(values, first[:-1])  # noqa: E731  every text has a token
-                text = np.searchsorted(first, np.concatenate(rare_at), side="right") - 1
-                key = np.concatenate(rare_key)
-                order = np.lexsort((key, text))
-                text, key = text[order], key[order]
-                start = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0))
-                offsets = np.searchsorted(text[start], np.arange(len(chunk) + 1))
-                rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
-                    [pa.array(key[start], pa.int64()),
-                     pa.array(np.diff(start, append=len(key)), pa.int32())], names=["key", "n"]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row[1] for row in chunk], pa.int64()), pa.array([row[2] for row in chunk], pa.bool_()),
-                    pa.array(np.diff(first)), pa.array(sums((~missing).astype(np.int64))),
-                    pa.array(sums(weight[ids])), pa.array(sums(gain)), rare], schema=schema)
-
-    parts = stored(rows.mapInArrow(run, _SCORE_FIELDS).withColumn("row", F.monotonically_increasing_id()), "scores")
-    rest, more = (df.where(~hot).withColumn("known", F.lit(k)) for k, (df, hot) in zip((1, 0), both))
-    tail = rest.unionByName(more)
-    added = F.col("n") * F.col("value")
-    used = parts.select("row", F.inline("rare")).join(tail.drop("n"), "key").select(
-        "row", (F.col("n") * F.col("known")).cast("long").alias("n_known"),
-        F.when(F.col("known") == 1, added).otherwise(0.0).alias("base"),
-        F.when(F.col("known") == 0, added).otherwise(0.0).alias("gain"))
-    # The row of a document and the parts of its rare effects meet in one sum.
-    whole = parts.drop("rare").unionByName(used, allowMissingColumns=True).groupBy("row").agg(
+                rows = np.arange(row, row + len(chunk))
+                yield _rows(_DEALT, len(chunk), row=rows, doc_id=[x[1] for x in chunk], held_out=new, n_tokens=lengths,
+                            n_known=sums(known.astype(np.int64)), base=sums(base), gain=sums(gain),
+                            bucket=rows % buckets, kind=np.zeros(len(chunk), np.int32))
+                row += len(chunk)
+                yield from asked(HELD_ROWS)
+        yield from asked(0)
+
+    dealt = rows.mapInArrow(run, _ddl(_DEALT))
+    for rest, kind in ((counts.where(~hot_word), _WORD), (tree.where(~hot_effect), _EFFECT)):
+        dealt = dealt.unionByName(_rare(rest, kind, buckets))
+    # The row of a document and what its rare effects add meet in one sum.
+    dealt = _dealt(dealt.withColumn("asks", F.col("kind") >= _ASK), buckets, "asks", "row").drop("asks")
+    whole = stored(dealt.mapInArrow(_answers, _ddl(_SCORES)).groupBy("row").agg(
         *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")),
-        *(F.sum(c).alias(c) for c in ("n_known", "base", "gain")))
+        *(F.sum(c).alias(c) for c in ("n_known", "base", "gain"))), "scores")
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + vocabulary + 1)))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known",
                         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),

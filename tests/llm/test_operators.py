@@ -485,3 +485,39 @@ def test_steps_of_the_tree_are_dropped(spark, monkeypatch, tmp_path):
     left = {p.name.split("-")[0] for p in tmp_path.iterdir()}
     gone = {"kept1", "next1", "kept2", "next2"}
     assert gone <= set(made) and {"words", "effects", "scores"} <= left and not left & gone
+
+
+def test_next_words_are_counted_by_context(spark):
+    """All counts from two on are found, whether a context's next words lie in one bucket or in all of them."""
+    rnd = np.random.default_rng(3)
+    ctx = rnd.integers(-(1 << 63), 1 << 63, 40, dtype=np.int64)
+    words = rnd.integers(-(1 << 63), 1 << 63, 300, dtype=np.int64)
+    docs = spark.createDataFrame([(f"{rnd.integers(40)} {rnd.integers(300)}",) for _ in range(9000)], "text string").repartition(5)
+
+    def grams():
+        def take(texts):
+            at = np.array([t.split() for t in texts], np.int64).reshape(-1, 2)
+            return words[at[:, 1]] ^ ctx[at[:, 0]], ctx[at[:, 0]]
+        return take
+
+    counts = Counter(tuple(map(int, r.text.split())) for r in docs.collect())
+    want = {(int(words[w] ^ ctx[c]), int(ctx[c]), n) for (c, w), n in counts.items() if n >= 2}
+    for spread in (ctx[:0], np.sort(ctx[:3])):
+        rows = suffix_lm.counted_grams(docs, grams, 2, 7, spread).collect()
+        assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def test_rare_effects_are_looked_up_in_few_bytes(spark):
+    """A look-up passes the shuffle in some 9 bytes, not as a row, and each document gets the sum of what it asked for."""
+    rnd = np.random.default_rng(4)
+    keys = rnd.integers(-(1 << 63), 1 << 63, 60_000, dtype=np.int64)
+    values, rows = rnd.normal(size=30_000), (3 << 33) + rnd.integers(0, 500, 60_000)
+    asks = suffix_lm._ask(suffix_lm._EFFECT, keys, rows, 1)
+    sent = sum(len(pa.compress(b"".join(asks.column(c).to_pylist()), codec="lz4", asbytes=True)) for c in ("keys", "rest"))
+    assert asks.num_rows < len(keys) / 200 and sent < 9.5 * len(keys)
+    known = suffix_lm._rows(suffix_lm._DEALT, 1, bucket=[0], kind=[suffix_lm._EFFECT], keys=[keys[:30_000].tobytes()],
+                            rest=[values.tobytes()])
+    out = pa.Table.from_batches([b for b in suffix_lm._answers(iter([known, asks])) if b.num_rows]).to_pydict()
+    want = np.bincount(rows[:30_000] - (3 << 33), weights=values)
+    assert sorted(out["row"]) == sorted(set(rows[:30_000].tolist()))
+    assert out["gain"] == pytest.approx([want[r - (3 << 33)] for r in out["row"]]) and set(out["n_known"]) == {0}
