@@ -21,6 +21,8 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 # Text bytes that one numpy pass works on; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+# Bytes of a batch of rows on its way to a Python worker; Spark's own bounds are 64 MB and 10,000 rows.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def per_worker(slot: str, key: tuple, make: Callable):
@@ -54,6 +56,16 @@ def trim_worker() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let rows with texts pass to Python in batches of ``BATCH_BYTES``, unless the session has a bound of its own.
+
+    An executor holds a batch of each task several times: where it grows, as it is sent, and in the worker.
+    Plans read the setting as they run, so it stays set. It changes no result.
+    """
+    if spark.conf.get(BATCH_SETTING) == f"{64 << 20}b":  # Spark's default
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

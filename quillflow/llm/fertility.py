@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm.bpe import slices
-from quillflow.llm.common import fresh, per_worker
+from quillflow.llm.common import fresh, per_worker, trim_worker
 from quillflow.llm.words import mix, word_hashes
 
 WINDOW = 8
@@ -192,6 +192,7 @@ def quality(path: str, languages: dict[str, Band] | None = None, scripts: dict[s
                         langs[a + i], text, *measures, languages, scripts))
                     rows.append((n, chars, symbols, repeated_lines(text), repeats, len(ids), *measures, failed, kept))
             yield pd.DataFrame(rows, columns=names)
+        trim_worker()
 
     return measure
 

@@ -25,12 +25,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import fresh, per_worker, row_slices, stored
+from quillflow.llm.common import fresh, let_slot_go, per_worker, row_slices, stored, trim_worker
 
 MAX_LABELLED = 4_000
 TREES, DEPTH, SEED = 25, 6, 17
@@ -263,6 +262,7 @@ def parse_tree(text: str) -> list[tuple[int, float, int, int, float]]:
 
 def _scan_batches(path: str, visit):
     """Run ``visit(doc_id, text, start, end, words)`` over the candidates of each batch."""
+    let_slot_go("vocabulary")
     words = per_worker("dictionary", (path,), lambda: dictionary(path))
 
     def rows(batch):
@@ -296,6 +296,7 @@ def labelled_findings(docs: DataFrame, path: str, limit: int = MAX_LABELLED) ->
             found = [r for r in rows(batch) if r is not None]
             columns = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+        trim_worker()
 
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "hash long, label int, features array<double>")
@@ -350,6 +351,7 @@ def scan(docs: DataFrame, forest: Forest, path: str, threshold: float = THRESHOL
             votes = forest.votes(np.array([f for _, f in found])) if found else np.empty(0)
             columns = [*(zip(*(r for r, _ in found)) if found else ([], [], [], [])), votes, votes >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+        trim_worker()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FINDING)
 
@@ -371,27 +373,31 @@ def redact(docs: DataFrame, forest: Forest, path: str, threshold: float = THRESH
     All rows and columns stay, null texts stay null, nothing is shuffled.
     """
 
-    @F.pandas_udf("string")
-    def masked(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # Only the texts that change come back from Python.
+    @F.arrow_udf("string")
+    def masked(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_slot_go("vocabulary")
         words = per_worker("dictionary", (path,), lambda: dictionary(path))
         for texts in columns:
             out = []
-            for text in texts:
-                spans = candidates(text or "")
-                if spans:
-                    votes = forest.votes(np.array([features(*_around(text, a, b), words) for a, b in spans]))
+            for start in range(0, len(texts), 256):
+                for text in texts.slice(start, 256).to_pylist():
+                    spans = candidates(text or "")
+                    if spans:
+                        votes = forest.votes(np.array([features(*_around(text, a, b), words) for a, b in spans]))
+                        spans = _joined(span for span, vote in zip(spans, votes) if vote >= threshold)
                     parts, done = [], 0
-                    for a, b in _joined(span for span, vote in zip(spans, votes) if vote >= threshold):
+                    for a, b in spans:
                         parts += [text[done:a], mask]
                         done = b
-                    text = "".join(parts) + text[done:]
-                out.append(text)
-            yield pd.Series(out, dtype=object)
+                    out.append("".join(parts) + text[done:] if spans else None)
+            yield pa.array(out, pa.string())
+        trim_worker()
 
     (name,) = fresh(docs, "masked")
     out = docs.withColumn(name, masked(docs["text"]))
-    changed = ~F.col(name).eqNullSafe(docs["text"])
-    new = {"text": F.col(name)}
+    changed = F.col(name).isNotNull() & (F.col(name) != docs["text"])
+    new = {"text": F.coalesce(F.col(name), docs["text"])}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length(name)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.withColumns(new).drop(name)

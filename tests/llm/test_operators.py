@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quillflow.llm import (
     bitplanes, bpe, chat, common, count_tree, exact_dedup, fertility, minhash, packing, secret_scan, sieves, suffix_lm,
     url_rules)
@@ -293,6 +294,21 @@ def test_secrets(docs, empty):
     assert secret_scan.scan(empty, forest, WORDS).count() == 0
 
 
+def test_pipeline_passes_texts_to_python_in_small_batches(spark):
+    """An executor holds some MB of texts per task, not 10,000 texts of any length."""
+    long = spark.range(3000).selectExpr("id AS doc_id", "repeat('some words ', 1500) AS text").coalesce(1)
+    try:
+        spark.conf.unset(common.BATCH_SETTING)
+        corpus_pipeline.exact_copies(spark, long, "")
+        sizes = long.mapInArrow(lambda batches: (pa.record_batch({"size": [b.nbytes]}) for b in batches), "size long").collect()
+        assert len(sizes) > 5 and max(r["size"] for r in sizes) < 2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_SETTING, "9m")
+        corpus_pipeline.exact_copies(spark, long, "")
+        assert spark.conf.get(common.BATCH_SETTING) == "9m"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+
+
 def test_suffix_lm(docs, empty):
     tokens = [(i, WORD.findall((t or "").translate(LOWER)) + [None]) for i, t in corpus()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
