@@ -17,8 +17,8 @@ tree grows with the corpus: it stays in written tables, one row per context and
 A kept next word of s is kept in the suffix of s, too, and the suffix of a retained context is retained.
 So the score is a sum of effects that are looked up one by one: log10(c + 1) of each token, the
 back-off weight (leftover + PRIOR) / (n + PRIOR) of each retained context before it, and for each kept
-next word what it adds to that. The most frequent ones, ``HOT_WORDS`` words and ``HOT_EFFECTS`` others,
-are broadcast. What is rarer is looked up where it lies: keys are dealt into buckets, a bucket's task has
+next word what it adds to that. Those that occur ``HOT_FROM`` times or more, the ``HOT_WORDS`` most frequent
+words and ``HOT_EFFECTS`` others at most, are broadcast. What is rarer is looked up where it lies: keys are dealt into buckets, a bucket's task has
 its rare effects and every (key, document) that asks for one of them. These bounds and the sieves (Bloom
 filters of a bounded size) decide where an effect is added, never whether.
 
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type as to_spark
 
-from quillflow.llm.common import arrow_rows, chunked, dropped, least_count, let_go, stored
+from quillflow.llm.common import arrow_rows, chunked, dropped, least_count, let_go, small_batches, stored
 from quillflow.llm.sieves import passes, sieve
 from quillflow.llm.words import mix, word_hashes
 
@@ -52,7 +52,9 @@ MIN_COUNT, MIN_NEXT = 50, 2
 DIVERGENCE = 0.02
 PRIOR = 4.0
 FOLDS, HELD_OUT = 7, 2
-# At most so many words and other effects are broadcast.
+# What occurs so often is broadcast (rarer ones cost less to look up than a copy in every worker), and at most so many
+# words and other effects.
+HOT_FROM = 8
 HOT_WORDS, HOT_EFFECTS = 1_000_000, 2_500_000
 ROTATE = 7
 # Counts or look-ups that a task gathers before it passes them on.
@@ -69,6 +71,8 @@ _SCORES = pa.schema([
 # for them (keys, rows from ``row`` on; a row has the task's number from bit 33 on). ``kind``: 0 scores, else below.
 _WORD, _EFFECT, _ASK = 1, 2, 4
 _DEALT = pa.schema([*_SCORES, ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("rest", pa.binary())])
+# Scores so far as rows, and answers: one row (its ``row`` is the task's first) with the sums of many of a task's documents.
+_SUMS = pa.schema([*_SCORES, ("bucket", pa.int32()), ("sums", pa.binary())])
 _COUNTS = pa.schema([("bucket", pa.int32()), ("ctxs", pa.binary()), ("runs", pa.binary()), ("keys", pa.binary()),
                      ("ns", pa.binary())])
 
@@ -353,6 +357,7 @@ def fit_levels(docs: DataFrame, words: DataFrame, depth: int = DEPTH, min_count:
         # The same next word of the suffix: it occurs there at least as often, so it is kept there.
         grams = stored(grams.withColumn("short", word.bitwiseXOR(F.col("suffix"))).join(
             shorter.select(F.col("key").alias("short"), F.col("logp").alias("short_logp")), "short").drop("short"), f"kept{d}")
+        let_go(spark)
         q = F.pow(F.lit(10.0), F.col("short_logp"))
         sums = grams.groupBy("ctx").agg(
             F.sum("n").alias("kept"), F.count("*").alias("free"), F.sum(q).alias("q"),
@@ -535,6 +540,56 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(_SCORES, len(row), row=row + (task[a] << 33), n_known=known[row], base=added[row], gain=gain[row])
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Scores as they are and answers as arrays, dealt by the task that read the documents."""
+    for batch in _answers(batches):
+        if not batch.num_rows:
+            continue
+        row = batch.column("row").to_numpy()
+        task = row >> 33
+        if not batch.column("n_tokens").null_count:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((task % buckets).astype(np.int32)),
+                                              pa.nulls(len(row), pa.binary())], schema=_SUMS)
+            continue
+        known, base, gain = (batch.column(name).to_numpy() for name in ("n_known", "base", "gain"))
+        sums = (row - (task << 33)).astype(np.uint32), known.astype(np.uint32), base, gain
+        yield _rows(_SUMS, 1, row=task[:1] << 33, bucket=task[:1] % buckets, sums=[b"".join(map(_packed, sums))])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores with all answers added, from rows in order of ``row``; the documents of one task at a time."""
+    task, held = None, []
+    for batch in itertools.chain((b for b in batches if b.num_rows), [None]):
+        of = batch.column("row").to_numpy() >> 33 if batch is not None else np.empty(0, np.int64)
+        edges = np.flatnonzero(np.diff(of)) + 1
+        for a, b in zip([0, *edges], [*edges, len(of)]):
+            if held and (a == b or of[a] != task):
+                yield _with_sums(pa.Table.from_batches(held))
+                held = []
+            if a < b:
+                task = of[a]
+                held.append(batch.slice(a, b - a))
+
+
+def _with_sums(rows: pa.Table) -> pa.RecordBatch:
+    scores = rows.filter(pc.is_valid(rows["n_tokens"])).select(_SCORES.names).combine_chunks()
+    row = scores["row"].to_numpy()
+    known, base, gain = (scores[name].to_numpy().copy() for name in ("n_known", "base", "gain"))
+    for part in rows["sums"].drop_null():
+        data = part.as_py()
+        size = len(data) // 24
+        at, n = (_unpacked(pa.scalar(data[k:k + 4 * size]), np.uint32).astype(np.int64) for k in (0, 4 * size))
+        more, extra = (_unpacked(pa.scalar(data[k:k + 8 * size]), np.float64) for k in (8 * size, 16 * size))
+        # A part has a document once.
+        at = np.searchsorted(row, at + (row[0] >> 33 << 33))
+        known[at] += n
+        base[at] += more
+        gain[at] += extra
+    columns = {name: scores[name].combine_chunks() for name in ("row", "doc_id", "held_out", "n_tokens")}
+    columns |= {"n_known": pa.array(known), "base": pa.array(base), "gain": pa.array(gain)}
+    return pa.RecordBatch.from_pydict(columns, schema=_SCORES)
+
+
 def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {to_spark(f.type).simpleString()}" for f in schema)
 
@@ -549,12 +604,15 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
     training = rows.where("NOT held_out").select("text")
+    small_batches(spark)
     words = counted(training, lambda: lambda texts: token_stream(texts)[0], "words")
+    let_go(spark)
     total, vocabulary, levels = fit_levels(training, words)
     counts = words.select("key", "n", F.log10(F.col("n") + F.lit(1.0)).alias("value"))
     tree = effects(levels)
     tree = counts.limit(0) if tree is None else tree
-    hot_word, hot_effect = (F.col("n") >= least_count(df, most) for df, most in ((counts, HOT_WORDS), (tree, HOT_EFFECTS)))
+    hot_word, hot_effect = (
+        F.col("n") >= max(HOT_FROM, least_count(df, most)) for df, most in ((counts, HOT_WORDS), (tree, HOT_EFFECTS)))
     shared = spark.sparkContext.broadcast((
         _sorted(counts.where(hot_word)), _sorted(tree.where(hot_effect)), sieve(tree.select("key")),
         sieve(counts.where("n > 1").select("key")), len(levels)))
@@ -621,11 +679,10 @@ def score_texts(docs: DataFrame) -> DataFrame:
     dealt = rows.mapInArrow(run, _ddl(_DEALT))
     for rest, kind in ((counts.where(~hot_word), _WORD), (tree.where(~hot_effect), _EFFECT)):
         dealt = dealt.unionByName(_rare(rest, kind, buckets))
-    # The row of a document and what its rare effects add meet in one sum.
     dealt = _dealt(dealt.withColumn("asks", F.col("kind") >= _ASK), buckets, "asks", "row").drop("asks")
-    whole = stored(dealt.mapInArrow(_answers, _ddl(_SCORES)).groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")),
-        *(F.sum(c).alias(c) for c in ("n_known", "base", "gain"))), "scores")
+    # The row of a document and what its rare effects add meet again where its task's rows are dealt to.
+    sums = dealt.mapInArrow(lambda batches: _grouped(batches, buckets), _ddl(_SUMS))
+    whole = stored(_dealt(sums, buckets, "row").mapInArrow(_summed, _ddl(_SCORES)), "scores")
     base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + vocabulary + 1)))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known",
                         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"),

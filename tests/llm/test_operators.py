@@ -537,3 +537,38 @@ def test_rare_effects_are_looked_up_in_few_bytes(spark):
     want = np.bincount(rows[:30_000] - (3 << 33), weights=values)
     assert sorted(out["row"]) == sorted(set(rows[:30_000].tolist()))
     assert out["gain"] == pytest.approx([want[r - (3 << 33)] for r in out["row"]]) and set(out["n_known"]) == {0}
+
+
+def test_answers_pass_as_one_row_for_many_documents():
+    """What rare effects add isn't a row for each document and bucket, and meets the right documents."""
+    rnd = np.random.default_rng(6)
+    keys = rnd.integers(-(1 << 63), 1 << 63, 20_000, dtype=np.int64)
+    values, at = rnd.normal(size=20_000), rnd.integers(0, 500, 20_000)
+    known = suffix_lm._rows(suffix_lm._DEALT, 1, bucket=[0], kind=[suffix_lm._EFFECT], keys=[keys.tobytes()], rest=[values.tobytes()])
+    rows = np.concatenate([(task << 33) + np.arange(500) for task in (3, 8)])
+    scores = suffix_lm._rows(suffix_lm._DEALT, 1000, row=rows, doc_id=rows * 2, held_out=np.zeros(1000, bool), kind=np.zeros(1000, np.int32),
+                             n_tokens=np.ones(1000, np.int64), n_known=np.zeros(1000, np.int64), base=np.zeros(1000), gain=np.ones(1000))
+    asks = [suffix_lm._ask(suffix_lm._EFFECT, keys, (task << 33) + at, 1) for task in (3, 8)]
+    dealt = pa.Table.from_batches(suffix_lm._grouped(iter([scores, known, *asks]), 5))
+    assert dealt.num_rows == 1000 + 2 and dealt.filter(pa.compute.is_valid(dealt["sums"]))["row"].to_pylist() == [3 << 33, 8 << 33]
+    assert set(dealt["bucket"].to_pylist()) == {3}
+    parts = dealt.sort_by("row").to_batches(max_chunksize=300)
+    out = pa.Table.from_batches(suffix_lm._summed(iter([parts[0].slice(0, 0), *parts])))
+    assert out["row"].to_pylist() == rows.tolist() and out["doc_id"].to_pylist() == (rows * 2).tolist()
+    assert out["gain"].to_pylist() == pytest.approx([*(1 + np.bincount(at, weights=values, minlength=500))] * 2)
+
+
+@pytest.mark.parametrize("least", [1, 8, 1 << 40])
+def test_rare_words_and_effects_are_looked_up_in_small_corpora_too(spark, monkeypatch, least):
+    """What is broadcast depends on how often it occurs, not only on how much there is; the scores don't."""
+    rnd, held = random.Random(12), []
+    say = lambda: " ".join(rnd.choice("the cat sat on a mat|the dog lay on the rug".split("|")) + f" x{rnd.randrange(60)}" for _ in range(4))
+    rows = [(i, say()) for i in range(-150, 0) if zlib.crc32(str(i).encode()) % 7 != 2]
+    monkeypatch.setattr(suffix_lm, "HOT_FROM", least)
+    sort = suffix_lm._sorted
+    monkeypatch.setattr(suffix_lm, "_sorted", lambda df: held.append(df.count()) or sort(df))
+    got = {r.doc_id: r.score - r.base_score for r in
+           suffix_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    counts = Counter(w for _, t in rows for w in [*t.split(), None])
+    assert held[0] == sum(n >= least for n in counts.values()) and (held[1] > 0) == (least < 1000)
+    assert [got[i] for i, _ in rows] == pytest.approx(plain_gains([t for _, t in rows])[0], abs=1e-6)
